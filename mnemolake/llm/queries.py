@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from mnemolake.llm import mixing
+from mnemolake.llm import exactdup, mixing, packing
 
-QUERIES = {"op4_mix": mixing.op4_mix}
-ORACLES = {"op4_mix": mixing.OP4_SQL}
+QUERIES = {
+    "op4_mix": mixing.op4_mix,
+    "op5_exact_dedup": exactdup.op5_exact_dedup,
+    "op7_packing": packing.op7_packing,
+}
+ORACLES = {
+    "op4_mix": mixing.OP4_SQL,
+    "op5_exact_dedup": exactdup.OP5_SQL,
+}
