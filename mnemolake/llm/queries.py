@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from mnemolake.llm import exactdup, mixing, packing
+from mnemolake.llm import exactdup, langid, mixing, packing, topk
 
 QUERIES = {
+    "op3_language_id": langid.op3_language_id,
     "op4_mix": mixing.op4_mix,
     "op5_exact_dedup": exactdup.op5_exact_dedup,
     "op7_packing": packing.op7_packing,
+    "op8_top_k": topk.op8_top_k,
 }
 ORACLES = {
     "op4_mix": mixing.OP4_SQL,
     "op5_exact_dedup": exactdup.OP5_SQL,
+    "op8_top_k": topk.OP8_SQL,
 }
