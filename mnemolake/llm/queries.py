@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from mnemolake.llm import exactdup, langid, mixing, packing, topk
+from mnemolake.llm import exactdup, langid, mixing, packing, topk, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op3_language_id": langid.op3_language_id,
     "op4_mix": mixing.op4_mix,
     "op5_exact_dedup": exactdup.op5_exact_dedup,
