@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemolake.llm import exactdup, langid, mixing, packing, topk, toxicity
+from mnemolake.llm import exactdup, langid, licenses, mixing, packing, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_exact_dedup": exactdup.op5_exact_dedup,
     "op7_packing": packing.op7_packing,
     "op8_top_k": topk.op8_top_k,
+    "op9_licenses": licenses.op9_licenses,
 }
 ORACLES = {
     "op4_mix": mixing.OP4_SQL,
