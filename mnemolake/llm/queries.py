@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mnemolake.llm import exactdup, langid, licenses, mixing, packing, topk, toxicity
+from mnemolake.llm import exactdup, langid, licenses, linededup, mixing, packing, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_packing": packing.op7_packing,
     "op8_top_k": topk.op8_top_k,
     "op9_licenses": licenses.op9_licenses,
+    "op10_line_dedup": linededup.op10_line_dedup,
 }
 ORACLES = {
     "op4_mix": mixing.OP4_SQL,
