@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 from typing import NamedTuple
@@ -126,16 +125,21 @@ def margins(texts: list[bytes], table_: np.ndarray, bias: float) -> np.ndarray:
     return out
 
 
-def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+def _machine(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rows: int = 20_000) -> np.ndarray:
     """Linear machine with squared hinge loss by Newton steps on its active rows; last weight: bias, hardly held back."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    hold = np.full(x.shape[1], HOLD)
+    n = x.shape[1] + 1
+    hold = np.full(n, HOLD)
     hold[-1] = 1e-3
-    w = np.zeros(x.shape[1])
+    w = np.zeros(n)
     for _ in range(40):
-        active = y * (x @ w) < 1
-        xa, ca = x[active], cost[active]
-        new = np.linalg.solve((xa * ca[:, None]).T @ xa + np.diag(hold), xa.T @ (ca * y[active]))
+        left, right = np.diag(hold), np.zeros(n)
+        for at in range(0, len(x), rows):
+            part = np.hstack([x[at : at + rows], np.ones((len(x[at : at + rows]), 1))])
+            active = y[at : at + rows] * (part @ w) < 1
+            held = part[active] * cost[at : at + rows][active, None]
+            left += held.T @ part[active]
+            right += held.T @ y[at : at + rows][active]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, rtol=1e-6, atol=1e-8):
             break
         w = new
@@ -170,25 +174,32 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Model:
     nothing = Model(np.zeros(0, np.int64), np.zeros(0), 0.0, 0.0, -4.0 if not toxic.any() else 4.0)
     if not len(texts) or toxic.all() or not toxic.any():
         return nothing
-    x = letters(texts)
-    begin = np.flatnonzero(np.concatenate(([True], x.token[1:] != x.token[:-1])))
-    raw = x.code.astype(np.uint8).tobytes()
-    spans = list(zip(begin.tolist(), [*begin[1:].tolist(), len(x.code)], strict=True))
-    words, owner = [raw[a:b] for a, b in spans], x.text[x.sentence[begin]]
-    held = [Counter(), Counter()]
-    for w, d in {(w, d) for w, d in zip(words, owner.tolist(), strict=True) if len(w) >= LENGTH}:
-        held[int(toxic[d])][w] += 1
+    number_of: dict[bytes, int] = {}
+    parts = []
+    for first, part in in_chunks(texts):
+        x = letters(part)
+        begin = np.flatnonzero(np.concatenate(([True], x.token[1:] != x.token[:-1]))) if len(x.code) else np.zeros(0, np.int64)
+        raw, ends = x.code.astype(np.uint8).tobytes(), np.append(begin[1:], len(x.code))
+        numbers = [number_of.setdefault(raw[a:b], len(number_of)) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
+        parts.append(np.stack([np.array(numbers, np.int64), first + x.text[x.sentence[begin]]], 1))
+    # Each token and document once; documents of either kind that hold a token.
+    token, owner = np.unique(np.concatenate(parts), axis=0).T
+    docs_of = [np.bincount(token[toxic[owner] == kind], minlength=len(number_of)) for kind in (False, True)]
+    words = list(number_of)
+    held = [{w: int(docs_of[kind][k]) for k, w in enumerate(words) if docs_of[kind][k] and len(w) >= LENGTH} for kind in (0, 1)]
     n1, n0 = int(toxic.sum()), int((~toxic).sum())
     # Telling: among toxic documents far more often than by chance (Chernoff's bound, for as many tokens as there are).
     base, odds = n1 / (n1 + n0), {}
     for w, n in held[1].items():
-        part = n / (n + held[0][w])
+        other = held[0].get(w, 0)
+        part = n / (n + other)
         if part > 0.8:
-            bound = n * np.log(part / base) + held[0][w] * np.log(max(1e-12, 1 - part) / (1 - base)) * (held[0][w] > 0)
+            bound = n * np.log(part / base) + other * np.log(max(1e-12, 1 - part) / (1 - base))
             if bound > np.log(len(held[1])) + 2 or n1 + n0 < 20:
                 odds[w] = n
     telling = sorted(odds, key=lambda w: (-odds[w], w))[: LANDMARKS[0]]
-    rest = sorted(w for w in held[0] if w not in telling)
+    marked = set(telling)
+    rest = sorted(w for w in held[0] if w not in marked)
     rng = np.random.default_rng(seed)
     drawn = [rest[i] for i in rng.permutation(len(rest))[: LANDMARKS[1]]]
     marks = telling + drawn
@@ -208,32 +219,30 @@ def fit(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Model:
     project = a @ root
     # Features of distinct tokens, a block of subsequences at a time.
     spoilt = [w[:k] + bytes([x]) + w[k:] for w in telling for k, x in enumerate(rng.integers(1, 27, len(w))) if k > 1]
-    number_of = {w: k for k, w in enumerate(dict.fromkeys(words))}
     spoilt = [w for w in dict.fromkeys(spoilt) if w not in number_of]
     number_of |= {w: len(number_of) + k for k, w in enumerate(spoilt)}
     distinct = list(number_of)
-    token = np.array([number_of[w] for w in words])
-    u = Letters(np.frombuffer(b"".join(distinct), np.uint8).astype(np.int32), np.repeat(np.arange(len(distinct)), [len(w) for w in distinct]), np.zeros(0), np.zeros(0))
     x_ = np.zeros((len(distinct), project.shape[1]), np.float32)
     index = np.full(ALPHABET**LENGTH, -1, np.int32)
     index[features] = np.arange(len(features))
-    for place, number, weight in subsequences(u):
-        row = index[number]
-        own, row = u.token[place[row >= 0]], row[row >= 0]
-        for k in range(0, len(row), 20_000):
-            part = own[k : k + 20_000]
-            first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-            x_[part[first]] += weight * np.add.reduceat(project[row[k : k + 20_000]], first, axis=0)
+    for at in range(0, len(distinct), 20_000):
+        part = distinct[at : at + 20_000]
+        u = Letters(np.frombuffer(b"".join(part), np.uint8).astype(np.int32), np.repeat(np.arange(at, at + len(part)), [len(w) for w in part]), np.zeros(0), np.zeros(0))
+        for place, number, weight in subsequences(u):
+            row = index[number]
+            own, row = u.token[place[row >= 0]], row[row >= 0]
+            for k in range(0, len(row), 20_000):
+                first = np.flatnonzero(np.concatenate(([True], own[k + 1 : k + 20_000] != own[k : k + 20_000][:-1])))
+                x_[own[k : k + 20_000][first]] += weight * np.add.reduceat(project[row[k : k + 20_000]], first, axis=0)
     x_ /= size_of(np.array([len(w) for w in distinct]))[:, None].astype(np.float32)
-    # Documents that hold a token; a token of many weighs more, to a limit.
-    pairs = np.unique(np.stack([token, owner], 1), axis=0)
-    docs_of = [np.bincount(pairs[toxic[pairs[:, 1]] == kind, 0], minlength=len(distinct)) for kind in (False, True)]
+    docs_of = [np.append(n, np.zeros(len(spoilt))) for n in docs_of]
     chosen = np.isin(np.arange(len(distinct)), [number_of[w] for w in telling])
     chosen[len(distinct) - len(spoilt) :] = True
     for _ in range(4):
         if not chosen.any() or chosen.all():
             return nothing._replace(offset=float(np.log(n1 / n0)))
         y = np.where(chosen, 1.0, -1.0)
+        # A token of many documents weighs more, to a limit.
         cost = np.minimum(20.0, np.where(chosen, docs_of[1], docs_of[0] + 0.2 * docs_of[1]))
         cost[len(distinct) - len(spoilt) :] = SPOILT
         cost[chosen] *= min(5.0, max(1.0, cost[~chosen].sum() / cost[chosen].sum()))
