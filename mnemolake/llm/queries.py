@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from mnemolake.llm import exactdup, langid, licenses, linededup, mixing, packing, topk, toxicity
+from mnemolake.llm import exactdup, langid, licenses, linededup, mixing, packing, quality, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_language_id": langid.op3_language_id,
     "op4_mix": mixing.op4_mix,
     "op5_exact_dedup": exactdup.op5_exact_dedup,
+    "op6_quality": quality.op6_quality,
     "op7_packing": packing.op7_packing,
     "op8_top_k": topk.op8_top_k,
     "op9_licenses": licenses.op9_licenses,
