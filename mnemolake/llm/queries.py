@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from mnemolake.llm import exactdup, langid, licenses, linededup, mixing, packing, quality, topk, toxicity
+from mnemolake.llm import exactdup, langid, licenses, linededup, mixing, neardup, packing, quality, topk, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_near_dedup": neardup.op2_near_dedup,
     "op3_language_id": langid.op3_language_id,
     "op4_mix": mixing.op4_mix,
     "op5_exact_dedup": exactdup.op5_exact_dedup,
