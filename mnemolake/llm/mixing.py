@@ -45,31 +45,40 @@ def water_fill(sources: DataFrame, weights: tuple[float, ...], share: float, epo
     return out.select("source", "source_size", F.when(F.col("final").isNull() | (F.col("ratio") <= F.col("final")), F.col("cap")).otherwise(F.col("weight") * F.col("final")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
-    """How many words of each document the mix takes.
+def take(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
+    """docs with a column mixed: struct<size, source_size, target, draws, taken>, replacing one of that name.
 
     A source's target over its size is the number of passes over it: each document is taken whole as often
     as that has whole passes; the fraction goes to documents in the order of a seeded draw until the target
-    is met, the last one in part. Returns doc_id, source, size, source_size, target, draws, taken; with
-    `taken = size * whole passes + the part of the last pass`. Null texts have size 0; null sources form one
-    source, last by name; repeated rows are rows of their own; no rows give no rows. Extra columns are ignored.
+    is met, the last one in part: taken = size * whole passes + the part of the last pass, in words. Null texts have
+    size 0; null sources form one source, last by name; repeated rows are rows of their own; no rows give no rows.
+
+    Only sums per source and bucket, and the rows of each source's one bucket in which its last pass ends, are shuffled.
     """
-    base = docs.select("doc_id", "source", word_count(F.col("text")).alias("size")).withColumn("draws", draw(F.col("doc_id"), seed)).withColumn("bucket", (F.col("draws") % BUCKETS).cast("int"))
-    buckets = base.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
+    size, draws = word_count(F.col("text")), draw(F.col("doc_id"), seed)
+    bucket = (draws % BUCKETS).cast("int")
+    buckets = docs.select("source", bucket.alias("bucket"), size.alias("size")).groupBy("source", "bucket").agg(F.sum("size").alias("held"))
     targets = water_fill(buckets.groupBy("source").agg(F.sum("held").alias("source_size")), weights, share, epochs)
     # Where the last pass ends: whole passes, the words still to take, and the bucket in which they run out.
     plan = targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.round(F.col("target")) / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     plan = plan.withColumn("rest", F.round(F.col("target")).cast("long") - F.col("passes") * F.col("source_size"))
     run = buckets.withColumn("before", F.sum("held").over(Window.partitionBy("source").orderBy("bucket")) - F.col("held"))
     ends = run.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source"))).groupBy("source", "source_size", "target", "passes", "rest").agg(F.max(F.when(F.col("before") <= F.col("rest"), F.struct("bucket", "before"))).alias("end"))
-    ends = ends.select(F.col("source").alias("s"), "source_size", "target", "passes", "rest", F.col("end.bucket").alias("last_bucket"), F.col("end.before").alias("before"))
-    rows = base.join(ends, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    inside = Window.partitionBy("source").orderBy("draws", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    last = rows.filter(F.col("bucket") == F.col("last_bucket")).withColumn("room", F.col("rest") - F.col("before") - F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    last = last.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("room"))))
-    others = rows.filter(F.col("bucket") != F.col("last_bucket")).withColumn("extra", F.when(F.col("bucket") < F.col("last_bucket"), F.col("size")).otherwise(F.lit(0)))
-    keep = ["doc_id", "source", "size", "source_size", "target", "draws", (F.col("passes") * F.col("size") + F.col("extra")).cast("long").alias("taken")]
-    return others.select(*keep).unionByName(last.select(*keep))
+    ends = ends.select(F.col("source").alias("__s"), F.struct("source_size", "target", "passes", "rest", F.col("end.bucket").alias("bucket"), F.col("end.before").alias("before")).alias("__end"))
+    named = docs.withColumns({"__size": size, "__draws": draws, "__bucket": bucket})
+    rows = named.join(ends, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
+    inside = Window.partitionBy("source").orderBy("__draws", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.filter(F.col("__bucket") == F.col("__end.bucket")).withColumn("__room", F.col("__end.rest") - F.col("__end.before") - F.coalesce(F.sum("__size").over(inside), F.lit(0)))
+    last = last.withColumn("__extra", F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__room")))).drop("__room")
+    others = rows.filter(F.col("__bucket") != F.col("__end.bucket")).withColumn("__extra", F.when(F.col("__bucket") < F.col("__end.bucket"), F.col("__size")).otherwise(F.lit(0)))
+    taken = (F.col("__end.passes") * F.col("__size") + F.col("__extra")).cast("long")
+    mixed = F.struct(F.col("__size").alias("size"), "__end.source_size", "__end.target", F.col("__draws").alias("draws"), taken.alias("taken"))
+    return others.unionByName(last).withColumn("mixed", mixed).drop("__size", "__draws", "__bucket", "__end", "__extra")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, epochs: float = 2.0, seed: int = 17) -> DataFrame:
+    """`take` as a table: doc_id, source, size, source_size, target, draws, taken; other columns are ignored."""
+    return take(docs.select("doc_id", "source", "text"), weights, share, epochs, seed).select("doc_id", "source", "mixed.*")
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
