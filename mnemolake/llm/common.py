@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,23 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
+#: What goes to a Python worker at once, at most (one longer text goes alone).
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def small_batches(df: DataFrame) -> None:
+    """Bounds the Arrow batches of df's session, unless it sets a smaller bound itself.
+
+    The default bounds rows only, and ten thousand rows of text have no bound in bytes.
+    """
+    conf = df.sparkSession.conf
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = conf.get(key, None)
+        if now is None or not str(now).isdigit() or not 0 < int(now) <= most:
+            conf.set(key, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
@@ -64,8 +82,8 @@ BITMAP_BITS = 1 << 24
 def bitmap(keys: DataFrame, bits: int = BITMAP_BITS) -> bytes:
     """Bitmap of a long column `key` (already a uniform hash), or-ed per task, then over tasks.
 
-    Each task sends at most bits / 8 bytes, or 4 bytes for each distinct position where that is less;
-    tasks are first gathered by slice of the bitmap, so what reaches the driver is one bitmap.
+    Each task sends, slice by slice of the bitmap, the distinct positions it has (4 bytes each) or the slice's bits,
+    whichever is less; slices are merged on executors, so what reaches the driver is one bitmap.
     """
     slices = 64
     width = bits // slices
@@ -76,18 +94,22 @@ def bitmap(keys: DataFrame, bits: int = BITMAP_BITS) -> bytes:
             out[b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(bits)] = True
         for s in range(slices):
             part = out[s * width : (s + 1) * width]
-            if part.any():
-                yield pa.record_batch([pa.array([s], pa.int32()), pa.array([np.packbits(part).tobytes()], pa.binary())], ["slice", "part"])
-
-    def merge(key, frame):
-        acc = np.zeros(width // 8, dtype=np.uint8)
-        for p in frame["part"]:
-            acc |= np.frombuffer(p, dtype=np.uint8)
-        import pandas as pd
-
-        return pd.DataFrame({"slice": [key[0]], "part": [acc.tobytes()]})
-
-    parts = keys.mapInArrow(build, "slice int, part binary").groupBy("slice").applyInPandas(merge, "slice int, part binary").collect()
+            held = np.flatnonzero(part)
+            if len(held):
+                dense = 4 * len(held) > width // 8
+                sent = np.packbits(part) if dense else held.astype("<u4")
+                yield pa.record_batch([pa.array([s], pa.int32()), pa.array([dense]), pa.array([sent.tobytes()], pa.binary())], ["slice", "dense", "part"])
+
+    def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        acc = np.zeros(width, dtype=bool)
+        for dense, part in zip(frame["dense"], frame["part"], strict=True):
+            if dense:
+                acc |= np.unpackbits(np.frombuffer(part, np.uint8)).view(bool)
+            else:
+                acc[np.frombuffer(part, "<u4")] = True
+        return pd.DataFrame({"slice": [key[0]], "part": [np.packbits(acc).tobytes()]})
+
+    parts = keys.mapInArrow(build, "slice int, dense boolean, part binary").groupBy("slice").applyInPandas(merge, "slice int, part binary").collect()
     out = np.zeros(bits // 8, dtype=np.uint8)
     for r in parts:
         out[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] = np.frombuffer(r["part"], dtype=np.uint8)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import bit_test, bitmap, documents, materialize, mix, utf8
+from mnemolake.llm.common import bit_test, bitmap, documents, materialize, mix, small_batches, utf8
 
 #: A boundary follows a line if the rolling hash of it and the line before is a multiple of this.
 MEAN_LINES = 3
@@ -87,9 +87,13 @@ def removals(docs: DataFrame) -> DataFrame:
     cols = ["doc_id", "text_hash", "first", "lines"]
     # One body per hash: its bytes were compared above, so members are found by hash alone; others by bytes again.
     same = found.drop("body").join(by_key.filter("bodies = 1"), "key").filter(place != F.col("stays"))
-    clash = found.join(by_key.filter("bodies > 1").select("key"), "key", "left_semi")
-    clashed = clash.join(clash.groupBy("key", "body").agg(F.min(place).alias("stays")), ["key", "body"]).filter(place != F.col("stays"))
-    return same.select(*cols).unionByName(clashed.select(*cols)).distinct()
+    out = same.select(*cols)
+    clashes = by_key.filter("bodies > 1").select("key")
+    if not clashes.isEmpty():
+        clash = found.join(clashes, "key", "left_semi")
+        clashed = clash.join(clash.groupBy("key", "body").agg(F.min(place).alias("stays")), ["key", "body"]).filter(place != F.col("stays"))
+        out = out.unionByName(clashed.select(*cols))
+    return out.distinct()
 
 
 def strip(docs: DataFrame) -> DataFrame:
@@ -99,6 +103,7 @@ def strip(docs: DataFrame) -> DataFrame:
     repeat doc_id and text are one document, so a passage is not removed for being in both, and each gets a row.
     A text all of whose lines go becomes empty. Only documents that lose lines are shuffled (by a bitmap of fixed size).
     """
+    small_batches(docs)
     gone = materialize(removals(docs), "line-removals")
     per_document = gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "lines"))).alias("removed"))
     name = F.xxhash64("doc_id", "text_hash")
@@ -123,7 +128,8 @@ def strip(docs: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<first:int,lines:int>>")
     whole = rows.filter("NOT maybe").select("doc_id", "n_lines", none.alias("removed"), text.alias("text"))
     there = per_document.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"), "removed")
-    suspects = rows.filter("maybe").join(there, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
+    # The lists grow with the input, so the join is not left to be a broadcast on small ones.
+    suspects = rows.filter("maybe").join(there.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     suspects = suspects.withColumn("removed", F.coalesce("removed", none))
     return whole.unionByName(suspects.select("doc_id", "n_lines", "removed", cut(text, F.col("removed")).alias("text")))
 
