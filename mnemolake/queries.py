@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from mnemolake.plans import q_rank, q_reads  # noqa: F401  registers them
+from mnemolake.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
