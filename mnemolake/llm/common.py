@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -50,6 +52,23 @@ def small_batches(df: DataFrame) -> None:
             conf.set(key, str(most))
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` over batches, giving freed memory back to the system at its end.
+
+    Python workers stay for later tasks, and allocators keep what a task has freed: idle workers would hold it.
+    """
+
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+    return wrapped
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
@@ -109,7 +128,7 @@ def bitmap(keys: DataFrame, bits: int = BITMAP_BITS) -> bytes:
                 acc[np.frombuffer(part, "<u4")] = True
         return pd.DataFrame({"slice": [key[0]], "part": [np.packbits(acc).tobytes()]})
 
-    parts = keys.mapInArrow(build, "slice int, dense boolean, part binary").groupBy("slice").applyInPandas(merge, "slice int, part binary").collect()
+    parts = keys.mapInArrow(released(build), "slice int, dense boolean, part binary").groupBy("slice").applyInPandas(merge, "slice int, part binary").collect()
     out = np.zeros(bits // 8, dtype=np.uint8)
     for r in parts:
         out[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] = np.frombuffer(r["part"], dtype=np.uint8)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import ascii_lower, bit_test, bitmap, documents, materialize, utf8
+from mnemolake.llm.common import ascii_lower, bit_test, bitmap, documents, materialize, released, small_batches, utf8
 
 
 class CountingQuotientFilter:
@@ -100,7 +100,7 @@ def filter_segments(docs: DataFrame, segments: int) -> DataFrame:
             q = CountingQuotientFilter(fp[a:b] << np.uint64(bits), n[a:b], qbits=max(1, min(12, int(b - a).bit_length())))
             yield pa.record_batch([pa.array([int(seg[a])], pa.int64()), pa.array([q.dumps()], pa.binary())], ["segment", "filter"])
 
-    return docs.select("text").mapInArrow(build, "segment long, filter binary")
+    return docs.select("text").mapInArrow(released(build), "segment long, filter binary")
 
 
 def repeated_fingerprints(docs: DataFrame, segments: int | None = None) -> DataFrame:
@@ -128,6 +128,7 @@ def classify(docs: DataFrame) -> DataFrame:
     a bitmap of fixed size; rows that miss it are unique and never move. The others are grouped by digest and
     whole text, so equality is decided by bytes; copies meet in map-side partial groups first.
     """
+    small_batches(docs)
     flagged = docs.sparkSession.sparkContext.broadcast(bitmap(repeated_fingerprints(docs)))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,18 +138,21 @@ def classify(docs: DataFrame) -> DataFrame:
             hit = bit_test(packed, fp)
             yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(shas, pa.binary()), pa.array([t if h else None for t, h in zip(texts, hit, strict=True)], pa.binary())], ["doc_id", "sha", "body"])
 
-    rows = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(route, "doc_id long, sha binary, body binary"), "exact-routed")
+    rows = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(route), "doc_id long, sha binary, body binary"), "exact-routed")
     alone = rows.filter("body IS NULL").select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     suspects = rows.filter("body IS NOT NULL")
     groups = suspects.groupBy("sha", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     shas = materialize(groups.groupBy("sha").agg(F.count("*").alias("bodies"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")), "exact-groups")
     # One body per digest: its bytes were compared above, so members are found by digest alone.
     same = suspects.select("doc_id", "sha").join(shas.filter("bodies = 1").drop("bodies"), "sha")
-    # Different texts under one digest are told apart by their bytes again.
-    clash = suspects.join(shas.filter("bodies > 1").select("sha"), "sha", "left_semi")
-    clashed = clash.join(clash.groupBy("sha", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), ["sha", "body"])
     cols = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")]
-    return alone.select(*cols).unionByName(same.select(*cols)).unionByName(clashed.select(*cols))
+    out = alone.select(*cols).unionByName(same.select(*cols))
+    clashes = shas.filter("bodies > 1").select("sha")
+    if not clashes.isEmpty():  # different texts under one digest are told apart by their bytes again
+        clash = suspects.join(clashes, "sha", "left_semi")
+        clashed = clash.join(clash.groupBy("sha", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), ["sha", "body"])
+        out = out.unionByName(clashed.select(*cols))
+    return out
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import documents, in_chunks, in_fold, mix, utf8, word_hashes
+from mnemolake.llm.common import documents, in_chunks, in_fold, mix, released, small_batches, utf8, word_hashes
 
 #: Longest context, in bytes. Contexts start anew at each word: ' ' + word + ' ' is coded from its second byte on.
 ORDER = 4
@@ -211,7 +211,7 @@ def learn(docs: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Model:
                     held[key] = held.get(key, 0) + 1
         yield pa.record_batch([pa.array([k[0] for k in held], pa.string()), pa.array([k[1] for k in held], pa.binary()), pa.array(list(held.values()), pa.int64())], ["lang", "word", "n"])
 
-    counted = known.filter(rank < bound).select("lang", "text").mapInArrow(count, "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    counted = known.filter(rank < bound).select("lang", "text").mapInArrow(released(count), "lang string, word binary, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     lang, word, n = counted.column("lang").to_pylist(), counted.column("word").to_pylist(), counted.column("n").to_numpy()
     by: dict[str, list[int]] = {x: [] for x in languages}
     for k, x in enumerate(lang):
@@ -228,11 +228,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     nothing to compare with. Repeated rows get equal results. Only doc text goes to Python; columns named like the
     results are replaced.
     """
+    small_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     coder: list[Coder] = []
 
-    @F.pandas_udf("struct<lang string, score double>")
-    def code(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def each(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = sent.value
         if not coder:
             coder.append(Coder(model))
@@ -245,8 +245,13 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             gap = np.minimum(bits - bits.min(axis=1, keepdims=True), 1000.0)
             yield pd.DataFrame({"lang": np.array(model.languages, dtype=object)[best], "score": 1.0 / np.exp2(-gap).sum(axis=1)})
 
+    @F.pandas_udf("struct<lang string, score double>")
+    def code(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        yield from released(each)(parts)
+
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    got = docs.withColumn("__coded", code(F.col("text")))
+    # Not deterministic to the optimizer: it would else evaluate the coder once for each use of its result.
+    got = docs.withColumn("__coded", code.asNondeterministic()(F.col("text")))
     return got.withColumns({"lang_pred": F.when(letters, F.col("__coded.lang")).otherwise(F.lit("und")), "lang_score": F.when(letters, F.col("__coded.score")).otherwise(F.lit(0.0))}).drop("__coded")
 
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import bit_test, bitmap, documents, materialize, mix, small_batches, utf8
+from mnemolake.llm.common import bit_test, bitmap, documents, materialize, mix, released, small_batches, utf8
 
 #: A boundary follows a line if the rolling hash of it and the line before is a multiple of this.
 MEAN_LINES = 3
@@ -67,7 +67,7 @@ def removals(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.record_batch([pa.array([_key(body) for t in utf8(b.column(0)) for _, _, body in compared(t.split(b"\n"))], pa.int64())], ["key"])
 
-    repeated = docs.select("text").mapInArrow(keys, "key long").groupBy("key").count().filter("count > 1").select("key")
+    repeated = docs.select("text").mapInArrow(released(keys), "key long").groupBy("key").count().filter("count > 1").select("key")
     flagged = docs.sparkSession.sparkContext.broadcast(bitmap(repeated))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +80,7 @@ def removals(docs: DataFrame) -> DataFrame:
             rows = [r for r, x in zip(rows, hit, strict=True) if x]
             yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    found = materialize(_listed(docs).mapInArrow(route, "doc_id long, text_hash long, first int, lines int, key long, body binary"), "line-chunks")
+    found = materialize(_listed(docs).mapInArrow(released(route), "doc_id long, text_hash long, first int, lines int, key long, body binary"), "line-chunks")
     place = F.struct("doc_id", "text_hash", "first")
     bodies = found.groupBy("key", "body").agg(F.count("*").alias("n"), F.min(place).alias("stays"))
     by_key = materialize(bodies.groupBy("key").agg(F.count("*").alias("bodies"), F.max("n").alias("n"), F.min("stays").alias("stays")).filter("n > 1"), "line-keys")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import documents
+from mnemolake.llm.common import documents, materialize
 
 #: Hash buckets of a source: only the one bucket in which its share ends is ordered row by row.
 BUCKETS = 4096
+#: Sources up to which the plan (one row each, about 100 bytes) goes to every task.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -65,6 +67,9 @@ def take(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     run = buckets.withColumn("before", F.sum("held").over(Window.partitionBy("source").orderBy("bucket")) - F.col("held"))
     ends = run.withColumnRenamed("source", "s").join(plan, F.col("s").eqNullSafe(F.col("source"))).groupBy("source", "source_size", "target", "passes", "rest").agg(F.max(F.when(F.col("before") <= F.col("rest"), F.struct("bucket", "before"))).alias("end"))
     ends = ends.select(F.col("source").alias("__s"), F.struct("source_size", "target", "passes", "rest", F.col("end.bucket").alias("bucket"), F.col("end.before").alias("before")).alias("__end"))
+    ends = materialize(ends, "mix-plan")
+    if ends.count() <= BROADCAST_SOURCES:  # else the rows are shuffled by source, hot ones split by the join
+        ends = F.broadcast(ends)
     named = docs.withColumns({"__size": size, "__draws": draws, "__bucket": bucket})
     rows = named.join(ends, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     inside = Window.partitionBy("source").orderBy("__draws", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import documents, in_chunks, mix, word_hashes
+from mnemolake.llm.common import documents, in_chunks, mix, small_batches, word_hashes
 
 #: Buckets of hashed features.
 BUCKETS = 1 << 16
@@ -212,6 +212,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Columns so named are replaced. Null and empty texts count as empty texts; only the text is looked at, so repeated
     rows score alike; no rows give no rows.
     """
+    small_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<quality double, label double, votes string>")
@@ -227,7 +228,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 z[first : first + len(part)] += np.bincount(rows, vals * weights[cols], minlength=len(part))
             yield pd.DataFrame({"quality": 1 / (1 + np.exp(-np.clip(z, -500, 500))), "label": labels.posterior(v), "votes": ["".join("-0+"[x + 1] for x in row) for row in v]})
 
-    got = docs.withColumn("__rated", rate("text"))
+    got = docs.withColumn("__rated", rate.asNondeterministic()("text"))  # evaluated once, whatever uses it
     return got.withColumns({"quality": F.col("__rated.quality"), "quality_label": F.col("__rated.label"), "quality_votes": F.col("__rated.votes")}).drop("__rated")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import table
+from mnemolake.llm.common import released, table
 
 #: Widths of the score histograms' bins, from coarse to single scores.
 WIDTHS = (1 << 12, 1 << 6, 1)
@@ -88,7 +88,7 @@ def _block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) ->
             keep = keys[:, 1] * width >= least[keys[:, 0]]
             yield pa.record_batch([pa.array(keys[keep, 0]), pa.array(keys[keep, 1]), pa.array(counts[keep])], ["q", "bin", "n"])
 
-        bins = vectors.mapInArrow(histogram, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        bins = vectors.mapInArrow(released(histogram), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
         above = bins.withColumn("above", F.sum("n").over(Window.partitionBy("q").orderBy(F.desc("bin"))))
         # The highest bin that the k best reach down to; with fewer candidates than k, the lowest there is.
         found = above.groupBy("q").agg(F.coalesce(F.max(F.when(F.col("above") >= k, F.col("bin"))), F.min("bin")).alias("bin"))
@@ -112,7 +112,7 @@ def _block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) ->
                 tied = tied[np.arange(len(tied)) - first < k]
         yield pa.record_batch([pa.array(tied[:, 0]), pa.array(tied[:, 1]), pa.array(kth.value[tied[:, 0]])], ["q", "id", "score"])
 
-    return vectors.mapInArrow(pick, "q long, id long, score long")
+    return vectors.mapInArrow(released(pick), "q long, id long, score long")
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import documents, in_chunks, in_fold, table
+from mnemolake.llm.common import documents, in_chunks, in_fold, small_batches, table
 
 #: Subsequences have four letters within six; each letter skipped costs a factor of DECAY.
 LENGTH, WINDOW, DECAY = 4, 6, 0.5
@@ -278,6 +278,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     A text scores as its most toxic sentence; null and empty texts and texts without letters score as an empty
     one does. Only the text is looked at, so repeated rows score alike.
     """
+    small_batches(docs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     dense: list[np.ndarray] = []
 
@@ -291,7 +292,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             f = margins([t.encode() if isinstance(t, str) else b"" for t in texts], dense[0], m.bias)
             yield pd.Series(1 / (1 + np.exp(-np.clip(m.slope * f + m.offset, -500, 500))))
 
-    return docs.withColumn("toxicity", rate(F.col("text")))
+    return docs.withColumn("toxicity", rate.asNondeterministic()(F.col("text")))  # evaluated once, whatever uses it
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
