@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import bit_test, bitmap, documents, in_chunks, materialize, mix, utf8, word_hashes
+from mnemolake.llm.common import bit_test, bitmap, documents, in_chunks, materialize, mix, released, small_batches, utf8, word_hashes
 
 WORDS = 5
 #: Similarity of a link, as a fraction: at least 4/5 of the union of both shingle sets is shared.
@@ -174,6 +174,29 @@ def _near_in_size(a: str, b: str):
     return (F.col(a) * den >= F.col(b) * num) & (F.col(b) * den >= F.col(a) * num)
 
 
+def prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (nid, label) of different labels that may be similar: no similar pair is missing.
+
+    Sets at least p similar share at least p of either; so, with all shingles in one order, they share one among the
+    first n - ceil(p n) + 1 of each. The order is by how many nodes have a shingle, the rarest first: shingles of one
+    node only fill the places of texts that nothing is near, and those of one component only lead to no pair.
+    """
+    num, den = SIMILAR
+    held = nodes.join(sets, "nid").select("nid", "label", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    held = materialize(held, "near-shingles")
+    spread = held.groupBy("shingle").agg(F.count("*").alias("df"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    ranked = held.join(spread, "shingle").groupBy("nid", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", (F.col("lo") != F.col("hi")).alias("crosses")))).alias("all"))  # one document's own
+    first = F.slice("all", F.lit(1), F.col("n") - F.ceil(F.col("n") * num / den).cast("int") + 1)
+    placed = F.filter(F.transform(first, lambda x, i: F.struct(x["shingle"].alias("shingle"), i.alias("at"), x["crosses"].alias("crosses"))), lambda x: x["crosses"])
+    prefix = materialize(ranked.select("nid", "label", "n", F.explode(placed).alias("p")).select("nid", "label", "n", "p.shingle", "p.at"), "near-prefix")
+    x, y = (prefix.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in ("nid", "n", "label", "at")]) for s in "xy")
+    # What both can still share from their first common shingle on must make them similar.
+    rest = F.least(F.col("x_n") - F.col("x_at"), F.col("y_n") - F.col("y_at"))
+    enough = rest * (num + den) >= (F.col("x_n") + F.col("y_n")) * num
+    pairs = x.join(y, "shingle").filter((F.col("x_label") < F.col("y_label")) & _near_in_size("x_n", "y_n") & enough)
+    return pairs.select(F.col("x_nid").alias("a"), F.col("y_nid").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(nid, label) of all nodes of the edges (a, b); the label is the component's smallest node.
 
@@ -201,30 +224,36 @@ def classify(docs: DataFrame) -> DataFrame:
     No rows give no rows; other columns are ignored.
 
     Nodes that share a band are candidates. In each band's bucket all members are compared with one of them, so
-    copies of one text cost one comparison each. Buckets whose members still lie in different components are then
-    compared across components, which completes them: no candidate pair is left out.
+    copies of one text cost one comparison each. Members of buckets that still hold different components are then
+    joined on rare shingles of theirs, which misses no similar pair: no candidate pair is left out.
     """
+    small_batches(docs)
     listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = materialize(listed.mapInArrow(_sketch, "doc_id long, text_hash long, n int, k1 long, k2 long, bands array<long>"), "near-rows")
+    rows = materialize(listed.mapInArrow(released(_sketch), "doc_id long, text_hash long, n int, k1 long, k2 long, bands array<long>"), "near-rows")
     grouped = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
     nodes = materialize(grouped.withColumn("nid", F.monotonically_increasing_id()), "near-nodes")
     banded = nodes.select("nid", "n", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("nid").alias("a"), F.count("*").alias("members")).filter("members > 1")
-    member = materialize(banded.join(buckets, "band").select("band", "nid", "n", "a"), "near-members")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
+    shared = banded.join(buckets, "band")
+    # A node's weight is how many it shares bands with. In a group of copies of one text, that text has the most: it is
+    # near all of them, while two copies may be too far apart to be linked.
+    weight = shared.groupBy("nid").agg(F.sum("members").alias("weight"))
+    weighed = materialize(shared.drop("members").join(weight, "nid"), "near-weighed")
+    heads = weighed.groupBy("band").agg(F.max(F.struct("weight", "nid")).alias("head")).select("band", F.col("head.nid").alias("a"))
+    member = materialize(weighed.join(heads, "band").select("band", "nid", "n", "weight", "a"), "near-members")
     sized = nodes.select(F.col("nid").alias("a"), F.col("n").alias("a_n"))
     led = member.filter("nid <> a").select("a", F.col("nid").alias("b"), "n").distinct().join(sized, "a").filter(_near_in_size("n", "a_n")).select("a", "b")
     wanted = member.select("nid").distinct().join(nodes.select("nid", "k1", "first_id"), "nid").select(F.pandas_udf(_row_key, "long")("k1", "first_id").alias("key"))
-    held = listed.select("doc_id", "text").mapInArrow(_sets(bitmap(wanted)), "k1 long, k2 long, shingles array<long>")
+    held = listed.select("doc_id", "text").mapInArrow(released(_sets(bitmap(wanted))), "k1 long, k2 long, shingles array<long>")
     sets = materialize(held.join(nodes.select("k1", "k2", "nid"), ["k1", "k2"]).groupBy("nid").agg(F.any_value("shingles").alias("shingles")), "near-sets")
     links = materialize(_similar(led, sets), "near-links")
     labels = components(links)
-    # Buckets that hold more than one component: pairs across these, save those with the bucket's first member.
+
+    # Buckets that hold more than one component: their nodes are compared across components.
     known = member.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-    open_ = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    mixed = materialize(known.filter("nid <> a").join(open_, "band", "left_semi").select("band", "nid", "n", "label"), "near-mixed")
-    x, y = (mixed.select("band", *[F.col(c).alias(f"{s}_{c}") for c in ("nid", "n", "label")]) for s in "xy")
-    across = x.join(y, "band").filter((F.col("x_label") < F.col("y_label")) & _near_in_size("x_n", "y_n")).select(F.col("x_nid").alias("a"), F.col("y_nid").alias("b")).distinct()
-    more = materialize(_similar(across, sets), "near-links")
+    several = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
+    apart = materialize(known.join(several, "band", "left_semi").select("nid", "label").distinct(), "near-apart")
+    more = materialize(_similar(prefix_pairs(apart, sets), sets), "near-links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     named = nodes.select("k1", "k2", "nid").join(labels, "nid", "left").select("k1", "k2", F.coalesce("label", "nid").alias("label"))
