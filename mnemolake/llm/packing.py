@@ -6,6 +6,7 @@ import base64
 import re
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,17 +14,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import documents
+from mnemolake.llm.common import documents, released, small_batches
 
 #: Characters that both tokenizer libraries class alike in every Unicode version; other texts take the slower one.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧]")
 
 
+@lru_cache(maxsize=1)
 def encoder(path: str, ranks: str | None, pattern: str | None) -> Callable[[str], np.ndarray]:
     """Text to token ids of the tokenizer file at `path`.
 
     With `ranks` (the same vocabulary as merge ranks) plain Latin text takes the byte-pair library that reads
-    these, about five times as fast with equal ids; all else takes the tokenizer file itself.
+    these, about five times as fast with equal ids; all else takes the tokenizer file itself. A worker keeps what it
+    has loaded.
     """
     from tokenizers import Tokenizer
 
@@ -153,7 +156,8 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
                 yield flush()
         yield flush()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    small_batches(docs)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:
