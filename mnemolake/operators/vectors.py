@@ -154,8 +154,9 @@ def cluster(episodes: DataFrame, by: Sequence[str], similarity: float = 0.78, mi
         keep = count[label] >= min_size
         return pd.DataFrame({"id": ids[keep], "cluster": ids[label[keep]]})
 
+    kind = dict(episodes.dtypes)["id"]
     parts = episodes.join(sizes, list(by)).withColumn("__part", pattern("embedding", "__n"))
-    return parts.groupBy(*by, "__part").applyInPandas(work, "id long, cluster long")
+    return parts.groupBy(*by, "__part").applyInPandas(work, f"id {kind}, cluster {kind}")
 
 
 def cluster_confidence(members: DataFrame, coherence_weight: float = 0.6, surprise_weight: float = 0.4) -> DataFrame:
@@ -190,6 +191,8 @@ def greedy_dedup(batch: DataFrame, by: Sequence[str], order: str = "id", at_leas
             else:
                 kept.append((i, x))
                 rows.append((i, None))
-        return pd.DataFrame(rows, columns=["id", "duplicate_of"]).astype({"duplicate_of": "Int64"})
+        out = pd.DataFrame(rows, columns=["id", "duplicate_of"])
+        return out if kind == "string" else out.astype({"duplicate_of": "Int64"})
 
-    return batch.groupBy(*by).applyInPandas(work, "id long, duplicate_of long")
+    kind = dict(batch.dtypes)["id"]
+    return batch.groupBy(*by).applyInPandas(work, f"id {kind}, duplicate_of {kind}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from mnemolake.config import DEFAULTS
 from mnemolake.operators import consolidate, keyword, lifecycle, reads, recall, temporal, trust, vectors
 from mnemolake.plans.q_reads import ASSEMBLED_SQL, AS_OF, NOW, _evidence, secs
 from mnemolake.registry import query
@@ -389,7 +390,7 @@ def _(e):
 @query("co01_consolidation")
 def _(e):
     notes = e.episodes.withColumn("content_type", F.lit("preference")).withColumn("content", F.concat(F.lit("Preference: k"), (F.col("id") % 7).cast("string"), F.lit(" = v")))
-    return consolidate.consolidate(notes, e.vectors, ["project_slug"], "2024-03-01")["claims"].select("id", "claim_type", "canonical_text")
+    return consolidate.consolidate(notes, e.vectors, ["project_slug"], "2024-03-01", config=DEFAULTS.override(cluster_similarity=0.3))["claims"].select("id", "claim_type", "canonical_text")
 
 
 @query("jn20_greedy_dedup")

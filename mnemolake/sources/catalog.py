@@ -24,7 +24,7 @@ _SCOPE = dict.fromkeys(FIELDS, _S)
 SCHEMAS: dict[str, T.StructType] = {
     "episodes": _struct(id=_S, created_at=_T, updated_at=_T, content=_S, content_type=_S, tags=_A, surprise_score=_D, indexed=_B, access_count=_I, source_session=_S, consolidated=_I, consolidated_at=_T, consolidated_to=_S, deleted=_B, consolidation_attempts=_I, last_consolidation_attempt=_T, protected=_B, **_SCOPE),
     "episode_anchors": _struct(id=_S, episode_id=_S, anchor_type=_S, anchor_value=_S, created_at=_T),
-    "vectors": _struct(id=_S, embedding=T.ArrayType(T.FloatType(), False), tombstoned=_B),
+    "vectors": _struct(id=_S, embedding=T.ArrayType(T.FloatType()), tombstoned=_B),
     "knowledge_topics": _struct(id=_S, filename=_S, storage_filename=_S, title=_S, summary=_S, created_at=_T, updated_at=_T, source_episodes=_A, fact_count=_I, access_count=_I, confidence=_D, **_SCOPE),
     "topic_versions": _struct(topic_id=_S, superseded_at=_T, title=_S, summary=_S, content=_S),
     "knowledge_records": _struct(id=_S, topic_id=_S, record_type=_S, content=_M, embedding_text=_S, source_episodes=_A, confidence=_D, created_at=_T, updated_at=_T, access_count=_I, deleted=_B, valid_from=_T, valid_until=_T, **_SCOPE),
@@ -44,7 +44,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "consolidation_metrics": _struct(run_id=_S, timestamp=_T, clusters_succeeded=_I, clusters_failed=_I, avg_confidence=_D, fast_path_hits=_I, llm_fallbacks=_I),
     "access_log": _struct(kind=_S, id=_S, at=_T),
 }
-_EMPTY = {"surprise_score": F.lit(0.5), "indexed": F.lit(True), "deleted": F.lit(False), "protected": F.lit(False), "consolidated": F.lit(0), "consolidation_attempts": F.lit(0), "access_count": F.lit(0), "confidence": F.lit(0.8), "precision_": F.lit(1.0), "tombstoned": F.lit(False)}
+_EMPTY = {"surprise_score": 0.5, "indexed": True, "deleted": False, "protected": False, "consolidated": 0, "consolidation_attempts": 0, "access_count": 0, "confidence": 0.8, "precision_": 1.0, "tombstoned": False}
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
@@ -52,7 +52,7 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     have = set(df.columns)
     cols = []
     for f in SCHEMAS[table]:
-        default = _EMPTY.get(f.name, F.lit(DEFAULTS.get(f.name)))
+        default = F.lit(_EMPTY.get(f.name, DEFAULTS.get(f.name)))
         value = F.coalesce(F.col(f.name), default) if f.name in have and (f.name in _EMPTY or f.name in DEFAULTS) else F.col(f.name) if f.name in have else default
         cols.append(value.cast(f.dataType).alias(f.name))
     return df.select(*cols)
