@@ -119,3 +119,32 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), "score",
     )
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in r) + ")" for r in rows)
+
+
+_PHRASES = sorted({*BASE_PHRASES, *(k for _, _, keys in TEMPLATES for k in keys)})
+OP9_SQL = rf"""
+WITH posting(w, template, pos) AS (VALUES {_values(POSTINGS)}),
+template(template, label, size) AS (VALUES {_values([(k, label, min(RARE, sum(p.template == k for p in POSTINGS))) for k, (label, _, _) in enumerate(TEMPLATES)])}),
+phrase(phrase, k, w, n) AS (VALUES {_values([(x, k, w, len(x.split())) for x in _PHRASES for k, w in enumerate(x.split())])}),
+base(phrase, label) AS (VALUES {_values(list(BASE_PHRASES.items()))}),
+needed(template, phrase) AS (VALUES {_values([(k, x) for k, (_, _, keys) in enumerate(TEMPLATES) for x in keys])}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS words FROM documents),
+u AS (SELECT r, unnest(words) AS w, generate_subscripts(words, 1) - 1 AS p FROM d),
+h AS (SELECT * FROM u WHERE w IN (SELECT w FROM posting)),
+df AS (SELECT w, count(DISTINCT r) AS df FROM h GROUP BY w),
+rare AS (SELECT r, w FROM (SELECT r, w, row_number() OVER (PARTITION BY r ORDER BY df, w) AS k FROM (SELECT DISTINCT r, w FROM h) JOIN df USING (w)) WHERE k <= {RARE}),
+aligned AS (SELECT r, template, count(*) AS agree FROM h JOIN rare USING (r, w) JOIN posting USING (w) GROUP BY r, template, p - pos HAVING count(*) >= {AGREEING}),
+place AS (SELECT r, phrase, p - k AS start FROM h JOIN phrase USING (w) GROUP BY r, phrase, p - k HAVING count(*) = max(n)),
+unmet AS (SELECT DISTINCT a.r, n.template FROM (SELECT DISTINCT r, template FROM aligned) a JOIN needed n USING (template) WHERE NOT EXISTS (SELECT 1 FROM place WHERE place.r = a.r AND place.phrase = n.phrase)),
+passage AS (SELECT a.r, t.label, max(least(1.0::DOUBLE, CAST(agree AS DOUBLE) / size)) AS share FROM aligned a JOIN template t USING (template) WHERE NOT EXISTS (SELECT 1 FROM unmet WHERE unmet.r = a.r AND unmet.template = a.template) GROUP BY a.r, t.label),
+b AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_sort(list_distinct(list(label))) AS labels FROM place JOIN base USING (phrase) GROUP BY r),
+m AS (SELECT r, list(label) AS labels, max(share) AS share FROM passage GROUP BY r)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(array_to_string(b.labels, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ','), '') AS labels,
+       greatest(coalesce(m.share, 0.0::DOUBLE), CASE WHEN b.r IS NULL THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END) AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN m USING (r)
+"""

@@ -20,4 +20,5 @@ ORACLES = {
     "op4_mix": mixing.OP4_SQL,
     "op5_exact_dedup": exactdup.OP5_SQL,
     "op8_top_k": topk.OP8_SQL,
+    "op9_licenses": licenses.OP9_SQL,
 }
