@@ -399,7 +399,7 @@ def _(e):
     return e.records.filter("NOT deleted").groupBy("topic_id").pivot("record_type", ["fact", "solution", "preference", "procedure", "strategy"]).count().fillna(0)
 
 
-@query("ag16_top_tags", "WITH t AS (SELECT project_slug, unnest(tags) AS tag FROM episodes), n AS (SELECT project_slug, tag, count(*) AS n, row_number() OVER (PARTITION BY project_slug ORDER BY count(*) DESC, tag) AS rank FROM t GROUP BY 1, 2) SELECT * FROM n WHERE rank <= 5")
+@query("ag16_top_tags", "WITH t AS (SELECT project_slug, unnest(tags) AS tag FROM episodes), n AS (SELECT project_slug, tag, count(*) AS n, CAST(row_number() OVER (PARTITION BY project_slug ORDER BY count(*) DESC, tag) AS INTEGER) AS rank FROM t GROUP BY 1, 2) SELECT * FROM n WHERE rank <= 5")
 def _(e):
     from pyspark.sql import Window
 
@@ -436,7 +436,7 @@ def _(e):
     return e.runs.agg(F.max_by(F.struct("id", "status"), "started_at").alias("r")).select("r.*")
 
 
-@query("wn03_cluster_truncation", "SELECT project_slug, id, n FROM (SELECT project_slug, id, row_number() OVER (PARTITION BY project_slug ORDER BY surprise_score DESC, id) AS n FROM episodes) WHERE n <= 20")
+@query("wn03_cluster_truncation", "SELECT project_slug, id, n FROM (SELECT project_slug, id, CAST(row_number() OVER (PARTITION BY project_slug ORDER BY surprise_score DESC, id) AS INTEGER) AS n FROM episodes) WHERE n <= 20")
 def _(e):
     from pyspark.sql import Window
 
