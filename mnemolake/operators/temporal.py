@@ -53,8 +53,9 @@ def next_change(records: DataFrame, now: str) -> DataFrame:
 
 
 def age_days(then: Column, now: str | Column) -> Column:
-    """Days from then to now, not below zero."""
-    return F.greatest(F.lit(0.0), (F.unix_micros(instant(now).cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 86_400_000_000)
+    """Days from then to now, not below zero; null where a time is missing."""
+    days = (F.unix_micros(instant(now).cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 86_400_000_000
+    return F.when(days.isNotNull(), F.greatest(F.lit(0.0), days))
 
 
 def recency(then: Column, now: str | Column, half_life: float = 90.0) -> Column:
