@@ -36,7 +36,7 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 #: What goes to a Python worker at once, at most (one longer text goes alone).
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def small_batches(df: DataFrame) -> None:
@@ -85,10 +85,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and rereads it: cuts lineage, survives lost executors."""
+    """Writes df to the shared folder and rereads it: cuts lineage, survives lost executors. The table goes with the driver."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -171,7 +173,7 @@ _POW = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _POW[0].size < n:
         for k, base in enumerate((_BASE, _IBASE)):
-            p = np.full(max(n, 1 << 20), np.uint64(base))
+            p = np.full(max(n, 1 << 19), np.uint64(base))
             p[0] = 1
             _POW[k] = np.multiply.accumulate(p)
     return _POW[0][:n], _POW[1][:n]
@@ -195,7 +197,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(begin, start, side="right") - 1
 
 
-def in_chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def in_chunks(texts: list[bytes], most: int = 1 << 19) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive slices of about `most` bytes, so that work arrays stay small; a longer text stands alone."""
     at, held, first = 0, 0, 0
     for at, t in enumerate(texts):

@@ -129,7 +129,9 @@ def classify(docs: DataFrame) -> DataFrame:
     whole text, so equality is decided by bytes; copies meet in map-side partial groups first.
     """
     small_batches(docs)
-    flagged = docs.sparkSession.sparkContext.broadcast(bitmap(repeated_fingerprints(docs)))
+    # Written first: two Python operators in one stage would keep two workers per task alive from then on.
+    repeated = materialize(repeated_fingerprints(docs), "exact-fingerprints")
+    flagged = docs.sparkSession.sparkContext.broadcast(bitmap(repeated))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = np.frombuffer(flagged.value, np.uint8)

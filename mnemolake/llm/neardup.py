@@ -244,6 +244,7 @@ def classify(docs: DataFrame) -> DataFrame:
     sized = nodes.select(F.col("nid").alias("a"), F.col("n").alias("a_n"))
     led = member.filter("nid <> a").select("a", F.col("nid").alias("b"), "n").distinct().join(sized, "a").filter(_near_in_size("n", "a_n")).select("a", "b")
     wanted = member.select("nid").distinct().join(nodes.select("nid", "k1", "first_id"), "nid").select(F.pandas_udf(_row_key, "long")("k1", "first_id").alias("key"))
+    wanted = materialize(wanted, "near-wanted")  # so that no stage runs two Python workers per task
     held = listed.select("doc_id", "text").mapInArrow(released(_sets(bitmap(wanted))), "k1 long, k2 long, shingles array<long>")
     sets = materialize(held.join(nodes.select("k1", "k2", "nid"), ["k1", "k2"]).groupBy("nid").agg(F.any_value("shingles").alias("shingles")), "near-sets")
     links = materialize(_similar(led, sets), "near-links")

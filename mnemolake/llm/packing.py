@@ -28,8 +28,6 @@ def encoder(path: str, ranks: str | None, pattern: str | None) -> Callable[[str]
     these, about five times as fast with equal ids; all else takes the tokenizer file itself. A worker keeps what it
     has loaded.
     """
-    from tokenizers import Tokenizer
-
     slow, fast = [], None
     if ranks:
         import tiktoken
@@ -42,6 +40,8 @@ def encoder(path: str, ranks: str | None, pattern: str | None) -> Callable[[str]
         if fast is not None and not _PLAIN.search(text):
             return np.array(fast.encode_ordinary(text), "<u4")
         if not slow:
+            from tokenizers import Tokenizer
+
             slow.append(Tokenizer.from_file(path))
             slow[0].encode_special_tokens = True  # their strings are ordinary text
         return np.array(slow[0].encode(text, add_special_tokens=False).ids, "<u4")
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
                     made += 1
                 if ids.size > whole:
                     tails[ids.size - whole].append((doc, whole, ids[whole:].tobytes(), ids.size))
-                if len(rows) >= 2048:
+                if len(rows) >= 512:
                     yield flush()
         for chosen, times in windows({n: len(q) for n, q in tails.items()}, capacity):
             filled = sum(n * c for n, c in chosen.items())
@@ -152,7 +152,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
                         room -= len(raw) // 4
                     place(taken, made)
                     made += 1
-            if len(rows) >= 2048:
+            if len(rows) >= 512:
                 yield flush()
         yield flush()
 
