@@ -1,4 +1,4 @@
-"""Line dedup by content-defined chunks of lines."""
+"""Line dedup by content-defined chunks of lines and by whole repeated runs of lines."""
 
 from __future__ import annotations
 
@@ -55,29 +55,60 @@ def _listed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text"))
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """Chunks that are removed: doc_id, text_hash, first line, lines.
+def runs(words: np.ndarray, seen: np.ndarray) -> list[tuple[int, int]]:
+    """(first line, number of lines) of the least runs of LONG_LINE words whose lines are all `seen`: one from each line and one up to each line.
 
-    A chunk that occurs more than once over all documents stays where doc_id (null first), text_hash and line are
-    smallest, and goes everywhere else. Hashes of chunks are counted with map-side sums; a bitmap of fixed size
-    routes the chunks whose hash repeats, and these are grouped by their bytes.
+    A longer repeated run is the union of the least ones inside it: from a line that has the words after it in the
+    run, and up to the run's end for the others.
+    """
+    at = np.arange(len(words))
+    total = np.concatenate(([0], np.cumsum(words)))
+    unseen = np.concatenate(([0], np.cumsum(~seen)))
+    first = np.concatenate((at, np.searchsorted(total, total[1:] - LONG_LINE, side="right") - 1))
+    end = np.concatenate((np.searchsorted(total, total[:-1] + LONG_LINE), at + 1))
+    held = (first >= 0) & (end <= len(words))
+    first, end = first[held], end[held]
+    held = unseen[end] == unseen[first]
+    return list(zip(first[held].tolist(), (end - first)[held].tolist(), strict=True))
+
+
+def removals(docs: DataFrame, whole_runs: bool = False) -> DataFrame:
+    """Passages that are removed: doc_id, text_hash, first line, lines.
+
+    Passages are the chunks that are compared, and with `whole_runs` also the least runs of LONG_LINE words, so spans may
+    overlap. One that occurs more than once over all documents stays where doc_id (null first), text_hash and line are
+    smallest, and goes everywhere else but where it overlaps the one that stays; so every line that goes stands before
+    it. Hashes of lines are counted with map-side sums; a bitmap of fixed size routes the passages all of whose lines
+    repeat, and these are grouped by their bytes.
     """
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch([pa.array([_key(body) for t in utf8(b.column(0)) for _, _, body in compared(t.split(b"\n"))], pa.int64())], ["key"])
+            yield pa.record_batch([pa.array([_key(x) for t in utf8(b.column(0)) for x in t.split(b"\n")], pa.int64())], ["key"])
 
     repeated = docs.select("text").mapInArrow(released(keys), "key long").groupBy("key").count().filter("count > 1").select("key")
     flagged = docs.sparkSession.sparkContext.broadcast(bitmap(repeated))
 
+    def passages(lines: list[bytes], seen: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        held = {(first, n) for first, n, _ in compared(lines) if seen[first : first + n].all()}
+        if whole_runs:
+            held.update(runs(np.array([len(x.split()) if ok else 0 for x, ok in zip(lines, seen.tolist(), strict=True)]), seen))
+        for first, n in sorted(held):
+            yield first, n, b"\n".join(lines[first : first + n])
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = np.frombuffer(flagged.value, np.uint8)
         names = ["doc_id", "text_hash", "first", "lines", "key", "body"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         for b in batches:
-            rows = [(d, h, first, n, _key(body), body) for d, h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)), strict=True) for first, n, body in compared(t.split(b"\n"))]
-            hit = bit_test(packed, np.array([r[4] for r in rows], np.int64).view(np.uint64)) if rows else []
-            rows = [r for r, x in zip(rows, hit, strict=True) if x]
+            texts = [t.split(b"\n") for t in utf8(b.column(2))]
+            hit = bit_test(packed, np.array([_key(x) for lines in texts for x in lines], np.int64).view(np.uint64))
+            rows, at = [], 0
+            for d, h, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, strict=True):
+                seen = hit[at : at + len(lines)]
+                at += len(lines)
+                if seen.any():
+                    rows += [(d, h, first, n, _key(body), body) for first, n, body in passages(lines, seen)]
             yield pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
     found = materialize(_listed(docs).mapInArrow(released(route), "doc_id long, text_hash long, first int, lines int, key long, body binary"), "line-chunks")
@@ -85,27 +116,46 @@ def removals(docs: DataFrame) -> DataFrame:
     bodies = found.groupBy("key", "body").agg(F.count("*").alias("n"), F.min(place).alias("stays"))
     by_key = materialize(bodies.groupBy("key").agg(F.count("*").alias("bodies"), F.max("n").alias("n"), F.min("stays").alias("stays")).filter("n > 1"), "line-keys")
     cols = ["doc_id", "text_hash", "first", "lines"]
+    stays = F.col("stays")
+    apart = (place != stays) & ~(F.col("doc_id").eqNullSafe(stays["doc_id"]) & (F.col("text_hash") == stays["text_hash"]) & (F.col("first") < stays["first"] + F.col("lines")))
     # One body per hash: its bytes were compared above, so members are found by hash alone; others by bytes again.
-    same = found.drop("body").join(by_key.filter("bodies = 1"), "key").filter(place != F.col("stays"))
+    same = found.drop("body").join(by_key.filter("bodies = 1"), "key").filter(apart)
     out = same.select(*cols)
     clashes = by_key.filter("bodies > 1").select("key")
     if not clashes.isEmpty():
         clash = found.join(clashes, "key", "left_semi")
-        clashed = clash.join(clash.groupBy("key", "body").agg(F.min(place).alias("stays")), ["key", "body"]).filter(place != F.col("stays"))
+        clashed = clash.join(clash.groupBy("key", "body").agg(F.min(place).alias("stays")), ["key", "body"]).filter(apart)
         out = out.unionByName(clashed.select(*cols))
     return out.distinct()
 
 
-def strip(docs: DataFrame) -> DataFrame:
+def _disjoint(spans: list) -> list[dict[str, int]]:
+    """Sorted spans (first, lines) with those that overlap put together."""
+    out: list[dict[str, int]] = []
+    for s in spans:
+        if out and s["first"] < out[-1]["first"] + out[-1]["lines"]:
+            out[-1]["lines"] = max(out[-1]["lines"], s["first"] + s["lines"] - out[-1]["first"])
+        else:
+            out.append({"first": s["first"], "lines": s["lines"]})
+    return out
+
+
+def strip(docs: DataFrame, whole_runs: bool = False) -> DataFrame:
     """One row per document: doc_id, n_lines, removed (array of struct<first, lines>), text without those lines.
 
     Lines end at line feeds; a null text counts as empty and has one line. Chunks are compared byte for byte. Rows that
     repeat doc_id and text are one document, so a passage is not removed for being in both, and each gets a row.
+    With `whole_runs` every repeated run of lines of LONG_LINE words goes as well, wherever chunks' boundaries are.
     A text all of whose lines go becomes empty. Only documents that lose lines are shuffled (by a bitmap of fixed size).
     """
     small_batches(docs)
-    gone = materialize(removals(docs), "line-removals")
-    per_document = gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "lines"))).alias("removed"))
+    gone = materialize(removals(docs, whole_runs), "line-removals")
+
+    @F.pandas_udf("array<struct<first:int,lines:int>>")
+    def disjoint(spans: pd.Series) -> pd.Series:
+        return spans.map(_disjoint)
+
+    per_document = gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "lines"))).alias("removed")).withColumn("removed", disjoint("removed"))
     name = F.xxhash64("doc_id", "text_hash")
     near = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(name.alias("key")).distinct()))
 
@@ -136,4 +186,4 @@ def strip(docs: DataFrame) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.aggregate("removed", F.lit(0).cast("long"), lambda acc, r: acc + r["lines"])
-    return strip(documents(spark, sf_dir)).select("doc_id", "n_lines", F.size("removed").cast("long").alias("chunks_removed"), lines.alias("lines_removed"), F.length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
+    return strip(documents(spark, sf_dir), whole_runs=True).select("doc_id", "n_lines", F.size("removed").cast("long").alias("chunks_removed"), lines.alias("lines_removed"), F.length("text").cast("long").alias("chars_left"), F.sha2("text", 256).alias("text_sha256"))
