@@ -45,7 +45,7 @@ class Posting(NamedTuple):
 
 POSTINGS = [Posting(w, k, at) for k, (_, text, _) in enumerate(TEMPLATES) for at, w in enumerate(text.split()) if w not in COMMON]
 VOCABULARY = sorted({p.word for p in POSTINGS})
-#: A file's rare words that are looked up, and how many must stand where a passage has them.
+#: A file's rare words that a score counts, and how many indexed words must stand where a passage has them.
 RARE, AGREEING = 8, 2
 
 
@@ -73,11 +73,12 @@ def _labelled(places: Column, label: str) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, places (array of struct<start, label>), base_labels, labels (sorted arrays), score.
 
-    places holds every place of a base phrase. A passage is found if at least AGREEING of the file's RARE rarest
-    licence words (by document frequency over all of docs) stand at one distance from their places in the passage
-    and all its key phrases stand in the file; its label then joins the base ones. The score is the largest share
-    of a found passage's indexed words (at most RARE) in place, at least 0.5 with a base label, else 0. Null and
-    empty texts have no words and score 0; every row, repeated or not, gives one row; other columns are ignored.
+    places holds every place of a base phrase. A passage is found if all its key phrases stand in the file and at
+    least AGREEING of its indexed words stand at one distance from their places in it; its label then joins the base
+    ones. The score is the largest share of a found passage in place: of its indexed words (at most RARE) that are
+    among the file's RARE rarest licence words (by document frequency over all of docs) if AGREEING of those stand,
+    else of all its indexed words; at least 0.5 with a base label, else 0. Null and empty texts have no words and
+    score 0; every row, repeated or not, gives one row; other columns are ignored.
 
     Texts are read once: what is kept are the few words of each that licences use, with their positions.
     """
@@ -91,23 +92,24 @@ def scan(docs: DataFrame) -> DataFrame:
     rarest_first = sorted(VOCABULARY, key=lambda w: (frequency.get(w, 0), w))
     hits = F.col("hits")
     rare = F.slice(F.array_intersect(F.array(*[F.lit(w) for w in rarest_first]), F.transform(hits, lambda h: h["w"])), 1, RARE)
-    looked_up = files.filter(F.size("hits") >= AGREEING).select("row", F.explode(F.filter(hits, lambda h: F.array_contains(rare, h["w"]))).alias("h")).select("row", "h.p", "h.w")
-    postings = F.array(*[F.struct(F.lit(x.word).alias("w"), F.lit(x.template).alias("template"), F.lit(x.at).alias("at")) for x in POSTINGS])
-    index = F.broadcast(spark.range(1).select(F.inline(postings)))  # fixed values: a few hundred rows
-    aligned = looked_up.join(index, "w").groupBy("row", "template", (F.col("p") - F.col("at")).alias("shift")).agg(F.count("*").alias("agree")).filter(F.col("agree") >= AGREEING)
-    sizes = [min(RARE, sum(p.template == k for p in POSTINGS)) for k in range(len(TEMPLATES))]
-    share = F.least(F.lit(1.0), F.col("agree") / F.element_at(F.array(*[F.lit(float(n)) for n in sizes]), F.col("template") + 1))
-    best = aligned.groupBy("row", "template").agg(F.max(share).alias("share"))
-    matched = best.groupBy("row").agg(F.collect_list(F.struct("template", "share")).alias("matched"))  # at most one entry per passage
     keys = sorted({k for _, _, ks in TEMPLATES for k in ks})
     holds = {k: F.size(_places(hits, k)) > 0 for k in keys}
     verified = [F.when(reduce(and_, [holds[k] for k in ks]), F.lit(t)) for t, (_, _, ks) in enumerate(TEMPLATES)]
+    # Only passages whose key phrases stand in the file are aligned, with all their words.
+    asked = files.filter(F.size("hits") >= AGREEING).select("row", "hits", rare.alias("rare"), F.array_compact(F.array(*verified)).alias("verified")).filter(F.size("verified") > 0)
+    looked_up = asked.select("row", "rare", "verified", F.explode("hits").alias("h")).select("row", "verified", "h.p", "h.w", F.array_contains("rare", F.col("h.w")).alias("rare"))
+    postings = F.array(*[F.struct(F.lit(x.word).alias("w"), F.lit(x.template).alias("template"), F.lit(x.at).alias("at")) for x in POSTINGS])
+    index = F.broadcast(spark.range(1).select(F.inline(postings)))  # fixed values: a few hundred rows
+    aligned = looked_up.join(index, "w").filter(F.array_contains("verified", F.col("template"))).groupBy("row", "template", (F.col("p") - F.col("at")).alias("shift")).agg(F.count("*").alias("agree"), F.count_if("rare").alias("rare")).filter(F.col("agree") >= AGREEING)
+    indexed = [sum(p.template == k for p in POSTINGS) for k in range(len(TEMPLATES))]
+    of = lambda sizes: F.element_at(F.array(*[F.lit(float(n)) for n in sizes]), F.col("template") + 1)
+    by_rare = F.when(F.col("rare") >= AGREEING, F.least(F.lit(1.0), F.col("rare") / of([min(RARE, n) for n in indexed])))
+    best = aligned.groupBy("row", "template").agg(F.coalesce(F.max(by_rare), F.max(F.col("agree") / of(indexed))).alias("share"))
+    matched = best.groupBy("row").agg(F.collect_list(F.struct("template", "share")).alias("passages"))  # at most one entry per passage
     placed = F.array_sort(F.concat(*[_labelled(_places(hits, phrase), label) for phrase, label in BASE_PHRASES.items()]))
-    rows = files.withColumn("places", placed).withColumn("verified", F.when(F.size("hits") > 0, F.array_compact(F.array(*verified))).otherwise(F.array().cast("array<int>")))
-    rows = rows.join(matched, "row", "left")
-    passages = F.filter(F.coalesce("matched", F.array().cast("array<struct<template:int,share:double>>")), lambda m: F.array_contains(F.col("verified"), m["template"]))
+    rows = files.withColumn("places", placed).join(matched, "row", "left").withColumn("passages", F.coalesce("passages", F.array().cast("array<struct<template:int,share:double>>")))
     labels = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
-    rows = rows.withColumn("passages", passages).withColumn("base_labels", F.array_sort(F.array_distinct(F.transform("places", lambda x: x["label"]))))
+    rows = rows.withColumn("base_labels", F.array_sort(F.array_distinct(F.transform("places", lambda x: x["label"]))))
     rows = rows.withColumn("labels", F.array_sort(F.array_union("base_labels", F.transform("passages", lambda m: F.element_at(labels, m["template"] + 1)))))
     score = F.greatest(F.coalesce(F.array_max(F.transform("passages", lambda m: m["share"])), F.lit(0.0)), F.when(F.size("base_labels") > 0, F.lit(0.5)).otherwise(F.lit(0.0)))
     return rows.select("doc_id", "n_words", "places", "base_labels", "labels", score.alias("score"))
