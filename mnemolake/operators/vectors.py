@@ -127,36 +127,100 @@ def average_linkage(similarity: np.ndarray, cut: float) -> np.ndarray:
     return label
 
 
+def linkage_by_sums(m: np.ndarray, cut: float) -> np.ndarray:
+    """Cluster numbers as average_linkage gives them, from the vectors: no matrix of pairs is held.
+
+    A cluster's mean similarity to another is the product of their sums over their sizes. Chains of nearest neighbours end
+    in pairs that are nearest to each other, and joining these in any order gives the same tree (ties apart).
+    """
+    n = len(m)
+    sums, size, alive, label = m.astype(float).copy(), np.ones(n), np.ones(n, bool), np.arange(n)
+    chain: list[int] = []
+    for start in range(n):
+        if not alive[start]:
+            continue
+        chain = [start]
+        while chain:
+            i = chain[-1]
+            s = sums @ sums[i] / (size * size[i])
+            s[~alive] = -np.inf
+            s[i] = -np.inf
+            j = int(s.argmax())
+            if s[j] < cut:
+                # Nothing will ever be nearer to i: means of others are no higher than their parts'. The chain's rest goes on.
+                alive[i] = False
+                chain.pop()
+            elif len(chain) > 1 and s[chain[-2]] >= s[j]:
+                j = chain[-2]
+                del chain[-2:]
+                i, j = min(i, j), max(i, j)
+                sums[i] += sums[j]
+                size[i] += size[j]
+                alive[j] = False
+                label[label == j] = i
+                if not chain:
+                    chain = [i]
+            else:
+                chain.append(j)
+    return label
+
+
+def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each one's component among n, by links a - b."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
+def linked_parts(m: np.ndarray, cut: float, block: int) -> np.ndarray:
+    """The component of each vector by links of similarity `cut`, from products of block x block."""
+    n = len(m)
+    root = np.arange(n)
+    for x in range(0, n, block):
+        for y in range(x, n, block):
+            a, b = np.nonzero(m[x : x + block] @ m[y : y + block].T >= cut - 1e-9)
+            # Links inside a component already known add nothing.
+            a, b = root[a + x], root[b + y]
+            new = a != b
+            if new.any():
+                root = _roots(n, np.concatenate((np.arange(n), a[new])), np.concatenate((root, b[new])))
+    return root
+
+
 def cluster(episodes: DataFrame, by: Sequence[str], similarity: float = 0.78, min_size: int = 2, block: int = 2000) -> DataFrame:
     """Average-linkage clusters inside each scope: adds cluster (smallest member's id) to members of clusters of min_size.
 
-    A scope of more than `block` episodes is cut into parts by the sign pattern of a few fixed random projections, so
-    that close vectors stay together and no task gathers an unbounded scope; parts are clustered apart.
+    A scope of more than `block` episodes is cut into the components of its links: clusters whose mean similarity
+    reaches the bound hold a pair that does, so none lies in two components, and the result is the whole scope's. A
+    scope is worked on in one task, which holds its vectors and at most block x block similarities at once.
     """
-    sizes = episodes.groupBy(*by).agg(F.count("*").alias("__n"))
-    planes = np.random.default_rng(7).normal(size=(16, 4096))
-
-    @F.pandas_udf("long")
-    def pattern(v: pd.Series, n: pd.Series) -> pd.Series:
-        out = []
-        for x, count in zip(v, n, strict=True):
-            bits = max(0, int(np.ceil(np.log2(max(1.0, count / block)))) + (count > block))
-            a = np.asarray(x, float)
-            out.append(sum(1 << b for b in range(min(bits, 16)) if planes[b, : len(a)] @ a > 0))
-        return pd.Series(out, dtype="int64")
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         m = np.stack([np.asarray(v, float) for v in pdf["embedding"]])
-        label = average_linkage(m @ m.T, similarity)
         ids = pdf["id"].to_numpy()
+        label = np.arange(len(ids))
+        part = linked_parts(m, similarity, block) if len(ids) > block else np.zeros(len(ids), int)
+        order = np.argsort(part, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            if len(rows) > 1:
+                x = m[rows]
+                label[rows] = rows[linkage_by_sums(x, similarity) if len(rows) > block else average_linkage(x @ x.T, similarity)]
         count = np.bincount(label, minlength=len(ids))
         keep = count[label] >= min_size
         return pd.DataFrame({"id": ids[keep], "cluster": ids[label[keep]]})
 
     kind = dict(episodes.dtypes)["id"]
-    parts = episodes.join(sizes, list(by)).withColumn("__part", pattern("embedding", "__n"))
-    return parts.groupBy(*by, "__part").applyInPandas(work, f"id {kind}, cluster {kind}")
+    return episodes.select(*by, "id", "embedding").groupBy(*by).applyInPandas(work, f"id {kind}, cluster {kind}")
 
 
 def cluster_confidence(members: DataFrame, coherence_weight: float = 0.6, surprise_weight: float = 0.4) -> DataFrame:
