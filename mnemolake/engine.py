@@ -55,8 +55,7 @@ class MemoryEngine:
         coded = fresh.join(encode(fresh, self.encoder), "id").persist()
         own = self._read("episodes").select("id")
         stored = self.catalog.read("vectors").filter("NOT tombstoned").join(own, "id", "left_semi")
-        near = coded.select(F.col("id").alias("a"), F.col("embedding").alias("x")).join(stored.select(F.col("id").alias("b"), F.col("embedding").alias("y"), _signs("embedding").alias("block")), _signs("x") == F.col("block")).withColumn("s", vectors.dot(F.col("x"), F.col("y"))).filter(F.col("s") >= self.config.dedup_similarity)
-        known = near.groupBy(F.col("a").alias("id")).agg(F.max_by("b", "s").alias("duplicate_of"))
+        known = vectors.nearest_duplicates(coded, stored, self.config.dedup_similarity)
         new = coded.join(known, "id", "left_anti")
         kept = new.dropDuplicates(["content"])
         t = temporal.instant(now)
@@ -303,13 +302,6 @@ class MemoryEngine:
         return a.unionByName(recall.simple_view(got["records"], "record", "embedding_text")).orderBy(F.desc("score"), "id").limit(n)
 
 
-def _signs(c: str):
-    """Block of a vector for near-duplicate search: the place of its largest component, and its sign."""
-    size = F.transform(F.col(c), lambda x: F.abs(x))
-    at = F.array_position(size, F.array_max(size))
-    return F.when(F.element_at(F.col(c), at.cast("int")) < 0, -at).otherwise(at)
-
-
 def _embedding_texts(content, kind, tags):
     import pandas as pd
 

@@ -77,11 +77,21 @@ def top_k_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256)
 def similar_pairs(left: DataFrame, right: DataFrame, by: Sequence[str], at_least: float) -> DataFrame:
     """Pairs of the same group whose vectors' inner product reaches a bound: (by, a, b, similarity).
 
-    Groups are a topic's or a scope's records, as the callers have them.
+    Groups are a topic's or a scope's records, as the callers have them; without any, the whole tables are one.
     """
     a = left.select(*by, F.col("id").alias("a"), F.col("embedding").alias("x"))
     b = right.select(*by, F.col("id").alias("b"), F.col("embedding").alias("y"))
-    return a.join(b, list(by)).withColumn("similarity", dot(F.col("x"), F.col("y"))).filter(F.col("similarity") >= at_least).select(*by, "a", "b", "similarity")
+    pairs = a.join(b, list(by)) if by else a.crossJoin(b)
+    return pairs.withColumn("similarity", dot(F.col("x"), F.col("y"))).filter(F.col("similarity") >= at_least).select(*by, "a", "b", "similarity")
+
+
+def nearest_duplicates(new: DataFrame, stored: DataFrame, at_least: float, by: Sequence[str] = ()) -> DataFrame:
+    """For each new item the most similar stored one of its group that reaches a bound (id, duplicate_of), ties to smaller ids.
+
+    Exact: every pair inside a group is compared, the whole tables if no group is given.
+    """
+    w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
+    return similar_pairs(new, stored, by, at_least).withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").select(F.col("a").alias("id"), F.col("b").alias("duplicate_of"))
 
 
 def contradiction_candidates(new: DataFrame, old: DataFrame, by: Sequence[str] = ("topic_id",), at_least: float = 0.7, most: int = 24) -> DataFrame:

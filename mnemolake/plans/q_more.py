@@ -26,8 +26,7 @@ def _(e):
 
 @query("jn19_ingest_near_duplicates", f"WITH s AS (SELECT n.id, o.id AS b, {_DOT.format('n.embedding', 'o.embedding')} AS s FROM vectors n JOIN vectors o ON n.label = o.label AND n.id % 10 = 0 AND o.id % 10 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, b) AS k FROM s WHERE s >= 0.3) SELECT id, b AS duplicate_of FROM r WHERE k = 1")
 def _(e):
-    pairs = vectors.similar_pairs(e.vectors.filter("id % 10 = 0"), e.vectors.filter("id % 10 <> 0"), ["label"], 0.3)
-    return pairs.groupBy(F.col("a").alias("id")).agg(F.max_by("b", F.struct("similarity", -F.col("b"))).alias("duplicate_of"))
+    return vectors.nearest_duplicates(e.vectors.filter("id % 10 = 0"), e.vectors.filter("id % 10 <> 0"), 0.3, ["label"])
 
 
 @query("jn21_scope_isolated_pairs", f"SELECT a.label, count(*) AS n FROM vectors a JOIN vectors b ON a.label = b.label AND a.id < b.id WHERE {_DOT.format('a.embedding', 'b.embedding')} >= 0.25 GROUP BY a.label")
