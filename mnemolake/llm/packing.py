@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 import re
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
@@ -20,30 +21,36 @@ from mnemolake.llm.common import documents, released, small_batches
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa0-ɏ‐-‧]")
 
 
+#: Tails that a task holds at once, in bytes: beyond this its full windows are placed and given out.
+HELD_BYTES = 32 << 20
+
+
 @lru_cache(maxsize=1)
 def encoder(path: str, ranks: str | None, pattern: str | None) -> Callable[[str], np.ndarray]:
-    """Text to token ids of the tokenizer file at `path`.
+    """Text to token ids of the tokenizer file at `path`, as the file's library gives them by default.
 
     With `ranks` (the same vocabulary as merge ranks) plain Latin text takes the byte-pair library that reads
-    these, about five times as fast with equal ids; all else takes the tokenizer file itself. A worker keeps what it
-    has loaded.
+    these, about five times as fast with equal ids; all else takes the tokenizer file itself, and so does any text that holds
+    one of the file's added tokens, which are single ids there. A worker keeps what it has loaded.
     """
-    slow, fast = [], None
+    slow, fast, added = [], None, None
     if ranks:
         import tiktoken
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
         fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+        with open(path, encoding="utf-8") as f:
+            strings = [t["content"] for t in json.load(f).get("added_tokens", []) if t["content"]]
+        added = re.compile("|".join(map(re.escape, strings))) if strings else None
 
     def encode(text: str) -> np.ndarray:
-        if fast is not None and not _PLAIN.search(text):
+        if fast is not None and not _PLAIN.search(text) and not (added and added.search(text)):
             return np.array(fast.encode_ordinary(text), "<u4")
         if not slow:
             from tokenizers import Tokenizer
 
             slow.append(Tokenizer.from_file(path))
-            slow[0].encode_special_tokens = True  # their strings are ordinary text
         return np.array(slow[0].encode(text, add_special_tokens=False).ids, "<u4")
 
     return encode
@@ -96,24 +103,27 @@ def windows(counts: dict[int, int], capacity: int) -> Iterator[tuple[dict[int, i
                 del left[n]
 
 
-def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str | None = None, capacity: int = 1024, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, files: Callable[[], tuple[str, str | None, str | None]], capacity: int = 1024, end_id: int = 0, held_bytes: int = HELD_BYTES) -> DataFrame:
     """Cuts every document's ids (and end_id after them) into pieces and places each in a sequence.
 
+    files: called on each worker, gives the places of the tokenizer file, of its merge ranks (or None) and their pattern.
     Returns per piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id,
     offset. Whole windows are cut from a document's start; what remains of each is one piece, and the pieces
-    of a partition fill windows by minimum bin slack. A partition's window that cannot be filled (there are only a
+    of a partition fill windows by minimum bin slack. A task that holds `held_bytes` of them places the windows that it can
+    fill and goes on with the others. A partition's window that cannot be filled (there are only a
     few, at its end) becomes sequences at powers of two, which need no padding. Partitions pack on their own, so
-    nothing is shuffled and a lost task is simply run again. Null and empty texts give one piece, the end id;
-    repeated rows are packed as often as they occur; no rows give no rows; other columns are ignored.
+    nothing is shuffled and a lost task is simply run again. Null and empty texts give one piece, the end id; a very long text
+    gives whole windows, of which at most 512 pieces are held;
+    repeated rows are packed as often as they occur; no rows give no rows; other columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer, ranks, pattern), TaskContext.get().partitionId()
+        encode, part = encoder(*files()), TaskContext.get().partitionId()
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
         rows: list[tuple] = []
         tails: dict[int, deque] = defaultdict(deque)
-        made = 0
+        made = held = 0
 
         def flush() -> pa.RecordBatch:
             out = pa.record_batch([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
@@ -126,6 +136,29 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
                 rows.append((doc, start, len(raw) // 4, raw, total, part << 33 | sequence, offset))
                 offset += len(raw) // 4
 
+        def fill(last: bool) -> Iterator[pa.RecordBatch]:
+            """Places tails: those that fill windows, at the last call all."""
+            nonlocal made
+            for chosen, times in windows({n: len(q) for n, q in tails.items()}, capacity):
+                filled = sum(n * c for n, c in chosen.items())
+                if filled < capacity and not last:
+                    break  # the others wait for more tails
+                for _ in range(times):
+                    pieces = [tails[n].popleft() for n, c in sorted(chosen.items(), reverse=True) for _ in range(c)]
+                    for room in [capacity] if filled == capacity else [1 << k for k in range(filled.bit_length() - 1, -1, -1) if filled >> k & 1]:
+                        taken = []
+                        while room:
+                            doc, start, raw, total = pieces.pop(0)
+                            if len(raw) > 4 * room:
+                                pieces.insert(0, (doc, start + room, raw[4 * room :], total))
+                                raw = raw[: 4 * room]
+                            taken.append((doc, start, raw, total))
+                            room -= len(raw) // 4
+                        place(taken, made)
+                        made += 1
+                if len(rows) >= 512:
+                    yield flush()
+
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = np.append(encode(text.as_py() or ""), np.array([end_id], "<u4")).astype("<u4")
@@ -133,38 +166,35 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, pattern: str
                 for start in range(0, whole, capacity):
                     place([(doc, start, ids[start : start + capacity].tobytes(), ids.size)], made)
                     made += 1
+                    if len(rows) >= 512:
+                        yield flush()
                 if ids.size > whole:
                     tails[ids.size - whole].append((doc, whole, ids[whole:].tobytes(), ids.size))
-                if len(rows) >= 512:
-                    yield flush()
-        for chosen, times in windows({n: len(q) for n, q in tails.items()}, capacity):
-            filled = sum(n * c for n, c in chosen.items())
-            for _ in range(times):
-                pieces = [tails[n].popleft() for n, c in sorted(chosen.items(), reverse=True) for _ in range(c)]
-                for room in [capacity] if filled == capacity else [1 << k for k in range(filled.bit_length() - 1, -1, -1) if filled >> k & 1]:
-                    taken = []
-                    while room:
-                        doc, start, raw, total = pieces.pop(0)
-                        if len(raw) > 4 * room:
-                            pieces.insert(0, (doc, start + room, raw[4 * room :], total))
-                            raw = raw[: 4 * room]
-                        taken.append((doc, start, raw, total))
-                        room -= len(raw) // 4
-                    place(taken, made)
-                    made += 1
-            if len(rows) >= 512:
-                yield flush()
+                    held += 4 * (ids.size - whole)
+                if held > held_bytes:
+                    yield from fill(last=False)
+                    # If no window can be filled (all tails alike, say) they are placed as they are: the bound holds in any case.
+                    if (held := 4 * sum(n * len(q) for n, q in tails.items())) > held_bytes // 2:
+                        yield from fill(last=True)
+                        tails.clear()
+                        held = 0
+        yield from fill(last=True)
         yield flush()
 
     small_batches(docs)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
-def packed_digest(docs: DataFrame) -> DataFrame:
-    """Pieces under the public 50k byte-level vocabulary, with a checksum in place of the ids."""
+def public_50k() -> tuple[str, str, str]:
+    """The public 50k byte-level vocabulary, as this machine has it."""
     import public_tokenizers as P
 
-    pieces = pack(docs, P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    return P.path("byte_bpe_50k.json"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+
+
+def packed_digest(docs: DataFrame) -> DataFrame:
+    """Pieces under the public 50k byte-level vocabulary, with a checksum in place of the ids."""
+    pieces = pack(docs, public_50k)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
