@@ -5,8 +5,10 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import tempfile
+import threading
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -42,7 +44,7 @@ BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 def small_batches(df: DataFrame) -> None:
     """Bounds the Arrow batches of df's session, unless it sets a smaller bound itself.
 
-    The default bounds rows only, and ten thousand rows of text have no bound in bytes.
+    The default lets 64 MB through at once; a worker holds several times a batch's bytes as work arrays.
     """
     conf = df.sparkSession.conf
     for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
@@ -84,63 +86,137 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+_made = threading.local()
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and rereads it: cuts lineage, survives lost executors. The table goes with the driver."""
+    """Writes df to the shared folder and rereads it: cuts lineage, survives lost executors.
+
+    The table goes with the `scratch` block that it is made in, without one with the driver.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, place = _file_system(spark, path)
+    fs.deleteOnExit(place)
+    if getattr(_made, "blocks", None):
+        _made.blocks[-1].append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end the tables materialized inside, but for those given to the function that it yields.
+
+    These go on to the block around it, if there is one. What is returned from the block may read kept tables only.
+    """
+    blocks = _made.blocks = getattr(_made, "blocks", None) or []
+    own: list[str] = []
+    blocks.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own.remove(df._stored_at)
+        if len(blocks) > 1:
+            blocks[-2].append(df._stored_at)
+        return df
+
+    try:
+        yield keep
+    finally:
+        blocks.pop()
+        for path in own:
+            fs, place = _file_system(spark, path)
+            fs.delete(place, True)
+
 
+# --- joins with hot keys ---------------------------------------------------------
 
-# --- bounded membership filter -------------------------------------------------
+#: Keys that are dealt over several tasks, at most, and the rows that a key needs for that, at least.
+HEAVY_KEYS, HEAVY_ROWS = 20_000, 256
 
-#: Bits of a membership bitmap: 2 MB, whatever the input's size. A full bitmap only costs shuffle, never results.
-BITMAP_BITS = 1 << 24
 
+def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], deal: str, how: str = "inner") -> DataFrame:
+    """left joined with right on keys; left's hot keys are dealt over tasks by a hash of the column `deal`.
 
-def bitmap(keys: DataFrame, bits: int = BITMAP_BITS) -> bytes:
-    """Bitmap of a long column `key` (already a uniform hash), or-ed per task, then over tasks.
+    A key is hot if it has more than 1 / HEAVY_KEYS of left's rows, so there are fewer than HEAVY_KEYS of them whatever
+    the input's size, and their list is safe to broadcast. right's rows of a hot key are copied to each of its parts; right
+    should have few rows of a key. left is read three times: give a stored table.
+    """
+    keys = list(keys)
+    share = max(HEAVY_ROWS, left.count() // HEAVY_KEYS)
+    heavy = left.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > share).select(*keys, F.ceil(F.col("__n") / share).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = left.join(F.broadcast(heavy), keys, "left").withColumn("__part", F.pmod(F.xxhash64(deal), parts).cast("int")).drop("__parts")
+    copied = right.join(F.broadcast(heavy), keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(copied, [*keys, "__part"], how).drop("__part")
+
+
+# --- membership filters ------------------------------------------------------------
+
+#: Bits of a filter for each key, at least, and its most bytes. More keys than MOST_KEYS get none: every row then meets in the join.
+KEY_BITS, SIEVE_BYTES = 8, 64 << 20
+MOST_KEYS = SIEVE_BYTES * 8 // KEY_BITS
+_SLICES = 64
+
+
+class Sieve(NamedTuple):
+    """Tells which keys may be in a set: never misses one, and passes about one in fifty others. Without bits it passes all."""
+
+    packed: bytes | None
+
+    def passes(self, hashes: np.ndarray) -> np.ndarray:
+        if self.packed is None:
+            return np.ones(len(hashes), bool)
+        bits = np.frombuffer(self.packed, np.uint8)
+        out = np.ones(len(hashes), bool)
+        for at in _probes(hashes, bits.size * 8):
+            out &= (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
 
-    Each task sends, slice by slice of the bitmap, the distinct positions it has (4 bytes each) or the slice's bits,
-    whichever is less; slices are merged on executors, so what reaches the driver is one bitmap.
+
+def _probes(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    h = hashes.view(np.uint64)
+    return mix(h) % np.uint64(bits), mix(h ^ np.uint64(0x94D049BB133111EB)) % np.uint64(bits)
+
+
+def sieve(keys: DataFrame, most_keys: int = MOST_KEYS) -> Sieve:
+    """The filter of a stored table's long column `key`: 8 to 16 bits for each of its rows, 64 MB at most.
+
+    Tasks send the positions in each slice of the bits; slices are put together on executors, so what the driver gets is
+    the filter. Above `most_keys` it would pass nearly everything, so none is made: callers shuffle by key in either case.
     """
-    slices = 64
-    width = bits // slices
+    n = keys.count()
+    if n > most_keys:
+        return Sieve(None)
+    bits = max(1 << 16, 1 << (KEY_BITS * max(n, 1) - 1).bit_length())
+    width = bits // _SLICES
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(bits, dtype=bool)
         for b in batches:
-            out[b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) % np.uint64(bits)] = True
-        for s in range(slices):
-            part = out[s * width : (s + 1) * width]
-            held = np.flatnonzero(part)
-            if len(held):
-                dense = 4 * len(held) > width // 8
-                sent = np.packbits(part) if dense else held.astype("<u4")
-                yield pa.record_batch([pa.array([s], pa.int32()), pa.array([dense]), pa.array([sent.tobytes()], pa.binary())], ["slice", "dense", "part"])
+            at = np.unique(np.concatenate(_probes(b.column(0).to_numpy(zero_copy_only=False), bits)))
+            edge = np.searchsorted(at, np.arange(_SLICES + 1, dtype=np.uint64) * np.uint64(width))
+            held = [s for s in range(_SLICES) if edge[s] < edge[s + 1]]
+            parts = [(at[edge[s] : edge[s + 1]] - np.uint64(s * width)).astype("<u4").tobytes() for s in held]
+            yield pa.record_batch([pa.array(held, pa.int32()), pa.array(parts, pa.binary())], ["slice", "part"])
 
     def merge(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         acc = np.zeros(width, dtype=bool)
-        for dense, part in zip(frame["dense"], frame["part"], strict=True):
-            if dense:
-                acc |= np.unpackbits(np.frombuffer(part, np.uint8)).view(bool)
-            else:
-                acc[np.frombuffer(part, "<u4")] = True
-        return pd.DataFrame({"slice": [key[0]], "part": [np.packbits(acc).tobytes()]})
-
-    parts = keys.mapInArrow(released(build), "slice int, dense boolean, part binary").groupBy("slice").applyInPandas(merge, "slice int, part binary").collect()
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for r in parts:
-        out[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] = np.frombuffer(r["part"], dtype=np.uint8)
-    return out.tobytes()
-
+        for part in frame["part"]:
+            acc[np.frombuffer(part, "<u4")] = True
+        return pd.DataFrame({"slice": [key[0]], "part": [np.packbits(acc, bitorder="little").tobytes()]})
 
-def bit_test(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Which hashes (uint64) have their bit set in a packed bitmap."""
-    at = hashes % np.uint64(packed.size * 8)
-    return (packed[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 == 1
+    parts = keys.select(F.col("key").cast("long")).mapInArrow(released(build), "slice int, part binary").groupBy("slice").applyInPandas(merge, "slice int, part binary").collect()
+    out = bytearray(bits // 8)
+    for r in parts:
+        out[r["slice"] * width // 8 : (r["slice"] + 1) * width // 8] = r["part"]
+    return Sieve(bytes(out))
 
 
 # --- vectorised word hashing -----------------------------------------------------

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import ascii_lower, bit_test, bitmap, documents, materialize, released, small_batches, utf8
+from mnemolake.llm.common import ascii_lower, documents, materialize, released, scratch, sieve, small_batches, spread_join, utf8
 
 
 class CountingQuotientFilter:
@@ -122,61 +122,61 @@ def classify(docs: DataFrame) -> DataFrame:
     Texts count as equal if their bytes are after A-Z are lower-cased; a null text is an empty one. Of equal
     texts the largest doc_id stays. Rows that repeat both doc_id and text all count towards group_size and are
     all marked kept (`dedup` leaves one of them); a null doc_id stays only where its group has no other. No rows
-    give no rows; other columns are ignored.
+    give no rows; other columns are ignored, whatever their names. A very long text is held whole by one task.
 
-    Filters built per partition merge by ranges of fingerprints. Fingerprints counted more than once set bits in
-    a bitmap of fixed size; rows that miss it are unique and never move. The others are grouped by digest and
+    Filters built per partition merge by ranges of fingerprints. The fingerprints that they count more than once are a
+    table; a filter sized by its rows tells texts that may be among them, and these alone are grouped by digest and
     whole text, so equality is decided by bytes; copies meet in map-side partial groups first.
     """
     small_batches(docs)
-    # Written first: two Python operators in one stage would keep two workers per task alive from then on.
-    repeated = materialize(repeated_fingerprints(docs), "exact-fingerprints")
-    flagged = docs.sparkSession.sparkContext.broadcast(bitmap(repeated))
-
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = np.frombuffer(flagged.value, np.uint8)
-        for b in batches:
-            texts, shas, fp = _digests(b.column(1))
-            hit = bit_test(packed, fp)
-            yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(shas, pa.binary()), pa.array([t if h else None for t, h in zip(texts, hit, strict=True)], pa.binary())], ["doc_id", "sha", "body"])
-
-    rows = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(route), "doc_id long, sha binary, body binary"), "exact-routed")
-    alone = rows.filter("body IS NULL").select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    suspects = rows.filter("body IS NOT NULL")
-    groups = suspects.groupBy("sha", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    shas = materialize(groups.groupBy("sha").agg(F.count("*").alias("bodies"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")), "exact-groups")
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        # Written first: two Python operators in one stage would keep two workers per task alive from then on.
+        flagged = spark.sparkContext.broadcast(sieve(materialize(repeated_fingerprints(docs), "exact-fingerprints")))
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts, shas, fp = _digests(b.column(1))
+                hit = flagged.value.passes(fp)
+                yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(shas, pa.binary()), pa.array(hit), pa.array([t if h else None for t, h in zip(texts, hit, strict=True)], pa.binary())], ["doc_id", "sha", "again", "body"])
+
+        rows = keep(materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(route), "doc_id long, sha binary, again boolean, body binary"), "exact-routed"))
+        groups = rows.filter("again").groupBy("sha", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        shas = keep(materialize(groups.groupBy("sha").agg(F.count("*").alias("bodies"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")), "exact-groups"))
+    alone = rows.filter("NOT again").select("doc_id", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
     # One body per digest: its bytes were compared above, so members are found by digest alone.
-    same = suspects.select("doc_id", "sha").join(shas.filter("bodies = 1").drop("bodies"), "sha")
+    same = spread_join(rows.filter("again").select("doc_id", "sha"), shas.filter("bodies = 1").drop("bodies"), ["sha"], "doc_id")
     cols = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256")]
     out = alone.select(*cols).unionByName(same.select(*cols))
     clashes = shas.filter("bodies > 1").select("sha")
     if not clashes.isEmpty():  # different texts under one digest are told apart by their bytes again
-        clash = suspects.join(clashes, "sha", "left_semi")
+        clash = rows.filter("again").select("doc_id", "sha", "body").join(clashes, "sha", "left_semi")
         clashed = clash.join(clash.groupBy("sha", "body").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), ["sha", "body"])
         out = out.unionByName(clashed.select(*cols))
     return out
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows repeated whole, one.
+    """The rows of docs that stay, with all their columns, whatever their names; of rows repeated whole, one.
 
-    Only rows whose doc_id may be in a group of copies (a bitmap of fixed size tells) are shuffled.
+    Only rows whose doc_id may be in a group of copies (a filter of the groups' ids tells) are shuffled. No rows give none.
     """
-    groups = materialize(classify(docs).filter("group_size > 1").select("doc_id", "kept", "text_sha256"), "exact-copies")
-    hashed = F.xxhash64("doc_id")
-    near = docs.sparkSession.sparkContext.broadcast(bitmap(groups.select(hashed.alias("key")).distinct()))
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        groups = keep(materialize(classify(docs).filter("group_size > 1").select(F.xxhash64("doc_id").alias("key"), "doc_id", "kept", "text_sha256"), "exact-copies"))
+    near = spark.sparkContext.broadcast(sieve(groups.select("key")))
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(bit_test(np.frombuffer(near.value, np.uint8), h.to_numpy().view(np.uint64)))
-
-    marked = docs.withColumn("__maybe", maybe(hashed))
-    lowered = F.coalesce(ascii_lower(F.col("text")), F.lit(""))
-    suspects = marked.filter("__maybe").drop("__maybe").withColumn("__sha", F.sha2(lowered, 256))
-    out = groups.filter("NOT kept").select(F.col("doc_id").alias("__out"), F.col("text_sha256").alias("__out_sha"))
-    staying = suspects.join(out, (F.col("__sha") == F.col("__out_sha")) & F.col("doc_id").eqNullSafe(F.col("__out")), "left_anti")
-    staying = staying.dropDuplicates(["doc_id", "__sha"]).drop("__sha")
-    return marked.filter("NOT __maybe").drop("__maybe").unionByName(staying)
+        return pd.Series(near.value.passes(h.to_numpy()))
+
+    own = F.col("doc_id").cast("long")
+    marked = docs.select(F.struct("*").alias("row"), own.alias("id"), maybe(F.xxhash64(own)).alias("maybe"))
+    lowered = F.coalesce(ascii_lower(F.col("row.text")), F.lit(""))
+    suspects = marked.filter("maybe").select("row", "id", F.sha2(lowered, 256).alias("sha"))
+    gone = groups.filter("NOT kept").select(F.col("doc_id").alias("out"), F.col("text_sha256").alias("out_sha")).distinct()
+    staying = suspects.join(gone, (F.col("sha") == F.col("out_sha")) & F.col("id").eqNullSafe(F.col("out")), "left_anti").dropDuplicates(["id", "sha"])
+    return marked.filter("NOT maybe").select("row.*").unionByName(staying.select("row.*"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import bit_test, bitmap, documents, materialize, mix, released, small_batches, utf8
+from mnemolake.llm.common import documents, materialize, mix, released, scratch, sieve, small_batches, spread_join, utf8
 
 #: A boundary follows a line if the rolling hash of it and the line before is a multiple of this.
 MEAN_LINES = 3
@@ -78,7 +78,7 @@ def removals(docs: DataFrame, whole_runs: bool = False) -> DataFrame:
     Passages are the chunks that are compared, and with `whole_runs` also the least runs of LONG_LINE words, so spans may
     overlap. One that occurs more than once over all documents stays where doc_id (null first), text_hash and line are
     smallest, and goes everywhere else but where it overlaps the one that stays; so every line that goes stands before
-    it. Hashes of lines are counted with map-side sums; a bitmap of fixed size routes the passages all of whose lines
+    it. Hashes of lines are counted with map-side sums; a filter sized by the repeated ones routes the passages all of whose lines
     repeat, and these are grouped by their bytes.
     """
 
@@ -86,8 +86,8 @@ def removals(docs: DataFrame, whole_runs: bool = False) -> DataFrame:
         for b in batches:
             yield pa.record_batch([pa.array([_key(x) for t in utf8(b.column(0)) for x in t.split(b"\n")], pa.int64())], ["key"])
 
-    repeated = docs.select("text").mapInArrow(released(keys), "key long").groupBy("key").count().filter("count > 1").select("key")
-    flagged = docs.sparkSession.sparkContext.broadcast(bitmap(repeated))
+    repeated = materialize(docs.select("text").mapInArrow(released(keys), "key long").groupBy("key").count().filter("count > 1").select("key"), "line-hashes")
+    flagged = docs.sparkSession.sparkContext.broadcast(sieve(repeated))
 
     def passages(lines: list[bytes], seen: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
         held = {(first, n) for first, n, _ in compared(lines) if seen[first : first + n].all()}
@@ -97,12 +97,11 @@ def removals(docs: DataFrame, whole_runs: bool = False) -> DataFrame:
             yield first, n, b"\n".join(lines[first : first + n])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = np.frombuffer(flagged.value, np.uint8)
         names = ["doc_id", "text_hash", "first", "lines", "key", "body"]
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
         for b in batches:
             texts = [t.split(b"\n") for t in utf8(b.column(2))]
-            hit = bit_test(packed, np.array([_key(x) for lines in texts for x in lines], np.int64).view(np.uint64))
+            hit = flagged.value.passes(np.array([_key(x) for lines in texts for x in lines], np.int64))
             rows, at = [], 0
             for d, h, lines in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts, strict=True):
                 seen = hit[at : at + len(lines)]
@@ -119,7 +118,7 @@ def removals(docs: DataFrame, whole_runs: bool = False) -> DataFrame:
     stays = F.col("stays")
     apart = (place != stays) & ~(F.col("doc_id").eqNullSafe(stays["doc_id"]) & (F.col("text_hash") == stays["text_hash"]) & (F.col("first") < stays["first"] + F.col("lines")))
     # One body per hash: its bytes were compared above, so members are found by hash alone; others by bytes again.
-    same = found.drop("body").join(by_key.filter("bodies = 1"), "key").filter(apart)
+    same = spread_join(found.drop("body"), by_key.filter("bodies = 1"), ["key"], "doc_id").filter(apart)
     out = same.select(*cols)
     clashes = by_key.filter("bodies > 1").select("key")
     if not clashes.isEmpty():
@@ -146,10 +145,13 @@ def strip(docs: DataFrame, whole_runs: bool = False) -> DataFrame:
     Lines end at line feeds; a null text counts as empty and has one line. Chunks are compared byte for byte. Rows that
     repeat doc_id and text are one document, so a passage is not removed for being in both, and each gets a row.
     With `whole_runs` every repeated run of lines of LONG_LINE words goes as well, wherever chunks' boundaries are.
-    A text all of whose lines go becomes empty. Only documents that lose lines are shuffled (by a bitmap of fixed size).
+    A text all of whose lines go becomes empty. Only documents that may lose lines (a filter of those that do tells) are shuffled. No rows give no rows; a very
+    long text is held whole by one task; other columns are ignored, whatever their names.
     """
     small_batches(docs)
-    gone = materialize(removals(docs, whole_runs), "line-removals")
+    with scratch(docs.sparkSession) as keep:
+        named = removals(docs, whole_runs).withColumn("key", F.xxhash64("doc_id", "text_hash"))
+        gone = keep(materialize(named, "line-removals"))
 
     @F.pandas_udf("array<struct<first:int,lines:int>>")
     def disjoint(spans: pd.Series) -> pd.Series:
@@ -157,11 +159,11 @@ def strip(docs: DataFrame, whole_runs: bool = False) -> DataFrame:
 
     per_document = gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("first", "lines"))).alias("removed")).withColumn("removed", disjoint("removed"))
     name = F.xxhash64("doc_id", "text_hash")
-    near = docs.sparkSession.sparkContext.broadcast(bitmap(gone.select(name.alias("key")).distinct()))
+    near = docs.sparkSession.sparkContext.broadcast(sieve(gone.select("key")))
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(bit_test(np.frombuffer(near.value, np.uint8), h.to_numpy().view(np.uint64)))
+        return pd.Series(near.value.passes(h.to_numpy()))
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, removed: pd.Series) -> pd.Series:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemolake.llm.common import bit_test, bitmap, documents, in_chunks, materialize, mix, released, small_batches, utf8, word_hashes
+from mnemolake.llm.common import documents, in_chunks, materialize, mix, released, scratch, sieve, small_batches, spread_join, utf8, word_hashes
 
 WORDS = 5
 #: Similarity of a link, as a fraction: at least 4/5 of the union of both shingle sets is shared.
@@ -115,9 +115,9 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
 def _sums(s: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit names of each set, the same for equal sets."""
     out = []
+    edge = np.searchsorted(owner, np.arange(n + 1))
     for salt in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25):
         total = np.concatenate(([np.uint64(0)], np.cumsum(mix(s ^ np.uint64(salt)), dtype=np.uint64)))
-        edge = np.searchsorted(owner, np.arange(n + 1))
         out.append(mix(total[edge[1:]] - total[edge[:-1]]).view(np.int64))
     return out[0], out[1]
 
@@ -138,34 +138,29 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([b.column(0).slice(first, n), b.column(1).slice(first, n), pa.array(size, pa.int32()), pa.array(k1), pa.array(k2), lists], ["doc_id", "text_hash", "n", "k1", "k2", "bands"])
 
 
-def _sets(wanted: bytes):
+def _sets(wanted):
+    """(key, text) of the rows that may be wanted to (k1, k2, shingles); wanted: a broadcast Sieve of their keys."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = np.frombuffer(wanted, np.uint8)
         for b in batches:
-            for first, part in in_chunks(utf8(b.column(1))):
+            hit = np.flatnonzero(wanted.value.passes(b.column(0).to_numpy(zero_copy_only=False)))
+            for _, part in in_chunks(utf8(b.column(1).take(pa.array(hit)))):
                 s, owner = shingles(part)
                 k1, k2 = _sums(s, owner, len(part))
-                ids = np.array([x if x is not None else -1 for x in b.column(0).slice(first, len(part)).to_pylist()], np.int64)
-                hit = np.flatnonzero(bit_test(packed, mix(k1.view(np.uint64) ^ mix(ids.view(np.uint64)))))
                 edge = np.searchsorted(owner, np.arange(len(part) + 1))
-                held = [s[edge[i] : edge[i + 1]].view(np.int64) for i in hit]
-                yield pa.record_batch([pa.array(k1[hit]), pa.array(k2[hit]), pa.array(held, pa.list_(pa.int64()))], ["k1", "k2", "shingles"])
+                held = pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(s.view(np.int64)))
+                yield pa.record_batch([pa.array(k1), pa.array(k2), held], ["k1", "k2", "shingles"])
 
     return run
 
 
-def _row_key(k1: pd.Series, first_id: pd.Series) -> pd.Series:
-    ids = first_id.fillna(-1).astype(np.int64).to_numpy()
-    return pd.Series(mix(k1.to_numpy().view(np.uint64) ^ mix(ids.view(np.uint64))).view(np.int64))
-
-
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose shingle sets are similar, by comparing the sets."""
+    """The pairs (a, b), a stored table, whose shingle sets are similar, by comparing the sets. Nodes a of many pairs are dealt out."""
     left = sets.select(F.col("nid").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("nid").alias("b"), F.col("shingles").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     num, den = SIMILAR
-    return pairs.join(left, "a").join(right, "b").filter(shared * den >= (F.size("x") + F.size("y") - shared) * num).select("a", "b")
+    return spread_join(pairs, left, ["a"], "b").join(right, "b").filter(shared * den >= (F.size("x") + F.size("y") - shared) * num).select("a", "b")
 
 
 def _near_in_size(a: str, b: str):
@@ -201,18 +196,23 @@ def components(edges: DataFrame) -> DataFrame:
     """(nid, label) of all nodes of the edges (a, b); the label is the component's smallest node.
 
     Labels spread to neighbours and jump to their own label's label until none changes; each round is written to
-    the shared folder, so plans stay short and lost executors cost one round.
+    the shared folder, so plans stay short and lost executors cost one round. Nodes of many edges and labels of many
+    nodes are dealt over tasks.
     """
-    both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
-    labels = materialize(both.groupBy(F.col("a").alias("nid")).agg(F.least(F.min("b"), F.col("nid")).alias("label")), "near-labels")
-    while True:
-        seen = both.join(labels.select(F.col("nid").alias("b"), "label"), "b").groupBy(F.col("a").alias("nid")).agg(F.min("label").alias("near"))
-        spread = labels.join(seen, "nid").select("nid", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("nid").alias("label"), F.col("label").alias("next"))
-        new = materialize(spread.join(jump, "label").select("nid", "old", F.least("label", "next").alias("label")), "near-labels")
-        labels = new.select("nid", "label")
-        if new.filter("label <> old").isEmpty():
-            return labels
+    with scratch(edges.sparkSession) as keep:
+        both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "near-edges")
+        labels = materialize(both.groupBy(F.col("a").alias("nid")).agg(F.least(F.min("b"), F.col("nid")).alias("label")), "near-labels")
+        while True:
+            seen = spread_join(both, labels.select(F.col("nid").alias("b"), "label"), ["b"], "a").groupBy(F.col("a").alias("nid")).agg(F.min("label").alias("near"))
+            # Only labels that have a smaller label of their own lead anywhere.
+            jump = labels.filter("label < nid").select(F.col("nid").alias("label"), F.col("label").alias("next"))
+            jumped = spread_join(labels, jump, ["label"], "nid", "left")
+            new = jumped.join(seen, "nid").select("nid", F.col("label").alias("old"), F.least("label", "near", "next").alias("label"))
+            new = materialize(new, "near-labels")
+            labels = new.select("nid", "label")
+            if new.filter("label <> old").isEmpty():
+                keep(new)
+                return labels
 
 
 def classify(docs: DataFrame) -> DataFrame:
@@ -221,47 +221,53 @@ def classify(docs: DataFrame) -> DataFrame:
     Documents are linked if at least 0.8 of the union of their sets of five-word shingles is shared; classes are the
     components of links, named by their smallest doc_id (null only if no member has one). Equal sets form one node first. Texts without words stand
     alone. kept marks the smallest (doc_id, text_hash) of a class, nulls last; rows that repeat both are all marked.
-    No rows give no rows; other columns are ignored.
+    No rows give no rows; a very long text is worked on alone, in memory of some fifty times its bytes; other columns are
+    ignored, whatever their names.
 
     Nodes that share a band are candidates. In each band's bucket all members are compared with one of them, so
     copies of one text cost one comparison each. Members of buckets that still hold different components are then
     joined on rare shingles of theirs, which misses no similar pair: no candidate pair is left out.
     """
     small_batches(docs)
+    spark = docs.sparkSession
     listed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
-    rows = materialize(listed.mapInArrow(released(_sketch), "doc_id long, text_hash long, n int, k1 long, k2 long, bands array<long>"), "near-rows")
-    grouped = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("first_id"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    nodes = materialize(grouped.withColumn("nid", F.monotonically_increasing_id()), "near-nodes")
-    banded = nodes.select("nid", "n", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = banded.join(buckets, "band")
-    # A node's weight is how many it shares bands with. In a group of copies of one text, that text has the most: it is
-    # near all of them, while two copies may be too far apart to be linked.
-    weight = shared.groupBy("nid").agg(F.sum("members").alias("weight"))
-    weighed = materialize(shared.drop("members").join(weight, "nid"), "near-weighed")
-    heads = weighed.groupBy("band").agg(F.max(F.struct("weight", "nid")).alias("head")).select("band", F.col("head.nid").alias("a"))
-    member = materialize(weighed.join(heads, "band").select("band", "nid", "n", "weight", "a"), "near-members")
-    sized = nodes.select(F.col("nid").alias("a"), F.col("n").alias("a_n"))
-    led = member.filter("nid <> a").select("a", F.col("nid").alias("b"), "n").distinct().join(sized, "a").filter(_near_in_size("n", "a_n")).select("a", "b")
-    wanted = member.select("nid").distinct().join(nodes.select("nid", "k1", "first_id"), "nid").select(F.pandas_udf(_row_key, "long")("k1", "first_id").alias("key"))
-    wanted = materialize(wanted, "near-wanted")  # so that no stage runs two Python workers per task
-    held = listed.select("doc_id", "text").mapInArrow(released(_sets(bitmap(wanted))), "k1 long, k2 long, shingles array<long>")
-    sets = materialize(held.join(nodes.select("k1", "k2", "nid"), ["k1", "k2"]).groupBy("nid").agg(F.any_value("shingles").alias("shingles")), "near-sets")
-    links = materialize(_similar(led, sets), "near-links")
-    labels = components(links)
-
-    # Buckets that hold more than one component: their nodes are compared across components.
-    known = member.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
-    several = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
-    apart = materialize(known.join(several, "band", "left_semi").select("nid", "label").distinct(), "near-apart")
-    more = materialize(_similar(prefix_pairs(apart, sets), sets), "near-links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    named = nodes.select("k1", "k2", "nid").join(labels, "nid", "left").select("k1", "k2", F.coalesce("label", "nid").alias("label"))
-    placed = materialize(rows.filter("n > 0").select("doc_id", "text_hash", "k1", "k2").join(named, ["k1", "k2"]).select("doc_id", "text_hash", "label"), "near-placed")
+    with scratch(spark) as keep:
+        rows = keep(materialize(listed.mapInArrow(released(_sketch), "doc_id long, text_hash long, n int, k1 long, k2 long, bands array<long>"), "near-rows"))
+        one = F.min_by(F.struct("doc_id", "text_hash", "n", "bands"), F.struct("doc_id", "text_hash"))
+        grouped = rows.filter("n > 0").groupBy("k1", "k2").agg(one.alias("one")).select("k1", "k2", "one.n", "one.bands", F.xxhash64("one.doc_id", "one.text_hash").alias("key"))
+        nodes = materialize(grouped.withColumn("nid", F.monotonically_increasing_id()), "near-nodes")
+        banded = nodes.select("nid", "n", F.explode("bands").alias("band"))
+        buckets = banded.groupBy("band").agg(F.count("*").alias("members")).filter("members > 1")
+        shared = banded.join(buckets, "band")
+        # A node's weight is how many it shares bands with. In a group of copies of one text, that text has the most: it is
+        # near all of them, while two copies may be too far apart to be linked.
+        weight = shared.groupBy("nid").agg(F.sum("members").alias("weight"))
+        weighed = materialize(shared.drop("members").join(weight, "nid"), "near-weighed")
+        heads = weighed.groupBy("band").agg(F.max(F.struct("weight", "nid", "n")).alias("head")).select("band", F.col("head.nid").alias("a"), F.col("head.n").alias("a_n"))
+        member = materialize(spread_join(weighed.select("band", "nid", "n"), heads, ["band"], "nid"), "near-members")
+        led = materialize(member.filter((F.col("nid") != F.col("a")) & _near_in_size("n", "a_n")).select("a", F.col("nid").alias("b")).distinct(), "near-led")
+        wanted = materialize(member.select("nid").distinct().join(nodes.select("nid", "k1", "k2", "key"), "nid"), "near-wanted")
+        sent = spark.sparkContext.broadcast(sieve(wanted.select("key")))
+        # The row that stands for a node is known by its id and text, so only its text is made into shingles again.
+        held = listed.select(F.xxhash64("doc_id", "text_hash"), "text").mapInArrow(released(_sets(sent)), "k1 long, k2 long, shingles array<long>")
+        sets = materialize(held.join(wanted.select("k1", "k2", "nid"), ["k1", "k2"]).groupBy("nid").agg(F.any_value("shingles").alias("shingles")), "near-sets")
+        links = materialize(_similar(led, sets), "near-links")
+        labels = components(links)
+
+        # Buckets that hold more than one component: their nodes are compared across components.
+        known = member.join(labels, "nid", "left").withColumn("label", F.coalesce("label", "nid"))
+        several = known.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
+        apart = materialize(known.join(several, "band", "left_semi").select("nid", "label").distinct(), "near-apart")
+        if not apart.isEmpty():
+            more = materialize(_similar(materialize(prefix_pairs(apart, sets), "near-pairs"), sets), "near-links")
+            if not more.isEmpty():
+                labels = components(links.unionByName(more))
+        named = nodes.select("k1", "k2", "nid").join(labels, "nid", "left").select("k1", "k2", F.coalesce("label", "nid").alias("label"))
+        several = rows.filter("n > 0").select("doc_id", "text_hash", "k1", "k2")
+        placed = keep(materialize(spread_join(several, named, ["k1", "k2"], "doc_id"), "near-placed")).select("doc_id", "text_hash", "label")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     classes = placed.groupBy("label").agg(F.count("*").alias("class_size"), F.min(order).alias("first"))
-    out = placed.join(classes, "label").select("doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), "class_size", (order == F.col("first")).alias("kept"))
+    out = spread_join(placed, classes, ["label"], "doc_id").select("doc_id", "text_hash", F.col("first.doc_id").alias("class_id"), "class_size", (order == F.col("first")).alias("kept"))
     alone = rows.filter("n = 0").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     return out.unionByName(alone)
 
@@ -269,20 +275,24 @@ def classify(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one of each class, with all their columns; of rows repeated whole, one.
 
-    Texts without words all stay. Only rows that may be in a class of several (a bitmap of fixed size tells) are shuffled.
+    Texts without words all stay. Only rows that may be in a class of several (a filter of the classes' rows tells) are
+    shuffled. Columns of any name come through as they are. No rows give no rows.
     """
-    several = materialize(classify(docs).filter("class_size > 1").select("doc_id", "text_hash", "kept"), "near-classes")
-    near = docs.sparkSession.sparkContext.broadcast(bitmap(several.select(F.xxhash64("doc_id", "text_hash").alias("key")).distinct()))
+    spark = docs.sparkSession
+    with scratch(spark) as keep:
+        several = keep(materialize(classify(docs).filter("class_size > 1").select(F.xxhash64("doc_id", "text_hash").alias("key"), "doc_id", "text_hash", "kept"), "near-classes"))
+    near = spark.sparkContext.broadcast(sieve(several.select("key")))
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(bit_test(np.frombuffer(near.value, np.uint8), h.to_numpy().view(np.uint64)))
-
-    marked = docs.withColumn("__hash", F.xxhash64("text")).withColumn("__maybe", maybe(F.xxhash64(F.col("doc_id").cast("long"), F.col("__hash"))))
-    gone = several.filter("NOT kept").select(F.col("doc_id").alias("__out"), F.col("text_hash").alias("__out_hash"))
-    suspects = marked.filter("__maybe").drop("__maybe")
-    staying = suspects.join(gone, F.col("doc_id").eqNullSafe(F.col("__out")) & (F.col("__hash") == F.col("__out_hash")), "left_anti").dropDuplicates(["doc_id", "__hash"])
-    return marked.filter("NOT __maybe").drop("__maybe", "__hash").unionByName(staying.drop("__hash"))
+        return pd.Series(near.value.passes(h.to_numpy()))
+
+    own = F.xxhash64("text")
+    marked = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), own.alias("hash"), maybe(F.xxhash64(F.col("doc_id").cast("long"), own)).alias("maybe"))
+    gone = several.filter("NOT kept").select(F.col("doc_id").alias("out"), F.col("text_hash").alias("out_hash")).distinct()
+    suspects = marked.filter("maybe").join(gone, F.col("id").eqNullSafe(F.col("out")) & (F.col("hash") == F.col("out_hash")), "left_anti")
+    staying = suspects.dropDuplicates(["id", "hash"])
+    return marked.filter("NOT maybe").select("row.*").unionByName(staying.select("row.*"))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
