@@ -136,6 +136,12 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
             fs.delete(place, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a materialized table that nothing reads any more."""
+    fs, place = _file_system(df.sparkSession, df._stored_at)
+    fs.delete(place, True)
+
+
 # --- joins with hot keys ---------------------------------------------------------
 
 #: Keys that are dealt over several tasks, at most, and the rows that a key needs for that, at least.

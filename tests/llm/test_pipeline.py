@@ -1,12 +1,13 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import corpus_pipeline as C
 import numpy as np
 import public_tokenizers as P
 
-from mnemolake.llm.common import materialize
+from mnemolake.llm.common import materialize, shared_dir
 from mnemolake.llm.packing import encoder
 from tests.llm.test_neardup import brute_classes
 
@@ -77,9 +78,31 @@ def test_stages_on_nothing(spark):
 
 
 def test_extra_columns_survive(spark):
+    """Columns of any name and type come through every stage as they are; the last one ignores them."""
     _, docs = documents(spark)
-    wide = docs.limit(40).selectExpr("*", "doc_id AS mixed", "'y' AS kept", "1 AS class_id", "2 AS lang_pred", "3 AS size")
-    for name, stage in C.STAGES[1:4]:
+    names = ["mixed", "kept", "class_id", "lang_pred", "size", "row", "hash", "words", "id", "maybe", "key", "text_hash", "doc_tokens", "__maybe", "__kept", "__part", "__hash", "__coded", "__size", "__n"]
+    wide = docs.limit(60).selectExpr("*", *[f"named_struct('v', doc_id) AS `{n}`" for n in names])
+    for name, stage in C.STAGES[:4]:
         out = stage(spark, wide, "")
-        assert out.columns == wide.columns, name
-        assert all(r["mixed"] == r["doc_id"] for r in out.collect())
+        assert out.dtypes == wide.dtypes, name
+        assert all(r[n]["v"] == r["doc_id"] for r in out.collect() for n in names), name
+    assert C.STAGES[4][1](spark, wide, "").columns == C.STAGES[4][1](spark, docs, "").columns
+
+
+def test_cut_documents_keep_their_spaces(spark):
+    rows = [(i, " a\tb\n\nc  d\n" + "x y\n" * i, None, f"s{i % 3}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    original = {r[0]: r[1] for r in rows}
+    out = C.STAGES[3][1](spark, docs, "").collect()
+    cut = [r for r in out if r["text"] != original[r["doc_id"]]]
+    assert cut and all(original[r["doc_id"]].startswith(r["text"]) and not r["text"][-1].isspace() for r in cut)
+
+
+def test_run_leaves_only_what_its_result_reads(spark, tmp_path):
+    _, docs = documents(spark)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    n = C.run(spark, str(tmp_path)).count()
+    left = {x for x in shared.iterdir() if not x.name.startswith(".")} - before
+    assert n > 100 and [x.name.rsplit("-", 1)[0] for x in left] == ["stage-mix_sources"]
