@@ -87,6 +87,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _made = threading.local()
+#: Intermediate tables need no checksum files beside them. On a local file system each file costs an executor one child process
+#: in place of three (for its mode, its checksums' mode, and its mode again); other file systems don't look at these.
+_PLAIN_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -101,7 +104,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**_PLAIN_FILES).parquet(path)
     fs, place = _file_system(spark, path)
     fs.deleteOnExit(place)
     if getattr(_made, "blocks", None):
@@ -113,7 +116,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
-    """Deletes at its end the tables materialized inside, but for those given to the function that it yields.
+    """Deletes at its end the tables materialized or held inside, but for those given to the function that it yields.
 
     These go on to the block around it, if there is one. What is returned from the block may read kept tables only.
     """
