@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+import uuid
+from collections.abc import Iterable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemolake.config import DEFAULTS, EngineConfig
-from mnemolake.functions.text import anchors_udf, claim_id, embedding_text, record_text
+from mnemolake.functions.text import action_key, anchors_udf, claim_id, embedding_text, record_text, shape_warnings
 from mnemolake.hooks import Hooks
 from mnemolake.operators import consolidate as co
 from mnemolake.operators import evidence, keyword, lifecycle, reads, recall, scope, temporal, trust, vectors
@@ -16,6 +20,7 @@ from mnemolake.sources import markdown
 from mnemolake.sources.catalog import SCHEMAS, Catalog, conform
 from mnemolake.sources.embeddings import HashEncoder, WordHashEncoder, encode
 
+CONTENT_TYPES = ("exchange", "fact", "solution", "preference", "procedure")
 OUTCOMES = ("success", "partial_success", "failure", "reverted", "superseded")
 
 
@@ -31,53 +36,70 @@ class MemoryEngine:
         held = scope.coerce(where) if where is not None else self.scope
         return df.filter(scope.equality(held.read_filter())) if "namespace_slug" in df.columns else df
 
+    def _own(self, table: str) -> DataFrame:
+        """What the caller may change."""
+        return self.catalog.read(table).filter(scope.equality(self.scope.mutation_filter()))
+
+    def _claims(self, where: object = None, own: bool = False) -> DataFrame:
+        """Claims all of whose sources the caller may read, or change."""
+        held = scope.coerce(where) if where is not None else self.scope
+        c = self.catalog
+        sources = scope.source_scopes(c.read("claim_sources"), c.read("episodes"), c.read("knowledge_records"), c.read("knowledge_topics"), scope.EQUALITY_KEYS)
+        return scope.claims_in_scope(c.read("claims"), sources, held.mutation_filter() if own else held.read_filter())
+
     def _scoped(self, df: DataFrame) -> DataFrame:
         return df.withColumns({k: F.lit(v).cast("string") for k, v in self.scope.mutation_filter().items()})
 
     # --- episodes
 
     def ingest(self, episodes: DataFrame, now: str) -> DataFrame:
-        """Stores episodes (content, and content_type, tags, surprise_score if given); returns (id, status, duplicate_of).
+        """Stores episodes (content, and content_type, tags, surprise_score if given).
 
-        Ids come from scope, type and content, so a repeated batch changes nothing. Texts nearer than the dedup bound to a
-        stored or earlier one of the scope are refused.
+        Returns for every row given (id, status, duplicate_of, advice): stored; known, if its scope, type and content are
+        there already; duplicate, if its text is nearer than the dedup bound to a stored one of the scope or to one
+        before it in the batch. advice says what will make a solution hard to find.
         """
         self.scope.require_write()
         have = set(episodes.columns)
-        rows = episodes.withColumns({"content_type": F.coalesce("content_type", F.lit("exchange")) if "content_type" in have else F.lit("exchange"), "tags": F.col("tags") if "tags" in have else F.array().cast("array<string>")})
-        bad = rows.filter(~F.col("content_type").isin("exchange", "fact", "solution", "preference", "procedure") | (F.trim(F.coalesce("content", F.lit(""))) == ""))
-        if not bad.isEmpty():
-            raise ValueError("episodes need content and a known content_type")
+        rows = episodes.withColumns({"content_type": F.coalesce("content_type", F.lit("exchange")) if "content_type" in have else F.lit("exchange"), "tags": F.coalesce("tags", F.array().cast("array<string>")) if "tags" in have else F.array().cast("array<string>")})
         key = F.concat_ws("|", *[F.lit(v or "") for v in self.scope.mutation_filter().values()], "content_type", "content")
-        rows = rows.withColumn("id", F.substring(F.sha2(key, 256), 1, 32)).dropDuplicates(["id"])
-        text = F.pandas_udf(_embedding_texts, "string")("content", "content_type", "tags")
-        fresh = rows.join(self.catalog.read("episodes").select("id"), "id", "left_anti").withColumn("text", text)
-        coded = fresh.join(encode(fresh, self.encoder), "id").persist()
-        own = self._read("episodes").select("id")
-        stored = self.catalog.read("vectors").filter("NOT tombstoned").join(own, "id", "left_semi")
-        known = vectors.nearest_duplicates(coded, stored, self.config.dedup_similarity)
-        new = coded.join(known, "id", "left_anti")
-        kept = new.dropDuplicates(["content"])
-        t = temporal.instant(now)
-        defaults = {"created_at": t, "updated_at": t}
-        stamped = kept.withColumns({k: F.coalesce(F.col(k).cast("timestamp"), v) if k in have else v for k, v in defaults.items()})
-        pairs = reads.tag_pairs(stamped).unionByName(self.catalog.read("tag_cooccurrence")).groupBy("tag_a", "tag_b").agg(F.sum("count").alias("count"), F.max("last_seen").alias("last_seen"))
-        anchored = stamped.select(F.col("id").alias("episode_id"), F.explode(anchors_udf()("content")).alias("a")).select(F.sha2(F.concat_ws("|", "episode_id", "a.anchor_type", "a.anchor_value"), 256).alias("id"), "episode_id", "a.anchor_type", "a.anchor_value", t.alias("created_at"))
-        result = kept.select("id", F.lit("stored").alias("status"), F.lit(None).cast("string").alias("duplicate_of")).unionByName(known.select("id", F.lit("duplicate").alias("status"), "duplicate_of")).persist()
-        n = result.count()
-        self.catalog.publish({
-            "episodes": self.catalog.read("episodes").unionByName(conform(self._scoped(stamped), "episodes")),
-            "vectors": self.catalog.read("vectors").unionByName(conform(kept, "vectors")),
-            "episode_anchors": self.catalog.read("episode_anchors").unionByName(conform(anchored, "episode_anchors")), "tag_cooccurrence": pairs,
-        })
-        self.hooks.fire("store", count=n)
+        batch, t = uuid.uuid4().hex, temporal.instant(now)
+        with self.catalog.staged() as stage:
+            rows = stage(rows.withColumns({"id": F.substring(F.sha2(key, 256), 1, 32), "row": F.monotonically_increasing_id()}))
+            if not rows.filter(~F.col("content_type").isin(*CONTENT_TYPES) | (F.trim(F.coalesce("content", F.lit(""))) == "")).isEmpty():
+                raise ValueError(f"episodes need content and a content_type of {CONTENT_TYPES}")
+            first = rows.groupBy("id").agg(F.min("row").alias("row"))
+            stored = self.catalog.read("episodes").select("id")
+            fresh = rows.join(first.select("row"), "row", "left_semi").join(stored, "id", "left_anti").withColumn("text", F.pandas_udf(_embedding_texts, "string")("content", "content_type", "tags"))
+            coded = stage(fresh.join(encode(fresh, self.encoder), "id"))
+            vector_table = self.catalog.read("vectors").filter("NOT tombstoned").join(self._own("episodes").filter("NOT deleted").select("id"), "id", "left_semi")
+            near = vectors.nearest_duplicates(coded, vector_table, self.config.dedup_similarity)
+            inside = vectors.greedy_dedup(coded.join(near, "id", "left_anti").withColumn("batch", F.lit(batch)), ["batch"], "row", self.config.dedup_similarity)
+            refused = stage(near.unionByName(inside.filter("duplicate_of IS NOT NULL")))
+            kept = coded.join(refused, "id", "left_anti")
+            stamped = kept.withColumns({k: F.coalesce(F.col(k).cast("timestamp"), t) if k in have else t for k in ("created_at", "updated_at")})
+            pairs = reads.tag_pairs(stamped).unionByName(self.catalog.read("tag_cooccurrence")).groupBy("tag_a", "tag_b").agg(F.sum("count").alias("count"), F.max("last_seen").alias("last_seen"))
+            anchored = stamped.select(F.col("id").alias("episode_id"), F.explode(anchors_udf()("content")).alias("a")).select("episode_id", "a.anchor_type", "a.anchor_value", t.alias("created_at"))
+            told = rows.join(first.withColumnRenamed("row", "first"), "id").join(refused, "id", "left").join(stored.distinct().withColumn("there", F.lit(True)), "id", "left")
+            again = F.col("row") != F.col("first")
+            status = F.when(F.col("there"), "known").when(F.col("duplicate_of").isNotNull() | again, "duplicate").otherwise("stored")
+            same = F.when(F.col("there") | again, F.col("id"))
+            log = told.select(F.lit(batch).alias("batch"), "id", status.alias("status"), F.coalesce("duplicate_of", same).alias("duplicate_of"), F.pandas_udf(_advice, "array<string>")("content", "content_type").alias("advice"), t.alias("created_at"))
+            self.catalog.publish({"tag_cooccurrence": pairs}, {"episodes": self._scoped(stamped), "vectors": kept, "episode_anchors": anchored, "ingest_log": log})
+        result = self.catalog.read("ingest_log").filter(F.col("batch") == batch).select("id", "status", "duplicate_of", "advice")
+        self.hooks.fire("store", count=result.filter("status = 'stored'").count())
         return result
 
     def recall(self, query: recall.RecallQuery | str, now: str | None = None, where: object = None) -> dict[str, DataFrame]:
-        """A DataFrame per section asked for: episodes, topics, records, claims."""
+        """A DataFrame per section asked for: episodes, topics, records, claims.
+
+        Episodes that the best records are made of are left out where both are asked for. Records weigh by their claims'
+        precision, and say if they are unsure or their topic has lately been contradicted; claims come with those that contradict them.
+        """
         q = query if isinstance(query, recall.RecallQuery) else recall.RecallQuery(query, now or "")
         vec = self.encoder.encode([q.text])[0].tolist()
         sim = lambda rows, text: encode(rows.select("id", text.alias("text")), self.encoder).select("id", vectors.dot(F.col("embedding"), vectors.literal(vec)).alias("similarity"))
+        as_of = q.as_of or q.now
         out = {}
         if "episodes" in q.sections:
             out["episodes"] = recall.episodes_section(self._read("episodes", where), self.catalog.read("vectors"), vec, q, self.catalog.read("tag_cooccurrence"), config=self.config)
@@ -85,10 +107,18 @@ class MemoryEngine:
             topics = self._read("knowledge_topics", where)
             out["topics"] = recall.topics_section(topics, sim(topics, F.concat_ws(". ", "title", "summary")), q, self.config)
         if "records" in q.sections:
-            records = self._read("knowledge_records", where).filter("NOT deleted").filter(temporal.valid_at(q.as_of or q.now))
-            out["records"] = recall.records_section(records, sim(records, F.col("embedding_text")), q, self.config)
+            records = self._read("knowledge_records", where).filter("NOT deleted").filter(temporal.valid_at(as_of))
+            links = self.catalog.read("claim_sources").filter("source_record_id IS NOT NULL").select(F.col("source_record_id").alias("id"), "claim_id")
+            precise = links.join(self.catalog.read("claims").select(F.col("id").alias("claim_id"), "precision_"), "claim_id").groupBy("id").agg(F.min("precision_").alias("precision_"))
+            found = recall.records_section(records.join(precise, "id", "left"), sim(records, F.col("embedding_text")), q, self.config)
+            lately = self.catalog.read("contradiction_log").filter(F.col("detected_at").between(temporal.instant(as_of) - F.expr("INTERVAL 30 DAYS"), temporal.instant(as_of)))
+            out["records"] = recall.uncertainty(found, lately.select("topic_id"))
+            if "episodes" in out:
+                out["episodes"] = recall.without_covered(out["episodes"], found).orderBy(F.desc("score"), "id")
         if "claims" in q.sections:
-            out["claims"] = self.search_claims(q.text, q.as_of or q.now, 15)
+            claims = self.search_claims(q.text, as_of, 15, where)
+            rivals = recall.partners(self.catalog.read("claim_edges"), self._claims(where), claims).groupBy("id").agg(F.array_sort(F.collect_set("partner")).alias("contradicted_by"))
+            out["claims"] = claims.join(rivals, "id", "left").orderBy(F.desc("relevance"), F.desc("updated_at"), "id")
         self.hooks.fire("recall", query=q.text)
         return out
 
@@ -98,37 +128,50 @@ class MemoryEngine:
     def forget(self, ids: DataFrame, now: str) -> int:
         """Deletes the caller's episodes among ids, with all that follows for claims."""
         self.scope.require_write()
-        own = self.catalog.read("episodes").filter(scope.equality(self.scope.mutation_filter())).filter("NOT deleted").join(ids.select("id"), "id", "left_semi").select("id")
+        own = self._own("episodes").filter("NOT deleted").join(ids.select("id"), "id", "left_semi").select("id")
         n = own.count()
-        c = {t: self.catalog.read(t) for t in ("episodes", "vectors", "claims", "claim_sources", "claim_events")}
+        c = {t: self.catalog.read(t) for t in ("episodes", "vectors", "claims", "claim_sources")}
         new = lifecycle.forget(c["episodes"], c["vectors"], c["claims"], c["claim_sources"], own, now)
-        new["claim_events"] = c["claim_events"].unionByName(conform(new["claim_events"], "claim_events"))
-        self.catalog.publish(new)
+        self.catalog.publish(new, {"claim_events": new.pop("claim_events")})
         self.hooks.fire("forget", count=n)
         return n
 
-    def protect(self, ids: DataFrame | None = None, tag: str | None = None) -> None:
+    def protect(self, ids: DataFrame | None = None, tag: str | None = None) -> int:
+        """Marks the caller's episodes among ids, or with a tag; how many."""
         self.scope.require_write()
-        rows = self.catalog.read("episodes")
-        hit = rows.filter(F.array_contains("tags", tag)).select("id") if tag else ids
-        self.catalog.publish({"episodes": lifecycle.update(rows, hit, {"protected": F.lit(True)})})
+        own = self._own("episodes").filter("NOT deleted")
+        hit = own.filter(F.array_contains("tags", tag)).select("id") if tag else own.join(ids.select("id"), "id", "left_semi").select("id")
+        n = hit.count()
+        self.catalog.publish({"episodes": lifecycle.update(self.catalog.read("episodes"), hit, {"protected": F.lit(True)})})
+        return n
 
     # --- claims and outcomes
 
-    def _evidence(self, as_of: str) -> DataFrame:
-        links = self.catalog.read("action_outcome_sources").filter("source_claim_id IS NOT NULL").select("outcome_id", F.col("source_claim_id").alias("claim_id")).distinct()
-        outcomes = self.catalog.read("action_outcomes").withColumnRenamed("id", "outcome_id").join(links, "outcome_id")
-        return evidence.assemble(temporal.claims_as_of(self.catalog.read("claims"), self.catalog.read("claim_events"), as_of), evidence.outcome_evidence(outcomes, as_of), evidence.event_evidence(self.catalog.read("claim_events"), as_of), evidence.source_evidence(self.catalog.read("claim_sources"), self.catalog.read("episode_anchors")))
-
-    def browse_claims(self, as_of: str, claim_type: str | None = None, limit: int = 50) -> DataFrame:
+    def _evidence(self, claims: DataFrame, as_of: str, more: Mapping[str, DataFrame] | None = None) -> DataFrame:
+        """Claims with what is known for and against them; more: rows that a change in the making adds to tables."""
+        more = more or {}
+        read = lambda t: self.catalog.read(t).unionByName(conform(more[t], t)) if t in more else self.catalog.read(t)
+        links = read("action_outcome_sources").filter("source_claim_id IS NOT NULL").select("outcome_id", F.col("source_claim_id").alias("claim_id")).distinct()
+        outcomes = read("action_outcomes").withColumnRenamed("id", "outcome_id").join(links, "outcome_id")
+        return evidence.assemble(temporal.claims_as_of(claims, read("claim_events"), as_of), evidence.outcome_evidence(outcomes, as_of), evidence.event_evidence(read("claim_events"), as_of), evidence.source_evidence(read("claim_sources"), self.catalog.read("episode_anchors")))
+
+    def _with_precision(self, claims: DataFrame, ids: DataFrame, now: str, more: Mapping[str, DataFrame] | None = None) -> DataFrame:
+        """claims with the precision of those among ids as their evidence has it now; only these are looked at."""
+        touched = claims.join(ids.select("id").distinct(), "id", "left_semi")
+        new = self._evidence(touched, now, more).select("id", trust.precision().alias("p"))
+        return claims.join(new, "id", "left").withColumn("precision_", F.coalesce("p", "precision_")).select(*claims.columns)
+
+    def browse_claims(self, as_of: str, claim_type: str | None = None, limit: int = 50, where: object = None) -> DataFrame:
         if not 1 <= limit <= 200:
             raise ValueError("limit must be 1 to 200")
-        rows = trust.with_reuse(trust.with_reliability(self._evidence(as_of), as_of), as_of)
+        rows = trust.with_reuse(trust.with_reliability(self._evidence(self._claims(where), as_of), as_of), as_of)
         return (rows if claim_type is None else rows.filter(F.col("claim_type") == claim_type)).orderBy(F.desc("updated_at"), "id").limit(limit)
 
-    def search_claims(self, query: str, as_of: str, limit: int = 50) -> DataFrame:
+    def search_claims(self, query: str, as_of: str, limit: int = 50, where: object = None) -> DataFrame:
+        if not 1 <= limit <= 200:
+            raise ValueError("limit must be 1 to 200")
         vec = self.encoder.encode([query])[0].tolist()
-        rows = trust.with_reliability(self._evidence(as_of), as_of)
+        rows = trust.with_reliability(self._evidence(self._claims(where), as_of), as_of)
         text = F.concat_ws(" ", "canonical_text", F.array_join(F.transform(F.array_sort(F.map_entries("payload")), lambda p: F.concat_ws(" ", p["key"], p["value"])), " "))
         sims = encode(rows.select("id", text.alias("text")), self.encoder).select("id", vectors.dot(F.col("embedding"), vectors.literal(vec)).alias("semantic"))
         rows = rows.join(sims, "id").withColumn("keyword", keyword.share_of_words(query, text)).withColumn("phrase", F.contains(F.lower(text), F.lit(query.lower())).cast("double"))
@@ -138,72 +181,94 @@ class MemoryEngine:
         return rows.filter(F.col("relevance") >= F.when(lexical, 0.08).otherwise(self.config.claim_threshold)).orderBy(F.desc("relevance"), F.desc("updated_at"), "id").limit(limit)
 
     def record_outcome(self, summary: str, outcome_type: str, now: str, claim_ids: Sequence[str] = (), episode_ids: Sequence[str] = (), refs: Sequence[tuple[str, str, str]] = (), confidence: float = 0.8, provenance: str = "{}") -> str:
-        """One observed outcome with its links; the linked claims' precision follows."""
-        from mnemolake.functions.text import action_key
+        """One observed outcome with its links, and the linked claims' precision, all published together.
 
+        Sources are the caller's own claims and episodes.
+        """
         self.scope.require_write()
         if outcome_type not in OUTCOMES:
             raise ValueError(f"outcome_type must be one of {OUTCOMES}")
+        claim_ids, episode_ids = id_tokens(claim_ids), id_tokens(episode_ids)
         if not claim_ids and not episode_ids:
             raise ValueError("an outcome needs a source")
-        for table, ids in (("claims", claim_ids), ("episodes", episode_ids)):
+        for name, ids, rows in (("claims", claim_ids, self._claims(own=True)), ("episodes", episode_ids, self._own("episodes"))):
             wanted = self.spark.createDataFrame([(i,) for i in ids], "id string")
-            if not reads.by_ids(self.catalog.read(table), wanted, missing=True).isEmpty():
-                raise ValueError(f"unknown {table}")
+            if ids and not reads.by_ids(rows, wanted, missing=True).isEmpty():
+                raise ValueError(f"{name} that are unknown, or not the caller's")
         key = action_key(summary)
-        import hashlib
-
-        own = f"out_{hashlib.sha256(f'{key}|{outcome_type}|{now}'.encode()).hexdigest()[:32]}"
+        own = f"out_{hashlib.sha256(f'{key}|{outcome_type}|{now}|{claim_ids}|{episode_ids}'.encode()).hexdigest()[:32]}"
         one = self.spark.createDataFrame([(own, key, summary, outcome_type, float(confidence), provenance)], "id string, action_key string, action_summary string, outcome_type string, confidence double, provenance string").withColumn("observed_at", temporal.instant(now))
         links = self.spark.createDataFrame([(f"{own}-{i}", own, c, e) for i, (c, e) in enumerate([(c, None) for c in claim_ids] + [(None, e) for e in episode_ids])], "id string, outcome_id string, source_claim_id string, source_episode_id string")
         held = self.spark.createDataFrame([(f"{own}-r{i}", own, *r) for i, r in enumerate(refs)], "id string, outcome_id string, ref_type string, ref_key string, ref_value string")
-        self.catalog.append({"action_outcomes": self._scoped(one), "action_outcome_sources": links, "action_outcome_refs": held})
-        self._refresh_precision(now)
+        added = {"action_outcomes": self._scoped(one), "action_outcome_sources": links, "action_outcome_refs": held}
+        touched = links.filter("source_claim_id IS NOT NULL").select(F.col("source_claim_id").alias("id"))
+        changed = {"claims": self._with_precision(self.catalog.read("claims"), touched, now, {k: added[k] for k in ("action_outcomes", "action_outcome_sources")})} if claim_ids else {}
+        self.catalog.publish(changed, added)
         return own
 
-    def _refresh_precision(self, now: str) -> None:
-        new = self._evidence(now).select("id", trust.precision().alias("p"))
-        claims = self.catalog.read("claims")
-        self.catalog.publish({"claims": claims.join(new, "id", "left").withColumn("precision_", F.coalesce("p", "precision_")).select(*claims.columns)})
-
     def browse_outcomes(self, limit: int = 50) -> DataFrame:
+        if not 1 <= limit <= 200:
+            raise ValueError("limit must be 1 to 200")
         links = self.catalog.read("action_outcome_sources").groupBy(F.col("outcome_id").alias("id")).agg(F.array_sort(F.collect_set("source_claim_id")).alias("claims"), F.array_sort(F.collect_set("source_episode_id")).alias("episodes"))
         refs = self.catalog.read("action_outcome_refs").groupBy(F.col("outcome_id").alias("id")).agg(F.array_sort(F.collect_set(F.struct("ref_type", "ref_key", "ref_value"))).alias("refs"))
         return self._read("action_outcomes").join(links, "id", "left").join(refs, "id", "left").orderBy(F.desc("observed_at"), F.desc("created_at"), "id").limit(limit)
 
     def detect_drift(self, paths: DataFrame, now: str, root: str = "/") -> DataFrame:
-        """Challenges active claims whose sources name a changed path; returns (id, paths)."""
-        c = {t: self.catalog.read(t) for t in ("episode_anchors", "claim_sources", "claims", "claim_events")}
-        hit = lifecycle.drifted(paths, c["episode_anchors"], c["claim_sources"], c["claims"], root, now).persist()
-        claims, events = lifecycle.challenge(c["claims"], hit, now, "code_drift_detected")
-        marks = lifecycle.event(events.select(F.col("claim_id").alias("id")), "challenged", now)
-        self.catalog.publish({"claims": claims, "claim_events": c["claim_events"].unionByName(conform(events.unionByName(marks), "claim_events"))})
-        self._refresh_precision(now)
-        return hit
+        """Challenges the caller's active claims whose sources name a changed path; returns (id, paths), kept as the run's impacts."""
+        self.scope.require_write()
+        c = {t: self.catalog.read(t) for t in ("episode_anchors", "claim_sources", "claims")}
+        own = self._claims(own=True)
+        run = uuid.uuid4().hex
+        with self.catalog.staged() as stage:
+            hit = stage(lifecycle.drifted(paths, c["episode_anchors"], c["claim_sources"], own, root, now))
+            claims, events = lifecycle.challenge(c["claims"], hit, now, "code_drift_detected")
+            events = events.unionByName(lifecycle.event(events.select(F.col("claim_id").alias("id")), "challenged", now))
+            claims = self._with_precision(claims, hit, now, {"claim_events": events})
+            self.catalog.publish({"claims": claims}, {"claim_events": events, "drift_impacts": hit.select(F.lit(run).alias("run_id"), F.col("id").alias("claim_id"), "paths", temporal.instant(now).alias("created_at"))})
+        return self.catalog.read("drift_impacts").filter(F.col("run_id") == run).select(F.col("claim_id").alias("id"), "paths")
 
     # --- knowledge
 
     def consolidate(self, now: str) -> dict[str, int]:
-        """One run over the pending episodes of all scopes; publishes records, claims, sources, events and a run row."""
+        """One run over the pending episodes of all scopes, each scope's on their own.
+
+        Clusters that rules can read become topics of their scope or are merged into those that are there; topics, their
+        versions, records, claims with sources and events, contradictions with edges, the run and its report are published together.
+        """
         self.scope.require_write()
         self.hooks.fire("consolidation_start")
-        got = co.consolidate(self.catalog.read("episodes"), self.catalog.read("vectors"), ["namespace_slug", "project_slug", "app_client_name"], now, claims=self.catalog.read("claims"), config=self.config)
-        records = got["records"].persist()
-        t = temporal.instant(now)
-        conf = got["clusters"].groupBy("cluster").agg(F.first("confidence").alias("confidence"))
-        text = F.pandas_udf(_record_texts, "string")(F.to_json("record"))
-        rows = records.join(conf, "cluster").select(F.sha2(F.concat_ws("|", F.col("cluster").cast("string"), "claim_id", F.lit(now)), 256).alias("id"), F.concat(F.lit("topic_"), F.col("cluster").cast("string")).alias("topic_id"), F.element_at("record", "type").alias("record_type"), F.col("record").alias("content"), text.alias("embedding_text"), "confidence", t.alias("created_at"), t.alias("updated_at"), t.alias("valid_from"))
-        n = records.count()
-        claims = self.catalog.read("claims")
-        fresh = conform(got["claims"].withColumn("created_at", t), "claims").join(claims.select("id"), "id", "left_anti")
-        self.catalog.publish({
-            "knowledge_records": self.catalog.read("knowledge_records").unionByName(conform(rows, "knowledge_records")), "claims": claims.unionByName(fresh),
-            "claim_sources": self.catalog.read("claim_sources").unionByName(conform(got["claim_sources"], "claim_sources")), "claim_events": self.catalog.read("claim_events").unionByName(conform(got["claim_events"], "claim_events")),
-            "episodes": got["episodes"],
-            "consolidation_runs": self.catalog.read("consolidation_runs").unionByName(conform(self.spark.range(1).select(F.lit(f"run-{now}").alias("id"), t.alias("started_at"), t.alias("completed_at"), F.lit("completed").alias("status"), F.lit(n).alias("episodes_processed")), "consolidation_runs")),
-        })
-        self.hooks.fire("consolidation_complete", records=n)
-        return {"records": n}
+        t, read = temporal.instant(now), self.catalog.read
+        run = f"run-{now}"
+        with self.catalog.staged() as stage:
+            got = co.consolidate(scope.with_defaults(read("episodes")), read("vectors"), scope.EQUALITY_KEYS, now, claims=read("claims"), config=self.config)
+            members, clusters = stage(got["members"].drop("embedding")), stage(got["clusters"])
+            records = stage(got["records"])
+            drafted = co.drafts(records, members, clusters)
+            topics = read("knowledge_topics")
+            placed = stage(drafted.join(co.assign_topics(drafted, topics, self.encoder, self.config), "cluster"))
+            new = co.merge_into_topics(placed, records, topics, read("knowledge_records"), now)
+            added = stage(new["added"])
+            ended = stage(new["ended"])
+            claims, known = read("claims"), read("claims").select("id")
+            fresh = conform(got["claims"].withColumn("created_at", t), "claims").join(known, "id", "left_anti")
+            events = stage(new["claim_events"].unionByName(lifecycle.event(fresh.select("id"), "create", now)))
+            sources = records.join(placed.select("cluster", "topic_id", F.explode("source_episodes").alias("source_episode_id")), "cluster").join(added.select("topic_id", "claim_id", F.col("id").alias("source_record_id")), ["topic_id", "claim_id"], "left").select("claim_id", "source_episode_id", F.col("topic_id").alias("source_topic_id"), "source_record_id", t.alias("created_at")).distinct()
+            sources = stage(conform(sources, "claim_sources").join(read("claim_sources").select("id"), "id", "left_anti"))
+            claims = lifecycle.expire(claims.unionByName(fresh), stage(new["expired_claims"]), now)
+            touched = events.filter("event_type = 'contradiction'").select(F.col("claim_id").alias("id"))
+            claims = self._with_precision(claims, touched, now, {"claim_events": events, "claim_sources": sources})
+            kept = lifecycle.update(read("knowledge_records"), ended, {"valid_until": F.least(F.coalesce(F.col("valid_until"), t), t), "updated_at": t})
+            counts = {"records": added.count(), "clusters": placed.count(), "topics_created": placed.filter("NOT known").select("topic_id").distinct().count(), "topics_updated": placed.filter("known").select("topic_id").distinct().count(), "contradictions": ended.count()}
+            formed = clusters.select("cluster").distinct().count()
+            report = self.spark.createDataFrame([(run, json.dumps(counts | {"clusters_formed": formed}, sort_keys=True))], "run_id string, report string").withColumn("created_at", t)
+            row = report.select(F.col("run_id").alias("id"), t.alias("started_at"), t.alias("completed_at"), F.lit("completed").alias("status"), F.lit(members.count()).alias("episodes_processed"), F.lit(formed).alias("clusters_formed"), F.lit(formed - counts["clusters"]).alias("clusters_failed"))
+            metrics = report.select("run_id", t.alias("timestamp"), F.lit(counts["clusters"]).alias("clusters_succeeded"), F.lit(formed - counts["clusters"]).alias("clusters_failed"), F.lit(counts["clusters"]).alias("fast_path_hits"))
+            self.catalog.publish(
+                {"knowledge_topics": new["knowledge_topics"], "knowledge_records": kept.unionByName(conform(added, "knowledge_records")), "claims": claims, "episodes": got["episodes"]},
+                {"topic_versions": new["topic_versions"], "claim_sources": sources, "claim_events": events, "contradiction_log": new["contradiction_log"], "claim_edges": new["claim_edges"], "consolidation_runs": row, "consolidation_metrics": metrics, "consolidation_reports": report},
+            )
+        self.hooks.fire("consolidation_complete", records=counts["records"])
+        return counts
 
     def compact(self, now: str, days: int | None = None) -> None:
         """Prunes old consolidated episodes and drops marked vectors."""
@@ -219,15 +284,39 @@ class MemoryEngine:
     def read_topic(self, topic_id: str) -> DataFrame:
         return markdown.topic_lines(self._read("knowledge_records").filter((F.col("topic_id") == topic_id) & ~F.col("deleted")))
 
+    def topic_as_of(self, topic_id: str, as_of: str) -> DataFrame:
+        """What a topic said at a time before its last change (title, summary, content); no row if it has not changed since."""
+        own = self._read("knowledge_topics").filter(F.col("id") == topic_id).select(F.col("id").alias("topic_id"))
+        return markdown.version_as_of(self.catalog.read("topic_versions").join(own, "topic_id", "left_semi"), temporal.instant(as_of))
+
     def correct(self, topic_id: str, text: str, now: str) -> int:
-        """Replaces a topic's records by those of an edited markdown text; the old ones end now."""
+        """Replaces the records of one of the caller's topics by those of an edited markdown text; the old ones end now.
+
+        Claims follow: the new records' are linked to them, and claims that nothing else supports end.
+        """
         self.scope.require_write()
-        new = markdown.parse(text)
-        t = temporal.instant(now)
-        rows = self.catalog.read("knowledge_records")
-        ended = rows.withColumn("valid_until", F.when((F.col("topic_id") == topic_id) & F.col("valid_until").isNull(), t).otherwise(F.col("valid_until")))
-        made = self.spark.createDataFrame([(claim_id(r["type"], r) + f"-{now}", topic_id, r["type"], r, record_text(r)) for r in new], "id string, topic_id string, record_type string, content map<string,string>, embedding_text string").withColumns({"created_at": t, "updated_at": t, "valid_from": t})
-        self.catalog.publish({"knowledge_records": ended.unionByName(conform(self._scoped(made), "knowledge_records"))})
+        topic = self._own("knowledge_topics").filter(F.col("id") == topic_id)
+        if topic.isEmpty():
+            raise ValueError("a topic that is unknown, or not the caller's")
+        new, t, read = markdown.parse(text), temporal.instant(now), self.catalog.read
+        rows, sources, claims = read("knowledge_records"), read("claim_sources"), read("claims")
+        old = rows.filter((F.col("topic_id") == topic_id) & F.col("valid_until").isNull() & ~F.col("deleted"))
+        ended = lifecycle.update(rows, old.select("id"), {"valid_until": t, "updated_at": t})
+        kind = "id string, topic_id string, record_type string, content map<string,string>, embedding_text string, claim_id string"
+        made = self.spark.createDataFrame([(hashlib.sha256(f"{topic_id}|{claim_id(r['type'], r)}|{now}".encode()).hexdigest()[:32], topic_id, r["type"], r, record_text(r), claim_id(r["type"], r)) for r in new], kind).withColumns({"created_at": t, "updated_at": t, "valid_from": t})
+        scoped = made.join(topic.select(F.col("id").alias("topic_id"), *scope.FIELDS), "topic_id")
+        told = co.to_claims(made.select("claim_id", F.col("content").alias("record"), F.lit(0).alias("position")), now).withColumn("created_at", t)
+        fresh = told.join(claims.select("id"), "id", "left_anti")
+        linked = made.select("claim_id", F.col("topic_id").alias("source_topic_id"), F.col("id").alias("source_record_id"), t.alias("created_at"))
+        left = sources.join(old.select(F.col("id").alias("source_record_id")), "source_record_id", "left_anti").select(*sources.columns).unionByName(conform(linked, "claim_sources"))
+        # Claims of the old records that have no source left.
+        lost = sources.join(old.select(F.col("id").alias("source_record_id")), "source_record_id", "left_semi").select(F.col("claim_id").alias("id")).distinct().join(left.select(F.col("claim_id").alias("id")), "id", "left_anti")
+        events = lifecycle.event(fresh.select("id"), "create", now).unionByName(lifecycle.event(told.select("id").join(claims.select("id"), "id", "left_semi"), "correct", now)).unionByName(lifecycle.event(lost, "expire", now))
+        version = topic.select(F.col("id").alias("topic_id"), t.alias("superseded_at"), "title", "summary").join(markdown.topic_lines(old).withColumnRenamed("body", "content"), "topic_id", "left")
+        self.catalog.publish(
+            {"knowledge_records": ended.unionByName(conform(scoped, "knowledge_records")), "claim_sources": left, "claims": lifecycle.expire(claims.unionByName(conform(fresh, "claims")), lost, now), "knowledge_topics": lifecycle.update(read("knowledge_topics"), topic.select("id"), {"fact_count": F.lit(len(new)), "updated_at": t})},
+            {"claim_events": events, "topic_versions": version},
+        )
         self.hooks.fire("topic_updated", topic=topic_id)
         return len(new)
 
@@ -240,13 +329,18 @@ class MemoryEngine:
         return recall.timeline(rows, sims, replaced.groupBy("id").agg(F.max_by("b", "s").alias("superseded_by")), as_of)
 
     def contradictions(self, limit: int = 50) -> DataFrame:
-        return reads.contradictions(self.catalog.read("contradiction_log"), self.catalog.read("knowledge_topics"), limit=limit)
+        """Newest contradictions in topics that the caller may read."""
+        if not 1 <= limit <= 200:
+            raise ValueError("limit must be 1 to 200")
+        topics = self._read("knowledge_topics")
+        log = self.catalog.read("contradiction_log").join(topics.select(F.col("id").alias("topic_id")), "topic_id", "left_semi")
+        return reads.contradictions(log, topics, limit=limit)
 
     # --- upkeep
 
     def status(self, now: str) -> dict[str, object]:
         row = reads.stats(self._read("episodes"), self._read("knowledge_topics"), self._read("knowledge_records"), now).first().asDict()
-        cover = reads.trust_coverage(self.catalog.read("claims"), self.catalog.read("claim_sources"), self.catalog.read("episode_anchors"), now).first().asDict()
+        cover = reads.trust_coverage(self._claims(), self.catalog.read("claim_sources"), self.catalog.read("episode_anchors"), now).first().asDict()
         v = self.catalog.read("vectors").agg(F.count("*").alias("n"), F.count_if("tombstoned").alias("gone")).first()
         ratio = v["gone"] / v["n"] if v["n"] else 0.0
         return row | {f"claims_{k}": x for k, x in cover.items()} | {"version": self.catalog.pointer()["version"], "health": trust.health(True, ratio, 1.0, None), "posture": trust.posture(cover["valid"], cover["challenged"], cover["source_ratio"])}
@@ -263,12 +357,14 @@ class MemoryEngine:
         return co.hygiene_report(lifecycle.hygiene_buckets(self._read("episodes")))
 
     def hygiene_apply(self, now: str, dry_run: bool = True) -> DataFrame:
-        """Orphaned claims, and episodes that buckets name; without dry_run both are removed."""
-        found = lifecycle.orphans(self.catalog.read("claims"), self.catalog.read("claim_sources"), self.catalog.read("episodes")).persist()
+        """The caller's orphaned claims, and episodes that buckets name; without dry_run both are removed."""
+        claims = self.catalog.read("claims")
+        found = lifecycle.orphans(self._claims(own=True), self.catalog.read("claim_sources"), self.catalog.read("episodes"))
         if not dry_run:
             self.scope.require_write()
-            self.catalog.publish({"claims": lifecycle.expire(self.catalog.read("claims"), found, now), "claim_events": self.catalog.read("claim_events").unionByName(conform(lifecycle.event(found, "expire", now), "claim_events"))})
-            self.forget(lifecycle.hygiene_buckets(self._read("episodes")).filter("bucket IN ('temp', 'noise_journal')").select("id"), now)
+            # Frames read the snapshot that they were made from, so `found` stays what it is.
+            self.catalog.publish({"claims": lifecycle.expire(claims, found, now)}, {"claim_events": lifecycle.event(found, "expire", now)})
+            self.forget(lifecycle.hygiene_buckets(self._own("episodes")).filter("bucket IN ('temp', 'noise_journal')").select("id"), now)
         return found
 
     def policy_grant(self, principal: tuple[str, str], write_mode: str = "allow", read_visibility: str = "private", namespace: str | None = None, project: str | None = None) -> None:
@@ -302,18 +398,17 @@ class MemoryEngine:
         return a.unionByName(recall.simple_view(got["records"], "record", "embedding_text")).orderBy(F.desc("score"), "id").limit(n)
 
 
-def _embedding_texts(content, kind, tags):
-    import pandas as pd
-
-    return pd.Series([embedding_text(c, k, list(t) if t is not None else []) for c, k, t in zip(content, kind, tags, strict=True)])
+def id_tokens(values: Iterable[object]) -> list[str]:
+    """Ids trimmed, blank ones dropped, each once, in order."""
+    return list(dict.fromkeys(x for x in (str(v).strip() for v in values if v is not None) if x))
 
 
-def _record_texts(raw):
-    import json
+def _embedding_texts(content: pd.Series, kind: pd.Series, tags: pd.Series) -> pd.Series:
+    return pd.Series([embedding_text(c, k, list(t) if t is not None else []) for c, k, t in zip(content, kind, tags, strict=True)])
 
-    import pandas as pd
 
-    return pd.Series([record_text(json.loads(r)) for r in raw])
+def _advice(content: pd.Series, kind: pd.Series) -> pd.Series:
+    return pd.Series([shape_warnings(c) if k == "solution" else [] for c, k in zip(content, kind, strict=True)])
 
 
 __all__ = ["MemoryEngine", "SCHEMAS"]

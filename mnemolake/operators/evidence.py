@@ -42,15 +42,20 @@ def event_evidence(events: DataFrame, as_of: str | None = None) -> DataFrame:
 
 
 def source_evidence(sources: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Links and distinct sources of a claim. A link counts once for each anchor of its episode."""
-    a = anchors.select(F.col("episode_id").alias("source_episode_id"), F.concat_ws(":", "anchor_type", "anchor_value").alias("anchor")).distinct()
-    return sources.join(a, "source_episode_id", "left").groupBy("claim_id").agg(
-        F.count("*").alias("source_link_count"),
-        F.count_distinct("source_episode_id").alias("source_episode_count"),
-        F.count_distinct("source_topic_id").alias("source_topic_count"),
-        F.count_distinct("source_record_id").alias("source_record_count"),
-        F.count_distinct("anchor").alias("source_anchor_count"),
-    )
+    """Links and distinct sources of a claim. A link counts once for each anchor of its episode.
+
+    Links are counted by their episodes' numbers of anchors, and distinct values as rows (claim, kind, value), so no
+    row of links times anchors is made.
+    """
+    a = anchors.select(F.col("episode_id").alias("source_episode_id"), F.concat_ws(":", "anchor_type", "anchor_value").alias("value")).distinct()
+    held = a.groupBy("source_episode_id").agg(F.count("*").alias("n"))
+    links = sources.join(held, "source_episode_id", "left").groupBy("claim_id").agg(F.sum(F.coalesce("n", F.lit(1))).alias("source_link_count"))
+    kinds = {"episode": "source_episode_id", "topic": "source_topic_id", "record": "source_record_id"}
+    named = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in kinds.items()]))
+    values = sources.select("claim_id", named.alias("s")).select("claim_id", "s.kind", "s.value").filter("value IS NOT NULL").distinct()
+    anchored = sources.select("claim_id", "source_episode_id").distinct().join(a, "source_episode_id").select("claim_id", F.lit("anchor").alias("kind"), "value").distinct()
+    counts = values.unionByName(anchored).groupBy("claim_id").agg(*[F.count_if(F.col("kind") == k).alias(f"source_{k}_count") for k in (*kinds, "anchor")])
+    return links.join(counts, "claim_id", "left").fillna(0)
 
 
 def assemble(claims: DataFrame, outcome: DataFrame, event: DataFrame, source: DataFrame) -> DataFrame:

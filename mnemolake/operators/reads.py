@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -94,15 +94,36 @@ def stats(episodes: DataFrame, topics: DataFrame, records: DataFrame, now: str)
     return a.crossJoin(b).crossJoin(c)  # one row each
 
 
-def upper_median(rows: DataFrame, column: str) -> DataFrame:
-    """The value at place n div 2 of the sorted column: of two middle values the larger.
+#: Rows that are ordered in one task to find a value by its place; more are narrowed down first.
+ORDERED_ROWS = 1_000_000
+
+
+def at_place(rows: DataFrame, column: str, place: Callable[[int], int], name: str, ordered: int = ORDERED_ROWS) -> DataFrame:
+    """One row: the value at the place (from 0, of the number of values) in the sorted column; null if there is none.
 
-    Counts per value are ordered instead of the rows, so no task gathers the column.
+    Bounds around the place come from approximate percentiles, and rows below them are counted, until few enough are
+    between them; only these, as counts of each value, are ordered. The driver gets bounds and counts.
     """
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).count()
-    w = Window.orderBy("v")
-    spread = counts.withColumn("upto", F.sum("count").over(w)).withColumn("n", F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return spread.filter(F.col("upto") > F.floor(F.col("n") / 2)).agg(F.min("v").alias("median"))
+    held = rows.select(F.col(column).alias("v")).filter("v IS NOT NULL")
+    n = inside = held.count()
+    at, below = place(n), 0
+    while inside > ordered:
+        share = [min(1.0, max(0.0, (at - below) / inside + d)) for d in (-1e-3, 1e-3)]
+        lo, hi = held.agg(F.percentile_approx("v", share, 10_000).alias("p")).first()["p"]
+        less = held.filter(F.col("v") < F.lit(lo)).count()
+        held = held.filter(F.col("v").between(F.lit(lo), F.lit(hi)))
+        now = held.count()
+        if now > inside / 2:  # one value holds most of them: its count is one row
+            below += less
+            break
+        below, inside = below + less, now
+    upto = F.sum("count").over(Window.orderBy("v")) + below
+    return held.groupBy("v").count().withColumn("upto", upto).filter(F.col("upto") > at).agg(F.min("v").alias(name))
+
+
+def upper_median(rows: DataFrame, column: str) -> DataFrame:
+    """The value at place n div 2 of the sorted column: of two middle values the larger."""
+    return at_place(rows, column, lambda n: n // 2, "median")
 
 
 def trust_coverage(claims: DataFrame, sources: DataFrame, anchors: DataFrame, as_of: str) -> DataFrame:
@@ -158,8 +179,5 @@ def in_windows(runs: DataFrame, events: DataFrame, step_seconds: int = 86400) ->
 
 
 def nearest_rank(rows: DataFrame, column: str, p: float) -> DataFrame:
-    """The value at place round-half-even(p (n - 1)) of the sorted column, from counts per value."""
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).count()
-    w = Window.orderBy("v")
-    spread = counts.withColumn("upto", F.sum("count").over(w)).withColumn("n", F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    return spread.filter(F.col("upto") > F.bround((F.col("n") - 1) * F.lit(p))).agg(F.min("v").alias("value"))
+    """The value at place round-half-even(p (n - 1)) of the sorted column."""
+    return at_place(rows, column, lambda n: round((n - 1) * p), "value")

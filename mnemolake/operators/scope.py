@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Scope columns and what an absent or blank value stands for.
+# Scope columns, and what an absent or blank value stands for.
 DEFAULTS = {"namespace_slug": "default", "namespace_sharing_mode": "private", "app_client_name": "legacy_client", "app_client_type": "python_sdk", "project_slug": "default", "project_display_name": "default"}
 FIELDS = [
     "namespace_slug", "namespace_sharing_mode", "app_client_name", "app_client_type", "app_client_provider", "app_client_external_key", "agent_name", "agent_external_key",
@@ -19,6 +19,8 @@ EQUALITY_KEYS = ["namespace_slug", "project_slug", "app_client_name", "app_clien
 EXACT_KEYS = [*EQUALITY_KEYS, "namespace_sharing_mode"]
 LEGACY = {"namespace_slug": "default", "project_slug": "default", "app_client_name": "legacy_client", "app_client_type": "python_sdk"}
 VISIBILITY = ("private", "project", "namespace")
+#: Columns that hold places, whose spellings are made one.
+PLACES = ("project_root_uri", "project_repo_remote")
 
 
 def _all(tests: Sequence[Column]) -> Column:
@@ -35,11 +37,32 @@ def exact(scope: Mapping[str, str | None], keys: Sequence[str] = tuple(EXACT_KEY
     return _all([F.col(k).eqNullSafe(F.lit(scope.get(k))) for k in keys])
 
 
+def one_spelling(place):
+    """A place with forward slashes, none at its end, and a small drive letter."""
+    plain = F.regexp_replace(F.translate(place, "\\", "/"), "/+$", "")
+    return F.when(F.substring(plain, 2, 1) == ":", F.concat(F.lower(F.substring(plain, 1, 1)), F.substring(plain, 2, 1 << 30))).otherwise(plain)
+
+
 def with_defaults(df: DataFrame) -> DataFrame:
     """Scope columns trimmed, blanks replaced by their defaults or null, missing columns added."""
     have = set(df.columns)
-    cols = {f: F.coalesce(F.nullif(F.trim(F.col(f)), F.lit("")) if f in have else F.lit(None).cast("string"), F.lit(DEFAULTS.get(f)).cast("string")) for f in FIELDS}
-    return df.withColumns(cols)
+    given = {f: F.nullif(F.trim(F.col(f)), F.lit("")) if f in have else F.lit(None).cast("string") for f in FIELDS}
+    return df.withColumns({f: F.coalesce(one_spelling(c) if f in PLACES else c, F.lit(DEFAULTS.get(f)).cast("string")) for f, c in given.items()})
+
+
+def key() -> Column:
+    """One string for a row's scope, by the columns that keep scopes apart; null and blank are alike."""
+    return F.concat_ws("|", *[F.replace(F.coalesce(F.col(k), F.lit(DEFAULTS.get(k, ""))), F.lit("|"), F.lit("||")) for k in EQUALITY_KEYS])
+
+
+def of_clusters(members: DataFrame) -> DataFrame:
+    """(cluster, scope columns): a column's one value in the cluster; where there are several, the smallest id's for the
+    columns that keep scopes apart, null for the others."""
+    first = F.min_by(F.struct(*FIELDS), "id").alias("first")
+    spread = [F.struct(F.min(f).alias("lo"), F.max(f).alias("hi")).alias(f) for f in FIELDS]
+    rows = with_defaults(members).groupBy("cluster").agg(first, *spread)
+    pick = lambda f: F.when(F.col(f)["lo"] == F.col(f)["hi"], F.col(f)["lo"]).otherwise(F.col("first")[f] if f in EXACT_KEYS else F.lit(None))
+    return rows.select("cluster", *[pick(f).alias(f) for f in FIELDS])
 
 
 @dataclass(frozen=True)

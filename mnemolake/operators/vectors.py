@@ -254,17 +254,16 @@ def greedy_dedup(batch: DataFrame, by: Sequence[str], order: str = "id", at_leas
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        kept: list[tuple[int, np.ndarray]] = []
+        ids, m = pdf["id"].tolist(), np.stack([np.asarray(v, float) for v in pdf["embedding"]])
+        kept: list[int] = []
         rows = []
-        for i, v in zip(pdf["id"], pdf["embedding"], strict=True):
-            x = np.asarray(v, float)
-            near = [(float(x @ y), -j, j) for j, y in kept]
-            best = max(near, default=(-2.0, 0, None))
-            if best[0] >= at_least:
-                rows.append((i, best[2]))
+        for i, x in enumerate(m):
+            near = m[kept] @ x if kept else np.zeros(0)
+            if near.max(initial=-2.0) >= at_least:
+                rows.append((ids[i], min(ids[kept[j]] for j in np.flatnonzero(near == near.max()))))
             else:
-                kept.append((i, x))
-                rows.append((i, None))
+                kept.append(i)
+                rows.append((ids[i], None))
         out = pd.DataFrame(rows, columns=["id", "duplicate_of"])
         return out if kind == "string" else out.astype({"duplicate_of": "Int64"})
 

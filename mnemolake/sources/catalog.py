@@ -1,10 +1,11 @@
-"""Tables as immutable snapshots: each publish writes new directories and then moves one pointer."""
+"""Tables as immutable snapshots: each publish writes new directories, lists them in a manifest, and then moves one pointer."""
 
 from __future__ import annotations
 
+import contextlib
 import json
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,21 +42,43 @@ SCHEMAS: dict[str, T.StructType] = {
     "access_policies": _struct(id=_S, namespace_slug=_S, project_slug=_S, enabled=_B),
     "policy_acl_entries": _struct(id=_S, policy_id=_S, principal_id=_S, write_mode=_S, read_visibility=_S),
     "consolidation_runs": _struct(id=_S, started_at=_T, completed_at=_T, status=_S, episodes_processed=_I, clusters_formed=_I, clusters_failed=_I),
+    "consolidation_reports": _struct(run_id=_S, created_at=_T, report=_S),
     "consolidation_metrics": _struct(run_id=_S, timestamp=_T, clusters_succeeded=_I, clusters_failed=_I, avg_confidence=_D, fast_path_hits=_I, llm_fallbacks=_I),
+    "ingest_log": _struct(batch=_S, id=_S, status=_S, duplicate_of=_S, advice=_A, created_at=_T),
+    "drift_impacts": _struct(run_id=_S, claim_id=_S, paths=_A, created_at=_T),
     "access_log": _struct(kind=_S, id=_S, at=_T),
 }
+#: What makes a row that comes without an id what it is.
+_NAMED_BY = {
+    "claim_sources": ("claim_id", "source_episode_id", "source_topic_id", "source_record_id"), "claim_events": ("claim_id", "event_type", "details", "created_at"),
+    "claim_edges": ("from_claim_id", "to_claim_id", "edge_type"), "contradiction_log": ("topic_id", "old_record_id", "new_record_id", "resolution", "detected_at"),
+    "episode_anchors": ("episode_id", "anchor_type", "anchor_value"),
+}
+#: Directories of a table that are read together, at most.
+MOST_PARTS = 64
 _EMPTY = {"surprise_score": 0.5, "indexed": True, "deleted": False, "protected": False, "consolidated": 0, "consolidation_attempts": 0, "access_count": 0, "confidence": 0.8, "precision_": 1.0, "tombstoned": False}
 
 
 def conform(df: DataFrame, table: str) -> DataFrame:
-    """df with just the table's columns and types: missing ones get their defaults, scopes too; others are dropped."""
+    """df with just the table's columns and types: missing ones get their defaults, scopes too; others are dropped.
+
+    Rows of links and events that have no id get one from what they say.
+    """
     have = set(df.columns)
     cols = []
     for f in SCHEMAS[table]:
         default = F.lit(_EMPTY.get(f.name, DEFAULTS.get(f.name)))
         value = F.coalesce(F.col(f.name), default) if f.name in have and (f.name in _EMPTY or f.name in DEFAULTS) else F.col(f.name) if f.name in have else default
         cols.append(value.cast(f.dataType).alias(f.name))
-    return df.select(*cols)
+    out = df.select(*cols)
+    if table in _NAMED_BY:
+        parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in _NAMED_BY[table]]
+        out = out.withColumn("id", F.coalesce("id", F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 32)))
+    return out
+
+
+#: What an import brings in: the tables whose rows have ids of their own.
+IMPORTED = ("episodes", "episode_anchors", "knowledge_topics", "knowledge_records", "claims", "claim_edges", "claim_sources", "claim_events", "contradiction_log", "action_outcomes", "action_outcome_sources", "action_outcome_refs")
 
 
 class Catalog:
@@ -91,24 +114,32 @@ class Catalog:
             stream.close()
 
     def pointer(self) -> dict[str, object]:
-        """{version, tables: {name: directory}} of the current snapshot."""
+        """{version, tables: {name: its directories}} of the current snapshot."""
         raw = self._read_text(f"{self.root}/_current.json")
         return json.loads(raw) if raw else {"version": 0, "tables": {}}
 
     def read(self, table: str) -> DataFrame:
         at = self.pointer()["tables"].get(table)
-        if at is None:
+        if not at:
             return self.spark.createDataFrame([], SCHEMAS[table])
-        return conform(self.spark.read.parquet(f"{self.root}/{at}"), table)
+        return conform(self.spark.read.schema(SCHEMAS[table]).parquet(*[f"{self.root}/{x}" for x in at]), table)
+
+    def publish(self, tables: Mapping[str, DataFrame], added: Mapping[str, DataFrame] | None = None) -> int:
+        """Writes `tables` whole and the rows `added` beside what their tables hold, and makes all of it current together.
 
-    def publish(self, tables: Mapping[str, DataFrame]) -> int:
-        """Writes the given tables whole and makes them current together; tables not named stay as they are."""
+        Tables not named stay as they are. A table of more than MOST_PARTS directories is put into one when rows are added.
+        """
         now = self.pointer()
         version = int(now["version"]) + 1
-        held = dict(now["tables"])
-        for name, df in tables.items():
-            held[name] = f"{name}/v{version}-{uuid.uuid4().hex[:8]}"
-            conform(df, name).write.parquet(f"{self.root}/{held[name]}")
+        held = {k: list(v) for k, v in now["tables"].items()}
+        added = dict(added or {})
+        whole = dict(tables)
+        for name in [k for k in added if len(held.get(k, ())) >= MOST_PARTS]:
+            whole[name] = self.read(name).unionByName(conform(added.pop(name), name))
+        for name, df in (*whole.items(), *added.items()):
+            at = f"{name}/v{version}-{uuid.uuid4().hex[:8]}"
+            conform(df, name).write.parquet(f"{self.root}/{at}")
+            held[name] = [at] if name in whole else [*held.get(name, ()), at]
         text = json.dumps({"version": version, "tables": held})
         self._write_text(f"{self.root}/_pointers/{version}.json", text)
         self._write_text(f"{self.root}/_next.json", text)
@@ -118,9 +149,26 @@ class Catalog:
         return version
 
     def append(self, tables: Mapping[str, DataFrame]) -> int:
-        return self.publish({k: self.read(k).unionByName(conform(v, k)) for k, v in tables.items()})
+        """Adds rows; what is there is not written again."""
+        return self.publish({}, tables)
+
+    @contextlib.contextmanager
+    def staged(self) -> Iterator[Callable[[DataFrame], DataFrame]]:
+        """Gives a function that writes a table of one run and rereads it; such tables go when the block ends."""
+        at = f"{self.root}/_staged/{uuid.uuid4().hex}"
+
+        def stage(df: DataFrame) -> DataFrame:
+            path = f"{at}/{uuid.uuid4().hex[:8]}"
+            df.write.parquet(path)
+            return self.spark.read.schema(df.schema).parquet(path)
+
+        try:
+            yield stage
+        finally:
+            fs, p = self._fs(at)
+            fs.delete(p, True)
 
-    def at(self, version: int) -> dict[str, str]:
+    def at(self, version: int) -> dict[str, list[str]]:
         raw = self._read_text(f"{self.root}/_pointers/{version}.json")
         if raw is None:
             raise ValueError(f"no version {version}")
@@ -140,7 +188,7 @@ class Catalog:
         manifest.write.mode("overwrite").json(f"{path}/manifest")
         return manifest
 
-    def import_(self, path: str, tables: tuple[str, ...] = ("episodes", "claims", "claim_edges", "claim_sources", "claim_events", "knowledge_topics", "knowledge_records")) -> dict[str, int]:
+    def import_(self, path: str, tables: tuple[str, ...] = IMPORTED) -> dict[str, int]:
         """Adds rows of an exported snapshot whose ids are not there yet; how many of each table."""
         known = {r["entity"]: r["version"] for r in self.spark.read.json(f"{path}/manifest").collect()}
         missing = set(tables) - set(known)
@@ -151,7 +199,7 @@ class Catalog:
             new = self.spark.read.schema(SCHEMAS[name]).json(f"{path}/{name}").join(self.read(name).select("id"), "id", "left_anti").dropDuplicates(["id"])
             added[name] = new.count()
             if added[name]:
-                changes[name] = self.read(name).unionByName(new.select(*SCHEMAS[name].names))
+                changes[name] = new.select(*SCHEMAS[name].names)
         if changes:
-            self.publish(changes)
+            self.append(changes)
         return added

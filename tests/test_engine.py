@@ -20,7 +20,7 @@ def notes(spark):
 def test_store_recall_forget(spark, engine):
     got = engine.ingest(notes(spark), "2024-01-01")
     assert got.filter("status = 'stored'").count() == 4
-    assert engine.ingest(notes(spark), "2024-01-02").count() == 0  # the same ids
+    assert [r["status"] for r in engine.ingest(notes(spark), "2024-01-02").collect()] == ["known"] * 4  # the same ids
     again = engine.remember("preference: EDITOR = vim", "2024-01-02", "preference")
     assert [r["status"] for r in again.collect()] in (["duplicate"], ["stored"])
     out = engine.recall(RecallQuery("cache fails src/app/cache.py", "2024-01-03", 3))
@@ -40,7 +40,8 @@ def test_store_recall_forget(spark, engine):
 
 
 def test_consolidation_outcomes_and_drift(spark, engine):
-    rows = [(f"Problem: cache fails\nFix: edit src/app/cache.py step {i % 2}", "solution", ["cache"], "2023-12-01") for i in range(4)]
+    when = ["after a deploy", "on startup when cold"]
+    rows = [(f"Problem: cache fails {when[i % 2]}\nFix: edit src/app/cache.py", "solution", ["cache"], "2023-12-01") for i in range(4)]
     engine.ingest(spark.createDataFrame(rows, "content string, content_type string, tags array<string>, created_at string"), "2024-01-01")
     assert engine.consolidate("2024-01-02")["records"] >= 1
     claims = engine.browse_claims("2024-01-03").collect()
@@ -61,6 +62,9 @@ def test_consolidation_outcomes_and_drift(spark, engine):
     assert engine.search_claims("cache fails", "2024-01-07").count() >= 1
     assert engine.consolidation_log(5).count() == 1 and engine.hygiene_scan().count() >= 0
     topic = engine.browse().first()["topic_id"]
+    assert engine.recall("cache fails", "2024-01-08")["topics"].first()["id"] == topic
+    with pytest.raises(ValueError):
+        engine.correct("no such topic", "", "2024-01-08")
     assert engine.correct(topic, "## Facts\n\n- **a**: b\n", "2024-01-08") == 1
     assert engine.timeline("a b", "2024-02-01").count() >= 1
     engine.compact("2024-06-01", 1)
