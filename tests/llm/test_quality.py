@@ -46,3 +46,52 @@ def test_edge_cases(spark):
     assert len(got) == 5 and all(0 <= r["quality"] <= 1 for r in got)
     empty = docs.limit(0)
     assert Q.score(empty, Q.learn(empty)).count() == 0
+
+
+def test_features_by_hand():
+    texts = [b"abcdab", b"", b"xyz", "éa é".encode()]
+    m = Q.measures(texts)
+    rows, cols, vals = Q.features(texts, m)
+    for i, t in enumerate(texts):
+        want = {}
+        grams = [t[k : k + 4] for k in range(len(t) - 3)]
+        for g in grams:
+            b = int(Q.mix(np.array([int.from_bytes(g, "little")], np.uint64))[0] % np.uint64(Q.BUCKETS))
+            want[b] = want.get(b, 0.0) + 1 / len(grams)
+        got = {}
+        for c, v in zip(cols[rows == i].tolist(), vals[rows == i].tolist(), strict=True):
+            got[c] = got.get(c, 0.0) + v
+        steps = {b: got[b] - want.get(b, 0.0) for b in got}
+        assert np.isclose(sum(steps.values()), len(Q.LABELLERS) / 3) and all(v > -1e-12 for v in steps.values())
+        assert set(want) <= set(got)
+
+
+def test_training_ends_where_no_step_helps():
+    """At the end the gradient of the weighted log-loss, by plain sums, is small; classes weigh alike."""
+    rng = np.random.default_rng(4)
+    n = 300
+    y = np.where(rng.random(n) < 0.1, 0.02, 0.97)
+    cols = np.where(y < 0.5, rng.integers(0, 40, n), rng.integers(20, 60, n))
+    w, b = Q.train(np.arange(n), cols, np.ones(n), y)
+    p = 1 / (1 + np.exp(-(w[cols] + b)))
+    weight_good, weight_bad = y / y.sum(), (1 - y) / (1 - y).sum()
+    for c in np.unique(cols):
+        at = cols == c
+        assert abs((p[at] * (weight_good + weight_bad)[at] - weight_good[at]).sum() + 1e-4 * w[c]) < 0.02
+    assert p[y < 0.5].mean() < 0.3 < 0.7 < p[y > 0.5].mean()
+
+
+def test_query_equals_each_text_on_its_own(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    model = Q.learn(docs)
+    got = {r["doc_id"]: r for r in Q.op6_quality(spark, sf).collect()}
+    for r in docs.collect():
+        t = [(r["text"] or "").encode()]
+        m = Q.measures(t)
+        v = Q.votes(m)
+        rows, cols, vals = Q.features(t, m)
+        z = sum(float(x) * float(model.weights[c]) for c, x in zip(cols, vals, strict=True)) + model.bias
+        one = got[r["doc_id"]]
+        assert abs(one["score"] - 1 / (1 + np.exp(-z))) < 1e-9 and one["keep"] == (one["score"] >= 0.5)
+        assert abs(one["label_posterior"] - model.labels.posterior(v)[0]) < 1e-9 and one["votes"] == "".join("-0+"[x + 1] for x in v[0])

@@ -47,6 +47,76 @@ def test_held_out_documents(spark):
     assert sum(p == t for p, t in held) / len(held) > 0.95
 
 
+def test_precision_and_recall_by_language(spark):
+    """Held out on the larger table, where German and French insults are made of these languages' morphemes."""
+    sf = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").filter("toxic IS NOT NULL").collect()}
+    lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    held = [(r["predicted"], truth[r["doc_id"]], lang[r["doc_id"]]) for r in T.op1_toxicity(spark, sf).collect() if r["held_out"] and r["doc_id"] in truth]
+
+    def rates(rows):
+        both, called, toxic = sum(p and t for p, t, _ in rows), sum(p for p, _, _ in rows), sum(t for _, t, _ in rows)
+        return both / max(1, called), both / max(1, toxic)
+
+    precision, recall = rates(held)
+    assert precision > 0.8 and recall > 0.85, (precision, recall)
+    for name, least in (("en", (0.99, 0.85)), ("de", (0.6, 0.9)), ("fr", (0.6, 0.9))):
+        assert all(x > y for x, y in zip(rates([r for r in held if r[2] == name]), least, strict=True)), name
+
+
+def test_density_joins_only_where_it_tells_more():
+    rng = np.random.default_rng(5)
+    toxic = np.arange(400) < 200
+    sure = np.stack([np.where(toxic, 2.0, -1.0) + rng.normal(0, 0.2, 400), rng.normal(-5, 0.5, 400)], 1)
+    assert T.calibrate(sure, toxic, np.ones(3))[0][1] == 0.0
+    vague = np.stack([np.where(toxic, 1.8, 1.4) + rng.normal(0, 0.5, 400), np.where(toxic, -3.0, -6.0) + rng.normal(0, 0.5, 400)], 1)
+    slopes, offset = T.calibrate(vague, toxic, np.ones(3))
+    assert slopes[1] > 0 and (((vague @ np.array(slopes) + offset) >= 0) == toxic).mean() > 0.95
+
+
+def brute_fit_scores(texts, model):
+    """Texts' signs from plain sums over all subsequences of each token."""
+    weight_of = dict(zip(model.features.tolist(), model.weights.tolist(), strict=True))
+    out = []
+    for t in texts:
+        x = T.letters([t])
+        best, hits, tokens = model.bias, 0, 0
+        for k in np.unique(x.token):
+            codes = x.code[x.token == k].tolist()
+            total = size = 0.0
+            for at in combinations(range(len(codes)), T.LENGTH):
+                if at[-1] - at[0] < T.WINDOW:
+                    w = T.DECAY ** (at[-1] - at[0] - T.LENGTH + 1)
+                    a, b, c, d = (codes[i] for i in at)
+                    total += w * weight_of.get(a * T.ALPHABET**3 + b * T.ALPHABET**2 + c * T.ALPHABET + d, 0.0)
+                    size += w * w
+            f = total / np.sqrt(size if size > 0 else 1.0) + model.bias
+            best, hits, tokens = max(best, f), hits + (f > 0), tokens + 1
+        out.append((best, np.log((hits + 0.5) / (tokens + 20.0))))
+    return np.array(out)
+
+
+def test_fitted_machine_equals_plain_sums():
+    rng = np.random.default_rng(2)
+    word = lambda: "".join(rng.choice(list("abdefgimnoprstu"), rng.integers(2, 9)))
+    texts, toxic = [], []
+    for i in range(160):
+        words = [word() for _ in range(12)]
+        if i % 4 == 0:
+            words[rng.integers(12)] = ["zackwibble", "quorkfatz"][i // 4 % 2]
+        texts.append(" ".join(words).encode())
+        toxic.append(i % 4 == 0)
+    model = T.fit(texts, np.array(toxic))
+    dense = np.zeros(T.ALPHABET**T.LENGTH)
+    dense[model.features] = model.weights
+    got = T.signs(texts[:40], dense, model.bias)
+    assert np.allclose(got, brute_fit_scores(texts[:40], model), atol=1e-6)
+    assert ((model.chance(T.signs(texts, dense, model.bias)) >= 0.5) == np.array(toxic)).mean() > 0.98
+    # Projected features are the landmarks' kernel values times the inverse root of the landmarks' own: the kernel comes back from them.
+    one = T.fit(texts, np.array(toxic))
+    assert np.array_equal(one.features, model.features) and np.allclose(one.weights, model.weights)
+
+
 def test_gaps_and_insertions(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = T.learn(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"))
