@@ -5,7 +5,7 @@ Functions take and return DataFrames; `sources.catalog` publishes several tables
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,6 +106,17 @@ def forget(episodes: DataFrame, vectors: DataFrame, claims: DataFrame, sources:
     return {"episodes": update(episodes, ids, {"deleted": F.lit(True), "updated_at": instant(now)}), "vectors": update(vectors, ids, {"tombstoned": F.lit(True)}), "claim_sources": left, "claims": ended, "claim_events": events}
 
 
+def restore(episodes: DataFrame, ids: DataFrame, now: str) -> DataFrame:
+    """Episodes with the softly deleted ones among ids back."""
+    return update(episodes, episodes.filter("deleted").select("id").join(ids.select("id"), "id", "left_semi"), {"deleted": F.lit(False), "updated_at": instant(now)})
+
+
+def hard_delete(tables: Mapping[str, tuple[DataFrame, str]], ids: DataFrame) -> dict[str, DataFrame]:
+    """Tables, each given with its column that names an episode, without the rows of the episodes among ids."""
+    gone = ids.select("id").distinct()
+    return {name: rows.join(gone.withColumnRenamed("id", key), key, "left_anti").select(*rows.columns) for name, (rows, key) in tables.items()}
+
+
 def fold_access(rows: DataFrame, log: DataFrame, key: str = "id") -> DataFrame:
     """Adds logged reads to access counters; reads themselves change nothing."""
     n = log.groupBy(key).agg(F.count("*").alias("__n"))

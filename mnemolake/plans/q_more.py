@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from mnemolake.config import DEFAULTS
+from mnemolake.functions import text
 from mnemolake.operators import consolidate, keyword, lifecycle, reads, recall, temporal, trust, vectors
 from mnemolake.plans.q_rank import _PRECISION, REL_SQL, _vector
 from mnemolake.plans.q_reads import AS_OF, NOW, _evidence, secs
@@ -95,13 +98,6 @@ def _(e):
     return reads.newest(e.runs, "started_at", 5).select("id", secs("started_at"))
 
 
-@query("wn06_best_topic", f"SELECT id, arg_max(topic, (s, -topic)) AS topic FROM (SELECT a.id, b.id AS topic, {_DOT.format('a.embedding', 'b.embedding')} AS s FROM vectors a, vectors b WHERE a.id % 3 = 0 AND b.id < 10 AND a.id <> b.id) GROUP BY id")
-def _(e):
-    few = e.vectors.filter("id < 10").select(F.col("id").alias("topic"), F.col("embedding").alias("y"))
-    pairs = e.vectors.filter("id % 3 = 0").join(F.broadcast(few), F.col("id") != F.col("topic"))  # ten rows
-    return pairs.groupBy("id").agg(F.max_by("topic", F.struct(vectors.dot(F.col("embedding"), F.col("y")), -F.col("topic"))).alias("topic"))
-
-
 @query("se01_union_distinct", "SELECT source_episode_id AS id FROM claim_sources WHERE source_episode_id IS NOT NULL UNION SELECT episode_id FROM anchors")
 def _(e):
     return e.claim_sources.filter("source_episode_id IS NOT NULL").select(F.col("source_episode_id").alias("id")).union(e.anchors.select(F.col("episode_id").alias("id"))).distinct()
@@ -158,9 +154,10 @@ def _(e):
     return recall.timeline(e.records, sims, none, "2024-02-20", 0.1).select("id", "state")
 
 
-@query("fn15_title_tokens", "SELECT id, list_sort(list_filter(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')), lambda w: w NOT IN ('the', 'of', 'a'))) AS tokens FROM topics")
+@query("fn15_title_tokens", "SELECT id, list_sort(list_filter(list_distinct(regexp_extract_all(lower(title || ' of the A-1 and b'), '[a-z0-9]+')), lambda w: w NOT IN ('a', 'an', 'and', 'at', 'by', 'for', 'from', 'in', 'of', 'on', 'or', 'the', 'to', 'with'))) AS tokens FROM topics")
 def _(e):
-    return e.topics.select("id", F.array_sort(F.array_except(F.array_distinct(F.regexp_extract_all(F.lower("title"), F.lit("[a-z0-9]+"), F.lit(0))), F.array(F.lit("the"), F.lit("of"), F.lit("a")))).alias("tokens"))
+    tokens = text._udf(lambda t: sorted(text.title_tokens(t)), T.ArrayType(T.StringType()), 1)
+    return e.topics.select("id", tokens(F.concat("title", F.lit(" of the A-1 and b"))).alias("tokens"))
 
 
 @query("fn20_path_variants", "SELECT DISTINCT anchor_value AS path, [anchor_value, './' || anchor_value, replace(anchor_value, '/', '\\'), '.\\' || replace(anchor_value, '/', '\\'), '/r/' || anchor_value, replace('/r/' || anchor_value, '/', '\\')] AS variants FROM anchors")
@@ -178,13 +175,6 @@ def _(e):
     return e.table("events").select(F.col("event_id").alias("id"), F.element_at(F.from_json("props", "map<string,string>"), "k").alias("k"))
 
 
-@query("ev04_precision_by_slice", f"WITH s AS (SELECT q.id AS query_id, q.label AS slice, c.label, row_number() OVER (PARTITION BY q.id ORDER BY {_DOT.format('q.embedding', 'c.embedding')} DESC, c.id) AS rank FROM vectors q JOIN vectors c ON q.id <> c.id AND NOT c.tombstoned WHERE q.id % 20 = 2) SELECT slice, round(avg(CAST(slice = label AS DOUBLE)), 4) AS precision FROM s WHERE rank <= 5 GROUP BY slice")
-def _(e):
-    q = e.vectors.filter("id % 20 = 2")
-    found = vectors.top_k_each(e.vectors, q, 5).join(e.vectors.select("id", "label"), "id").join(q.select(F.col("id").alias("query_id"), F.col("label").alias("slice")), "query_id")
-    return found.groupBy("slice").agg(F.round(F.avg((F.col("slice") == F.col("label")).cast("double")), 4).alias("precision"))
-
-
 @query("ev06_lag_percentiles", "WITH f AS (SELECT claim_id, epoch(min(created_at)) AS at FROM claim_events WHERE event_type = 'challenged' GROUP BY claim_id), l AS (SELECT CAST(f.at - epoch(c.valid_from) AS BIGINT) AS lag FROM f JOIN claims c ON c.id = f.claim_id) SELECT lag AS value FROM l ORDER BY lag LIMIT 1 OFFSET (SELECT CAST(round_even((count(*) - 1) * 0.95, 0) AS BIGINT) FROM l)")
 def _(e):
     at = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
@@ -225,12 +215,12 @@ def _(e):
 
 
 @query("co10_contradictions", f"""
-WITH p AS (SELECT a.label, a.id AS a, b.id AS b, {_DOT.format('a.embedding', 'b.embedding')} AS s FROM vectors a JOIN vectors b ON a.label = b.label WHERE a.id % 2 = 0 AND b.id % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, a, b) AS k FROM p WHERE s >= 0.7)
+WITH p AS (SELECT a.label, a.id AS a, b.id AS b, {_DOT.format('a.embedding', 'b.embedding')} AS s FROM vectors a JOIN vectors b ON a.label = b.label WHERE a.id % 2 = 0 AND b.id % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, a, b) AS k FROM p WHERE s >= 0.3)
 SELECT DISTINCT r.b AS id FROM r JOIN records x ON x.id = r.a JOIN records y ON y.id = r.b WHERE k <= 24 AND x.embedding_text <> y.embedding_text
 """)
 def _(e):
     rows = e.records.select("id", "embedding_text").join(e.vectors.select("id", F.col("label").alias("topic_id"), "embedding"), "id")
-    return consolidate.contradicted(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0"), NOW)["expired"]
+    return consolidate.contradicted(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0"), NOW, DEFAULTS.override(contradiction_similarity=0.3))["expired"]
 
 
 @query("st03_failure_rates", "SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, observed_at)) AS BIGINT) AS start, round(avg(CAST(outcome_type IN ('failure', 'reverted', 'superseded') AS DOUBLE)), 6) AS rate FROM outcomes GROUP BY 1")

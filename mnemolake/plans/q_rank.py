@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mnemolake.config import DEFAULTS
+from mnemolake.functions import text
 from mnemolake.operators import consolidate, keyword, lifecycle, reads, recall, temporal, trust, vectors
 from mnemolake.plans.q_reads import ASSEMBLED_SQL, AS_OF, NOW, _evidence, secs
 from mnemolake.registry import query
@@ -108,34 +110,12 @@ def _(e):
     return vectors.top_k(e.vectors, _vector(e), 10).select("id", F.round("similarity", 4).alias("similarity"))
 
 
-@query("rk01_nearest_each", "WITH s AS (SELECT q.id AS query_id, c.id, list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) AS similarity FROM vectors q JOIN vectors c ON q.id <> c.id AND NOT c.tombstoned WHERE q.id % 40 = 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(similarity, 4) AS similarity FROM r WHERE rank <= 5")
-def _(e):
-    return vectors.top_k_each(e.vectors, e.vectors.filter("id % 40 = 3"), 5).select("query_id", "rank", "id", F.round("similarity", 4).alias("similarity"))
-
-
 @query("jn22_contradiction_candidates", "WITH p AS (SELECT a.label, a.id AS a, b.id AS b, list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS s FROM vectors a JOIN vectors b ON a.label = b.label WHERE a.id % 2 = 0 AND b.id % 2 = 1), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY s DESC, a, b) AS rank FROM p WHERE s >= 0.2) SELECT label, a, b, round(s, 4) AS similarity FROM r WHERE rank <= 24")
 def _(e):
     v = e.vectors
     return vectors.contradiction_candidates(v.filter("id % 2 = 0"), v.filter("id % 2 = 1"), ["label"], 0.2, 24).select("label", "a", "b", F.round("similarity", 4).alias("similarity"))
 
 
-@query("jn23_silent_drops", "WITH n AS (SELECT a.label, a.id, max(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS best FROM vectors a LEFT JOIN vectors b ON a.label = b.label AND b.id % 3 = 1 WHERE a.id % 3 = 0 GROUP BY a.label, a.id) SELECT label, id FROM n WHERE coalesce(best, -1) < 0.3")
-def _(e):
-    v = e.vectors
-    return vectors.silent_drops(v.filter("id % 3 = 0"), v.filter("id % 3 = 1"), ["label"], 0.3).select("label", "id")
-
-
-@query("ag17_cluster_confidence", """
-WITH m AS (SELECT label AS cluster, id, CAST(embedding AS DOUBLE[]) AS v, CAST(id * 37 % 91 + 10 AS DOUBLE) / 100 AS surprise FROM vectors WHERE id % 4 = 0),
-p AS (SELECT a.cluster, avg(list_dot_product(a.v, b.v)) AS coherence FROM m a JOIN m b ON a.cluster = b.cluster AND a.id < b.id GROUP BY a.cluster),
-s AS (SELECT cluster, count(*) AS n, avg(surprise) AS surprise FROM m GROUP BY cluster)
-SELECT s.cluster, n, round(greatest(0.5::DOUBLE, least(0.95::DOUBLE, coalesce(coherence, 0.8::DOUBLE) * 0.6::DOUBLE + surprise * 0.4::DOUBLE)), 2) AS confidence FROM s LEFT JOIN p USING (cluster)
-""")
-def _(e):
-    m = e.vectors.filter("id % 4 = 0").select(F.col("label").alias("cluster"), "id", "embedding", (F.expr("id * 37 % 91 + 10").cast("double") / 100).alias("surprise_score"))
-    return vectors.cluster_confidence(m)
-
-
 _BM25 = """
 w AS (SELECT id, regexp_extract_all(lower(content), '[a-z0-9]+') AS w FROM episodes WHERE NOT deleted),
 f AS (SELECT id, len(w) AS n, len(list_filter(w, lambda x: x = 'license')) AS f0, len(list_filter(w, lambda x: x = 'version')) AS f1 FROM w),
@@ -310,15 +290,6 @@ def _(e):
     return sessions(e.table("events"), "30 minutes")
 
 
-@query("ev01_recall_at_5", "WITH s AS (SELECT q.id AS query_id, q.label AS want, c.label, row_number() OVER (PARTITION BY q.id ORDER BY list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) DESC, c.id) AS rank FROM vectors q JOIN vectors c ON q.id <> c.id AND NOT c.tombstoned WHERE q.id % 25 = 1), h AS (SELECT query_id, bool_or(want = label) AS hit FROM s WHERE rank <= 5 GROUP BY query_id) SELECT count(*) AS queries, round(avg(CAST(hit AS DOUBLE)), 4) AS recall FROM h")
-def _(e):
-    from mnemolake.operators.evaluate import recall_at
-
-    q = e.vectors.filter("id % 25 = 1")
-    found = vectors.top_k_each(e.vectors, q, 5).join(e.vectors.select("id", "label"), "id")
-    return recall_at(found, q.select(F.col("id").alias("query_id"), F.col("label").alias("want")), 5).select("queries", F.round("recall", 4).alias("recall"))
-
-
 @query("ev08_token_f1", """
 WITH t AS (SELECT conv_id, max(text) FILTER (turn = 0) AS a, max(text) FILTER (turn = 1) AS b FROM turns GROUP BY conv_id),
 a AS (SELECT conv_id, unnest(string_split_regex(trim(lower(a)), '\\s+')) AS w FROM t WHERE a IS NOT NULL AND b IS NOT NULL), b AS (SELECT conv_id, unnest(string_split_regex(trim(lower(b)), '\\s+')) AS w FROM t WHERE a IS NOT NULL AND b IS NOT NULL),
@@ -367,13 +338,15 @@ def _(e):
 
 @query("fn05_action_keys", "SELECT DISTINCT action_summary, 'act_' || substr(sha256(lower(regexp_replace(trim(action_summary), '\\s+', ' ', 'g'))), 1, 32) AS action_key FROM outcomes")
 def _(e):
-    return e.outcomes.select("action_summary").distinct().withColumn("action_key", F.concat(F.lit("act_"), F.substring(F.sha2(F.lower(F.regexp_replace(F.trim("action_summary"), r"\s+", " ")), 256), 1, 32)))
+    key = text._udf(text.action_key, T.StringType(), 1)
+    return e.outcomes.select("action_summary").distinct().withColumn("action_key", key("action_summary"))
 
 
-@query("fn19_normalise", "SELECT id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) / list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 4) AS length FROM vectors")
+@query("fn19_normalise", "WITH v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS x FROM vectors) SELECT id, round(list_sum(x) / sqrt(list_dot_product(x, x)), 6) AS total, round(x[1] / sqrt(list_dot_product(x, x)), 6) AS first FROM v")
 def _(e):
     v = vectors.normalise(F.col("embedding"))
-    return e.vectors.filter(vectors.valid(F.col("embedding"), 64)).select("id", F.round(vectors.dot(v, v), 4).alias("length"))
+    total = F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
+    return e.vectors.filter(vectors.valid(F.col("embedding"), 64)).select("id", F.round(total, 6).alias("total"), F.round(v[0], 6).alias("first"))
 
 
 @query("co02_clusters")

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from mnemolake.functions import text
 from mnemolake.operators import evidence, lifecycle, reads, recall, scope, temporal
 from mnemolake.registry import query
+from mnemolake.sources import markdown
 
 NOW, AS_OF, EVENTS_AT = "2024-01-20 00:00:00", "1998-06-01 00:00:00", "2024-01-20 00:00:00"
 
@@ -63,9 +66,12 @@ def _(e):
     return marked.filter("f OR t").select("from_claim_id", "to_claim_id")
 
 
-@query("sc17_version_as_of", "SELECT topic, min(v) AS version FROM (SELECT p_brand AS topic, p_size AS v FROM part) WHERE v > 20 GROUP BY topic")
+@query("sc17_version_as_of", "SELECT p_brand AS topic_id, arg_min(p_name, (p_size, p_name)) AS title FROM part WHERE p_size > 20 GROUP BY p_brand")
 def _(e):
-    return e.table("part").filter("p_size > 20").groupBy(F.col("p_brand").alias("topic")).agg(F.min("p_size").alias("version"))
+    # A brand's parts are its versions, superseded one second for each unit of size.
+    rows = e.table("part").groupBy("p_brand", "p_size").agg(F.min("p_name").alias("title"))
+    versions = rows.select(F.col("p_brand").alias("topic_id"), F.timestamp_seconds("p_size").alias("superseded_at"), "title", F.lit("").alias("summary"), F.lit("").alias("content"))
+    return markdown.version_as_of(versions, F.timestamp_seconds(F.lit(20))).select("topic_id", "title")
 
 
 @query("sc28_dashboard_episodes", "SELECT id, content_type, CASE WHEN length(content) > 80 THEN substr(content, 1, 80) || '…' ELSE content END AS preview FROM episodes WHERE NOT deleted")
@@ -160,9 +166,9 @@ def _(e):
     return e.outcomes.filter((F.lower(F.get_json_object("provenance", "$.k")) == "69") | F.contains(F.lower("action_summary"), F.lit("purchase"))).select("id")
 
 
-@query("fp16_entity_anchors", "SELECT DISTINCT episode_id AS id FROM anchors WHERE (anchor_type = 'path' AND anchor_value = 'src/en/src1.py') OR anchor_value LIKE '%/src7.py'")
+@query("fp16_entity_anchors", "SELECT DISTINCT episode_id AS id FROM anchors WHERE (anchor_type = 'path' AND anchor_value = 'src/en/src2.py') OR anchor_value LIKE '%/src6.py'")
 def _(e):
-    return e.anchors.filter("(anchor_type = 'path' AND anchor_value = 'src/en/src1.py')").unionByName(e.anchors.filter(F.endswith("anchor_value", F.lit("/src7.py")))).select(F.col("episode_id").alias("id")).distinct()
+    return e.anchors.filter("(anchor_type = 'path' AND anchor_value = 'src/en/src2.py')").unionByName(e.anchors.filter(F.endswith("anchor_value", F.lit("/src6.py")))).select(F.col("episode_id").alias("id")).distinct()
 
 
 @query("fp17_unconsolidated", "SELECT id, priority FROM (SELECT e.id, CASE WHEN e.id IN (SELECT claim_id FROM outcomes WHERE outcome_type = 'failure') THEN 0 ELSE 1 END AS priority, e.created_at FROM episodes e WHERE NOT deleted AND indexed AND consolidated = 0 AND consolidation_attempts < 5) ORDER BY priority, created_at DESC, id LIMIT 100")
@@ -196,9 +202,14 @@ def _(e):
     return e.outcomes.filter("provenance IS NOT NULL AND trim(provenance) NOT IN ('', '{}', 'null')").select("id")
 
 
-@query("fp26_meta_descriptive", "SELECT id FROM episodes WHERE trim(content) = '' OR regexp_matches(lower(trim(content)), '^(discusses|covers|related to|describes|details|provides|mentions|this document|an overview|information about)\\b')")
+@query("fp26_meta_descriptive", r"""
+WITH t AS (SELECT id, (CASE id % 5 WHEN 0 THEN 'Discusses ' WHEN 1 THEN '  This document ' WHEN 2 THEN 'Detailsx ' ELSE '' END) || coalesce(content, '') AS content FROM episodes)
+SELECT id FROM t WHERE trim(content) = '' OR regexp_matches(lower(trim(content)), '^(discusses|covers|related to|describes|details|provides|mentions|this document|an overview|information about)\b')
+""")
 def _(e):
-    return e.episodes.filter((F.trim("content") == "") | F.lower(F.trim("content")).rlike(r"^(discusses|covers|related to|describes|details|provides|mentions|this document|an overview|information about)\b")).select("id")
+    opener = F.expr("CASE id % 5 WHEN 0 THEN 'Discusses ' WHEN 1 THEN '  This document ' WHEN 2 THEN 'Detailsx ' ELSE '' END")
+    rows = e.episodes.select("id", F.concat(opener, F.coalesce("content", F.lit(""))).alias("content"))
+    return rows.filter(text._udf(text.meta_descriptive, T.BooleanType(), 1)("content")).select("id")
 
 
 @query("fp28_content_types", "SELECT content_type, count(*) AS n FROM episodes WHERE content_type IN ('exchange', 'fact', 'solution', 'preference', 'procedure') GROUP BY content_type")
@@ -211,9 +222,9 @@ def _(e):
     return reads.contradictions(e.contradictions, e.topics, limit=30).select("id", "resolution", "title")
 
 
-@query("jn03_claims_by_anchor", "SELECT DISTINCT c.id, c.status FROM claims c JOIN claim_sources s ON s.claim_id = c.id JOIN anchors a ON a.episode_id = s.source_episode_id WHERE a.anchor_type = 'path' AND a.anchor_value = 'src/en/src1.py'")
+@query("jn03_claims_by_anchor", "SELECT DISTINCT c.id, c.status FROM claims c JOIN claim_sources s ON s.claim_id = c.id JOIN anchors a ON a.episode_id = s.source_episode_id WHERE a.anchor_type = 'path' AND a.anchor_value = 'src/en/src2.py'")
 def _(e):
-    eps = e.anchors.filter("anchor_type = 'path' AND anchor_value = 'src/en/src1.py'").select(F.col("episode_id").alias("source_episode_id"))
+    eps = e.anchors.filter("anchor_type = 'path' AND anchor_value = 'src/en/src2.py'").select(F.col("episode_id").alias("source_episode_id"))
     ids = e.claim_sources.join(eps, "source_episode_id", "left_semi").select(F.col("claim_id").alias("id"))
     return e.claims.join(ids, "id", "left_semi").select("id", "status")
 
@@ -316,12 +327,12 @@ def _(e):
 
 
 @query("jn32_drift", """
-WITH changed(path) AS (VALUES ('src/en/src1.py'), ('src/de/src3.py'), ('.tmp_x/src/en/src2.py'))
+WITH changed(path) AS (VALUES ('src/en/src2.py'), ('src/de/src4.py'), ('.tmp_x/src/en/src2.py'))
 SELECT s.claim_id AS id, list_sort(list_distinct(list(c.path))) AS paths FROM changed c JOIN anchors a ON a.anchor_value = c.path JOIN claim_sources s ON s.source_episode_id = a.episode_id JOIN claims k ON k.id = s.claim_id
 WHERE k.status <> 'expired' AND (k.valid_from IS NULL OR k.valid_from <= TIMESTAMP '1998-06-01') AND (k.valid_until IS NULL OR k.valid_until > TIMESTAMP '1998-06-01') AND NOT starts_with(c.path, '.tmp_') GROUP BY s.claim_id
 """)
 def _(e):
-    changed = e.spark.range(1).select(F.explode(F.array(F.lit("src/en/src1.py"), F.lit("./src/de/src3.py"), F.lit(".tmp_x/src/en/src2.py"))).alias("path"))
+    changed = e.spark.range(1).select(F.explode(F.array(F.lit("src/en/src2.py"), F.lit("./src/de/src4.py"), F.lit(".tmp_x/src/en/src2.py"))).alias("path"))
     changed = changed.withColumn("path", F.regexp_replace("path", r"^\./", ""))
     return lifecycle.drifted(changed, e.anchors, e.claim_sources, e.claims, "/repo", AS_OF)
 
@@ -433,7 +444,7 @@ def _(e):
 
 @query("wn01_latest_run", "SELECT id, status FROM runs ORDER BY started_at DESC, id LIMIT 1")
 def _(e):
-    return e.runs.agg(F.max_by(F.struct("id", "status"), "started_at").alias("r")).select("r.*")
+    return reads.newest(e.runs, "started_at", 1).select("id", "status")
 
 
 @query("wn03_cluster_truncation", "SELECT project_slug, id, n FROM (SELECT project_slug, id, CAST(row_number() OVER (PARTITION BY project_slug ORDER BY surprise_score DESC, id) AS INTEGER) AS n FROM episodes) WHERE n <= 20")

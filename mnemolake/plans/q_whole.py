@@ -1,6 +1,6 @@
-"""Vector queries over every row: the whole-table counterparts of those that q_rank and q_more take by parts of the ids.
+"""Vector queries over every row.
 
-The others keep the rows that their SQL names. Searches here take the ids divisible by 100 as queries.
+Searches take the ids divisible by 100 as queries.
 """
 
 from __future__ import annotations
