@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterable, Mapping, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemolake.config import DEFAULTS, EngineConfig
@@ -18,7 +18,7 @@ from mnemolake.operators import consolidate as co
 from mnemolake.operators import evidence, keyword, lifecycle, reads, recall, scope, temporal, trust, vectors
 from mnemolake.sources import markdown
 from mnemolake.sources.catalog import SCHEMAS, Catalog, conform
-from mnemolake.sources.embeddings import HashEncoder, WordHashEncoder, encode
+from mnemolake.sources.embeddings import HashEncoder, WordHashEncoder, encode, incremental
 
 CONTENT_TYPES = ("exchange", "fact", "solution", "preference", "procedure")
 OUTCOMES = ("success", "partial_success", "failure", "reverted", "superseded")
@@ -50,6 +50,19 @@ class MemoryEngine:
     def _scoped(self, df: DataFrame) -> DataFrame:
         return df.withColumns({k: F.lit(v).cast("string") for k, v in self.scope.mutation_filter().items()})
 
+    def _coded(self, namespace: str, rows: DataFrame) -> DataFrame:
+        """(id, embedding) of (id, text): kept vectors where the text is as it was, others encoded anew."""
+        cache = self.catalog.read("embedding_cache").filter(F.col("namespace") == namespace)
+        return incremental(rows, cache, self.encoder).select("id", "embedding")
+
+    def warm_up(self) -> int:
+        """Keeps the vectors of all topics, records and claims as they are now, for the recalls to come; how many there are."""
+        texts = {"topics": self.catalog.read("knowledge_topics").select("id", _topic_text().alias("text")), "records": self.catalog.read("knowledge_records").filter("NOT deleted").select("id", F.col("embedding_text").alias("text")), "claims": self.catalog.read("claims").select("id", _claim_text().alias("text"))}
+        held = self.catalog.read("embedding_cache")
+        rows = [incremental(df, held.filter(F.col("namespace") == n), self.encoder).withColumn("namespace", F.lit(n)) for n, df in texts.items()]
+        self.catalog.publish({"embedding_cache": rows[0].unionByName(rows[1]).unionByName(rows[2])})
+        return self.catalog.read("embedding_cache").count()
+
     # --- episodes
 
     def ingest(self, episodes: DataFrame, now: str) -> DataFrame:
@@ -98,19 +111,19 @@ class MemoryEngine:
         """
         q = query if isinstance(query, recall.RecallQuery) else recall.RecallQuery(query, now or "")
         vec = self.encoder.encode([q.text])[0].tolist()
-        sim = lambda rows, text: encode(rows.select("id", text.alias("text")), self.encoder).select("id", vectors.dot(F.col("embedding"), vectors.literal(vec)).alias("similarity"))
+        sim = lambda kind, rows, text: self._coded(kind, rows.select("id", text.alias("text"))).select("id", vectors.dot(F.col("embedding"), vectors.literal(vec)).alias("similarity"))
         as_of = q.as_of or q.now
         out = {}
         if "episodes" in q.sections:
             out["episodes"] = recall.episodes_section(self._read("episodes", where), self.catalog.read("vectors"), vec, q, self.catalog.read("tag_cooccurrence"), config=self.config)
         if "topics" in q.sections:
             topics = self._read("knowledge_topics", where)
-            out["topics"] = recall.topics_section(topics, sim(topics, F.concat_ws(". ", "title", "summary")), q, self.config)
+            out["topics"] = recall.topics_section(topics, sim("topics", topics, _topic_text()), q, self.config)
         if "records" in q.sections:
             records = self._read("knowledge_records", where).filter("NOT deleted").filter(temporal.valid_at(as_of))
             links = self.catalog.read("claim_sources").filter("source_record_id IS NOT NULL").select(F.col("source_record_id").alias("id"), "claim_id")
             precise = links.join(self.catalog.read("claims").select(F.col("id").alias("claim_id"), "precision_"), "claim_id").groupBy("id").agg(F.min("precision_").alias("precision_"))
-            found = recall.records_section(records.join(precise, "id", "left"), sim(records, F.col("embedding_text")), q, self.config)
+            found = recall.records_section(records.join(precise, "id", "left"), sim("records", records, F.col("embedding_text")), q, self.config)
             lately = self.catalog.read("contradiction_log").filter(F.col("detected_at").between(temporal.instant(as_of) - F.expr("INTERVAL 30 DAYS"), temporal.instant(as_of)))
             out["records"] = recall.uncertainty(found, lately.select("topic_id"))
             if "episodes" in out:
@@ -172,8 +185,8 @@ class MemoryEngine:
             raise ValueError("limit must be 1 to 200")
         vec = self.encoder.encode([query])[0].tolist()
         rows = trust.with_reliability(self._evidence(self._claims(where), as_of), as_of)
-        text = F.concat_ws(" ", "canonical_text", F.array_join(F.transform(F.array_sort(F.map_entries("payload")), lambda p: F.concat_ws(" ", p["key"], p["value"])), " "))
-        sims = encode(rows.select("id", text.alias("text")), self.encoder).select("id", vectors.dot(F.col("embedding"), vectors.literal(vec)).alias("semantic"))
+        text = _claim_text()
+        sims = self._coded("claims", rows.select("id", text.alias("text"))).select("id", vectors.dot(F.col("embedding"), vectors.literal(vec)).alias("semantic"))
         rows = rows.join(sims, "id").withColumn("keyword", keyword.share_of_words(query, text)).withColumn("phrase", F.contains(F.lower(text), F.lit(query.lower())).cast("double"))
         score = trust.claim_rank(F.col("semantic"), F.col("keyword"), F.col("phrase"), as_of, precision_=F.col("precision_"))
         rows = rows.withColumn("relevance", score)
@@ -267,6 +280,7 @@ class MemoryEngine:
                 {"knowledge_topics": new["knowledge_topics"], "knowledge_records": kept.unionByName(conform(added, "knowledge_records")), "claims": claims, "episodes": got["episodes"]},
                 {"topic_versions": new["topic_versions"], "claim_sources": sources, "claim_events": events, "contradiction_log": new["contradiction_log"], "claim_edges": new["claim_edges"], "consolidation_runs": row, "consolidation_metrics": metrics, "consolidation_reports": report},
             )
+        self.warm_up()
         self.hooks.fire("consolidation_complete", records=counts["records"])
         return counts
 
@@ -323,7 +337,7 @@ class MemoryEngine:
     def timeline(self, query: str, as_of: str) -> DataFrame:
         rows = self._read("knowledge_records")
         vec = self.encoder.encode([query])[0].tolist()
-        coded = rows.join(encode(rows.select("id", F.col("embedding_text").alias("text")), self.encoder), "id")
+        coded = rows.join(self._coded("records", rows.select("id", F.col("embedding_text").alias("text"))), "id")
         sims = coded.select("id", vectors.dot(F.col("embedding"), vectors.literal(vec)).alias("similarity"))
         replaced = coded.filter(F.col("valid_until") <= temporal.instant(as_of)).select("topic_id", "id", "embedding", "valid_until").alias("o").join(coded.select("topic_id", F.col("id").alias("b"), F.col("embedding").alias("y"), "created_at"), "topic_id").filter("created_at >= valid_until AND b <> id").withColumn("s", vectors.dot(F.col("embedding"), F.col("y"))).filter(F.col("s") >= self.config.supersession_similarity)
         return recall.timeline(rows, sims, replaced.groupBy("id").agg(F.max_by("b", "s").alias("superseded_by")), as_of)
@@ -398,6 +412,16 @@ class MemoryEngine:
         return a.unionByName(recall.simple_view(got["records"], "record", "embedding_text")).orderBy(F.desc("score"), "id").limit(n)
 
 
+def _topic_text() -> Column:
+    """What a topic is searched by."""
+    return F.concat_ws(". ", "title", "summary")
+
+
+def _claim_text() -> Column:
+    """What a claim is searched by: its text and its payload in order of its keys."""
+    return F.concat_ws(" ", "canonical_text", F.array_join(F.transform(F.array_sort(F.map_entries("payload")), lambda p: F.concat_ws(" ", p["key"], p["value"])), " "))
+
+
 def id_tokens(values: Iterable[object]) -> list[str]:
     """Ids trimmed, blank ones dropped, each once, in order."""
     return list(dict.fromkeys(x for x in (str(v).strip() for v in values if v is not None) if x))

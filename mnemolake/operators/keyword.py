@@ -23,14 +23,18 @@ def words(text: Column) -> Column:
 def bm25(docs: DataFrame, query: str, k: int | None = None, key: str = "id", text: str = "content") -> DataFrame:
     """(key, raw, keyword): BM25 of the query's words joined by OR, and raw / (raw + 1).
 
-    Documents are read once for their lengths and for how often they have each word; the corpus' size, mean length
-    and document frequencies are one row, joined back to the documents that have a word.
+    Documents are read once, for their lengths and for how often they have each word: those without a word are added up where
+    they are read, and one exchange of what is left serves the corpus' sums (one row) as well as the documents that have a word.
     """
     wanted = terms(query)
     w = F.col("__w")
     rows = docs.select(key, words(F.col(text)).alias("__w")).select(key, F.size(w).alias("__n"), *[F.size(F.filter(w, _equals(t))).alias(f"__f{i}") for i, t in enumerate(wanted)])
-    corpus = rows.agg(F.count("*").alias("__docs"), F.avg("__n").alias("__mean"), *[F.count_if(F.col(f"__f{i}") > 0).alias(f"__d{i}") for i in range(len(wanted))])
-    hits = rows.filter(sum((F.col(f"__f{i}") for i in range(len(wanted))), F.lit(0)) > 0).crossJoin(F.broadcast(corpus))  # one row
+    found = [f"__f{i}" for i in range(len(wanted))]
+    hit = sum((F.col(f) for f in found), F.lit(0)) > 0
+    named = rows.select(F.when(hit, F.col(key)).alias(key), F.when(hit, F.col("__n")).alias("__n"), F.col("__n").alias("__all"), *found)
+    held = named.groupBy(key, "__n", *found).agg(F.count("*").alias("__rows"), F.sum("__all").alias("__words"))
+    corpus = held.agg(F.sum("__rows").alias("__docs"), F.try_divide(F.sum("__words"), F.sum("__rows")).alias("__mean"), *[F.coalesce(F.sum(F.when(F.col(f) > 0, F.col("__rows"))), F.lit(0)).alias(f"__d{i}") for i, f in enumerate(found)])
+    hits = held.filter(hit).crossJoin(F.broadcast(corpus))  # one row
     score = F.lit(0.0)
     for i in range(len(wanted)):
         f, d = F.col(f"__f{i}"), F.col(f"__d{i}")

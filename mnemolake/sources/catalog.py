@@ -44,6 +44,7 @@ SCHEMAS: dict[str, T.StructType] = {
     "consolidation_runs": _struct(id=_S, started_at=_T, completed_at=_T, status=_S, episodes_processed=_I, clusters_formed=_I, clusters_failed=_I),
     "consolidation_reports": _struct(run_id=_S, created_at=_T, report=_S),
     "consolidation_metrics": _struct(run_id=_S, timestamp=_T, clusters_succeeded=_I, clusters_failed=_I, avg_confidence=_D, fast_path_hits=_I, llm_fallbacks=_I),
+    "embedding_cache": _struct(namespace=_S, id=_S, hash=_S, embedding=T.ArrayType(T.FloatType())),
     "ingest_log": _struct(batch=_S, id=_S, status=_S, duplicate_of=_S, advice=_A, created_at=_T),
     "drift_impacts": _struct(run_id=_S, claim_id=_S, paths=_A, created_at=_T),
     "access_log": _struct(kind=_S, id=_S, at=_T),
