@@ -37,7 +37,7 @@ ROLES: dict[str, tuple[str, list[str], str | None]] = {
     "claim_sources": ("lineitem", [
         "l_orderkey AS claim_id", "CASE WHEN l_linenumber % 3 <> 0 THEN l_partkey END AS source_episode_id",
         "CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey END AS source_topic_id", "CASE WHEN l_linenumber % 3 = 0 THEN l_partkey END AS source_record_id", "l_shipdate AS created_at",
-    ], "l_orderkey % 5 <> 0"),
+    ], None),
     "claim_events": ("lineitem", [
         "l_orderkey AS claim_id", "l_linenumber AS n",
         "CASE WHEN l_returnflag = 'R' THEN 'challenged' WHEN l_returnflag = 'A' THEN 'contradiction' WHEN l_linenumber % 2 = 0 THEN 'code_drift_detected' WHEN l_linenumber % 5 = 0 THEN 'expire' ELSE 'update' END AS event_type",
@@ -68,7 +68,7 @@ ROLES: dict[str, tuple[str, list[str], str | None]] = {
         "n_nationkey AS id", "{ts}(1704067200 + n_nationkey * 86400) AS started_at", "{ts}(1704067200 + n_nationkey * 86400 + 64800) AS completed_at",
         "CASE WHEN n_nationkey % 4 = 3 THEN 'failed' ELSE 'completed' END AS status", "CAST(n_nationkey * 3 AS INT) AS episodes_processed", "CAST(n_nationkey % 6 AS INT) AS clusters_failed",
     ], None),
-    "anchors": ("documents", ["doc_id AS episode_id", "'path' AS anchor_type", "concat('src/', lang, '/', source, '.py') AS anchor_value", "{ts}(1704067200 + doc_id % 720 * 3600) AS created_at"], "doc_id % 2 = 0"),
+    "anchors": ("documents", ["doc_id AS episode_id", "'path' AS anchor_type", "concat('src/', lang, '/', source, '.py') AS anchor_value", "{ts}(1704067200 + doc_id % 720 * 3600) AS created_at"], None),
     "vectors": ("embeddings", ["vec_id AS id", "embedding", "label", "vec_id % 19 = 0 AS tombstoned"], None),
     "turns": ("conversations", ["conv_id", "turn", "role", "text"], None),
     "principals": ("nation", ["n_nationkey AS id", "CASE WHEN n_nationkey % 2 = 0 THEN 'app_client_name' ELSE 'agent_name' END AS principal_type", "n_name AS principal_key"], None),
