@@ -290,6 +290,20 @@ class MemoryEngine:
         self.catalog.publish({"episodes": episodes, "vectors": rest.filter("NOT tombstoned")})
         self.hooks.fire("prune")
 
+    def reindex(self) -> int:
+        """Encodes every live episode of all scopes anew, as after a change of encoder; how many there are.
+
+        The vectors take the place of all that were there, and the episodes count as indexed, in one snapshot: a reader sees
+        the old vectors or the new ones. Deleted episodes lose theirs.
+        """
+        self.scope.require_write()
+        episodes = self.catalog.read("episodes")
+        live = episodes.filter("NOT deleted").withColumn("text", F.pandas_udf(_embedding_texts, "string")("content", "content_type", "tags"))
+        marked = episodes.withColumn("indexed", F.col("indexed") | ~F.col("deleted"))
+        self.catalog.publish({"vectors": encode(live, self.encoder), "episodes": marked})
+        self.warm_up()
+        return self.catalog.read("vectors").count()
+
     def browse(self) -> DataFrame:
         topics = self._read("knowledge_topics").select(F.col("id").alias("topic_id"), "title", "summary", "confidence")
         n = self._read("knowledge_records").filter("NOT deleted").groupBy("topic_id").pivot("record_type", list(markdown.SECTIONS)).count().fillna(0)

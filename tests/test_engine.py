@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from mnemolake.engine import MemoryEngine
+from mnemolake.operators import reads
 from mnemolake.operators.recall import RecallQuery
 from mnemolake.operators.scope import Scope
 
@@ -39,6 +41,27 @@ def test_store_recall_forget(spark, engine):
         engine.remember(" ", "2024-01-01")
 
 
+def test_reindex_takes_a_new_encoder(spark, engine):
+    from mnemolake.sources.embeddings import WordHashEncoder
+
+    assert engine.reindex() == 0  # an empty store
+    engine.ingest(notes(spark), "2024-01-01")
+    gone = spark.createDataFrame(engine.search("lunch").select("id").collect(), "id string")
+    engine.forget(gone, "2024-01-02")
+    episodes = engine.catalog.read("episodes").withColumn("indexed", F.lit(False))
+    engine.catalog.publish({"episodes": episodes})
+    assert reads.visible(engine.catalog.read("episodes")).count() == 0  # not indexed, not read
+    wide = MemoryEngine(spark, engine.catalog.root, engine.config.override(dim=32), WordHashEncoder(32))
+    assert wide.reindex() == 3
+    rows = wide.catalog.read("vectors").collect()
+    assert {len(r["embedding"]) for r in rows} == {32} and not any(r["tombstoned"] for r in rows)
+    assert {(r["deleted"], r["indexed"]) for r in wide.catalog.read("episodes").collect()} == {(True, False), (False, True)}
+    top = wide.recall(RecallQuery("cache fails src/app/cache.py", "2024-01-03", 3))["episodes"].first()
+    assert top["content_type"] == "solution"
+    with pytest.raises(PermissionError):
+        MemoryEngine(spark, engine.catalog.root, owner=Scope(write_mode="deny")).reindex()
+
+
 def test_consolidation_outcomes_and_drift(spark, engine):
     when = ["after a deploy", "on startup when cold"]
     rows = [(f"Problem: cache fails {when[i % 2]}\nFix: edit src/app/cache.py", "solution", ["cache"], "2023-12-01") for i in range(4)]
