@@ -43,7 +43,7 @@ ROLES: dict[str, tuple[str, list[str], str | None]] = {
         "CASE WHEN l_returnflag = 'R' THEN 'challenged' WHEN l_returnflag = 'A' THEN 'contradiction' WHEN l_linenumber % 2 = 0 THEN 'code_drift_detected' WHEN l_linenumber % 5 = 0 THEN 'expire' ELSE 'update' END AS event_type",
         "l_shipdate AS created_at",
     ], None),
-    "claim_edges": ("lineitem", ["l_orderkey AS from_claim_id", "l_partkey AS to_claim_id", "'contradicts' AS edge_type", "l_shipdate AS created_at"], "l_returnflag = 'A' AND l_linenumber <= 2"),
+    "claim_edges": ("lineitem", ["l_orderkey AS from_claim_id", "l_partkey AS to_claim_id", "'contradicts' AS edge_type", "l_shipdate AS created_at"], "l_returnflag = 'A'"),
     "outcomes": ("events", [
         "event_id AS id", "user_id AS claim_id",
         "CASE WHEN event_type = 'purchase' THEN 'success' WHEN event_type = 'signup' THEN 'partial_success' WHEN event_type = 'error' THEN 'failure' WHEN event_id % 10 = 0 THEN 'reverted' WHEN event_id % 15 = 1 THEN 'superseded' ELSE 'neutral' END AS outcome_type",
