@@ -10,14 +10,17 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemolake.llm.common import _PLAIN_FILES, _file_system, documents, released, shared_dir
 
-#: Pieces of text whose ids a worker keeps, at most, and the characters that are encoded together.
-KNOWN_PIECES, TOGETHER = 1 << 18, 1 << 19
+#: Pieces of text whose ids a worker keeps, at most, and the bytes of text that are encoded together.
+KNOWN_PIECES, TOGETHER = 1 << 19, 1 << 20
+#: Pieces that are given to the tokenizer as one text.
+GROUP = 200
 #: Bytes of a row group and of a page before compression, and rows of a page: what a selective read takes at least.
 ROW_GROUP, PAGE, PAGE_ROWS = 32 << 20, 64 << 10, 2_000
 
@@ -41,101 +44,189 @@ def layout(ids: str = "dictionary", row_group: int = ROW_GROUP, page: int = PAGE
 
 
 class _Known(dict):
-    """Numbers pieces in the order in which they are first asked for."""
+    """Numbers pieces in the order in which they are first asked for; `new` are those without ids yet."""
 
-    def __init__(self) -> None:
-        self.new: list[str] = []
+    def __init__(self, pieces: list[bytes]) -> None:
+        super().__init__((p, n) for n, p in enumerate(pieces))
+        self.new: list[bytes] = []
 
-    def __missing__(self, piece: str) -> int:
+    def __missing__(self, piece: bytes) -> int:
         self[piece] = n = len(self)
         self.new.append(piece)
         return n
 
 
-def _slices(text: str) -> Iterator[str]:
-    """The text in slices of about TOGETHER characters, cut at single spaces, which are left out."""
+_UPPER = np.zeros(256, bool)
+_UPPER[65:91] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[list(b"!#$%&()*+,-./:;=?@[]^_{}~")] = True
+_SPACED = np.arange(256, dtype=np.uint8)
+_SPACED[[9, 10, 13]] = 32
+_SMALL = _SPACED.copy()
+_SMALL[65:91] += 32
+#: Stands for the end of a text: no byte of UTF-8.
+_END = b"\xff"
+
+
+def split_pieces(buf: bytes) -> pa.DictionaryArray:
+    """Pieces whose ids, one after the other, are the text's under a tokenizer that drops white space and case.
+
+    Cut at white space, and between an ASCII letter and the signs after it that end a word, where such tokenizers cut in any case; A-Z become
+    small unless a mark may follow that could make another letter of them. Text that may hold a special token stays as it is.
+    """
+    raw = np.frombuffer(buf, np.uint8)
+    if b"<|" in buf:
+        return _at_spaces(_SPACED[raw])
+    low = _SMALL[raw]
+    marked = np.flatnonzero(_UPPER[raw[:-1]] & (raw[1:] >= 0x80))
+    low[marked] = raw[marked]
+    sign = _SIGN[low]
+    start = np.flatnonzero(sign[1:] & _LETTER[low[:-1]]) + 1
+    stops = np.append(np.flatnonzero(~sign), low.size)
+    stop = stops[np.searchsorted(stops, start)]
+    whole = np.append(low, np.uint8(32))[stop] == 32
+    return _at_spaces(np.insert(low, start[whole], 32))
+
+
+def _at_spaces(text: np.ndarray) -> pa.DictionaryArray:
+    one = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, text.size], np.int32)), pa.py_buffer(text)])
+    return pc.split_pattern(one, b" ").flatten().dictionary_encode()
+
+
+def _slices(text: bytes) -> Iterator[bytes]:
+    """The text in slices of about TOGETHER bytes, cut at single spaces, which are left out."""
     at = 0
-    while len(text) - at > TOGETHER and (cut := text.find(" ", at + TOGETHER)) >= 0:
+    while len(text) - at > TOGETHER and (cut := text.find(b" ", at + TOGETHER)) >= 0:
         yield text[at:cut]
         at = cut + 1
     yield text[at:]
 
 
+class _Pieces:
+    """Ids of texts by way of their pieces: the library encodes each distinct piece once while it is remembered.
+
+    Remembered are at most KNOWN_PIECES (and what one call brings); beyond that those used only once since the last time are forgotten.
+    """
+
+    def __init__(self, tokenizer, end_id: int) -> None:
+        self.tokenizer = tokenizer
+        one = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        # A digit that is a token of its own between spaces marks where pieces given together end.
+        self.mark = one("9")[0] if len(one("9")) == 1 and one("a 9 b 9 9 c") == [*one("a"), *one("9"), *one("b"), *one("9"), *one("9"), *one("c")] else None
+        self.known, self.used = _Known([_END]), np.zeros(1, np.int64)
+        self.ids, self.start, self.size = np.array([end_id], np.int32), np.zeros(1, np.int64), np.ones(1, np.int64)
+
+    def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all pieces, and how many each has."""
+        texts = [p.decode() for p in pieces]
+        size = np.zeros(len(texts), np.int64)
+        alone = np.array([self.mark is None or "9" in t or "<|" in t for t in texts], bool)
+        own, rest, found = np.flatnonzero(alone), np.flatnonzero(~alone), []
+        order = np.concatenate([own, rest])
+        for at, e in zip(own, self.tokenizer.encode_batch([texts[i] for i in own], add_special_tokens=False), strict=True):
+            found.append(np.array(e.ids, np.int32))
+            size[at] = len(e.ids)
+        groups = [rest[i : i + GROUP] for i in range(0, len(rest), GROUP)]
+        joined = [" 9 ".join([*(texts[i] for i in g), ""]) for g in groups]
+        for g, e in zip(groups, self.tokenizer.encode_batch(joined, add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int32)
+            ends = np.flatnonzero(ids == self.mark)
+            size[g] = np.diff(ends, prepend=-1) - 1
+            found.append(np.delete(ids, ends))
+        # Back from "alone first" to the pieces' own order.
+        flat = np.concatenate([*found, np.zeros(0, np.int32)])
+        begin = np.zeros(len(texts), np.int64)
+        begin[order] = np.cumsum(size[order]) - size[order]
+        return _gather(flat, begin, size), size
+
+    def __call__(self, pieces: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the pieces in order, how many each has, and which are ends of texts."""
+        distinct = pieces.dictionary.to_pylist()
+        code = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
+        if self.known.new:
+            ids, size = self._encoded(self.known.new)
+            self.known.new.clear()
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+        used = np.bincount(code, minlength=len(self.known))
+        used[: len(self.used)] += self.used
+        self.used = used
+        size = self.size[code]
+        out = _gather(self.ids, self.start[code], size)
+        if len(self.known) > KNOWN_PIECES:
+            self._forget()
+        return out, size, code == 0
+
+    def _forget(self) -> None:
+        keep = np.flatnonzero(self.used > 1)
+        if len(keep) > KNOWN_PIECES // 2:
+            keep = np.sort(keep[np.argsort(-self.used[keep], kind="stable")[: KNOWN_PIECES // 2]])
+        keep = np.concatenate([[0], keep[keep > 0]])  # the end of texts stays number 0
+        pieces = list(self.known)
+        self.known = _Known([pieces[i] for i in keep])
+        size = self.size[keep]
+        self.ids, self.start, self.size = _gather(self.ids, self.start[keep], size), np.cumsum(size) - size, size
+        self.used = np.zeros(len(keep), np.int64)
+
+
+def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[start : start + size] of every pair, one after the other."""
+    ends = np.cumsum(size)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
+
+
 @lru_cache(maxsize=1)
-def encoder(path: str, between_spaces: bool, end_id: int) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray]]:
-    """Texts to all their ids in one array, end_id after each text, and the number of each text's ids.
+def encoder(path: str, between_spaces: bool, end_id: int) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
+    """Texts in UTF-8 to all their ids in one array, end_id after each text, and the number of each text's ids.
 
-    between_spaces: the tokenizer drops white space and splits there, so what stands between two spaces has the same ids in every text
-    and is encoded once. Else whole texts are encoded. Ids are those the tokenizers library gives without special tokens.
+    between_spaces: the tokenizer drops white space and case and cuts at white space and between letters and signs, so that a piece has the same ids
+    in every text (see `split_pieces`). Else whole texts are encoded. Ids are those the tokenizers library gives without special tokens.
     """
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    encoded = lambda texts: [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
     if not between_spaces:
 
-        def whole(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = [[*ids, end_id] for ids in encoded(texts)]
-            return np.concatenate([np.array(x, np.int32) for x in found] or [np.zeros(0, np.int32)]), np.array([len(x) for x in found], np.int64)
+        def whole(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            found = [[*e.ids, end_id] for e in tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, np.int32), *(np.array(x, np.int32) for x in found)]), np.array([len(x) for x in found], np.int64)
 
         return whole
 
-    state: dict = {}
-
-    def restart() -> None:
-        # The end of a text is a piece of its own, number 0.
-        state.update(known=_Known(), ids=np.array([end_id], np.int32), start=np.zeros(1, np.int64), size=np.ones(1, np.int64))
-        state["known"][None] = 0
-
-    def pieces(words: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words in order and how many each has."""
-        known = state["known"]
-        code = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        if known.new:
-            found = encoded(known.new)
-            known.new.clear()
-            size = np.array([len(x) for x in found], np.int64)
-            state["start"] = np.concatenate([state["start"], len(state["ids"]) + np.cumsum(size) - size])
-            state["size"] = np.concatenate([state["size"], size])
-            state["ids"] = np.concatenate([state["ids"], *(np.array(x, np.int32) for x in found)])
-        start, size = state["start"][code], state["size"][code]
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
-        out = state["ids"][at]
-        if len(known) > KNOWN_PIECES:
-            restart()
-        return out, size
-
-    def by_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids, counts, words, held = [], [], [], 0
-        open_text = 0  # ids of the text so far
+    ids_of = _Pieces(tokenizer, end_id)
+
+    def by_pieces(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts, parts, held, open_text = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [], 0, 0
 
         def flush() -> None:
-            nonlocal open_text, words, held
-            got, size = pieces(words)
+            nonlocal parts, held, open_text
+            got, size, last = ids_of(split_pieces(b" ".join(parts)))
             ids.append(got)
-            ends, total = np.flatnonzero(np.fromiter((w is None for w in words), bool, len(words))), np.cumsum(size)
+            total, ends = np.cumsum(size), np.flatnonzero(last)
+            done = 0
             if len(ends):
                 whole = np.diff(total[ends], prepend=0)
                 whole[0] += open_text
                 counts.append(whole)
-                open_text = 0
-            open_text += int(total[-1] - (total[ends[-1]] if len(ends) else 0)) if len(total) else 0
-            words, held = [], 0
+                open_text, done = 0, total[ends[-1]]
+            open_text += int(total[-1] - done)  # of a text that goes on
+            parts, held = [], 0
 
         for text in texts:
             for part in _slices(text):
-                words += part.split(" ")
+                parts.append(part)
                 held += len(part) + 1
                 if held > TOGETHER:
                     flush()
-            words.append(None)
-        flush()
-        return np.concatenate(ids), np.concatenate([*counts, np.zeros(0, np.int64)])
+            parts.append(_END)
+        if parts:
+            flush()
+        return np.concatenate(ids), np.concatenate(counts)
 
-    restart()
-    return by_words
+    return by_pieces
 
 
 def write(docs: DataFrame, path: str, file: Callable[[], str], end_id: int, between_spaces: bool = False, options: dict[str, str] | None = None) -> None:
@@ -155,11 +246,11 @@ def write(docs: DataFrame, path: str, file: Callable[[], str], end_id: int, betw
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, made = encoder(file(), between_spaces, end_id), TaskContext.get().partitionId(), 0
         for b in batches:
-            at = 0
+            at, raw = 0, b.column(1).cast(pa.binary()).to_pylist()
             while at < b.num_rows:
                 texts, first, held = [], at, 0
                 while at < b.num_rows and (not texts or held < TOGETHER):
-                    texts.append(b.column(1)[at].as_py() or "")
+                    texts.append(raw[at] or b"")
                     held += len(texts[-1])
                     at += 1
                 ids, size = encode(texts)

@@ -17,7 +17,7 @@ def tokenizer():
     return Tokenizer.from_file(public_49k())
 
 
-ODD = ["", None, " ", "  a  b ", "A\tb\nc  d", "I'll don't  'S", "naïve é ́x ΣΑΣ Σ", "a<|endoftext|>b <|startoftext|> c", "x" * 500, "日本語のテキスト", "1234 5.6", " nb sp\x1c\x85z", "😀 ok‍👩", "İstanbul ﬁ"]
+ODD = ["", None, " ", "  a  b ", "A\tb\nc  d", "I'll don't  'S", "naïve é ́x ΣΑΣ Σ", "a<|endoftext|>b <|startoftext|> c", "x" * 500, "日本語のテキスト", "1234 5.6", " nb sp\x1c\x85z", "😀 ok‍👩", "İstanbul ﬁ", "J̌ J̌. H̱! W̊ x", "End., (stop)! a.b. 'tis. it's, WHY?! $$$ a$$$ 9 99 a9. <|x|>", "<|ENDOFTEXT|>", "x.\u0301 A\u0301. =\u0338"]
 
 
 def whole(tokenizer, text):
@@ -39,18 +39,26 @@ def test_pieces_between_spaces_give_the_ids_of_whole_texts(monkeypatch, tokenize
     monkeypatch.setattr(tokenfiles, "TOGETHER", together)
     monkeypatch.setattr(tokenfiles, "KNOWN_PIECES", known)
     encoder.cache_clear()
-    texts = [t or "" for t in ODD] + [" ".join(t or "" for t in ODD)]
-    for _ in range(2):
-        ids, size = encoder(public_49k(), True, 2)(texts)
+    texts = [t or "" for t in ODD] + [" ".join(t or "" for t in ODD)] + [" ".join(t for t in ODD if t and "<|" not in t)]
+    raw = [t.encode() for t in texts]
+    for _ in range(3):
+        ids, size = encoder(public_49k(), True, 2)(raw)
         assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [whole(tokenizer, t) for t in texts]
         ids, size = encoder(public_49k(), True, 2)([])
         assert not len(ids) and not len(size)
     encoder.cache_clear()
-    ids, size = encoder(public_49k(), False, 2)(texts)
+    ids, size = encoder(public_49k(), False, 2)(raw)
     assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [whole(tokenizer, t) for t in texts]
     encoder.cache_clear()
 
 
+def test_pieces_of_the_documents_give_the_ids_of_whole_texts(tokenizer):
+    encoder.cache_clear()
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()]
+    ids, size = encoder(public_49k(), True, 2)([t.encode() for t in texts])
+    assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [whole(tokenizer, t) for t in texts]
+
+
 def stored(spark, tmp_path, docs, **options):
     df = spark.createDataFrame([(*d, "p", 1) for d in docs], "doc_id long, text string, part string, first int").repartition(3)
     write(df, f"file://{tmp_path}/t", public_49k, 2, between_spaces=True, **options)
