@@ -50,6 +50,7 @@ class EngineConfig:
     challenge_batch: int = 200
     keep_versions: int = 5
     compact_ratio: float = 0.2
+    journal_openers: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if self.dim <= 0:
@@ -72,7 +73,7 @@ class EngineConfig:
             raise ValueError(f"unknown settings: {sorted(unknown)}")
         for name, kind in kinds.items():
             if (raw := env.get(f"MNEMOLAKE_{name.upper()}")) is not None:
-                found[name] = kind(raw)
+                found[name] = raw.split(";") if kind is tuple else kind(raw)
         return cls(**{k: kinds[k](v) for k, v in found.items()})
 
     def override(self, **changes: object) -> EngineConfig:

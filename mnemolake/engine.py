@@ -98,7 +98,8 @@ class MemoryEngine:
             status = F.when(F.col("there"), "known").when(F.col("duplicate_of").isNotNull() | again, "duplicate").otherwise("stored")
             same = F.when(F.col("there") | again, F.col("id"))
             log = told.select(F.lit(batch).alias("batch"), "id", status.alias("status"), F.coalesce("duplicate_of", same).alias("duplicate_of"), F.pandas_udf(_advice, "array<string>")("content", "content_type").alias("advice"), t.alias("created_at"))
-            self.catalog.publish({"tag_cooccurrence": pairs}, {"episodes": self._scoped(stamped), "vectors": kept, "episode_anchors": anchored, "ingest_log": log})
+            postings, lengths = keyword.index_tables(kept)
+            self.catalog.publish({"tag_cooccurrence": pairs}, {"episodes": self._scoped(stamped), "vectors": kept, "episode_anchors": anchored, "keyword_postings": postings, "keyword_lengths": lengths, "ingest_log": log})
         result = self.catalog.read("ingest_log").filter(F.col("batch") == batch).select("id", "status", "duplicate_of", "advice")
         self.hooks.fire("store", count=result.filter("status = 'stored'").count())
         return result
@@ -115,7 +116,7 @@ class MemoryEngine:
         as_of = q.as_of or q.now
         out = {}
         if "episodes" in q.sections:
-            out["episodes"] = recall.episodes_section(self._read("episodes", where), self.catalog.read("vectors"), vec, q, self.catalog.read("tag_cooccurrence"), config=self.config)
+            out["episodes"] = recall.episodes_section(self._read("episodes", where), self.catalog.read("vectors"), vec, q, self.catalog.read("tag_cooccurrence"), config=self.config, keywords=self._keywords)
         if "topics" in q.sections:
             topics = self._read("knowledge_topics", where)
             out["topics"] = recall.topics_section(topics, sim("topics", topics, _topic_text()), q, self.config)
@@ -135,6 +136,27 @@ class MemoryEngine:
         self.hooks.fire("recall", query=q.text)
         return out
 
+    def _keywords(self, docs: DataFrame, query: str, k: int) -> DataFrame:
+        """The k best of docs by the query's words, from the kept index and what it does not know yet."""
+        return keyword.search_index(self.catalog.read("keyword_postings"), self.catalog.read("keyword_lengths"), docs, query, k)
+
+    def reindex_keywords(self) -> int:
+        """Builds the keyword index anew from all live episodes; how many there are. Deleted and pruned ones leave it."""
+        self.scope.require_write()
+        self.catalog.publish(self._keyword_tables(self.catalog.read("episodes")))
+        return self.catalog.read("keyword_lengths").count()
+
+    @staticmethod
+    def _keyword_tables(episodes: DataFrame) -> dict[str, DataFrame]:
+        postings, lengths = keyword.index_tables(episodes.filter("NOT deleted AND consolidated <> 2"))
+        return {"keyword_postings": postings, "keyword_lengths": lengths}
+
+    def keyword_coverage(self) -> dict[str, int]:
+        """Live episodes, how many of them the keyword index knows, and what it holds of others (until `compact`)."""
+        live = self.catalog.read("episodes").filter("NOT deleted").select("id")
+        held = self.catalog.read("keyword_lengths").select("id")
+        return {"live": live.count(), "indexed": live.join(held, "id", "left_semi").count(), "stale": held.join(live, "id", "left_anti").count()}
+
     def search(self, query: str | None = None, where: object = None, **filters: object) -> DataFrame:
         return reads.search_episodes(self._read("episodes", where), query, **filters)
 
@@ -285,9 +307,11 @@ class MemoryEngine:
         return counts
 
     def compact(self, now: str, days: int | None = None) -> None:
-        """Prunes old consolidated episodes and drops marked vectors."""
+        """Prunes old consolidated episodes and drops marked vectors, and both from the keyword index."""
         episodes, rest = co.prune(self.catalog.read("episodes"), self.catalog.read("vectors"), now, days or self.config.prune_days)
-        self.catalog.publish({"episodes": episodes, "vectors": rest.filter("NOT tombstoned")})
+        live = episodes.filter("NOT deleted AND consolidated <> 2").select("id")
+        words = {t: self.catalog.read(t).join(live, "id", "left_semi") for t in ("keyword_postings", "keyword_lengths")}
+        self.catalog.publish({"episodes": episodes, "vectors": rest.filter("NOT tombstoned"), **words})
         self.hooks.fire("prune")
 
     def reindex(self) -> int:
@@ -300,7 +324,7 @@ class MemoryEngine:
         episodes = self.catalog.read("episodes")
         live = episodes.filter("NOT deleted").withColumn("text", F.pandas_udf(_embedding_texts, "string")("content", "content_type", "tags"))
         marked = episodes.withColumn("indexed", F.col("indexed") | ~F.col("deleted"))
-        self.catalog.publish({"vectors": encode(live, self.encoder), "episodes": marked})
+        self.catalog.publish({"vectors": encode(live, self.encoder), "episodes": marked, **self._keyword_tables(episodes)})
         self.warm_up()
         return self.catalog.read("vectors").count()
 
@@ -332,7 +356,7 @@ class MemoryEngine:
         ended = lifecycle.update(rows, old.select("id"), {"valid_until": t, "updated_at": t})
         kind = "id string, topic_id string, record_type string, content map<string,string>, embedding_text string, claim_id string"
         made = self.spark.createDataFrame([(hashlib.sha256(f"{topic_id}|{claim_id(r['type'], r)}|{now}".encode()).hexdigest()[:32], topic_id, r["type"], r, record_text(r), claim_id(r["type"], r)) for r in new], kind).withColumns({"created_at": t, "updated_at": t, "valid_from": t})
-        scoped = made.join(topic.select(F.col("id").alias("topic_id"), *scope.FIELDS), "topic_id")
+        made = made.join(topic.select(F.col("id").alias("topic_id"), *scope.FIELDS), "topic_id").withColumn("claim_id", scope.claim_key(F.col("claim_id"), scope.key()))
         told = co.to_claims(made.select("claim_id", F.col("content").alias("record"), F.lit(0).alias("position")), now).withColumn("created_at", t)
         fresh = told.join(claims.select("id"), "id", "left_anti")
         linked = made.select("claim_id", F.col("topic_id").alias("source_topic_id"), F.col("id").alias("source_record_id"), t.alias("created_at"))
@@ -342,7 +366,7 @@ class MemoryEngine:
         events = lifecycle.event(fresh.select("id"), "create", now).unionByName(lifecycle.event(told.select("id").join(claims.select("id"), "id", "left_semi"), "correct", now)).unionByName(lifecycle.event(lost, "expire", now))
         version = topic.select(F.col("id").alias("topic_id"), t.alias("superseded_at"), "title", "summary").join(markdown.topic_lines(old).withColumnRenamed("body", "content"), "topic_id", "left")
         self.catalog.publish(
-            {"knowledge_records": ended.unionByName(conform(scoped, "knowledge_records")), "claim_sources": left, "claims": lifecycle.expire(claims.unionByName(conform(fresh, "claims")), lost, now), "knowledge_topics": lifecycle.update(read("knowledge_topics"), topic.select("id"), {"fact_count": F.lit(len(new)), "updated_at": t})},
+            {"knowledge_records": ended.unionByName(conform(made, "knowledge_records")), "claim_sources": left, "claims": lifecycle.expire(claims.unionByName(conform(fresh, "claims")), lost, now), "knowledge_topics": lifecycle.update(read("knowledge_topics"), topic.select("id"), {"fact_count": F.lit(len(new)), "updated_at": t})},
             {"claim_events": events, "topic_versions": version},
         )
         self.hooks.fire("topic_updated", topic=topic_id)
@@ -354,7 +378,7 @@ class MemoryEngine:
         coded = rows.join(self._coded("records", rows.select("id", F.col("embedding_text").alias("text"))), "id")
         sims = coded.select("id", vectors.dot(F.col("embedding"), vectors.literal(vec)).alias("similarity"))
         replaced = coded.filter(F.col("valid_until") <= temporal.instant(as_of)).select("topic_id", "id", "embedding", "valid_until").alias("o").join(coded.select("topic_id", F.col("id").alias("b"), F.col("embedding").alias("y"), "created_at"), "topic_id").filter("created_at >= valid_until AND b <> id").withColumn("s", vectors.dot(F.col("embedding"), F.col("y"))).filter(F.col("s") >= self.config.supersession_similarity)
-        return recall.timeline(rows, sims, replaced.groupBy("id").agg(F.max_by("b", "s").alias("superseded_by")), as_of)
+        return recall.timeline(rows, sims, replaced.groupBy("id").agg(F.max_by("b", F.struct("s", "created_at", "b")).alias("superseded_by")), as_of)
 
     def contradictions(self, limit: int = 50) -> DataFrame:
         """Newest contradictions in topics that the caller may read."""
@@ -382,17 +406,23 @@ class MemoryEngine:
         return reads.in_windows(reads.newest(self.catalog.read("consolidation_runs"), "started_at", n), self.catalog.read("contradiction_log"))
 
     def hygiene_scan(self) -> DataFrame:
-        return co.hygiene_report(lifecycle.hygiene_buckets(self._read("episodes")))
+        return co.hygiene_report(self._buckets(self._read("episodes")))
+
+    def _buckets(self, episodes: DataFrame) -> DataFrame:
+        return lifecycle.hygiene_buckets(episodes, (*lifecycle.JOURNAL_OPENERS, *self.config.journal_openers))
 
     def hygiene_apply(self, now: str, dry_run: bool = True) -> DataFrame:
         """The caller's orphaned claims, and episodes that buckets name; without dry_run both are removed."""
-        claims = self.catalog.read("claims")
-        found = lifecycle.orphans(self._claims(own=True), self.catalog.read("claim_sources"), self.catalog.read("episodes"))
+        c = {t: self.catalog.read(t) for t in ("episodes", "vectors", "claims", "claim_sources")}
+        found = lifecycle.orphans(self._claims(own=True), c["claim_sources"], c["episodes"])
         if not dry_run:
             self.scope.require_write()
+            junk = self._buckets(self._own("episodes")).filter("bucket IN ('temp', 'noise_journal')").select("id")
+            n = junk.count()
             # Frames read the snapshot that they were made from, so `found` stays what it is.
-            self.catalog.publish({"claims": lifecycle.expire(claims, found, now)}, {"claim_events": lifecycle.event(found, "expire", now)})
-            self.forget(lifecycle.hygiene_buckets(self._own("episodes")).filter("bucket IN ('temp', 'noise_journal')").select("id"), now)
+            new = lifecycle.forget(c["episodes"], c["vectors"], lifecycle.expire(c["claims"], found, now), c["claim_sources"], junk, now)
+            self.catalog.publish(new, {"claim_events": new.pop("claim_events").unionByName(lifecycle.event(found, "expire", now))})
+            self.hooks.fire("forget", count=n)
         return found
 
     def policy_grant(self, principal: tuple[str, str], write_mode: str = "allow", read_visibility: str = "private", namespace: str | None = None, project: str | None = None) -> None:

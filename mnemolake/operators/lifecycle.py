@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemolake.operators.temporal import instant, valid_at
@@ -147,28 +147,21 @@ def drifted(changed: DataFrame, anchors: DataFrame, sources: DataFrame, claims:
     return hits.join(live, "claim_id", "left_semi").groupBy(F.col("claim_id").alias("id")).agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 
-# Strings that only trial runs leave in texts and in tags, and how journals of finished work begin
-# (\d: any figure); an opener of one word may go on in any way.
+# Strings that only trial runs leave in texts and in tags.
 TRIAL_TEXTS = ("coding_agent_eval_test", ".tmp_coding_agent_eval", "drift_000", "drift_001", "novelty_eval_test")
 TRIAL_TAGS = ("smoke", "test-run")
-JOURNAL_OPENERS = (
-    "completed", "implemented", "validated consolidation", "provided in-depth", "final audit", r"consolidation-memory v0\.\d", r"all \d+ tests pass",
-    "faiss index health check", "multi-agent hardening pass", "researched and documented", "architecture assessment",
-)
-#: Openers that must end there: a longer word that starts with one is another word.
-WHOLE_OPENERS = frozenset(("completed", "implemented", "final audit"))
+#: How journals of finished work begin, as patterns over small letters; callers know more of their own.
+JOURNAL_OPENERS = (r"completed\b", r"implemented\b", r"final audit\b", r"[\w-]+ v\d+\.\d", r"all \d+ tests pass", r"health check\b")
 
 
-def hygiene_buckets(episodes: DataFrame) -> DataFrame:
+def hygiene_buckets(episodes: DataFrame, openers: Sequence[str] = JOURNAL_OPENERS) -> DataFrame:
     """First matching bucket of live episodes: temp, exchange, noise_journal, or null.
 
-    Journals are solutions that are empty, or that open as one and name neither a problem nor a path.
+    Journals are solutions that are empty, or that open with one of `openers` and name neither a problem nor a path.
     """
     # White space counts as one space, so openers of several words are found however they are set.
     low = F.lower(F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", " ")))
-    opens = F.lit(False)
-    for opener in JOURNAL_OPENERS:
-        opens = opens | low.rlike("^" + opener + (r"\b" if opener in WHOLE_OPENERS else ""))
+    opens = low.rlike("^(?:" + "|".join(openers) + ")") if openers else F.lit(False)
     trial = F.lit(False)
     for mark in TRIAL_TEXTS:
         trial = trial | F.contains(low, F.lit(mark))
@@ -180,8 +173,22 @@ def hygiene_buckets(episodes: DataFrame) -> DataFrame:
     return episodes.filter("NOT deleted").withColumn("bucket", bucket)
 
 
+#: States from the mildest to the gravest, and the state that each type of event leaves a claim in.
+GRAVITY = ("active", "challenged", "expired")
+STATES = {"create": "active", "update": "active", "correct": "active", "challenged": "challenged", "code_drift_detected": "challenged", "contradiction": "challenged", "expire": "expired", "auto_expired_challenged": "expired"}
+
+
+def gravity(event_type: Column) -> Column:
+    """0 to 2: how grave the state is that an event leaves; null for events that change no state."""
+    return F.element_at(F.create_map(*[F.lit(x) for k, v in STATES.items() for x in (k, GRAVITY.index(v))]), event_type)
+
+
 def lifecycle_state(events: DataFrame) -> DataFrame:
-    """Each claim's state after its last event that changes it: active, challenged or expired."""
-    kinds = events.filter(F.col("event_type").isin("create", "update", "correct", "challenged", "code_drift_detected", "expire", "auto_expired_challenged", "contradiction"))
-    last = kinds.groupBy(F.col("claim_id").alias("id")).agg(F.max_by("event_type", F.struct("created_at", "n")).alias("last"))
-    return last.withColumn("state", F.when(F.col("last").isin("expire", "auto_expired_challenged"), "expired").when(F.col("last").isin("challenged", "code_drift_detected", "contradiction"), "challenged").otherwise("active"))
+    """Each claim's state after its last event that changes it (id, last, state): active, challenged or expired.
+
+    Of events at one time with one number the gravest counts: what ends a claim, then what casts doubt on it; of equally
+    grave ones the one whose type comes last by name. So the state does not depend on the order of rows.
+    """
+    kinds = events.filter(F.col("event_type").isin(*STATES))
+    last = kinds.groupBy(F.col("claim_id").alias("id")).agg(F.max(F.struct("created_at", "n", gravity(F.col("event_type")).alias("gravity"), "event_type")).alias("e"))
+    return last.select("id", F.col("e.event_type").alias("last"), F.element_at(F.array(*[F.lit(s) for s in GRAVITY]), F.col("e.gravity") + 1).alias("state"))

@@ -55,6 +55,16 @@ def key() -> Column:
     return F.concat_ws("|", *[F.replace(F.coalesce(F.col(k), F.lit(DEFAULTS.get(k, ""))), F.lit("|"), F.lit("||")) for k in EQUALITY_KEYS])
 
 
+#: The scope of rows without any scope columns set.
+DEFAULT_KEY = "|".join(DEFAULTS.get(k, "") for k in EQUALITY_KEYS)
+
+
+def claim_key(claim: Column, scope_key: Column) -> Column:
+    """The id of a claim in its scope: two scopes that learn one thing hold a claim each. The default scope's is the claim's own id."""
+    own = F.concat(F.lit("clm_"), F.substring(F.sha2(F.concat_ws("|", scope_key, claim), 256), 1, 32))
+    return F.when((scope_key == DEFAULT_KEY) | claim.isNull(), claim).otherwise(own)
+
+
 def of_clusters(members: DataFrame) -> DataFrame:
     """(cluster, scope columns): a column's one value in the cluster; where there are several, the smallest id's for the
     columns that keep scopes apart, null for the others."""

@@ -129,6 +129,13 @@ def _(e):
     return keyword.bm25(e.episodes.filter("NOT deleted"), "License version").select("id", F.round("raw", 4).alias("raw"), F.round("keyword", 4).alias("keyword"))
 
 
+@query("rk03_keyword_index", f"WITH {_BM25} SELECT id, round(raw, 4) AS raw, round(raw / (raw + 1), 4) AS keyword FROM b")
+def _(e):
+    # The index knows two thirds of the texts, deleted ones among them; the rest is counted beside it.
+    postings, lengths = keyword.index_tables(e.episodes.filter("id % 3 <> 0"))
+    return keyword.search_index(postings, lengths, e.episodes.filter("NOT deleted"), "License version").select("id", F.round("raw", 4).alias("raw"), F.round("keyword", 4).alias("keyword"))
+
+
 _HYBRID = f"""
 v AS (SELECT id, list_dot_product(CAST(embedding AS DOUBLE[]), CAST({_QUERY_VECTOR} AS DOUBLE[])) AS similarity FROM vectors WHERE NOT tombstoned ORDER BY 2 DESC, id LIMIT 30),
 k AS (SELECT id, raw / (raw + 1) AS keyword FROM b ORDER BY raw DESC, id LIMIT 50),
@@ -271,7 +278,7 @@ def _(e):
     return lifecycle.merge(e.topics.select("id", "title", "confidence"), changes.select("id", "title", "confidence").unionByName(added), ["id"], keep=["confidence"])
 
 
-@query("st05_lifecycle_state", "WITH r AS (SELECT claim_id AS id, event_type, row_number() OVER (PARTITION BY claim_id ORDER BY created_at DESC, n DESC) AS k FROM claim_events) SELECT id, CASE WHEN event_type IN ('expire', 'auto_expired_challenged') THEN 'expired' WHEN event_type IN ('challenged', 'code_drift_detected', 'contradiction') THEN 'challenged' ELSE 'active' END AS state FROM r WHERE k = 1")
+@query("st05_lifecycle_state", "WITH r AS (SELECT claim_id AS id, event_type, row_number() OVER (PARTITION BY claim_id ORDER BY created_at DESC, n DESC, CASE WHEN event_type IN ('expire', 'auto_expired_challenged') THEN 2 WHEN event_type IN ('challenged', 'code_drift_detected', 'contradiction') THEN 1 ELSE 0 END DESC, event_type DESC) AS k FROM claim_events) SELECT id, CASE WHEN event_type IN ('expire', 'auto_expired_challenged') THEN 'expired' WHEN event_type IN ('challenged', 'code_drift_detected', 'contradiction') THEN 'challenged' ELSE 'active' END AS state FROM r WHERE k = 1")
 def _(e):
     return lifecycle.lifecycle_state(e.claim_events).select("id", "state")
 

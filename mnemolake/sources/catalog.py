@@ -48,6 +48,8 @@ SCHEMAS: dict[str, T.StructType] = {
     "ingest_log": _struct(batch=_S, id=_S, status=_S, duplicate_of=_S, advice=_A, created_at=_T),
     "drift_impacts": _struct(run_id=_S, claim_id=_S, paths=_A, created_at=_T),
     "access_log": _struct(kind=_S, id=_S, at=_T),
+    "keyword_postings": _struct(term=_S, id=_S, tf=T.LongType(), length=_I),
+    "keyword_lengths": _struct(id=_S, length=_I),
 }
 #: What makes a row that comes without an id what it is.
 _NAMED_BY = {
@@ -55,6 +57,8 @@ _NAMED_BY = {
     "claim_edges": ("from_claim_id", "to_claim_id", "edge_type"), "contradiction_log": ("topic_id", "old_record_id", "new_record_id", "resolution", "detected_at"),
     "episode_anchors": ("episode_id", "anchor_type", "anchor_value"),
 }
+#: Tables whose files each hold a range of a column, in order, so that a filter on it reads few of them.
+_SORTED_BY = {"keyword_postings": ("term", "id")}
 #: Directories of a table that are read together, at most.
 MOST_PARTS = 64
 _EMPTY = {"surprise_score": 0.5, "indexed": True, "deleted": False, "protected": False, "consolidated": 0, "consolidation_attempts": 0, "access_count": 0, "confidence": 0.8, "precision_": 1.0, "tombstoned": False}
@@ -114,11 +118,34 @@ class Catalog:
         finally:
             stream.close()
 
+    def _replace(self, source: str, target: str) -> None:
+        """Renames source to target in one step, over what is there: at no time is there no target."""
+        jvm = self.spark.sparkContext._jvm
+        _, at = self._fs(source)
+        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        options[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(at, self._fs(target)[1], options)
+
+    def _versions(self) -> list[int]:
+        """Versions that were current at some time, in order."""
+        fs, p = self._fs(f"{self.root}/_pointers")
+        names = [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
+
     def pointer(self) -> dict[str, object]:
-        """{version, tables: {name: its directories}} of the current snapshot."""
+        """{version, tables: {name: its directories}} of the current snapshot; should the pointer be lost, of the last one noted."""
         raw = self._read_text(f"{self.root}/_current.json")
+        if raw is None and (known := self._versions()):
+            raw = self._read_text(f"{self.root}/_pointers/{known[-1]}.json")
         return json.loads(raw) if raw else {"version": 0, "tables": {}}
 
+    def _point(self, text: str) -> None:
+        """Makes a snapshot current, and then notes it among the versions."""
+        self._write_text(f"{self.root}/_next.json", text)
+        self._replace(f"{self.root}/_next.json", f"{self.root}/_current.json")
+        self._write_text(f"{self.root}/_pointers/{json.loads(text)['version']}.json", text)
+
     def read(self, table: str) -> DataFrame:
         at = self.pointer()["tables"].get(table)
         if not at:
@@ -131,7 +158,7 @@ class Catalog:
         Tables not named stay as they are. A table of more than MOST_PARTS directories is put into one when rows are added.
         """
         now = self.pointer()
-        version = int(now["version"]) + 1
+        version = max(int(now["version"]), *self._versions(), 0) + 1
         held = {k: list(v) for k, v in now["tables"].items()}
         added = dict(added or {})
         whole = dict(tables)
@@ -139,14 +166,12 @@ class Catalog:
             whole[name] = self.read(name).unionByName(conform(added.pop(name), name))
         for name, df in (*whole.items(), *added.items()):
             at = f"{name}/v{version}-{uuid.uuid4().hex[:8]}"
-            conform(df, name).write.parquet(f"{self.root}/{at}")
+            rows = conform(df, name)
+            if name in _SORTED_BY:
+                rows = rows.repartitionByRange(*_SORTED_BY[name]).sortWithinPartitions(*_SORTED_BY[name])
+            rows.write.parquet(f"{self.root}/{at}")
             held[name] = [at] if name in whole else [*held.get(name, ()), at]
-        text = json.dumps({"version": version, "tables": held})
-        self._write_text(f"{self.root}/_pointers/{version}.json", text)
-        self._write_text(f"{self.root}/_next.json", text)
-        fs, target = self._fs(f"{self.root}/_current.json")
-        fs.delete(target, False)
-        fs.rename(self._fs(f"{self.root}/_next.json")[1], target)
+        self._point(json.dumps({"version": version, "tables": held}))
         return version
 
     def append(self, tables: Mapping[str, DataFrame]) -> int:
@@ -171,12 +196,15 @@ class Catalog:
 
     def at(self, version: int) -> dict[str, list[str]]:
         raw = self._read_text(f"{self.root}/_pointers/{version}.json")
+        if raw is None and (now := self.pointer())["version"] == version:
+            return now["tables"]
         if raw is None:
             raise ValueError(f"no version {version}")
         return json.loads(raw)["tables"]
 
     def rollback(self, version: int) -> None:
-        self._write_text(f"{self.root}/_current.json", json.dumps({"version": version, "tables": self.at(version)}))
+        """Makes a former version current again; publishes after it take new numbers."""
+        self._point(json.dumps({"version": version, "tables": self.at(version)}))
 
     def export(self, path: str, tables: tuple[str, ...] = tuple(SCHEMAS)) -> DataFrame:
         """A snapshot as JSON, one directory per table, and a manifest of row counts."""

@@ -117,7 +117,7 @@ def safe_path(root: str, name: str) -> str:
 
 def version_as_of(versions: DataFrame, as_of) -> DataFrame:
     """Of each topic's kept versions the one that was current at as_of: the first superseded after it."""
-    return versions.filter(F.col("superseded_at") > as_of).groupBy("topic_id").agg(F.min_by(F.struct("title", "summary", "content"), "superseded_at").alias("v")).select("topic_id", "v.*")
+    return versions.filter(F.col("superseded_at") > as_of).groupBy("topic_id").agg(F.min_by(F.struct("title", "summary", "content"), F.struct("superseded_at", "title", "summary", "content")).alias("v")).select("topic_id", "v.*")
 
 
 def index_page(topics: DataFrame) -> DataFrame:
