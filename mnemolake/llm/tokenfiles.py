@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from mnemolake.llm.common import _PLAIN_FILES, _file_system, documents, released, shared_dir
 
 #: Pieces of text whose ids a worker keeps, at most, and the bytes of text that are encoded together.
-KNOWN_PIECES, TOGETHER = 1 << 19, 1 << 20
+KNOWN_PIECES, TOGETHER = 1 << 19, 1 << 22
 #: Pieces that are given to the tokenizer as one text.
 GROUP = 200
 #: Bytes of a row group and of a page before compression, and rows of a page: what a selective read takes at least.
@@ -115,16 +117,22 @@ class _Pieces:
         one = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
         # A digit that is a token of its own between spaces marks where pieces given together end.
         self.mark = one("9")[0] if len(one("9")) == 1 and one("a 9 b 9 9 c") == [*one("a"), *one("9"), *one("b"), *one("9"), *one("9"), *one("c")] else None
-        self.known, self.used = _Known([_END]), np.zeros(1, np.int64)
-        self.ids, self.start, self.size = np.array([end_id], np.int32), np.zeros(1, np.int64), np.ones(1, np.int64)
+        # What is one word to the tokenizer, whatever stands beside it, can be given to its model as it is.
+        plain = [one(w) == [t.id for t in tokenizer.model.tokenize(w)] for w in ("a", "the", "tokenizers", "xqzjv")]
+        self.model, self.word = tokenizer.model if all(plain) else None, re.compile("[a-z]+").fullmatch
+        self.known, self.used = _Known([_END]), np.zeros(1, np.int32)
+        self.ids, self.start, self.size = np.array([end_id], np.int32), np.zeros(1, np.int32), np.ones(1, np.int32)
 
     def _encoded(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces, and how many each has."""
         texts = [p.decode() for p in pieces]
-        size = np.zeros(len(texts), np.int64)
-        alone = np.array([self.mark is None or "9" in t or "<|" in t for t in texts], bool)
-        own, rest, found = np.flatnonzero(alone), np.flatnonzero(~alone), []
-        order = np.concatenate([own, rest])
+        size = np.zeros(len(texts), np.int32)
+        kind = np.array([0 if self.model and self.word(t) else 1 if self.mark is None or "9" in t or "<|" in t else 2 for t in texts], np.int8)
+        words, own, rest = (np.flatnonzero(kind == k) for k in range(3))
+        order = np.concatenate([words, own, rest])
+        read = [[t.id for t in self.model.tokenize(texts[i])] for i in words]
+        size[words] = [len(x) for x in read]
+        found = [np.fromiter(itertools.chain.from_iterable(read), np.int32)]
         for at, e in zip(own, self.tokenizer.encode_batch([texts[i] for i in own], add_special_tokens=False), strict=True):
             found.append(np.array(e.ids, np.int32))
             size[at] = len(e.ids)
@@ -135,22 +143,21 @@ class _Pieces:
             ends = np.flatnonzero(ids == self.mark)
             size[g] = np.diff(ends, prepend=-1) - 1
             found.append(np.delete(ids, ends))
-        # Back from "alone first" to the pieces' own order.
-        flat = np.concatenate([*found, np.zeros(0, np.int32)])
+        # Back to the pieces' own order.
         begin = np.zeros(len(texts), np.int64)
         begin[order] = np.cumsum(size[order]) - size[order]
-        return _gather(flat, begin, size), size
+        return _gather(np.concatenate(found), begin, size), size
 
     def __call__(self, pieces: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of the pieces in order, how many each has, and which are ends of texts."""
         distinct = pieces.dictionary.to_pylist()
-        code = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[pieces.indices.to_numpy()]
+        code = np.fromiter(map(self.known.__getitem__, distinct), np.int32, len(distinct))[pieces.indices.to_numpy()]
         if self.known.new:
             ids, size = self._encoded(self.known.new)
             self.known.new.clear()
-            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.start = np.concatenate([self.start, (len(self.ids) + np.cumsum(size) - size).astype(np.int32)])
             self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
-        used = np.bincount(code, minlength=len(self.known))
+        used = np.bincount(code, minlength=len(self.known)).astype(np.int32)
         used[: len(self.used)] += self.used
         self.used = used
         size = self.size[code]
@@ -167,8 +174,8 @@ class _Pieces:
         pieces = list(self.known)
         self.known = _Known([pieces[i] for i in keep])
         size = self.size[keep]
-        self.ids, self.start, self.size = _gather(self.ids, self.start[keep], size), np.cumsum(size) - size, size
-        self.used = np.zeros(len(keep), np.int64)
+        self.ids, self.start, self.size = _gather(self.ids, self.start[keep], size), (np.cumsum(size) - size).astype(np.int32), size
+        self.used = np.zeros(len(keep), np.int32)
 
 
 def _gather(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
