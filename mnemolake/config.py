@@ -49,6 +49,12 @@ class EngineConfig:
     challenge_ttl_hours: int = 168
     challenge_batch: int = 200
     keep_versions: int = 5
+    model_attempts: int = 3
+    model_failures: int = 3
+    model_seconds: float = 1800.0
+    index_from: int = 10_000
+    index_probes: int = 8
+    index_refit: float = 4.0
     compact_ratio: float = 0.2
     journal_openers: tuple[str, ...] = ()
 

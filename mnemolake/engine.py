@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+from typing import TypeVar
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,20 +20,21 @@ from mnemolake.config import DEFAULTS, EngineConfig
 from mnemolake.functions.text import action_key, anchors_udf, claim_id, embedding_text, record_text, shape_warnings
 from mnemolake.hooks import Hooks
 from mnemolake.operators import consolidate as co
-from mnemolake.operators import evidence, keyword, lifecycle, reads, recall, scope, temporal, trust, vectors
-from mnemolake.sources import markdown
+from mnemolake.operators import evidence, extraction, keyword, lifecycle, reads, recall, scope, temporal, trust, vector_index, vectors
+from mnemolake.sources import markdown, transfer
 from mnemolake.sources.catalog import SCHEMAS, Catalog, conform
 from mnemolake.sources.embeddings import HashEncoder, WordHashEncoder, encode, incremental
 
 CONTENT_TYPES = ("exchange", "fact", "solution", "preference", "procedure")
+T = TypeVar("T")
 OUTCOMES = ("success", "partial_success", "failure", "reverted", "superseded")
 
 
 class MemoryEngine:
     """Reads return DataFrames and change nothing; writes publish one snapshot each. Times are always given."""
 
-    def __init__(self, spark: SparkSession, root: str, config: EngineConfig = DEFAULTS, encoder: HashEncoder | None = None, owner: scope.Scope | None = None):
-        self.spark, self.catalog, self.config = spark, Catalog(spark, root), config
+    def __init__(self, spark: SparkSession, root: str, config: EngineConfig = DEFAULTS, encoder: HashEncoder | None = None, owner: scope.Scope | None = None, model: extraction.Model | None = None):
+        self.spark, self.catalog, self.config, self.model = spark, Catalog(spark, root), config, model
         self.encoder, self.scope, self.hooks = encoder or WordHashEncoder(config.dim), owner or scope.Scope(), Hooks()
 
     def _read(self, table: str, where: object = None) -> DataFrame:
@@ -85,6 +91,8 @@ class MemoryEngine:
             stored = self.catalog.read("episodes").select("id")
             fresh = rows.join(first.select("row"), "row", "left_semi").join(stored, "id", "left_anti").withColumn("text", F.pandas_udf(_embedding_texts, "string")("content", "content_type", "tags"))
             coded = stage(fresh.join(encode(fresh, self.encoder), "id"))
+            if not coded.filter(~vectors.valid(F.col("embedding"), self.encoder.dim)).isEmpty():
+                raise ValueError(f"the encoder gave vectors that are not {self.encoder.dim} finite numbers")
             vector_table = self.catalog.read("vectors").filter("NOT tombstoned").join(self._own("episodes").filter("NOT deleted").select("id"), "id", "left_semi")
             near = vectors.nearest_duplicates(coded, vector_table, self.config.dedup_similarity)
             inside = vectors.greedy_dedup(coded.join(near, "id", "left_anti").withColumn("batch", F.lit(batch)), ["batch"], "row", self.config.dedup_similarity)
@@ -99,7 +107,7 @@ class MemoryEngine:
             same = F.when(F.col("there") | again, F.col("id"))
             log = told.select(F.lit(batch).alias("batch"), "id", status.alias("status"), F.coalesce("duplicate_of", same).alias("duplicate_of"), F.pandas_udf(_advice, "array<string>")("content", "content_type").alias("advice"), t.alias("created_at"))
             postings, lengths = keyword.index_tables(kept)
-            self.catalog.publish({"tag_cooccurrence": pairs}, {"episodes": self._scoped(stamped), "vectors": kept, "episode_anchors": anchored, "keyword_postings": postings, "keyword_lengths": lengths, "ingest_log": log})
+            self.catalog.publish({"tag_cooccurrence": pairs}, {"episodes": self._scoped(stamped), "vectors": kept, "episode_anchors": anchored, "keyword_postings": postings, "keyword_lengths": lengths, "ingest_log": log, **self._celled(kept)})
         result = self.catalog.read("ingest_log").filter(F.col("batch") == batch).select("id", "status", "duplicate_of", "advice")
         self.hooks.fire("store", count=result.filter("status = 'stored'").count())
         return result
@@ -115,8 +123,9 @@ class MemoryEngine:
         sim = lambda kind, rows, text: self._coded(kind, rows.select("id", text.alias("text"))).select("id", vectors.dot(F.col("embedding"), vectors.literal(vec)).alias("similarity"))
         as_of = q.as_of or q.now
         out = {}
+        links = recall.entity_links(q.entity, self.catalog.read("episode_anchors"), self.catalog.read("claim_sources"), self._claims(where)) if q.entity else {}
         if "episodes" in q.sections:
-            out["episodes"] = recall.episodes_section(self._read("episodes", where), self.catalog.read("vectors"), vec, q, self.catalog.read("tag_cooccurrence"), config=self.config, keywords=self._keywords)
+            out["episodes"] = recall.episodes_section(self._read("episodes", where), self.catalog.read("vectors"), vec, q, self.catalog.read("tag_cooccurrence"), links.get("episodes"), config=self.config, keywords=self._keywords, nearest=self._nearest)
         if "topics" in q.sections:
             topics = self._read("knowledge_topics", where)
             out["topics"] = recall.topics_section(topics, sim("topics", topics, _topic_text()), q, self.config)
@@ -124,18 +133,91 @@ class MemoryEngine:
             records = self._read("knowledge_records", where).filter("NOT deleted").filter(temporal.valid_at(as_of))
             links = self.catalog.read("claim_sources").filter("source_record_id IS NOT NULL").select(F.col("source_record_id").alias("id"), "claim_id")
             precise = links.join(self.catalog.read("claims").select(F.col("id").alias("claim_id"), "precision_"), "claim_id").groupBy("id").agg(F.min("precision_").alias("precision_"))
-            found = recall.records_section(records.join(precise, "id", "left"), sim("records", records, F.col("embedding_text")), q, self.config)
+            found = recall.records_section(records.join(precise, "id", "left"), sim("records", records, F.col("embedding_text")), q, self.config, linked=links.get("records"))
             lately = self.catalog.read("contradiction_log").filter(F.col("detected_at").between(temporal.instant(as_of) - F.expr("INTERVAL 30 DAYS"), temporal.instant(as_of)))
             out["records"] = recall.uncertainty(found, lately.select("topic_id"))
             if "episodes" in out:
                 out["episodes"] = recall.without_covered(out["episodes"], found).orderBy(F.desc("score"), "id")
         if "claims" in q.sections:
-            claims = self.search_claims(q.text, as_of, 15, where)
+            claims = self.search_claims(q.text, as_of, 15, where, q.entity, links.get("claims"))
             rivals = recall.partners(self.catalog.read("claim_edges"), self._claims(where), claims).groupBy("id").agg(F.array_sort(F.collect_set("partner")).alias("contradicted_by"))
             out["claims"] = claims.join(rivals, "id", "left").orderBy(F.desc("relevance"), F.desc("updated_at"), "id")
         self.hooks.fire("recall", query=q.text)
         return out
 
+    def recall_within(self, query: recall.RecallQuery | str, seconds: float, now: str | None = None, where: object = None) -> tuple[dict[str, DataFrame], list[str]]:
+        """Sections of `recall` one after the other until the time is over, as tables that are there, and what was left out.
+
+        Episodes have three quarters of what is left; if that is not enough, or their vectors fail, they are found by words alone in the
+        rest. A section whose time runs out is stopped on the cluster. Each section stands for itself: episodes that records cover are not left out.
+        """
+        q = query if isinstance(query, recall.RecallQuery) else recall.RecallQuery(query, now or "")
+        began, out, left_out = time.monotonic(), {}, []
+        left = lambda: seconds - (time.monotonic() - began)
+        for section in q.sections:
+            if left() <= 0:
+                left_out.append(f"{section}: left out, the time is over")
+                continue
+            full = lambda section=section: self.recall(replace(q, sections=(section,)), where=where)[section].toArrow()  # noqa: E731  50 rows at most
+            rows, why = within(self.spark, full, left() * (0.75 if section == "episodes" else 1.0))
+            if rows is None and section == "episodes":
+                kept = recall.filtered(self._read("episodes", where), q)
+                words = lambda kept=kept: self._keywords(kept, q.text, q.n_results).join(kept, "id").withColumn("score", F.col("keyword")).orderBy(F.desc("score"), "id").toArrow()
+                left_out.append(f"episodes: by words alone ({why})")
+                rows, why = within(self.spark, words, max(0.0, left()))
+            if rows is None:
+                left_out.append(f"{section}: left out ({why})")
+            else:
+                out[section] = self.spark.createDataFrame(rows)
+        return out, left_out
+
+    def _cells(self) -> vector_index.Cells | None:
+        """The vector index's centroids and radii; None if there is no index yet."""
+        rows = sorted(self.catalog.read("vector_centroids").select("cell", "centroid").collect())  # a row for each cell
+        return vector_index.cells_of(self.catalog.read("vector_cells"), np.array([r["centroid"] for r in rows])) if rows else None
+
+    def _nearest(self, ids: DataFrame, vector: Sequence[float], k: int) -> DataFrame:
+        """The k nearest of ids: by the index if there is one, with what it does not hold compared beside it, else by comparing all."""
+        live = self.catalog.read("vectors").filter("NOT tombstoned")
+        cells = self._cells()
+        if cells is None or cells.centroids.shape[1] != len(vector):
+            return vectors.top_k(live.join(ids, "id", "left_semi"), vector, k)
+        rows = self.catalog.read("vector_cells")
+        found = vector_index.nearest(rows, cells, vector, k, self.config.index_probes, among=live.select("id").join(ids, "id", "left_semi"))
+        outside = live.select("id").join(ids, "id", "left_semi").join(rows.select("id"), "id", "left_anti")
+        if outside.isEmpty():
+            return found
+        beside = vectors.top_k(live.join(outside, "id", "left_semi"), vector, k)
+        return found.unionByName(beside).orderBy(F.desc("similarity"), "id").limit(k)
+
+    def _indexed(self, live: DataFrame) -> dict[str, DataFrame]:
+        """The index's tables over live vectors, fitted anew."""
+        centres = vector_index.centroids(live)
+        rows = [(i, [float(x) for x in c]) for i, c in enumerate(centres)]
+        held = self.spark.createDataFrame(rows, "cell int, centroid array<double>").withColumn("fitted_on", F.lit(live.count()).cast("long"))
+        return {"vector_centroids": held, "vector_cells": vector_index.assigned(live, centres) if rows else self.spark.createDataFrame([], SCHEMAS["vector_cells"])}
+
+    def _celled(self, new: DataFrame) -> dict[str, DataFrame]:
+        """What new vectors (id, embedding) add to the index, if there is one."""
+        centres = sorted(self.catalog.read("vector_centroids").select("cell", "centroid").collect())  # a row for each cell
+        return {"vector_cells": vector_index.assigned(new, np.array([r["centroid"] for r in centres]))} if centres else {}
+
+    def build_index(self) -> int:
+        """Fits the vector index to all live vectors; how many it holds. `ingest` adds to it from then on."""
+        self.scope.require_write()
+        self.catalog.publish(self._indexed(self.catalog.read("vectors").filter("NOT tombstoned")))
+        return self.catalog.read("vector_cells").count()
+
+    def index_status(self) -> dict[str, object]:
+        """none, small (a scan will do), stale (the store has outgrown what it was fitted on, or much in it is gone) or ready."""
+        fitted = self.catalog.read("vector_centroids").agg(F.max("fitted_on")).first()[0]
+        live = self.catalog.read("vectors").filter("NOT tombstoned").select("id")
+        held = self.catalog.read("vector_cells").select("id")
+        n, out = live.count(), {"live": live.count(), "indexed": held.join(live, "id", "left_semi").count(), "gone": held.join(live, "id", "left_anti").count()}
+        grown = fitted is not None and n > self.config.index_refit * fitted
+        state = ("none" if n >= self.config.index_from else "small") if fitted is None else "stale" if grown or out["gone"] > self.config.compact_ratio * max(1, out["indexed"] + out["gone"]) else "ready"
+        return out | {"state": state}
+
     def _keywords(self, docs: DataFrame, query: str, k: int) -> DataFrame:
         """The k best of docs by the query's words, from the kept index and what it does not know yet."""
         return keyword.search_index(self.catalog.read("keyword_postings"), self.catalog.read("keyword_lengths"), docs, query, k)
@@ -171,6 +253,28 @@ class MemoryEngine:
         self.hooks.fire("forget", count=n)
         return n
 
+    def restore(self, ids: DataFrame, now: str) -> int:
+        """Brings the caller's softly deleted episodes among ids back, with their vectors; claims that ended with them stay ended."""
+        self.scope.require_write()
+        own = self._own("episodes").filter("deleted").join(ids.select("id"), "id", "left_semi").select("id")
+        n = own.count()
+        episodes, held = self.catalog.read("episodes"), self.catalog.read("vectors")
+        self.catalog.publish({"episodes": lifecycle.restore(episodes, own, now), "vectors": lifecycle.update(held, own, {"tombstoned": F.lit(False)})})
+        return n
+
+    def hard_delete(self, ids: DataFrame, now: str) -> int:
+        """Removes the caller's episodes among ids, deleted before or not, and all that is kept of them; claims follow as with `forget`."""
+        self.scope.require_write()
+        own = self._own("episodes").join(ids.select("id"), "id", "left_semi").select("id")
+        n = own.count()
+        c = {t: self.catalog.read(t) for t in ("episodes", "vectors", "claims", "claim_sources")}
+        new = lifecycle.forget(c["episodes"], c["vectors"], c["claims"], c["claim_sources"], own, now)
+        events = new.pop("claim_events")
+        held = {"episodes": (new["episodes"], "id"), "vectors": (new["vectors"], "id")} | {t: (self.catalog.read(t), k) for t, k in (("episode_anchors", "episode_id"), ("keyword_postings", "id"), ("keyword_lengths", "id"), ("vector_cells", "id"))}
+        self.catalog.publish(new | lifecycle.hard_delete(held, own), {"claim_events": events})
+        self.hooks.fire("forget", count=n)
+        return n
+
     def protect(self, ids: DataFrame | None = None, tag: str | None = None) -> int:
         """Marks the caller's episodes among ids, or with a tag; how many."""
         self.scope.require_write()
@@ -202,7 +306,8 @@ class MemoryEngine:
         rows = trust.with_reuse(trust.with_reliability(self._evidence(self._claims(where), as_of), as_of), as_of)
         return (rows if claim_type is None else rows.filter(F.col("claim_type") == claim_type)).orderBy(F.desc("updated_at"), "id").limit(limit)
 
-    def search_claims(self, query: str, as_of: str, limit: int = 50, where: object = None) -> DataFrame:
+    def search_claims(self, query: str, as_of: str, limit: int = 50, where: object = None, entity: str | None = None, linked: DataFrame | None = None) -> DataFrame:
+        """Claims by relevance; those that an entity names (`linked`, its claims' ids) come first and are never below the threshold."""
         if not 1 <= limit <= 200:
             raise ValueError("limit must be 1 to 200")
         vec = self.encoder.encode([query])[0].tolist()
@@ -212,8 +317,14 @@ class MemoryEngine:
         rows = rows.join(sims, "id").withColumn("keyword", keyword.share_of_words(query, text)).withColumn("phrase", F.contains(F.lower(text), F.lit(query.lower())).cast("double"))
         score = trust.claim_rank(F.col("semantic"), F.col("keyword"), F.col("phrase"), as_of, precision_=F.col("precision_"))
         rows = rows.withColumn("relevance", score)
-        lexical = (F.col("keyword") > 0) | (F.col("phrase") > 0)
-        return rows.filter(F.col("relevance") >= F.when(lexical, 0.08).otherwise(self.config.claim_threshold)).orderBy(F.desc("relevance"), F.desc("updated_at"), "id").limit(limit)
+        lexical, named = (F.col("keyword") > 0) | (F.col("phrase") > 0), F.lit(False)
+        if entity:
+            rows = recall.boosted(rows, rows.select("id").limit(0) if linked is None else linked, "relevance", entity, text)
+            named = F.col("linked")
+        # A claim below the threshold stays if it has the query's words (at 0.08 at least) or is named by the entity.
+        low = F.col("relevance") < self.config.claim_threshold
+        rows = rows.filter(~low | lexical | named).withColumn("relevance", F.when(low & lexical, F.greatest("relevance", F.lit(0.08))).otherwise(F.col("relevance")))
+        return rows.orderBy(F.desc("relevance"), F.desc("updated_at"), "id").limit(limit)
 
     def record_outcome(self, summary: str, outcome_type: str, now: str, claim_ids: Sequence[str] = (), episode_ids: Sequence[str] = (), refs: Sequence[tuple[str, str, str]] = (), confidence: float = 0.8, provenance: str = "{}") -> str:
         """One observed outcome with its links, and the linked claims' precision, all published together.
@@ -275,10 +386,9 @@ class MemoryEngine:
         t, read = temporal.instant(now), self.catalog.read
         run = f"run-{now}"
         with self.catalog.staged() as stage:
-            got = co.consolidate(scope.with_defaults(read("episodes")), read("vectors"), scope.EQUALITY_KEYS, now, claims=read("claims"), config=self.config)
-            members, clusters = stage(got["members"].drop("embedding")), stage(got["clusters"])
-            records = stage(got["records"])
-            drafted = co.drafts(records, members, clusters)
+            got = co.consolidate(scope.with_defaults(read("episodes")), read("vectors"), scope.EQUALITY_KEYS, now, claims=read("claims"), config=self.config, model=self.model, stage=stage)
+            members, clusters, records, told = got["members"].drop("embedding"), stage(got["clusters"]), got["records"], got["told"]
+            drafted = co.drafts(records, members, clusters, told)
             topics = read("knowledge_topics")
             placed = stage(drafted.join(co.assign_topics(drafted, topics, self.encoder, self.config), "cluster"))
             new = co.merge_into_topics(placed, records, topics, read("knowledge_records"), now)
@@ -294,24 +404,26 @@ class MemoryEngine:
             claims = self._with_precision(claims, touched, now, {"claim_events": events, "claim_sources": sources})
             kept = lifecycle.update(read("knowledge_records"), ended, {"valid_until": F.least(F.coalesce(F.col("valid_until"), t), t), "updated_at": t})
             counts = {"records": added.count(), "clusters": placed.count(), "topics_created": placed.filter("NOT known").select("topic_id").distinct().count(), "topics_updated": placed.filter("known").select("topic_id").distinct().count(), "contradictions": ended.count()}
+            asked = told.agg(F.count_if(F.col("records").isNotNull()).alias("told"), F.count_if(F.col("tried") & F.col("records").isNull()).alias("refused"), F.count_if(~F.col("tried")).alias("not_asked"), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls")).first() if told is not None else None
+            counts |= {f"model_{k}": v for k, v in asked.asDict().items()} if asked else {}
             formed = clusters.select("cluster").distinct().count()
             report = self.spark.createDataFrame([(run, json.dumps(counts | {"clusters_formed": formed}, sort_keys=True))], "run_id string, report string").withColumn("created_at", t)
             row = report.select(F.col("run_id").alias("id"), t.alias("started_at"), t.alias("completed_at"), F.lit("completed").alias("status"), F.lit(members.count()).alias("episodes_processed"), F.lit(formed).alias("clusters_formed"), F.lit(formed - counts["clusters"]).alias("clusters_failed"))
-            metrics = report.select("run_id", t.alias("timestamp"), F.lit(counts["clusters"]).alias("clusters_succeeded"), F.lit(formed - counts["clusters"]).alias("clusters_failed"), F.lit(counts["clusters"]).alias("fast_path_hits"))
+            metrics = report.select("run_id", t.alias("timestamp"), F.lit(counts["clusters"]).alias("clusters_succeeded"), F.lit(formed - counts["clusters"]).alias("clusters_failed"), F.lit(counts["clusters"] - counts.get("model_told", 0)).alias("fast_path_hits"), F.lit(counts.get("model_told", 0)).alias("llm_fallbacks"))
             self.catalog.publish(
-                {"knowledge_topics": new["knowledge_topics"], "knowledge_records": kept.unionByName(conform(added, "knowledge_records")), "claims": claims, "episodes": got["episodes"]},
-                {"topic_versions": new["topic_versions"], "claim_sources": sources, "claim_events": events, "contradiction_log": new["contradiction_log"], "claim_edges": new["claim_edges"], "consolidation_runs": row, "consolidation_metrics": metrics, "consolidation_reports": report},
+                {"knowledge_topics": new["knowledge_topics"], "knowledge_records": kept.unionByName(conform(added, "knowledge_records")), "claims": claims, "episodes": got["episodes"], "topic_versions": self._kept_versions(new["topic_versions"])},
+                {"claim_sources": sources, "claim_events": events, "contradiction_log": new["contradiction_log"], "claim_edges": new["claim_edges"], "consolidation_runs": row, "consolidation_metrics": metrics, "consolidation_reports": report},
             )
         self.warm_up()
         self.hooks.fire("consolidation_complete", records=counts["records"])
         return counts
 
     def compact(self, now: str, days: int | None = None) -> None:
-        """Prunes old consolidated episodes and drops marked vectors, and both from the keyword index."""
+        """Prunes old consolidated episodes and drops marked vectors, and both from the kept indexes."""
         episodes, rest = co.prune(self.catalog.read("episodes"), self.catalog.read("vectors"), now, days or self.config.prune_days)
         live = episodes.filter("NOT deleted AND consolidated <> 2").select("id")
-        words = {t: self.catalog.read(t).join(live, "id", "left_semi") for t in ("keyword_postings", "keyword_lengths")}
-        self.catalog.publish({"episodes": episodes, "vectors": rest.filter("NOT tombstoned"), **words})
+        held = {t: self.catalog.read(t).join(live, "id", "left_semi") for t in ("keyword_postings", "keyword_lengths", "vector_cells")}
+        self.catalog.publish({"episodes": episodes, "vectors": rest.filter("NOT tombstoned"), **held})
         self.hooks.fire("prune")
 
     def reindex(self) -> int:
@@ -324,7 +436,10 @@ class MemoryEngine:
         episodes = self.catalog.read("episodes")
         live = episodes.filter("NOT deleted").withColumn("text", F.pandas_udf(_embedding_texts, "string")("content", "content_type", "tags"))
         marked = episodes.withColumn("indexed", F.col("indexed") | ~F.col("deleted"))
-        self.catalog.publish({"vectors": encode(live, self.encoder), "episodes": marked, **self._keyword_tables(episodes)})
+        with self.catalog.staged() as stage:
+            coded = stage(encode(live, self.encoder))
+            index = self._indexed(coded) if self._cells() is not None else {}
+            self.catalog.publish({"vectors": coded, "episodes": marked, **self._keyword_tables(episodes), **index})
         self.warm_up()
         return self.catalog.read("vectors").count()
 
@@ -366,12 +481,32 @@ class MemoryEngine:
         events = lifecycle.event(fresh.select("id"), "create", now).unionByName(lifecycle.event(told.select("id").join(claims.select("id"), "id", "left_semi"), "correct", now)).unionByName(lifecycle.event(lost, "expire", now))
         version = topic.select(F.col("id").alias("topic_id"), t.alias("superseded_at"), "title", "summary").join(markdown.topic_lines(old).withColumnRenamed("body", "content"), "topic_id", "left")
         self.catalog.publish(
-            {"knowledge_records": ended.unionByName(conform(made, "knowledge_records")), "claim_sources": left, "claims": lifecycle.expire(claims.unionByName(conform(fresh, "claims")), lost, now), "knowledge_topics": lifecycle.update(read("knowledge_topics"), topic.select("id"), {"fact_count": F.lit(len(new)), "updated_at": t})},
-            {"claim_events": events, "topic_versions": version},
+            {"knowledge_records": ended.unionByName(conform(made, "knowledge_records")), "claim_sources": left, "claims": lifecycle.expire(claims.unionByName(conform(fresh, "claims")), lost, now), "knowledge_topics": lifecycle.update(read("knowledge_topics"), topic.select("id"), {"fact_count": F.lit(len(new)), "updated_at": t}), "topic_versions": self._kept_versions(version)},
+            {"claim_events": events},
         )
         self.hooks.fire("topic_updated", topic=topic_id)
         return len(new)
 
+    def _kept_versions(self, new: DataFrame) -> DataFrame:
+        """The topics' newest versions with the new ones, as many of each as the configuration keeps."""
+        return lifecycle.retained(self.catalog.read("topic_versions").unionByName(conform(new, "topic_versions")), self.config.keep_versions)
+
+    def revise(self, topic_id: str, instruction: str, now: str) -> int:
+        """Has the text model edit one of the caller's topics as told, and takes the result as `correct` does.
+
+        Refused if the model gives no records, or loses more than half of four or more.
+        """
+        self.scope.require_write()
+        if self.model is None:
+            raise ValueError("there is no text model")
+        topic = self._own("knowledge_topics").filter(F.col("id") == topic_id).first()
+        if topic is None:
+            raise ValueError("a topic that is unknown, or not the caller's")
+        live = self.catalog.read("knowledge_records").filter((F.col("topic_id") == topic_id) & F.col("valid_until").isNull() & ~F.col("deleted"))
+        records = [dict(r["content"]) for r in live.orderBy("id").collect()]  # one topic's
+        body = markdown.render(topic["title"], topic["summary"] or "", [], topic["confidence"], records)
+        return self.correct(topic_id, extraction.revision(self.model, body, instruction, len(records)), now)
+
     def timeline(self, query: str, as_of: str) -> DataFrame:
         rows = self._read("knowledge_records")
         vec = self.encoder.encode([query])[0].tolist()
@@ -438,11 +573,48 @@ class MemoryEngine:
     def policy_list(self) -> DataFrame:
         return scope.policy_listing(self.catalog.read("access_policies"), self.catalog.read("policy_acl_entries"), self.catalog.read("policy_principals"))
 
-    def export(self, path: str) -> DataFrame:
-        return self.catalog.export(path)
+    def export(self, path: str, where: object = None, everything: bool = True) -> DataFrame:
+        """The whole store, or what a scope holds (`where`, or with everything=False the caller's own) with the links inside it."""
+        asked = scope.audit_filter(self.scope, where, everything and where is None)
+        if asked is None:
+            return self.catalog.export(path)
+        return self.catalog.export(path, given=transfer.scoped(self.catalog.read, self._claims(where), asked))
+
+    def backup(self, root: str, now: str, keep: int = 5) -> list[str]:
+        """An export of the whole store below root, named by the time; only the `keep` newest stay. Their names."""
+        self.export(f"{root}/export-{now}")
+        held = [n for n in self.catalog.snapshots(root) if n.startswith("export-")]
+        for name in held[:-keep]:
+            self.catalog.drop(f"{root}/{name}")
+        return held[-keep:]
 
     def import_(self, path: str) -> dict[str, int]:
-        return self.catalog.import_(path)
+        """Adds what an export holds and is not here yet; how many rows of each table.
+
+        Ids that stand for something else here are replaced, and all that refers to them; topics of one scope and name become one. New episodes
+        are encoded by this store's encoder, whatever the export's was, and enter both kept indexes.
+        """
+        self.scope.require_write()
+        with self.catalog.staged() as stage:
+            # The same export comes under the same ids each time.
+            new = {t: stage(df) for t, df in transfer.incoming(self.catalog.exported(path), self.catalog.read, "import", stage).items()}
+            added = {t: df.count() for t, df in new.items()}
+            if any(added.values()):
+                live = new["episodes"].filter("NOT deleted")
+                coded = stage(encode(live.withColumn("text", F.pandas_udf(_embedding_texts, "string")("content", "content_type", "tags")), self.encoder))
+                postings, lengths = keyword.index_tables(live)
+                self.catalog.append({t: df for t, df in new.items() if added[t]} | {"vectors": coded, "keyword_postings": postings, "keyword_lengths": lengths, **self._celled(coded)})
+        return added
+
+    def expire_stale(self, now: str) -> int:
+        """Ends the caller's claims that have been challenged for longer than the configured time, the oldest first; how many."""
+        self.scope.require_write()
+        claims = self.catalog.read("claims")
+        with self.catalog.staged() as stage:
+            hit = stage(lifecycle.stale_challenged(self._claims(own=True), self.catalog.read("claim_events"), now, self.config.challenge_ttl_hours, self.config.challenge_batch))
+            n = hit.count()
+            self.catalog.publish({"claims": lifecycle.expire(claims, hit, now)}, {"claim_events": lifecycle.event(hit, "auto_expired_challenged", now)})
+        return n
 
     # --- short forms
 
@@ -456,6 +628,29 @@ class MemoryEngine:
         return a.unionByName(recall.simple_view(got["records"], "record", "embedding_text")).orderBy(F.desc("score"), "id").limit(n)
 
 
+def within(spark: SparkSession, run: Callable[[], T], seconds: float) -> tuple[T | None, str | None]:
+    """(what run gives, None), or (None, why): its jobs are stopped when the time is over."""
+    tag, context = f"within-{uuid.uuid4().hex}", spark.sparkContext
+
+    def tagged() -> T:
+        context.addJobTag(tag)
+        try:
+            return run()
+        finally:
+            context.removeJobTag(tag)
+
+    pool = ThreadPoolExecutor(1)
+    try:
+        return pool.submit(tagged).result(seconds), None
+    except TimeoutError:
+        context.cancelJobsWithTag(tag)
+        return None, "the time is over"
+    except Exception as x:  # whatever fails in a part must not take the others with it
+        return None, str(x).partition("\n")[0][:200] or type(x).__name__
+    finally:
+        pool.shutdown(wait=False)
+
+
 def _topic_text() -> Column:
     """What a topic is searched by."""
     return F.concat_ws(". ", "title", "summary")

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.operators.temporal import instant, valid_at
@@ -84,6 +84,18 @@ def challenge(claims: DataFrame, ids: DataFrame, now: str, kind: str = "challeng
     return update(claims, hit, {"status": F.lit("challenged"), "updated_at": instant(now)}), event(hit, kind, now)
 
 
+def with_ttl(events: DataFrame, now: str, hours: float = 168) -> DataFrame:
+    """`lifecycle_state` at a time, and claims that have been challenged for `hours` or longer expired: id, last, state.
+
+    A claim counts as challenged since its first `challenged` event, else since the event that casts doubt on it.
+    """
+    past = events.filter(F.col("created_at") <= instant(now))
+    first = past.filter("event_type = 'challenged'").groupBy(F.col("claim_id").alias("id")).agg(F.min("created_at").alias("since"))
+    rows = lifecycle_state(past).join(first, "id", "left")
+    over = (F.col("state") == "challenged") & (F.coalesce("since", "at") <= instant(now) - F.make_dt_interval(hours=F.lit(int(hours)), mins=F.lit(round(hours % 1 * 60))))
+    return rows.select("id", F.when(over, "auto_expired_challenged").otherwise(F.col("last")).alias("last"), F.when(over, "expired").otherwise(F.col("state")).alias("state"))
+
+
 def stale_challenged(claims: DataFrame, events: DataFrame, now: str, hours: int = 168, limit: int | None = 200) -> DataFrame:
     """Claims challenged for longer than a time to live, longest first: (id, challenged_at)."""
     first = events.filter("event_type = 'challenged'").groupBy(F.col("claim_id").alias("id")).agg(F.min("created_at").alias("challenged_at"))
@@ -117,6 +129,12 @@ def hard_delete(tables: Mapping[str, tuple[DataFrame, str]], ids: DataFrame) ->
     return {name: rows.join(gone.withColumnRenamed("id", key), key, "left_anti").select(*rows.columns) for name, (rows, key) in tables.items()}
 
 
+def retained(versions: DataFrame, keep: int, per: str = "topic_id", by: str = "superseded_at") -> DataFrame:
+    """The `keep` newest rows of each topic; of equally new ones those that come last by what they say."""
+    w = Window.partitionBy(per).orderBy(F.desc(by), *[F.desc_nulls_last(c) for c in versions.columns if c not in (per, by)])
+    return versions.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= keep).drop("__n")
+
+
 def fold_access(rows: DataFrame, log: DataFrame, key: str = "id") -> DataFrame:
     """Adds logged reads to access counters; reads themselves change nothing."""
     n = log.groupBy(key).agg(F.count("*").alias("__n"))
@@ -184,11 +202,11 @@ def gravity(event_type: Column) -> Column:
 
 
 def lifecycle_state(events: DataFrame) -> DataFrame:
-    """Each claim's state after its last event that changes it (id, last, state): active, challenged or expired.
+    """Each claim's state after its last event that changes it (id, last, state, at): active, challenged or expired.
 
     Of events at one time with one number the gravest counts: what ends a claim, then what casts doubt on it; of equally
     grave ones the one whose type comes last by name. So the state does not depend on the order of rows.
     """
     kinds = events.filter(F.col("event_type").isin(*STATES))
     last = kinds.groupBy(F.col("claim_id").alias("id")).agg(F.max(F.struct("created_at", "n", gravity(F.col("event_type")).alias("gravity"), "event_type")).alias("e"))
-    return last.select("id", F.col("e.event_type").alias("last"), F.element_at(F.array(*[F.lit(s) for s in GRAVITY]), F.col("e.gravity") + 1).alias("state"))
+    return last.select("id", F.col("e.event_type").alias("last"), F.element_at(F.array(*[F.lit(s) for s in GRAVITY]), F.col("e.gravity") + 1).alias("state"), F.col("e.created_at").alias("at"))

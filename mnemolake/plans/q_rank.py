@@ -283,6 +283,17 @@ def _(e):
     return lifecycle.lifecycle_state(e.claim_events).select("id", "state")
 
 
+@query("st04_challenged_ttl", """
+WITH past AS (SELECT * FROM claim_events WHERE created_at <= TIMESTAMP '1997-06-01'),
+g AS (SELECT claim_id AS id, event_type, created_at, n, CASE WHEN event_type IN ('expire', 'auto_expired_challenged') THEN 2 WHEN event_type IN ('challenged', 'code_drift_detected', 'contradiction') THEN 1 ELSE 0 END AS gravity FROM past),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY created_at DESC, n DESC, gravity DESC, event_type DESC) AS k, min(created_at) FILTER (event_type = 'challenged') OVER (PARTITION BY id) AS since FROM g),
+s AS (SELECT id, event_type, gravity, gravity = 1 AND coalesce(since, created_at) <= TIMESTAMP '1997-06-01' - INTERVAL 720 HOUR AS over FROM r WHERE k = 1)
+SELECT id, CASE WHEN over THEN 'auto_expired_challenged' ELSE event_type END AS last, CASE WHEN over OR gravity = 2 THEN 'expired' WHEN gravity = 1 THEN 'challenged' ELSE 'active' END AS state FROM s
+""")
+def _(e):
+    return lifecycle.with_ttl(e.claim_events, "1997-06-01", 720)
+
+
 @query("st02_lookback_counts", "SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, observed_at)) AS BIGINT) AS start, outcome_type, count(*) AS n FROM outcomes GROUP BY 1, 2")
 def _(e):
     from mnemolake.streaming.ingest import outcome_windows

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mnemolake.operators import vectors
+from mnemolake.operators import vector_index, vectors
 from mnemolake.operators.evaluate import recall_at
 from mnemolake.registry import query
 
@@ -50,6 +50,14 @@ def _(e):
     return vectors.top_k_each(e.vectors, e.vectors.filter(_QUERIES), 5).select("query_id", "rank", "id", F.round("similarity", 4).alias("similarity"))
 
 
+@query("rk01x_indexed_nearest", f"WITH s AS (SELECT q.id AS query_id, c.id, {_DOT.format('q.embedding', 'c.embedding')} AS similarity FROM vectors q JOIN vectors c ON q.id <> c.id AND NOT c.tombstoned WHERE q.{_QUERIES}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM s) SELECT query_id, CAST(rank AS INTEGER) AS rank, id, round(similarity, 4) AS similarity FROM r WHERE rank <= 5")
+def _(e):
+    live = e.vectors.filter("NOT tombstoned")
+    centres = vector_index.centroids(live)
+    rows = vector_index.assigned(live, centres)
+    return vector_index.nearest_each(rows, vector_index.cells_of(rows, centres), e.vectors.filter(_QUERIES), 5).select("query_id", "rank", "id", F.round("similarity", 4).alias("similarity"))
+
+
 @query("ev01w_recall_at_5", f"WITH s AS (SELECT q.id AS query_id, q.label AS want, c.label, row_number() OVER (PARTITION BY q.id ORDER BY {_DOT.format('q.embedding', 'c.embedding')} DESC, c.id) AS rank FROM vectors q JOIN vectors c ON q.id <> c.id AND NOT c.tombstoned WHERE q.{_QUERIES}), h AS (SELECT query_id, bool_or(want = label) AS hit FROM s WHERE rank <= 5 GROUP BY query_id) SELECT count(*) AS queries, round(avg(CAST(hit AS DOUBLE)), 4) AS recall FROM h")
 def _(e):
     q = e.vectors.filter(_QUERIES)

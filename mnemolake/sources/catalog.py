@@ -48,6 +48,8 @@ SCHEMAS: dict[str, T.StructType] = {
     "ingest_log": _struct(batch=_S, id=_S, status=_S, duplicate_of=_S, advice=_A, created_at=_T),
     "drift_impacts": _struct(run_id=_S, claim_id=_S, paths=_A, created_at=_T),
     "access_log": _struct(kind=_S, id=_S, at=_T),
+    "vector_centroids": _struct(cell=_I, centroid=T.ArrayType(_D), fitted_on=T.LongType()),
+    "vector_cells": _struct(cell=_I, id=_S, embedding=T.ArrayType(T.FloatType()), distance=_D),
     "keyword_postings": _struct(term=_S, id=_S, tf=T.LongType(), length=_I),
     "keyword_lengths": _struct(id=_S, length=_I),
 }
@@ -58,7 +60,7 @@ _NAMED_BY = {
     "episode_anchors": ("episode_id", "anchor_type", "anchor_value"),
 }
 #: Tables whose files each hold a range of a column, in order, so that a filter on it reads few of them.
-_SORTED_BY = {"keyword_postings": ("term", "id")}
+_SORTED_BY = {"keyword_postings": ("term", "id"), "vector_cells": ("cell", "id")}
 #: Directories of a table that are read together, at most.
 MOST_PARTS = 64
 _EMPTY = {"surprise_score": 0.5, "indexed": True, "deleted": False, "protected": False, "consolidated": 0, "consolidation_attempts": 0, "access_count": 0, "confidence": 0.8, "precision_": 1.0, "tombstoned": False}
@@ -206,29 +208,30 @@ class Catalog:
         """Makes a former version current again; publishes after it take new numbers."""
         self._point(json.dumps({"version": version, "tables": self.at(version)}))
 
-    def export(self, path: str, tables: tuple[str, ...] = tuple(SCHEMAS)) -> DataFrame:
-        """A snapshot as JSON, one directory per table, and a manifest of row counts."""
+    def export(self, path: str, tables: tuple[str, ...] = tuple(SCHEMAS), given: Mapping[str, DataFrame] | None = None) -> DataFrame:
+        """A snapshot as JSON, one directory per table, and a manifest of row counts; given: these rows in place of whole tables."""
         rows = []
-        for name in tables:
-            df = self.read(name)
+        for name in tables if given is None else given:
+            df = self.read(name) if given is None else given[name]
             df.write.mode("overwrite").json(f"{path}/{name}")
             rows.append((name, df.count(), "1.3"))
         manifest = self.spark.createDataFrame(rows, "entity string, n long, version string")
         manifest.write.mode("overwrite").json(f"{path}/manifest")
         return manifest
 
-    def import_(self, path: str, tables: tuple[str, ...] = IMPORTED) -> dict[str, int]:
-        """Adds rows of an exported snapshot whose ids are not there yet; how many of each table."""
+    def exported(self, path: str, tables: tuple[str, ...] = IMPORTED) -> dict[str, DataFrame]:
+        """The tables of an exported snapshot; refused if one is missing or of a version that this cannot read."""
         known = {r["entity"]: r["version"] for r in self.spark.read.json(f"{path}/manifest").collect()}
         missing = set(tables) - set(known)
         if missing or any(not v.startswith("1.") for v in known.values()):
             raise ValueError(f"not a snapshot this can read: {sorted(missing) or known}")
-        added, changes = {}, {}
-        for name in tables:
-            new = self.spark.read.schema(SCHEMAS[name]).json(f"{path}/{name}").join(self.read(name).select("id"), "id", "left_anti").dropDuplicates(["id"])
-            added[name] = new.count()
-            if added[name]:
-                changes[name] = new.select(*SCHEMAS[name].names)
-        if changes:
-            self.append(changes)
-        return added
+        return {name: self.spark.read.schema(SCHEMAS[name]).json(f"{path}/{name}") for name in tables}
+
+    def snapshots(self, root: str) -> list[str]:
+        """Names of the directories below root, in order."""
+        fs, p = self._fs(root)
+        return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()) if fs.exists(p) else []
+
+    def drop(self, path: str) -> None:
+        fs, p = self._fs(path)
+        fs.delete(p, True)

@@ -49,37 +49,62 @@ def front_matter(text: str) -> tuple[dict[str, str], str]:
     return {k.strip(): v.strip() for k, _, v in (line.partition(":") for line in m[1].splitlines()) if k.strip()}, m[2]
 
 
+def _bullet(line: str) -> tuple[str, str] | None:
+    """Label and text of a bullet that has both; stars around the label go."""
+    mark, body = line[:1], line[1:].strip()
+    if mark not in ("-", "*") or not line[1:2].isspace():
+        return None
+    label, colon, text = body[2:].partition("**:") if body.startswith("**") else body.partition(":")
+    return (label.strip(), text.strip()) if colon and label.strip() and text.strip() else None
+
+
+def _with_context(value: str) -> dict[str, str]:
+    """A value, and what stands in brackets at its end."""
+    head, open_, tail = value.removesuffix(")").rpartition(" (")
+    if value.endswith(")") and open_ and tail and not set("()") & set(tail):
+        return {"value": head.strip(), "context": tail.strip()}
+    return {"value": value}
+
+
+def _headed(kind: str, head: str, lines: list[str]) -> dict[str, str] | None:
+    """The record of a heading and the lines below it."""
+    record, body = {}, []
+    fields = {label.lower(): f for label, f in STRATEGY_FIELDS.items()} if kind == "strategy" else {}
+    for line in filter(None, lines):
+        labelled = _bullet(line)
+        if line.startswith("*Context:") and line.endswith("*") and line[9:-1].strip():
+            record["context"] = line[9:-1].strip()
+        elif labelled and labelled[0].lower() in fields:
+            record[fields[labelled[0].lower()]] = labelled[1]
+        else:
+            body.append(line)
+    first, second = HEADED[kind]
+    return {"type": kind, first: head, second: "\n".join(body)} | record if head and body else None
+
+
 def parse(text: str) -> list[dict[str, str]]:
-    """Records of a rendered topic."""
-    _, body = front_matter(text)
+    """Records of a rendered topic: bullets of the sections that have them, headings with their lines of the others."""
     kinds = {name.lower(): kind for kind, name in SECTIONS.items()}
-    records: list[dict[str, str]] = []
-    for part in re.split(r"(?m)^## ", body)[1:]:
-        name, _, inner = part.partition("\n")
-        kind = kinds.get(name.strip().lower())
-        if kind in ("fact", "preference"):
-            for m in re.finditer(r"(?m)^\s*[-*]\s+(?:\*\*(.+?)\*\*|([^:\n]+)):\s*(.+?)\s*$", inner):
-                key, value = (m[1] or m[2]).strip(), m[3].strip()
-                if kind == "fact":
-                    records.append({"type": kind, "subject": key, "info": value})
-                else:
-                    held = re.match(r"^(.*?)\s+\(([^()]+)\)$", value)
-                    records.append({"type": kind, "key": key} | ({"value": held[1], "context": held[2].strip()} if held else {"value": value}))
-        elif kind:
-            for block in re.split(r"(?m)^\s*### ", inner)[1:]:
-                head, _, rest = block.partition("\n")
-                record, lines = {}, []
-                for line in map(str.strip, rest.splitlines()):
-                    if m := re.match(r"^\*Context:\s*(.+?)\*$", line):
-                        record["context"] = m[1]
-                    elif kind == "strategy" and (m := re.match(r"(?i)^-\s*(preconditions|expected signals|failure modes):\s*(.+)$", line)):
-                        record[m[1].lower().replace(" ", "_")] = m[2]
-                    elif line:
-                        lines.append(line)
-                if head.strip() and lines:
-                    names = HEADED[kind]
-                    records.append({"type": kind, names[0]: head.strip(), names[1]: "\n".join(lines)} | record)
-    return records
+    records: list[dict[str, str] | None] = []
+    kind, head, lines = None, None, []
+
+    def close() -> None:
+        if head is not None and kind in HEADED:
+            records.append(_headed(kind, head, lines))
+
+    for line in (*map(str.strip, front_matter(text)[1].splitlines()), "## "):
+        level, _, name = line.partition(" ") if line.startswith("#") else ("", "", "")
+        if level == "##":
+            close()
+            kind, head, lines = kinds.get(name.strip().lower()), None, []
+        elif level == "###" and kind in HEADED:
+            close()
+            head, lines = name.strip(), []
+        elif kind in HEADED:
+            lines.append(line)
+        elif kind and (found := _bullet(line)):
+            records.append({"type": kind, "subject": found[0], "info": found[1]} if kind == "fact" else {"type": kind, "key": found[0]} | _with_context(found[1]))
+    return [r for r in records if r]
 
 
 def parse_table(files: DataFrame, text: str = "value") -> DataFrame:
