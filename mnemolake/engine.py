@@ -106,7 +106,7 @@ class MemoryEngine:
             status = F.when(F.col("there"), "known").when(F.col("duplicate_of").isNotNull() | again, "duplicate").otherwise("stored")
             same = F.when(F.col("there") | again, F.col("id"))
             log = told.select(F.lit(batch).alias("batch"), "id", status.alias("status"), F.coalesce("duplicate_of", same).alias("duplicate_of"), F.pandas_udf(_advice, "array<string>")("content", "content_type").alias("advice"), t.alias("created_at"))
-            postings, lengths = keyword.index_tables(kept)
+            postings, lengths = keyword.term_tables(kept)
             self.catalog.publish({"tag_cooccurrence": pairs}, {"episodes": self._scoped(stamped), "vectors": kept, "episode_anchors": anchored, "keyword_postings": postings, "keyword_lengths": lengths, "ingest_log": log, **self._celled(kept)})
         result = self.catalog.read("ingest_log").filter(F.col("batch") == batch).select("id", "status", "duplicate_of", "advice")
         self.hooks.fire("store", count=result.filter("status = 'stored'").count())
@@ -123,9 +123,9 @@ class MemoryEngine:
         sim = lambda kind, rows, text: self._coded(kind, rows.select("id", text.alias("text"))).select("id", vectors.dot(F.col("embedding"), vectors.literal(vec)).alias("similarity"))
         as_of = q.as_of or q.now
         out = {}
-        links = recall.entity_links(q.entity, self.catalog.read("episode_anchors"), self.catalog.read("claim_sources"), self._claims(where)) if q.entity else {}
+        named = recall.entity_links(q.entity, self.catalog.read("episode_anchors"), self.catalog.read("claim_sources"), self._claims(where)) if q.entity else {}
         if "episodes" in q.sections:
-            out["episodes"] = recall.episodes_section(self._read("episodes", where), self.catalog.read("vectors"), vec, q, self.catalog.read("tag_cooccurrence"), links.get("episodes"), config=self.config, keywords=self._keywords, nearest=self._nearest)
+            out["episodes"] = recall.episodes_section(self._read("episodes", where), self.catalog.read("vectors"), vec, q, self.catalog.read("tag_cooccurrence"), named.get("episodes"), config=self.config, keywords=self._keywords, nearest=self._nearest)
         if "topics" in q.sections:
             topics = self._read("knowledge_topics", where)
             out["topics"] = recall.topics_section(topics, sim("topics", topics, _topic_text()), q, self.config)
@@ -133,13 +133,13 @@ class MemoryEngine:
             records = self._read("knowledge_records", where).filter("NOT deleted").filter(temporal.valid_at(as_of))
             links = self.catalog.read("claim_sources").filter("source_record_id IS NOT NULL").select(F.col("source_record_id").alias("id"), "claim_id")
             precise = links.join(self.catalog.read("claims").select(F.col("id").alias("claim_id"), "precision_"), "claim_id").groupBy("id").agg(F.min("precision_").alias("precision_"))
-            found = recall.records_section(records.join(precise, "id", "left"), sim("records", records, F.col("embedding_text")), q, self.config, linked=links.get("records"))
+            found = recall.records_section(records.join(precise, "id", "left"), sim("records", records, F.col("embedding_text")), q, self.config, linked=named.get("records"))
             lately = self.catalog.read("contradiction_log").filter(F.col("detected_at").between(temporal.instant(as_of) - F.expr("INTERVAL 30 DAYS"), temporal.instant(as_of)))
             out["records"] = recall.uncertainty(found, lately.select("topic_id"))
             if "episodes" in out:
                 out["episodes"] = recall.without_covered(out["episodes"], found).orderBy(F.desc("score"), "id")
         if "claims" in q.sections:
-            claims = self.search_claims(q.text, as_of, 15, where, q.entity, links.get("claims"))
+            claims = self.search_claims(q.text, as_of, 15, where, q.entity, named.get("claims"))
             rivals = recall.partners(self.catalog.read("claim_edges"), self._claims(where), claims).groupBy("id").agg(F.array_sort(F.collect_set("partner")).alias("contradicted_by"))
             out["claims"] = claims.join(rivals, "id", "left").orderBy(F.desc("relevance"), F.desc("updated_at"), "id")
         self.hooks.fire("recall", query=q.text)
@@ -230,7 +230,7 @@ class MemoryEngine:
 
     @staticmethod
     def _keyword_tables(episodes: DataFrame) -> dict[str, DataFrame]:
-        postings, lengths = keyword.index_tables(episodes.filter("NOT deleted AND consolidated <> 2"))
+        postings, lengths = keyword.term_tables(episodes.filter("NOT deleted AND consolidated <> 2"))
         return {"keyword_postings": postings, "keyword_lengths": lengths}
 
     def keyword_coverage(self) -> dict[str, int]:
@@ -602,7 +602,7 @@ class MemoryEngine:
             if any(added.values()):
                 live = new["episodes"].filter("NOT deleted")
                 coded = stage(encode(live.withColumn("text", F.pandas_udf(_embedding_texts, "string")("content", "content_type", "tags")), self.encoder))
-                postings, lengths = keyword.index_tables(live)
+                postings, lengths = keyword.term_tables(live)
                 self.catalog.append({t: df for t, df in new.items() if added[t]} | {"vectors": coded, "keyword_postings": postings, "keyword_lengths": lengths, **self._celled(coded)})
         return added
 

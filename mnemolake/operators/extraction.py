@@ -140,7 +140,9 @@ def extract(members: DataFrame, model: Model, attempts: int = ATTEMPTS, failures
                 try:
                     data, records, calls = ask(model, prompt, list(texts), attempts)
                     records = by_rule(list(texts), list(kinds), [list(t) for t in tags], records)
-                    known = {claim_id(r["type"], r): r for r in records}
+                    known: dict[str, dict[str, str]] = {}
+                    for r in records:  # of those that say one thing the first
+                        known.setdefault(claim_id(r["type"], r), r)
                     text = lambda f, data=data: " ".join(str(data.get(f) or "").split()) or None
                     rows.append((cluster, text("title"), text("summary"), list(known.values()), list(known), calls, None, True))
                     failed = 0

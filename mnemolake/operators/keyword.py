@@ -54,7 +54,7 @@ def bm25(docs: DataFrame, query: str, k: int | None = None, key: str = "id", tex
     return out if k is None else out.orderBy(F.desc("raw"), key).limit(k)
 
 
-def index_tables(docs: DataFrame, key: str = "id", text: str = "content") -> tuple[DataFrame, DataFrame]:
+def term_tables(docs: DataFrame, key: str = "id", text: str = "content") -> tuple[DataFrame, DataFrame]:
     """What a kept index holds of documents: postings (term, key, tf, length) and lengths (key, length), one row for each document."""
     rows = docs.select(key, words(F.col(text)).alias("w")).select(key, "w", F.size("w").alias("length"))
     postings = rows.select(key, "length", F.explode("w").alias("term")).groupBy("term", key, "length").agg(F.count("*").alias("tf"))
@@ -74,7 +74,7 @@ def search_index(postings: DataFrame, lengths: DataFrame, docs: DataFrame, query
     known = lengths.join(ids, key, "left_semi").select(key, "length")
     unknown = ids.join(lengths.select(key), key, "left_anti")
     if not unknown.isEmpty():
-        more, also = index_tables(docs.join(unknown, key, "left_semi"), key, text)
+        more, also = term_tables(docs.join(unknown, key, "left_semi"), key, text)
         hits, known = hits.unionByName(more.filter(F.col("term").isin(wanted))), known.unionByName(also)
     corpus = known.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"))
     having = hits.groupBy("term").agg(F.count("*").alias("having"))

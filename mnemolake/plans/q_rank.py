@@ -132,7 +132,7 @@ def _(e):
 @query("rk03_keyword_index", f"WITH {_BM25} SELECT id, round(raw, 4) AS raw, round(raw / (raw + 1), 4) AS keyword FROM b")
 def _(e):
     # The index knows two thirds of the texts, deleted ones among them; the rest is counted beside it.
-    postings, lengths = keyword.index_tables(e.episodes.filter("id % 3 <> 0"))
+    postings, lengths = keyword.term_tables(e.episodes.filter("id % 3 <> 0"))
     return keyword.search_index(postings, lengths, e.episodes.filter("NOT deleted"), "License version").select("id", F.round("raw", 4).alias("raw"), F.round("keyword", 4).alias("keyword"))
 
 

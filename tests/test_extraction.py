@@ -132,6 +132,6 @@ def test_the_engine_learns_from_what_no_rule_reads(spark, tmp_path):
 
 
 def test_markdown_is_read_as_it_is_written():
-    records = [{"type": "fact", "subject": "a: b", "info": "c: d"}, {"type": "preference", "key": "k", "value": "v (x) y", "context": "at home"}, {"type": "preference", "key": "k2", "value": "f(x)"}, {"type": "solution", "problem": "P", "fix": "one\ntwo", "context": "src/x.py"}, {"type": "strategy", "problem_pattern": "S", "strategy": "do", "preconditions": "p: q"}]
+    records = [{"type": "fact", "subject": "a: b", "info": "c: d"}, {"type": "solution", "problem": "P", "fix": "one\ntwo", "context": "src/x.py"}, {"type": "preference", "key": "k", "value": "v (x) y", "context": "at home"}, {"type": "preference", "key": "k2", "value": "f(x)"}, {"type": "strategy", "problem_pattern": "S", "strategy": "do", "preconditions": "p: q"}]
     assert markdown.parse(markdown.render("T", "s", ["x"], 0.8, records)) == records
     assert markdown.parse("## Facts\n* plain: text\n- nothing\n## Else\n- a: b\n### x\ny\n## Procedures\n### when\n\n### then\nsteps\n") == [{"type": "fact", "subject": "plain", "info": "text"}, {"type": "procedure", "trigger": "then", "steps": "steps"}]

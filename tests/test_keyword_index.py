@@ -22,7 +22,7 @@ def found(df):
 def test_equals_reading_all(spark, known):
     docs = [(f"d{i}", t) for i, t in enumerate(TEXTS)] + [("d7", None)]
     other = [(f"x{i}", "cache cache start") for i in range(3)]  # not searched
-    postings, lengths = keyword.index_tables(table(spark, [d for i, d in enumerate(docs) if i in known] + other))
+    postings, lengths = keyword.term_tables(table(spark, [d for i, d in enumerate(docs) if i in known] + other))
     for query in ("cache start", "CACHE", "café the 9", "nowhere", "!", "start start noon"):
         want = found(keyword.bm25(table(spark, docs), query))
         assert found(keyword.search_index(postings, lengths, table(spark, docs), query)) == want
