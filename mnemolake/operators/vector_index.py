@@ -150,7 +150,7 @@ def nearest_each(rows: DataFrame, cells: Cells, queries: DataFrame, k: int, prob
                     at, ask = np.flatnonzero(cell == c), np.flatnonzero(wanted[:, c])
                     if not len(ask):
                         continue
-                    s = m[ask] @ x[at].T
+                    s = np.round(m[ask] @ x[at].T, 12)  # equal vectors tie, wherever they stand in a product
                     s[ask[:, None] == mine[at][None, :]] = -np.inf
                     for row, q in enumerate(ask):
                         good = np.flatnonzero(s[row] >= least[q])

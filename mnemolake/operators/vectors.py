@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,10 +89,62 @@ def similar_pairs(left: DataFrame, right: DataFrame, by: Sequence[str], at_least
 def nearest_duplicates(new: DataFrame, stored: DataFrame, at_least: float, by: Sequence[str] = ()) -> DataFrame:
     """For each new item the most similar stored one of its group that reaches a bound (id, duplicate_of), ties to smaller ids.
 
-    Exact: every pair inside a group is compared, the whole tables if no group is given.
+    Exact: every new item is compared with every stored one of its group. New items go in blocks against one pass over the stored ones:
+    tasks multiply matrices and keep one candidate for each item, so no pair is formed and what is shuffled is items x tasks at most.
+    Similarities that agree to twelve decimals are ties. Items and stored ones without a vector match nothing.
     """
-    w = Window.partitionBy("a").orderBy(F.desc("similarity"), "b")
-    return similar_pairs(new, stored, by, at_least).withColumn("__rank", F.row_number().over(w)).filter("__rank = 1").select(F.col("a").alias("id"), F.col("b").alias("duplicate_of"))
+    spark, kind = new.sparkSession, dict(stored.dtypes)["id"]
+    own = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in by]) if by else F.lit("")
+    rows = lambda df: df.filter(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())).select("id", own.alias("g"), "embedding")
+    asked, held = rows(new), rows(stored)
+    blocks = -(-asked.count() // MATCH_BLOCK)
+    out = None
+    for at in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == at).toArrow()  # MATCH_BLOCK rows or so
+        if not block.num_rows:
+            continue
+        groups: dict[tuple, list[int]] = {}
+        vectors = block.column("embedding").to_pylist()
+        for i, (g, v) in enumerate(zip(block.column("g").to_pylist(), vectors, strict=True)):
+            groups.setdefault((g, len(v)), []).append(i)
+        sent = spark.sparkContext.broadcast({k: (np.array(i), np.array([vectors[j] for j in i], float)) for k, i in groups.items()})
+        n = block.num_rows
+
+        def match(batches, sent=sent, n=n):
+            """The best stored item of a task for each new one that has any: (place in the block, b, similarity)."""
+            best, mate = np.full(n, -np.inf), np.empty(n, object)
+            for b in batches:
+                ids, lists = b.column(0).to_pylist(), b.column(2)
+                flat, edge = lists.flatten().to_numpy(zero_copy_only=False).astype(float), lists.offsets.to_numpy()
+                edge = edge - edge[0]
+                there: dict[tuple, list[int]] = {}
+                for i, g in enumerate(b.column(1).to_pylist()):
+                    there.setdefault((g, int(edge[i + 1] - edge[i])), []).append(i)
+                for key, at in there.items():
+                    if key not in sent.value:
+                        continue
+                    place, m = sent.value[key]
+                    x = flat.reshape(len(ids), key[1])[at] if len(there) == 1 else np.array([flat[edge[i] : edge[i + 1]] for i in at])
+                    for first in range(0, len(at), 1024):
+                        s = np.round(m @ x[first : first + 1024].T, 12)
+                        top = s.max(axis=1)
+                        for row in np.flatnonzero((top >= at_least) & (top >= best[place])):
+                            least = min(ids[at[first + j]] for j in np.flatnonzero(s[row] == top[row]))
+                            p = place[row]
+                            if top[row] > best[p] or least < mate[p]:
+                                best[p], mate[p] = top[row], least
+            hit = np.flatnonzero(best > -np.inf)
+            yield pa.record_batch([pa.array(hit), pa.array([mate[i] for i in hit], pa.string() if kind == "string" else pa.int64()), pa.array(best[hit])], ["q", "b", "s"])
+
+        found = held.mapInArrow(match, f"q long, b {kind if kind == 'string' else 'long'}, s double").groupBy("q").agg(F.min(F.struct((-F.col("s")).alias("s"), "b")).alias("m"))
+        names = spark.createDataFrame(pa.table({"q": np.arange(n), "id": block.column("id")}))
+        found = found.join(F.broadcast(names), "q").select("id", F.col("m.b").cast(kind).alias("duplicate_of"))  # a block's names
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], f"id {dict(new.dtypes)['id']}, duplicate_of {kind}")
+
+
+#: New items that are compared together: what is collected and broadcast at once grows with them.
+MATCH_BLOCK = 8192
 
 
 def contradiction_candidates(new: DataFrame, old: DataFrame, by: Sequence[str] = ("topic_id",), at_least: float = 0.7, most: int = 24) -> DataFrame:

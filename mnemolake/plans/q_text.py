@@ -93,7 +93,7 @@ def _stand_in(prompt: str) -> str:
     if n % 2 and "could not be used" not in prompt:
         return f"there are {n}"
     fact = {"type": "fact", "subject": "episodes", "info": str(n)}
-    return json.dumps({"title": f"{n} episodes", "summary": f"{n} of them", "tags": [], "records": [fact, {"type": "fact", "subject": "Episodes ", "info": f"{n}."}]})
+    return json.dumps({"title": f"{n} episodes", "summary": " ".join([f"{n} of them:", *extraction.SPECIFIC.findall(prompt)]), "tags": [], "records": [fact, {"type": "fact", "subject": "Episodes ", "info": f"{n}."}]})
 
 
 @query("co06_model_extraction", "SELECT id // 20 AS cluster, CAST(count(*) AS VARCHAR) || ' episodes' AS title, CAST(count(*) AS VARCHAR) AS info, CAST(1 + count(*) % 2 AS INTEGER) AS calls FROM episodes WHERE NOT deleted GROUP BY 1")
