@@ -52,13 +52,15 @@ def _nearest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
 
 
 def centroids(vectors: DataFrame, cells: int | None = None) -> np.ndarray:
-    """Centroids for the live vectors: about as many as the root of their number, from a sample by hash of the id."""
+    """Centroids for the live vectors of the largest dimension: about as many as the root of their number, from a sample by hash of the id."""
     live = _live(vectors)
     n, dim = live.agg(F.count("*"), F.max(F.size("embedding"))).first()
     if not n:
         return np.zeros((0, 0))
     most = max(1, min(SAMPLE, SAMPLE_COMPONENTS // max(1, dim)))
-    sample = live.orderBy(F.xxhash64("id"), "id").limit(most).select("embedding").toArrow()  # at most 128 MB
+    sample = live.filter(valid(F.col("embedding"), dim)).orderBy(F.xxhash64("id"), "id").limit(most).select("embedding").toArrow()  # at most 128 MB
+    if not sample.num_rows:
+        return np.zeros((0, 0))
     return fitted(_matrix(sample.column("embedding").combine_chunks()), cells or min(MOST_CELLS, max(1, int(n**0.5))))
 
 
@@ -129,6 +131,7 @@ def nearest_each(rows: DataFrame, cells: Cells, queries: DataFrame, k: int, prob
     """
     spark = rows.sparkSession
     kind = dict(rows.dtypes)["id"]
+    queries = queries.filter(valid(F.col("embedding"), cells.centroids.shape[1]))
     n = queries.count()
     blocks = -(-n // BLOCK)
     schema = f"q long, id {kind}, similarity double"
@@ -160,8 +163,9 @@ def nearest_each(rows: DataFrame, cells: Cells, queries: DataFrame, k: int, prob
                         if len(good):
                             both = held.setdefault(int(q), []) + [(-float(s[row, j]), own[at[j]]) for j in good if np.isfinite(s[row, j])]
                             held[int(q)] = sorted(both)[:k]
-            for q, best in held.items():
-                yield pa.record_batch([pa.array([q] * len(best)), pa.array([i for _, i in best], kind_of), pa.array([-s for s, _ in best], pa.float64())], ["q", "id", "similarity"])
+            rows = [(q, i, -s) for q, best in held.items() for s, i in best]
+            kinds = (pa.int64(), kind_of, pa.float64())
+            yield pa.record_batch([pa.array([r[c] for r in rows], k) for c, k in enumerate(kinds)], ["q", "id", "similarity"])
 
         kind_of = pa.string() if kind == "string" else pa.int64()
         asked = [int(c) for c in np.flatnonzero(wanted.any(0))]

@@ -73,6 +73,13 @@ def test_few_probes_find_nine_in_ten(stored, clumps):
 def test_nothing_stored(spark):
     none = spark.createDataFrame([], "id long, embedding array<float>, tombstoned boolean")
     assert vi.centroids(none).shape == (0, 0)
+    bad = spark.createDataFrame([(1, [1.0, float("nan")], False), (2, [1.0, 0.0], True)], "id long, embedding array<float>, tombstoned boolean")
+    assert vi.centroids(bad).shape == (0, 0)
+    mixed = spark.createDataFrame([(1, [1.0, 0.0], False), (2, [1.0], False), (3, [0.0, 1.0], False), (4, None, False)], "id long, embedding array<float>, tombstoned boolean")
+    rows = vi.assigned(mixed, vi.centroids(mixed))
+    assert sorted(r["id"] for r in rows.collect()) == [1, 3]
+    got = vi.nearest_each(rows, vi.cells_of(rows, vi.centroids(mixed)), mixed, 5).collect()
+    assert sorted((r["query_id"], r["id"]) for r in got) == [(1, 3), (3, 1)]
 
 
 def test_the_engine_keeps_it(spark, tmp_path):
