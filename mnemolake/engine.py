@@ -606,6 +606,33 @@ class MemoryEngine:
                 self.catalog.append({t: df for t, df in new.items() if added[t]} | {"vectors": coded, "keyword_postings": postings, "keyword_lengths": lengths, **self._celled(coded)})
         return added
 
+    def migrate(self) -> list[int]:
+        """Brings the store to this version's schema; the schema versions gone through."""
+        self.scope.require_write()
+        return self.catalog.migrate()
+
+    def repair(self, dry_run: bool = True) -> dict[str, int]:
+        """Mends what tables of all scopes should not hold, in one snapshot; how many rows of each kind there are (with dry_run only that).
+
+        Rows that repeat an id (the latest change stays), vectors of no episode or of another dimension, live episodes that count as indexed without
+        a vector, and anchors and claim sources whose episode or claim is not there.
+        """
+        read = self.catalog.read
+        episodes, held = read("episodes"), read("vectors")
+        newest = co.dedupe_records(episodes, ["id"], F.coalesce(F.unix_micros("updated_at"), F.lit(0)), "created_at")
+        sound = held.filter(vectors.valid(F.col("embedding"), self.encoder.dim)).join(newest.select("id"), "id", "left_semi").dropDuplicates(["id"])
+        blind = newest.filter("NOT deleted AND indexed").select("id").join(sound.select("id"), "id", "left_anti")
+        anchors = read("episode_anchors").join(newest.select(F.col("id").alias("episode_id")), "episode_id", "left_semi")
+        sources = read("claim_sources").join(read("claims").select(F.col("id").alias("claim_id")), "claim_id", "left_semi")
+        lost = sources.filter("source_episode_id IS NOT NULL").join(newest.select(F.col("id").alias("source_episode_id")), "source_episode_id", "left_anti").select(F.col("source_episode_id").alias("id"))
+        kept = lifecycle.detach_sources(sources, lost)
+        found = {"repeated_episodes": episodes.count() - newest.count(), "stray_vectors": held.count() - sound.count(), "unindexed": blind.count(), "stray_anchors": read("episode_anchors").count() - anchors.count(), "stray_sources": read("claim_sources").count() - kept.count()}
+        if not dry_run and any(found.values()):
+            self.scope.require_write()
+            columns = {t: SCHEMAS[t].names for t in ("episode_anchors", "claim_sources", "vectors")}
+            self.catalog.publish({"episodes": lifecycle.update(newest, blind, {"indexed": F.lit(False)}), "vectors": sound.select(*columns["vectors"]), "episode_anchors": anchors.select(*columns["episode_anchors"]), "claim_sources": kept.select(*columns["claim_sources"])})
+        return found
+
     def expire_stale(self, now: str) -> int:
         """Ends the caller's claims that have been challenged for longer than the configured time, the oldest first; how many."""
         self.scope.require_write()

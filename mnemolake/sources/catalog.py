@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemolake.operators.scope import DEFAULTS, FIELDS
+from mnemolake.operators.scope import DEFAULTS, FIELDS, with_defaults
 
 _S, _T, _D, _I, _B = T.StringType(), T.TimestampType(), T.DoubleType(), T.IntegerType(), T.BooleanType()
 _A, _M = T.ArrayType(T.StringType()), T.MapType(T.StringType(), T.StringType())
@@ -88,6 +88,16 @@ def conform(df: DataFrame, table: str) -> DataFrame:
 IMPORTED = ("episodes", "episode_anchors", "knowledge_topics", "knowledge_records", "claims", "claim_edges", "claim_sources", "claim_events", "contradiction_log", "action_outcomes", "action_outcome_sources", "action_outcome_refs")
 
 
+def _fill_scopes(catalog: Catalog) -> dict[str, DataFrame]:
+    """Scope columns trimmed, blank ones filled as absent ones are."""
+    return {t: with_defaults(catalog.read(t)) for t, s in SCHEMAS.items() if set(FIELDS) <= set(s.names) and catalog.pointer()["tables"].get(t)}
+
+
+#: What brings a store to a schema version from the one before: the tables to be written again. Columns that a table lacks need no step, reads fill them.
+MIGRATIONS: dict[int, Callable[[Catalog], dict[str, DataFrame]]] = {2: _fill_scopes}
+SCHEMA_VERSION = max(MIGRATIONS)
+
+
 class Catalog:
     """A folder of tables. Readers see the snapshot that the pointer names; a failed write leaves it where it was.
 
@@ -149,14 +159,27 @@ class Catalog:
         self._write_text(f"{self.root}/_pointers/{json.loads(text)['version']}.json", text)
 
     def read(self, table: str) -> DataFrame:
-        at = self.pointer()["tables"].get(table)
+        now = self.pointer()
+        if now.get("schema", 1) > SCHEMA_VERSION:
+            raise ValueError(f"a store of schema version {now['schema']}; this reads up to {SCHEMA_VERSION}")
+        at = now["tables"].get(table)
         if not at:
             return self.spark.createDataFrame([], SCHEMAS[table])
         return conform(self.spark.read.schema(SCHEMAS[table]).parquet(*[f"{self.root}/{x}" for x in at]), table)
 
-    def publish(self, tables: Mapping[str, DataFrame], added: Mapping[str, DataFrame] | None = None) -> int:
+    def migrate(self) -> list[int]:
+        """Brings the store to this schema, one version after the other, each as one snapshot; the versions gone through."""
+        done = []
+        while (now := self.pointer())["version"] and now.get("schema", 1) < SCHEMA_VERSION:
+            step = now.get("schema", 1) + 1
+            self.publish(MIGRATIONS[step](self), schema=step)
+            done.append(step)
+        return done
+
+    def publish(self, tables: Mapping[str, DataFrame], added: Mapping[str, DataFrame] | None = None, schema: int | None = None) -> int:
         """Writes `tables` whole and the rows `added` beside what their tables hold, and makes all of it current together.
 
+        A new store is of this schema version; others stay at theirs until `migrate`.
         Tables not named stay as they are. A table of more than MOST_PARTS directories is put into one when rows are added.
         """
         now = self.pointer()
@@ -173,7 +196,8 @@ class Catalog:
                 rows = rows.repartitionByRange(*_SORTED_BY[name]).sortWithinPartitions(*_SORTED_BY[name])
             rows.write.parquet(f"{self.root}/{at}")
             held[name] = [at] if name in whole else [*held.get(name, ()), at]
-        self._point(json.dumps({"version": version, "tables": held}))
+        schema = schema or (now.get("schema", 1) if now["version"] else SCHEMA_VERSION)
+        self._point(json.dumps({"version": version, "schema": schema, "tables": held}))
         return version
 
     def append(self, tables: Mapping[str, DataFrame]) -> int:
@@ -206,7 +230,8 @@ class Catalog:
 
     def rollback(self, version: int) -> None:
         """Makes a former version current again; publishes after it take new numbers."""
-        self._point(json.dumps({"version": version, "tables": self.at(version)}))
+        raw = self._read_text(f"{self.root}/_pointers/{version}.json")
+        self._point(raw or json.dumps(self.pointer() | {"version": version, "tables": self.at(version)}))
 
     def export(self, path: str, tables: tuple[str, ...] = tuple(SCHEMAS), given: Mapping[str, DataFrame] | None = None) -> DataFrame:
         """A snapshot as JSON, one directory per table, and a manifest of row counts; given: these rows in place of whole tables."""
