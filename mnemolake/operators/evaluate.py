@@ -15,6 +15,25 @@ def recall_at(found: DataFrame, wanted: DataFrame, k: int = 5, value: str = "lab
     return hits.agg(F.count("*").alias("queries"), F.avg(F.col("hit").cast("double")).alias("recall"))
 
 
+def suppressed(found: DataFrame, stale: DataFrame, k: int = 5) -> DataFrame:
+    """(cases, rate): of the queries (query_id) with stale ids (query_id, id), the share with none of them among their k best (query_id, rank, id)."""
+    leaks = found.filter(F.col("rank") <= k).join(stale.select("query_id", "id").distinct(), ["query_id", "id"], "left_semi").select("query_id").distinct().withColumn("leak", F.lit(1))
+    return stale.select("query_id").distinct().join(leaks, "query_id", "left").agg(F.count("*").alias("cases"), F.avg(F.col("leak").isNull().cast("double")).alias("rate"))
+
+
+def visible(pairs: DataFrame, shown: DataFrame) -> DataFrame:
+    """(cases, rate): the share of contradicting pairs (a, b; a pair counts once whichever side comes first) that one of both shows (id, partner)."""
+    both = lambda df, x, y: df.select(F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi")).distinct()
+    hit = both(shown, "id", "partner").withColumn("hit", F.lit(1))
+    return both(pairs, "a", "b").filter("lo <> hi").join(hit, ["lo", "hi"], "left").agg(F.count("*").alias("cases"), F.avg(F.col("hit").isNotNull().cast("double")).alias("rate"))
+
+
+def wins(cases: DataFrame) -> DataFrame:
+    """(cases, rate, median_delta) of cases with the scores of what worked and of what failed (good, bad): how often the first is higher, and by how much."""
+    delta = F.col("good") - F.col("bad")
+    return cases.filter("good IS NOT NULL AND bad IS NOT NULL").agg(F.count("*").alias("cases"), F.avg((delta > 0).cast("double")).alias("rate"), F.percentile(delta, 0.5).alias("median_delta"))
+
+
 def token_overlap(pairs: DataFrame, key: str, predicted: str = "predicted", gold: str = "gold") -> DataFrame:
     """Token F1 and BLEU-1 of text pairs: (key, f1, bleu)."""
     words = lambda c: F.filter(F.split(F.lower(F.trim(c)), r"\s+"), lambda w: w != "")

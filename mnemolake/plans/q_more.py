@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from mnemolake.config import DEFAULTS
 from mnemolake.functions import text
-from mnemolake.operators import consolidate, keyword, lifecycle, reads, recall, temporal, trust, vectors
+from mnemolake.operators import consolidate, evaluate, keyword, lifecycle, reads, recall, temporal, trust, vectors
 from mnemolake.plans.q_rank import _PRECISION, REL_SQL, _vector
 from mnemolake.plans.q_reads import AS_OF, NOW, _evidence, secs
 from mnemolake.registry import query
@@ -238,3 +238,44 @@ def _(e):
 def _(e):
     w = Window.partitionBy("record_type").orderBy(F.desc("confidence"), "id")
     return e.records.select("record_type", "id", F.row_number().over(w).alias("k")).filter("k <= 15")
+
+
+_CLAIM_PLACES = """
+p AS (SELECT c.id, c.status, o.o_custkey AS query_id, row_number() OVER (PARTITION BY o.o_custkey ORDER BY round(c.confidence * c.precision_, 6) DESC, c.id) AS rank,
+  row_number() OVER (PARTITION BY o.o_custkey ORDER BY c.updated_at DESC, c.id) AS age FROM claims c JOIN orders o ON o.o_orderkey = c.id)
+"""
+
+
+def _claim_places(e):
+    """Each customer's claims by confidence times precision: (query_id, id, status, updated_at, rank)."""
+    rows = e.claims.join(e.table("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("query_id")), "id")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round(F.col("confidence") * F.col("precision_"), 6)), "id")))
+
+
+@query("ev02_claim_recall", f"WITH {_CLAIM_PLACES} SELECT count(*) AS queries, round(avg(CAST(rank <= 5 AS DOUBLE)), 6) AS recall FROM p WHERE age = 1")
+def _(e):
+    # Wanted is the claim of each customer that was changed last.
+    rows = _claim_places(e)
+    wanted = rows.groupBy("query_id").agg(F.max_by("id", F.struct("updated_at", -F.col("id"))).alias("want"))
+    return evaluate.recall_at(rows, wanted, 5, "id").select("queries", F.round("recall", 6).alias("recall"))
+
+
+@query("ev07_sections", f"""
+WITH {_CLAIM_PLACES},
+s AS (SELECT query_id, bool_or(rank <= 5) AS leak FROM p WHERE status = 'expired' GROUP BY query_id),
+e AS (SELECT DISTINCT least(from_claim_id, to_claim_id) AS lo, greatest(from_claim_id, to_claim_id) AS hi FROM claim_edges WHERE from_claim_id <> to_claim_id),
+v AS (SELECT coalesce(a.status IN ('expired', 'challenged'), false) OR coalesce(b.status IN ('expired', 'challenged'), false) AS seen FROM e LEFT JOIN claims a ON a.id = e.lo LEFT JOIN claims b ON b.id = e.hi),
+w AS (SELECT claim_id, avg(confidence) FILTER (outcome_type = 'success') AS good, avg(confidence) FILTER (outcome_type = 'failure') AS bad FROM outcomes GROUP BY claim_id)
+SELECT 'stale_suppression' AS section, count(*) AS cases, round(avg(CAST(NOT leak AS DOUBLE)), 6) AS rate FROM s
+UNION ALL SELECT 'contradiction_visibility', count(*), round(avg(CAST(seen AS DOUBLE)), 6) FROM v
+UNION ALL SELECT 'outcome_ranking', count(*), round(avg(CAST(good > bad AS DOUBLE)), 6) FROM w WHERE good IS NOT NULL AND bad IS NOT NULL
+""")
+def _(e):
+    rows = _claim_places(e)
+    stale = evaluate.suppressed(rows, rows.filter("status = 'expired'"))
+    ends = e.claim_edges.select(F.explode(F.array("from_claim_id", "to_claim_id")).alias("id")).distinct()
+    seen = evaluate.visible(e.claim_edges.select(F.col("from_claim_id").alias("a"), F.col("to_claim_id").alias("b")), recall.partners(e.claim_edges, e.claims, ends))
+    mean = lambda kind: F.avg(F.when(F.col("outcome_type") == kind, F.col("confidence")))
+    won = evaluate.wins(e.outcomes.groupBy("claim_id").agg(mean("success").alias("good"), mean("failure").alias("bad")))
+    named = [df.select(F.lit(n).alias("section"), "cases", F.round("rate", 6).alias("rate")) for n, df in (("stale_suppression", stale), ("contradiction_visibility", seen), ("outcome_ranking", won))]
+    return named[0].unionByName(named[1]).unionByName(named[2])
