@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -91,11 +92,13 @@ def nearest_duplicates(new: DataFrame, stored: DataFrame, at_least: float, by: S
 
     Exact: every new item is compared with every stored one of its group. New items go in blocks against one pass over the stored ones:
     tasks multiply matrices and keep one candidate for each item, so no pair is formed and what is shuffled is items x tasks at most.
-    Similarities that agree to twelve decimals are ties. Items and stored ones without a vector match nothing.
+    Similarities that agree to twelve decimals are ties. Items and stored ones without a vector, or without a group, match nothing.
     """
     spark, kind = new.sparkSession, dict(stored.dtypes)["id"]
-    own = F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in by]) if by else F.lit("")
-    rows = lambda df: df.filter(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())).select("id", own.alias("g"), "embedding")
+    own = F.concat_ws("\x1f", *[F.col(c).cast("string") for c in by]) if by else F.lit("")
+    grouped = [F.col(c).isNotNull() for c in by]
+    whole = F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull())
+    rows = lambda df: df.filter(reduce(lambda a, b: a & b, grouped, whole)).select("id", own.alias("g"), "embedding")
     asked, held = rows(new), rows(stored)
     blocks = -(-asked.count() // MATCH_BLOCK)
     out = None
@@ -154,9 +157,8 @@ def contradiction_candidates(new: DataFrame, old: DataFrame, by: Sequence[str] =
 
 
 def silent_drops(before: DataFrame, merged: DataFrame, by: Sequence[str] = ("topic_id",), below: float = 0.5) -> DataFrame:
-    """Records from before a merge that nothing merged resembles."""
-    near = similar_pairs(before, merged, by, -2.0).groupBy(*by, F.col("a").alias("id")).agg(F.max("similarity").alias("best"))
-    return before.select(*by, "id").join(near, [*by, "id"], "left").filter(F.coalesce("best", F.lit(-1.0)) < below)
+    """Records from before a merge that nothing merged of their group resembles."""
+    return before.select(*by, "id").join(nearest_duplicates(before, merged, below, by).select("id"), "id", "left_anti")
 
 
 def supersession(records: DataFrame, as_of: Column, at_least: float = 0.5) -> DataFrame:

@@ -19,7 +19,7 @@ def test_equals_plain_loops(spark, monkeypatch, by, kind, block):
     table = lambda r: spark.createDataFrame(r, f"id {kind}, g string, embedding array<float>").repartition(3)
     want = {}
     for i, g, v in new:
-        near = sorted((-round(float(np.dot(np.array(v), np.array(w))), 12), j) for j, h, w in old if v and w and len(v) == len(w) and (not by or g == h))
+        near = sorted((-round(float(np.dot(np.array(v), np.array(w))), 12), j) for j, h, w in old if v and w and len(v) == len(w) and (not by or g == h is not None))
         if near and -near[0][0] >= 0.6:
             want[i] = near[0][1]
     got = {r["id"]: r["duplicate_of"] for r in vectors.nearest_duplicates(table(new), table(old), 0.6, by).collect()}
