@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -150,6 +151,113 @@ def nearest_duplicates(new: DataFrame, stored: DataFrame, at_least: float, by: S
 MATCH_BLOCK = 8192
 
 
+#: Rows of one group and side that a task compares at once, products of vectors that it holds, and bins that small groups share.
+CELL_ROWS, CELL_STEP, CELL_BINS = 8192, 1024, 4096
+
+
+def _in_order(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of rows x[i] and y[j], added up in the order of `dot`, so that equal ones are equal to the last bit."""
+    s = np.zeros(len(i))
+    for k in range(x.shape[1]):
+        s += x[i, k] * y[j, k]
+    return s
+
+
+def _slack(x: np.ndarray, y: np.ndarray) -> float:
+    """By how much a matrix product may differ from the sum in order, at most."""
+    longest = [np.max(n, initial=0.0, where=np.isfinite(n)) for n in (np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1))]
+    return 4.0 * (x.shape[1] + 1) * np.finfo(float).eps * longest[0] * longest[1]
+
+
+def _classes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each distinct vector, and each row's place among these."""
+    if not x.shape[1]:
+        return np.zeros(min(1, len(x)), int), np.zeros(len(x), int)
+    _, first, place = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel(), return_index=True, return_inverse=True)
+    return first, place
+
+
+def _compared(left: DataFrame, right: DataFrame, by: Sequence[str], work: Callable, schema: str, same: bool = False) -> DataFrame:
+    """`work` on blocks of both sides' rows (by, id, embedding, more) of one group: all blocks of one side meet all of the other.
+
+    Groups above CELL_ROWS are cut into blocks, small ones share bins; a pair of blocks is a key of its own, so no task holds a
+    group and no pair becomes a row. A row is sent once for each block of the other side. work(group's columns, rows, vectors,
+    rows, vectors, diagonal) gives columns, which follow the group's. `same`: both sides are one table, a pair of its blocks meets once.
+    Rows without a vector, or without a group, take no part, and vectors of different lengths do not meet.
+    """
+    keys = [*by, "__d"]
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in by], F.col("id").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
+    sides = [df.filter(whole).withColumn("__d", F.size("embedding")) for df in (left, right)]
+    large = [df.groupBy(*keys).agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias(n)).filter(f"{n} > 1") for df, n in zip(sides, ("__na", "__nb"), strict=True)]
+    parts = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * left.sparkSession.sparkContext.defaultParallelism)
+    cells = ["__bin", "__i", "__j"]
+
+    def dealt(df: DataFrame, own: str, other: str, first: bool) -> DataFrame:
+        for n in large:  # one row for each CELL_ROWS of the table at most
+            df = df.join(F.broadcast(n), keys, "left")
+        mine = F.pmod(F.xxhash64("id"), F.coalesce(own, F.lit(1))).cast("int")
+        df = df.withColumns({"__bin": F.pmod(F.xxhash64(*keys), F.lit(CELL_BINS)), own: mine, other: F.coalesce(other, F.lit(1)) - 1})
+        start, end = (F.col(own) if same and first else F.lit(0)), (F.col(own) if same and not first else F.col(other))
+        df = df.withColumn("__o", F.explode(F.sequence(start, end)))
+        df = df.withColumns({"__i": F.col(own if first else "__o"), "__j": F.col("__o" if first else own)}).drop("__na", "__nb", "__o")
+        return df.select(*[F.col(c).alias(c) for c in df.columns]).repartition(parts, *cells)  # aliases: both sides may be one table
+
+    def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        def groups(t: pa.Table) -> dict[tuple, list[int]]:
+            out: dict[tuple, list[int]] = {}
+            for i, k in enumerate(zip(*(t.column(c).to_pylist() for c in keys), strict=True)):
+                out.setdefault(k, []).append(i)
+            return out
+
+        def matrix(t: pa.Table, d: int) -> np.ndarray:
+            return t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(t.num_rows, d)
+
+        out, there = [], groups(b)
+        for k, at in groups(a).items():
+            if k in there:
+                x, y = a.take(at), b.take(there[k])
+                found = work(x, matrix(x, k[-1]), y, matrix(y, k[-1]), same and key[1].as_py() == key[2].as_py())
+                n = len(found[0])
+                out.append(pa.table([pa.repeat(x.column(c)[0], n) for c in by] + [pa.array(c) if not isinstance(c, pa.Array | pa.ChunkedArray) else c for c in found], names=names))
+        return pa.concat_tables(out).cast(shape) if out else shape.empty_table()
+
+    kinds = dict(left.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), schema])
+    shape = to_arrow_schema(left.sparkSession.createDataFrame([], schema).schema)
+    names = shape.names
+    if same:
+        sides[1], large[1] = sides[0], large[0].withColumnRenamed("__na", "__nb")
+    a, b = dealt(sides[0], "__na", "__nb", True), dealt(sides[1], "__nb", "__na", False)
+    return a.groupBy(*cells).cogroup(b.groupBy(*cells)).applyInArrow(run, schema)
+
+
+def similar_pair_counts(rows: DataFrame, by: Sequence[str], at_least: float) -> DataFrame:
+    """How many pairs a < b of a group reach a bound: (by, n), groups with a pair. Exact, by products of blocks."""
+
+    def work(a: pa.Table, x: np.ndarray, b: pa.Table, y: np.ndarray, diagonal: bool) -> list:
+        slack, n = _slack(x, y), 0
+        before = np.full(len(y), len(x))
+        if diagonal:
+            ids = np.array(a.column("id").to_pylist())
+            order = np.argsort(ids, kind="stable")
+            x = y = x[order]
+            before = np.searchsorted(ids[order], ids[order])  # rows with a smaller id than the column's
+        for r in range(0, len(x), CELL_STEP):
+            for c in range(r if diagonal else 0, len(y), CELL_STEP):
+                s = x[r : r + CELL_STEP] @ y[c : c + CELL_STEP].T
+                if diagonal:
+                    s[np.arange(r, r + len(s))[:, None] >= before[c : c + CELL_STEP]] = -np.inf
+                sure, likely = s.size - np.count_nonzero(s < at_least + slack), s.size - np.count_nonzero(s < at_least - slack)
+                n += sure
+                if likely > sure:
+                    i, j = np.nonzero((s >= at_least - slack) & (s < at_least + slack))
+                    n += int(np.count_nonzero(_in_order(x, y, i + r, j + c) >= at_least))
+        return [[n]]
+
+    found = _compared(rows.select(*by, "id", "embedding"), rows.select(*by, "id", "embedding"), by, work, "n long", same=True)
+    return found.groupBy(*by).agg(F.sum("n").alias("n")).filter("n > 0")
+
+
 def contradiction_candidates(new: DataFrame, old: DataFrame, by: Sequence[str] = ("topic_id",), at_least: float = 0.7, most: int = 24) -> DataFrame:
     """The most similar new x old pairs of each topic."""
     w = Window.partitionBy(*by).orderBy(F.desc("similarity"), "a", "b")
