@@ -264,6 +264,65 @@ def contradiction_candidates(new: DataFrame, old: DataFrame, by: Sequence[str] =
     return similar_pairs(new, old, by, at_least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
+def most_similar(left: DataFrame, right: DataFrame, by: Sequence[str], at_least: float = float("-inf"), last: bool = False) -> DataFrame:
+    """For each left row the most similar right one of its group: (by, id, mate, similarity), ties to smaller ids, to larger ones if `last`.
+
+    Where left rows have a number `from` and right ones a number `at`, only mates with at >= from count. Exact: each pair of blocks
+    gives one mate for each of its left rows.
+    """
+    timed = "from" in left.columns
+
+    def work(a: pa.Table, x: np.ndarray, b: pa.Table, y: np.ndarray, diagonal: bool) -> list:
+        slack, mates = _slack(x, y), np.array(b.column("id").to_pylist())
+        first, place = _classes(y)
+        order = np.lexsort((mates, place))
+        if last:
+            order = order[::-1]
+        held = {int(place[m[0]]): m for m in np.split(order, np.flatnonzero(np.diff(place[order])) + 1)}
+        y = y[first]
+        if timed:
+            since, at = a.column("from").to_numpy(), b.column("at").to_numpy()
+            latest = np.array([at[held[k]].max() for k in range(len(y))])
+
+        def mate(r: int, k: int) -> int:
+            """The first of equal vectors' rows that a left row may have."""
+            m = held[k]
+            return int(m[0] if not timed or len(m) == 1 else m[np.argmax(at[m] >= since[r])])
+
+        ahead = lambda v, m, w, n: (np.isnan(v), v, m if last else 0) > (np.isnan(w), w, n if last else 0) if v != w else (m > n if last else m < n)
+        best: dict[int, tuple] = {}
+        for r in range(0, len(x), CELL_STEP):
+            top, taken = np.full(min(CELL_STEP, len(x) - r), at_least), []
+            for c in range(0, len(y), CELL_STEP):
+                s = x[r : r + CELL_STEP] @ y[c : c + CELL_STEP].T
+                np.copyto(s, np.inf, where=np.isnan(s))
+                if timed:
+                    may = latest[c : c + CELL_STEP] >= since[r : r + CELL_STEP, None]
+                    s[~may] = -np.inf
+                top = np.maximum(top, s.max(axis=1))
+                i, j = np.nonzero(s >= (top - 2 * slack)[:, None])
+                if timed:
+                    i, j = i[may[i, j]], j[may[i, j]]
+                taken.append((i, j + c, s[i, j]))
+            i, j, s = (np.concatenate(t) for t in zip(*taken, strict=True))
+            keep = s >= top[i] - 2 * slack
+            i, j = i[keep] + r, j[keep]
+            for row, k, v in zip(i.tolist(), j.tolist(), _in_order(x, y, i, j).tolist(), strict=True):
+                if not v < at_least:
+                    m = mate(row, k)
+                    if row not in best or ahead(v, mates[m], best[row][1], mates[best[row][0]]):
+                        best[row] = m, v
+        rows = list(best)
+        return [a.column("id").take(pa.array(rows, pa.int64())), b.column("id").take(pa.array([best[r][0] for r in rows], pa.int64())), pa.array([best[r][1] for r in rows], pa.float64())]
+
+    found = _compared(left.select(*by, "id", "embedding", *(["from"] if timed else [])), right.select(*by, "id", "embedding", *(["at"] if timed else [])), by, work, f"id {dict(left.dtypes)['id']}, mate {dict(right.dtypes)['id']}, similarity double")
+    if last:
+        pick = F.max(F.struct("similarity", "mate"))
+        return found.groupBy(*by, "id").agg(pick.alias("m")).select(*by, "id", "m.mate", "m.similarity")
+    w = Window.partitionBy(*by, "id").orderBy(F.desc("similarity"), "mate")
+    return found.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
 def silent_drops(before: DataFrame, merged: DataFrame, by: Sequence[str] = ("topic_id",), below: float = 0.5) -> DataFrame:
     """Records from before a merge that nothing merged of their group resembles."""
     return before.select(*by, "id").join(nearest_duplicates(before, merged, below, by).select("id"), "id", "left_anti")

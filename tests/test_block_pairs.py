@@ -1,9 +1,12 @@
 """Similarity joins by products of blocks, against plain loops: ties, copies, odd vectors, groups of several blocks."""
 
+import re
+
 import numpy as np
 import pytest
 
-from mnemolake.operators import vectors
+from mnemolake.config import DEFAULTS
+from mnemolake.operators import consolidate, vectors
 
 
 def seq(v, w):
@@ -45,3 +48,36 @@ def test_counts_of_pairs(spark, rows):
         if i < j and not s < 0.25:
             want[g] = want.get(g, 0) + 1
     assert {r["g"]: r["n"] for r in vectors.similar_pair_counts(table(spark, rows), ["g"], 0.25).collect()} == want and want["x"] > 500
+
+
+def no_pair_is_a_row(df):
+    plan = df._jdf.queryExecution().toString()
+    return "CoGroups" in plan and "zip_with" not in plan
+
+
+def test_pairs_are_no_rows(spark, rows):
+    t = table(spark, rows)
+    rows = t.selectExpr("id", "g AS topic_id", "embedding", "'a' AS embedding_text", "'t' AS title", "timestamp_seconds(id) AS created_at", "timestamp_seconds(id) AS valid_until")
+    assert no_pair_is_a_row(consolidate.match_topics(rows.withColumnRenamed("topic_id", "g"), rows.withColumnRenamed("topic_id", "g"), ["g"]))
+
+
+def test_topics_by_vectors_and_words(spark, rows):
+    rows = [r for r in rows if r[0] != 3 and r[0] != 904]
+    title = lambda i: [f"cache {i % 9}", f"the cache of disk {i % 40}", "", f"disk 5 {i}", "disk"][i % 5] if i % 17 else None
+    words = {r[0]: None if title(r[0]) is None else set(re.findall("[a-z0-9]+", title(r[0]))) - {"the", "of"} for r in rows}
+    new, old = [r for r in rows if r[0] % 2 == 0], [r for r in rows if r[0] % 2]
+
+    def overlap(i, j):
+        x, y = words[i], words[j]
+        return None if x is None or y is None else len(x & y) / min(len(x), len(y)) if x and y else 0.0
+
+    want = {}
+    for i, g, v in new:
+        near = max(((s, j) for _, _, j, s in pairs([(i, g, v)], old)), default=None)
+        if near and near[0] >= 0.7:
+            want[i] = near[1] if near[0] >= 0.9 or (overlap(i, near[1]) or 0.0) >= 0.34 else None
+        else:
+            want[i] = min((j for j, h, _ in old if g == h is not None and (overlap(i, j) or 0.0) > 0.5), default=None)
+    make = lambda r: spark.createDataFrame([(*x, title(x[0])) for x in r], "id long, g string, embedding array<float>, title string")
+    got = consolidate.match_topics(make(new), make(old), ["g"], DEFAULTS.override(topic_similarity=0.7, topic_title_overlap=0.34, topic_force_similarity=0.9)).collect()
+    assert {r["id"]: r["topic_id"] for r in got} == want and len(got) == len(want) and 20 < sum(v is not None for v in want.values()) < len(want)
