@@ -259,9 +259,45 @@ def similar_pair_counts(rows: DataFrame, by: Sequence[str], at_least: float) ->
 
 
 def contradiction_candidates(new: DataFrame, old: DataFrame, by: Sequence[str] = ("topic_id",), at_least: float = 0.7, most: int = 24) -> DataFrame:
-    """The most similar new x old pairs of each topic."""
+    """The most similar new x old pairs of each topic: (by, a, b, similarity, rank), ties to smaller a, then b.
+
+    Each pair of blocks gives its best pairs only. Of equal vectors a block needs the `most` smallest ids.
+    """
+
+    def first_ids(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+        _, place = _classes(x)
+        order = np.lexsort((ids, place))
+        starts = np.searchsorted(place[order], place[order])
+        return order[np.arange(len(order)) - starts < most]
+
+    def work(a: pa.Table, x: np.ndarray, b: pa.Table, y: np.ndarray, diagonal: bool) -> list:
+        slack, ids, mates = _slack(x, y), np.array(a.column("id").to_pylist()), np.array(b.column("id").to_pylist())
+        p, q = first_ids(ids, x), first_ids(mates, y)
+        x, ids, y, mates = x[p], ids[p], y[q], mates[q]
+        best, least = (np.zeros(0, int), np.zeros(0, int), np.zeros(0)), at_least - slack
+        for r in range(0, len(x), CELL_STEP):
+            for c in range(0, len(y), CELL_STEP):
+                s = x[r : r + CELL_STEP] @ y[c : c + CELL_STEP].T
+                i, j = np.nonzero(~(s < least))
+                if len(i) > most:
+                    kth = np.partition(s[i, j], -most)[-most]  # numbers that are none come last
+                    keep = ~(s[i, j] < (np.inf if np.isnan(kth) else kth - 2 * slack))
+                    i, j = i[keep], j[keep]
+                if not len(i):
+                    continue
+                v = _in_order(x, y, i + r, j + c)
+                keep = ~(v < at_least)
+                i, j, v = (np.concatenate(t) for t in zip(best, (i[keep] + r, j[keep] + c, v[keep]), strict=True))
+                order = np.lexsort((mates[j], ids[i], -v, ~np.isnan(v)))[:most]
+                best = i[order], j[order], v[order]
+                if len(order) == most:
+                    least = max(least, np.inf if np.isnan(v[order[-1]]) else v[order[-1]] - slack)
+        return [a.column("id").take(pa.array(p[best[0]])), b.column("id").take(pa.array(q[best[1]])), best[2]]
+
+    rows = lambda df: df.select(*by, "id", "embedding")
+    found = _compared(rows(new), rows(old), by, work, f"a {dict(new.dtypes)['id']}, b {dict(old.dtypes)['id']}, similarity double")
     w = Window.partitionBy(*by).orderBy(F.desc("similarity"), "a", "b")
-    return similar_pairs(new, old, by, at_least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
 
 
 def most_similar(left: DataFrame, right: DataFrame, by: Sequence[str], at_least: float = float("-inf"), last: bool = False) -> DataFrame:

@@ -50,6 +50,15 @@ def test_counts_of_pairs(spark, rows):
     assert {r["g"]: r["n"] for r in vectors.similar_pair_counts(table(spark, rows), ["g"], 0.25).collect()} == want and want["x"] > 500
 
 
+def test_best_pairs_of_groups(spark, rows):
+    new, old = [r for r in rows if r[0] % 2 == 0], [r for r in rows if r[0] % 2]
+    want = []
+    for g in ("x", "y"):
+        want += [(g, i, j, k + 1) for k, (_, i, j, s, _) in enumerate(sorted((high(s), i, j, s, k) for k, (h, i, j, s) in enumerate(pairs(new, old)) if h == g and not s < 0.2)[:24])]
+    got = vectors.contradiction_candidates(table(spark, new), table(spark, old), ["g"], 0.2, 24).collect()
+    assert sorted((r["g"], r["a"], r["b"], r["rank"]) for r in got) == sorted(want) and len(want) == 48
+
+
 def no_pair_is_a_row(df):
     plan = df._jdf.queryExecution().toString()
     return "CoGroups" in plan and "zip_with" not in plan
@@ -58,6 +67,7 @@ def no_pair_is_a_row(df):
 def test_pairs_are_no_rows(spark, rows):
     t = table(spark, rows)
     rows = t.selectExpr("id", "g AS topic_id", "embedding", "'a' AS embedding_text", "'t' AS title", "timestamp_seconds(id) AS created_at", "timestamp_seconds(id) AS valid_until")
+    assert no_pair_is_a_row(vectors.contradiction_candidates(t, t, ["g"], 0.2))
     assert no_pair_is_a_row(consolidate.match_topics(rows.withColumnRenamed("topic_id", "g"), rows.withColumnRenamed("topic_id", "g"), ["g"]))
 
 
