@@ -68,9 +68,22 @@ def test_pairs_are_no_rows(spark, rows):
     t = table(spark, rows)
     rows = t.selectExpr("id", "g AS topic_id", "embedding", "'a' AS embedding_text", "'t' AS title", "timestamp_seconds(id) AS created_at", "timestamp_seconds(id) AS valid_until")
     assert no_pair_is_a_row(vectors.contradiction_candidates(t, t, ["g"], 0.2))
+    assert no_pair_is_a_row(consolidate.contradicted(rows, rows, "2024-01-01")["expired"])
     assert no_pair_is_a_row(consolidate.match_topics(rows.withColumnRenamed("topic_id", "g"), rows.withColumnRenamed("topic_id", "g"), ["g"]))
 
 
+def test_texts_of_contradictions(spark, rows):
+    new, old = ([(*r, f"text {r[0] % 3}") for r in rows if r[0] % 2 == k and r[0] != 3] for k in (0, 1))
+    hits = {}
+    for g, i, j, s in pairs([r[:3] for r in new], [r[:3] for r in old]):
+        if not s < 0.2:
+            hits.setdefault(g, []).append((high(s), i, j))
+    want = {j for h in hits.values() for _, i, j in sorted(h)[:24] if i % 3 != j % 3}
+    make = lambda r: spark.createDataFrame(r, "id long, topic_id string, embedding array<float>, embedding_text string")
+    got = consolidate.contradicted(make(old), make(new), "2024-01-01", DEFAULTS.override(contradiction_similarity=0.2))["expired"]
+    assert sorted(r["id"] for r in got.collect()) == sorted(want) and want
+
+
 def test_topics_by_vectors_and_words(spark, rows):
     rows = [r for r in rows if r[0] != 3 and r[0] != 904]
     title = lambda i: [f"cache {i % 9}", f"the cache of disk {i % 40}", "", f"disk 5 {i}", "disk"][i % 5] if i % 17 else None
