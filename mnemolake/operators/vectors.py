@@ -366,10 +366,10 @@ def silent_drops(before: DataFrame, merged: DataFrame, by: Sequence[str] = ("top
 
 def supersession(records: DataFrame, as_of: Column, at_least: float = 0.5) -> DataFrame:
     """For each expired record of a topic the most similar unexpired one created at or after its end."""
-    old = records.filter(F.col("valid_until") <= as_of).select("topic_id", F.col("id").alias("a"), F.col("embedding").alias("x"), "valid_until")
-    new = records.filter(F.col("valid_until").isNull() | (F.col("valid_until") > as_of)).select("topic_id", F.col("id").alias("b"), F.col("embedding").alias("y"), "created_at")
-    hits = old.join(new, "topic_id").filter(F.col("created_at") >= F.col("valid_until")).withColumn("similarity", dot(F.col("x"), F.col("y"))).filter(F.col("similarity") >= at_least)
-    return hits.groupBy(F.col("a").alias("id")).agg(F.max_by("b", F.struct("similarity", -F.col("b"))).alias("superseded_by"), F.max("similarity").alias("similarity"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    old = records.filter(F.col("valid_until") <= as_of).select("topic_id", "id", "embedding", micros("valid_until").alias("from"))
+    new = records.filter((F.col("valid_until").isNull() | (F.col("valid_until") > as_of)) & F.col("created_at").isNotNull()).select("topic_id", "id", "embedding", micros("created_at").alias("at"))
+    return most_similar(old, new, ["topic_id"], at_least).select("id", F.col("mate").alias("superseded_by"), "similarity")
 
 
 def average_linkage(similarity: np.ndarray, cut: float) -> np.ndarray:

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mnemolake.config import DEFAULTS
 from mnemolake.operators import consolidate, vectors
@@ -69,6 +70,7 @@ def test_pairs_are_no_rows(spark, rows):
     rows = t.selectExpr("id", "g AS topic_id", "embedding", "'a' AS embedding_text", "'t' AS title", "timestamp_seconds(id) AS created_at", "timestamp_seconds(id) AS valid_until")
     assert no_pair_is_a_row(vectors.contradiction_candidates(t, t, ["g"], 0.2))
     assert no_pair_is_a_row(consolidate.contradicted(rows, rows, "2024-01-01")["expired"])
+    assert no_pair_is_a_row(vectors.supersession(rows, F.timestamp_seconds(F.lit(100)), 0.1))
     assert no_pair_is_a_row(consolidate.match_topics(rows.withColumnRenamed("topic_id", "g"), rows.withColumnRenamed("topic_id", "g"), ["g"]))
 
 
@@ -84,6 +86,20 @@ def test_texts_of_contradictions(spark, rows):
     assert sorted(r["id"] for r in got.collect()) == sorted(want) and want
 
 
+def test_supersession(spark, rows):
+    rows = [r for r in rows if r[0] != 3]
+    told = [(i, g, v, i * 7 % 50, (i * 11 % 60 if i % 3 == 0 else None)) for i, g, v in rows]
+    df = spark.createDataFrame(told, "id long, topic_id string, embedding array<float>, c long, u long").selectExpr("id", "topic_id", "embedding", "timestamp_seconds(c) AS created_at", "timestamp_seconds(u) AS valid_until")
+    end, made = {r[0]: r[4] for r in told}, {r[0]: r[3] for r in told}
+    old, new = [r for r in rows if end[r[0]] is not None and end[r[0]] <= 40], [r for r in rows if end[r[0]] is None or end[r[0]] > 40]
+    want = {}
+    for _, i, j, s in pairs(old, new):
+        if made[j] >= end[i] and not s < 0.1:
+            want[i] = min(want.get(i, (high(s), j)), (high(s), j))
+    got = {r["id"]: r["superseded_by"] for r in vectors.supersession(df, F.timestamp_seconds(F.lit(40)), 0.1).collect()}
+    assert got == {i: j for i, (_, j) in want.items()} and len(got) > 30
+
+
 def test_topics_by_vectors_and_words(spark, rows):
     rows = [r for r in rows if r[0] != 3 and r[0] != 904]
     title = lambda i: [f"cache {i % 9}", f"the cache of disk {i % 40}", "", f"disk 5 {i}", "disk"][i % 5] if i % 17 else None
