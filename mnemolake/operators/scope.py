@@ -150,12 +150,19 @@ def audit_filter(default: Scope, scope: object = None, everything: bool = False)
     return None if everything else (coerce(scope) if scope is not None else default).read_filter()
 
 
+def left_join(rows: DataFrame, more: DataFrame, key: str, spread: str = "claim_id") -> DataFrame:
+    """Left join by a key that many rows lack: those go to partitions by `spread`, where a plain join deals all of them to one task."""
+    own = F.xxhash64(F.col(key).cast("string"))  # not a constant: Catalyst would take it out of the join's keys
+    held = rows.withColumn("__spread", F.when(F.col(key).isNull(), F.xxhash64(spread)).otherwise(own))
+    return held.join(more.withColumn("__spread", own), [key, "__spread"], "left").drop("__spread")
+
+
 def source_scopes(sources: DataFrame, episodes: DataFrame, records: DataFrame, topics: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Scope of each provenance row: of its episode, else its record, else its topic."""
+    """Scope of each provenance row: of its episode, else its record, else its topic. Rows without one of these are spread, not joined in one task."""
     e = episodes.select(F.col("id").alias("source_episode_id"), *[F.col(k).alias(f"e_{k}") for k in keys])
     r = records.select(F.col("id").alias("source_record_id"), *[F.col(k).alias(f"r_{k}") for k in keys])
     t = topics.select(F.col("id").alias("source_topic_id"), *[F.col(k).alias(f"t_{k}") for k in keys])
-    joined = sources.join(e, "source_episode_id", "left").join(r, "source_record_id", "left").join(t, "source_topic_id", "left")
+    joined = left_join(left_join(left_join(sources, e, "source_episode_id"), r, "source_record_id"), t, "source_topic_id")
     return joined.select("claim_id", *[F.coalesce(f"e_{k}", f"r_{k}", f"t_{k}").alias(k) for k in keys])
 
 
