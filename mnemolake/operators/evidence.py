@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemolake.operators.scope import left_join
 from mnemolake.operators.temporal import instant
 
 OUTCOME_COUNTS = ["validation_count", "success_count", "partial_success_count", "failure_count", "explicit_failure_count", "reverted_count", "superseded_count", "outcomes_with_provenance_count"]
@@ -49,7 +50,7 @@ def source_evidence(sources: DataFrame, anchors: DataFrame) -> DataFrame:
     """
     a = anchors.select(F.col("episode_id").alias("source_episode_id"), F.concat_ws(":", "anchor_type", "anchor_value").alias("value")).distinct()
     held = a.groupBy("source_episode_id").agg(F.count("*").alias("n"))
-    links = sources.join(held, "source_episode_id", "left").groupBy("claim_id").agg(F.sum(F.coalesce("n", F.lit(1))).alias("source_link_count"))
+    links = left_join(sources.select("claim_id", "source_episode_id"), held, "source_episode_id").groupBy("claim_id").agg(F.sum(F.coalesce("n", F.lit(1))).alias("source_link_count"))
     kinds = {"episode": "source_episode_id", "topic": "source_topic_id", "record": "source_record_id"}
     named = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value")) for k, c in kinds.items()]))
     values = sources.select("claim_id", named.alias("s")).select("claim_id", "s.kind", "s.value").filter("value IS NOT NULL").distinct()
