@@ -11,9 +11,10 @@ import re
 import time
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from mnemolake.functions.text import KINDS, claim_id, meta_descriptive, normalise, parse_episode, record_text, sanitise_for_prompt
 
@@ -128,30 +129,32 @@ def extract(members: DataFrame, model: Model, attempts: int = ATTEMPTS, failures
     kind = dict(members.dtypes)["cluster"]
     schema = f"cluster {kind}, title string, summary string, records array<map<string,string>>, claim_ids array<string>, calls int, error string, tried boolean"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    shape = to_arrow_schema(members.sparkSession.createDataFrame([], schema).schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         began, failed = time.monotonic(), 0
-        for pdf in frames:
-            rows = []
-            for cluster, prompt, texts, kinds, tags in pdf.itertuples(index=False):
+        for batch in batches:
+            for i in range(batch.num_rows):  # one cluster's texts at a time become Python's
+                cluster, prompt, texts, kinds, tags = batch.slice(i, 1).to_pylist()[0].values()
                 late = time.monotonic() - began > seconds
                 if late or failed >= failures:
-                    rows.append((cluster, None, None, None, None, 0, "the time is over" if late else f"stopped after {failures} failures in a row", False))
-                    continue
-                try:
-                    data, records, calls = ask(model, prompt, list(texts), attempts)
-                    records = by_rule(list(texts), list(kinds), [list(t) for t in tags], records)
-                    known: dict[str, dict[str, str]] = {}
-                    for r in records:  # of those that say one thing the first
-                        known.setdefault(claim_id(r["type"], r), r)
-                    text = lambda f, data=data: " ".join(str(data.get(f) or "").split()) or None
-                    rows.append((cluster, text("title"), text("summary"), list(known.values()), list(known), calls, None, True))
-                    failed = 0
-                except ValueError as x:
-                    failed += 1
-                    rows.append((cluster, None, None, None, None, attempts, str(x), True))
-            yield pd.DataFrame(rows, columns=["cluster", "title", "summary", "records", "claim_ids", "calls", "error", "tried"])
-
-    return prompts(members).mapInPandas(run, schema)
+                    row = (cluster, None, None, None, None, 0, "the time is over" if late else f"stopped after {failures} failures in a row", False)
+                else:
+                    try:
+                        data, records, calls = ask(model, prompt, texts, attempts)
+                        records = by_rule(texts, kinds, tags, records)
+                        known: dict[str, dict[str, str]] = {}
+                        for r in records:  # of those that say one thing the first
+                            known.setdefault(claim_id(r["type"], r), r)
+                        text = lambda f, data=data: " ".join(str(data.get(f) or "").split()) or None
+                        row = (cluster, text("title"), text("summary"), [list(r.items()) for r in known.values()], list(known), calls, None, True)
+                        failed = 0
+                    except ValueError as x:
+                        failed += 1
+                        row = (cluster, None, None, None, None, attempts, str(x), True)
+                yield pa.record_batch([pa.array([v], f.type) for v, f in zip(row, shape, strict=True)], schema=shape)
+
+    return prompts(members).mapInArrow(run, schema)
 
 
 def revision(model: Model, body: str, instruction: str, records: int) -> str:
