@@ -169,6 +169,13 @@ def _slack(x: np.ndarray, y: np.ndarray) -> float:
     return 4.0 * (x.shape[1] + 1) * np.finfo(float).eps * longest[0] * longest[1]
 
 
+def _single(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Both sides in single precision, and by how much more their product may then differ; unchanged, if that could overflow."""
+    if not (np.abs(x).max(initial=0.0) <= 1e10 and np.abs(y).max(initial=0.0) <= 1e10):
+        return x, y, 0.0
+    return x.astype(np.float32), y.astype(np.float32), _slack(x, y) * float(np.finfo(np.float32).eps / np.finfo(float).eps) + 1e-20
+
+
 def _classes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first row of each distinct vector, and each row's place among these."""
     if not x.shape[1]:
@@ -261,7 +268,8 @@ def similar_pair_counts(rows: DataFrame, by: Sequence[str], at_least: float) ->
 def contradiction_candidates(new: DataFrame, old: DataFrame, by: Sequence[str] = ("topic_id",), at_least: float = 0.7, most: int = 24) -> DataFrame:
     """The most similar new x old pairs of each topic: (by, a, b, similarity, rank), ties to smaller a, then b.
 
-    Each pair of blocks gives its best pairs only. Of equal vectors a block needs the `most` smallest ids.
+    Each pair of blocks gives its best pairs only. Of equal vectors a block needs the `most` smallest ids. Products in single
+    precision show which rows may have a pair good enough; those are multiplied again in doubles.
     """
 
     def first_ids(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -275,9 +283,12 @@ def contradiction_candidates(new: DataFrame, old: DataFrame, by: Sequence[str] =
         p, q = first_ids(ids, x), first_ids(mates, y)
         x, ids, y, mates = x[p], ids[p], y[q], mates[q]
         best, least = (np.zeros(0, int), np.zeros(0, int), np.zeros(0)), at_least - slack
+        u, w, rough = _single(x, y)
         for r in range(0, len(x), CELL_STEP):
             for c in range(0, len(y), CELL_STEP):
-                s = x[r : r + CELL_STEP] @ y[c : c + CELL_STEP].T
+                top = (u[r : r + CELL_STEP] @ w[c : c + CELL_STEP].T).max(axis=1).astype(float)
+                some = np.flatnonzero(~(top < least - rough))
+                s = x[r + some] @ y[c : c + CELL_STEP].T
                 i, j = np.nonzero(~(s < least))
                 if len(i) > most:
                     kth = np.partition(s[i, j], -most)[-most]  # numbers that are none come last
@@ -285,9 +296,10 @@ def contradiction_candidates(new: DataFrame, old: DataFrame, by: Sequence[str] =
                     i, j = i[keep], j[keep]
                 if not len(i):
                     continue
-                v = _in_order(x, y, i + r, j + c)
+                i, j = r + some[i], j + c
+                v = _in_order(x, y, i, j)
                 keep = ~(v < at_least)
-                i, j, v = (np.concatenate(t) for t in zip(best, (i[keep] + r, j[keep] + c, v[keep]), strict=True))
+                i, j, v = (np.concatenate(t) for t in zip(best, (i[keep], j[keep], v[keep]), strict=True))
                 order = np.lexsort((mates[j], ids[i], -v, ~np.isnan(v)))[:most]
                 best = i[order], j[order], v[order]
                 if len(order) == most:

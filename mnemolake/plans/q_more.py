@@ -219,8 +219,8 @@ WITH p AS (SELECT a.label, a.id AS a, b.id AS b, {_DOT.format('a.embedding', 'b.
 SELECT DISTINCT r.b AS id FROM r JOIN records x ON x.id = r.a JOIN records y ON y.id = r.b WHERE k <= 24 AND x.embedding_text <> y.embedding_text
 """)
 def _(e):
-    rows = e.records.select("id", "embedding_text").join(e.vectors.select("id", F.col("label").alias("topic_id"), "embedding"), "id")
-    return consolidate.contradicted(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0"), NOW, DEFAULTS.override(contradiction_similarity=0.3))["expired"]
+    rows = e.vectors.select("id", F.col("label").alias("topic_id"), "embedding")
+    return consolidate.contradicted(rows.filter("id % 2 = 1"), rows.filter("id % 2 = 0"), NOW, DEFAULTS.override(contradiction_similarity=0.3), e.records)["expired"]
 
 
 @query("st03_failure_rates", "SELECT CAST(epoch(time_bucket(INTERVAL 1 DAY, observed_at)) AS BIGINT) AS start, round(avg(CAST(outcome_type IN ('failure', 'reverted', 'superseded') AS DOUBLE)), 6) AS rate FROM outcomes GROUP BY 1")

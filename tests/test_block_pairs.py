@@ -2,10 +2,13 @@
 
 import re
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from mnemolake import queries
 from mnemolake.config import DEFAULTS
 from mnemolake.operators import consolidate, vectors
 
@@ -86,6 +89,39 @@ def test_texts_of_contradictions(spark, rows):
     assert sorted(r["id"] for r in got.collect()) == sorted(want) and want
 
 
+def test_contradictions_of_vectors_without_a_record(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    m = rng.normal(size=(400, 8)).astype(np.float32)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    keys = [*range(0, 400, 3), *range(1, 400, 3), 3, 4]  # a third of the vectors has no record, two have two
+    spark.createDataFrame([(i, [float(x) for x in v], i // 2 % 2) for i, v in enumerate(m)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    part = pd.read_parquet("/root/testdata/sf0.001/part.parquet").head(1).loc[lambda d: d.index.repeat(len(keys))].assign(p_partkey=keys, p_name=[f"part {i % 5}" for i in keys])
+    spark.createDataFrame(part).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    for t in ("embeddings", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = queries.QUERIES["co10_contradictions"](spark, str(tmp_path))
+    want = con.sql(queries.ORACLES["co10_contradictions"]).fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 10
+    # records are read for the texts of candidates alone, once for each side
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation [p_partkey") == 2
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-3, 1e30])
+def test_best_pairs_that_single_precision_confuses(spark, monkeypatch, scale):
+    monkeypatch.setattr(vectors, "CELL_STEP", 16)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(3, 6))
+    out = [(i, "x", [float(x) for x in scale * (base[i // 2 % 3] + 1e-10 * rng.normal(size=6))]) for i in range(200)]
+    new, old = out[::2], out[1::2]
+    want = sorted((-s, i, j) for _, i, j, s in pairs(new, old) if not s < 0.2 * scale**2)[:24]
+    make = lambda r: spark.createDataFrame(r, "id long, g string, embedding array<double>")
+    got = vectors.contradiction_candidates(make(new), make(old), ["g"], 0.2 * scale**2, 24).collect()
+    assert sorted((-r["similarity"], r["a"], r["b"]) for r in got) == want and len(want) == 24
+    u, w, rough = vectors._single(*(np.array([r[2] for r in side]) for side in (new, old)))
+    assert (u.dtype == np.float32) == (rough > 0) == (scale < 1e10)
+
+
 def test_supersession(spark, rows):
     rows = [r for r in rows if r[0] != 3]
     told = [(i, g, v, i * 7 % 50, (i * 11 % 60 if i % 3 == 0 else None)) for i, g, v in rows]
