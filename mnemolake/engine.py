@@ -404,7 +404,7 @@ class MemoryEngine:
             claims = self._with_precision(claims, touched, now, {"claim_events": events, "claim_sources": sources})
             kept = lifecycle.update(read("knowledge_records"), ended, {"valid_until": F.least(F.coalesce(F.col("valid_until"), t), t), "updated_at": t})
             counts = {"records": added.count(), "clusters": placed.count(), "topics_created": placed.filter("NOT known").select("topic_id").distinct().count(), "topics_updated": placed.filter("known").select("topic_id").distinct().count(), "contradictions": ended.count()}
-            asked = told.agg(F.count_if(F.col("records").isNotNull()).alias("told"), F.count_if(F.col("tried") & F.col("records").isNull()).alias("refused"), F.count_if(~F.col("tried")).alias("not_asked"), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls")).first() if told is not None else None
+            asked = told.agg(F.count_if(F.col("records").isNotNull()).alias("told"), F.count_if(F.col("tried") & F.col("records").isNull()).alias("refused"), F.count_if(~F.col("tried")).alias("not_asked"), F.count_if(F.size("faults") > 0).alias("faulty"), F.coalesce(F.sum("calls"), F.lit(0)).alias("calls")).first() if told is not None else None
             counts |= {f"model_{k}": v for k, v in asked.asDict().items()} if asked else {}
             formed = clusters.select("cluster").distinct().count()
             report = self.spark.createDataFrame([(run, json.dumps(counts | {"clusters_formed": formed}, sort_keys=True))], "run_id string, report string").withColumn("created_at", t)

@@ -1,7 +1,8 @@
 """Records that a text model reads from clusters which no rule reads: asked, checked, asked again, and kept as far as they hold.
 
 The model is a callable from a prompt to a text. It runs on executors, once for each cluster and attempt. A task stops asking after
-several failures in a row, or when its time is over; the clusters that it then leaves out count as not tried.
+several failures in a row, or when its time is over; the clusters that it then leaves out count as not tried. Who needs an answer
+for every cluster asks through `answered`, which ends the job where one is missing.
 """
 
 from __future__ import annotations
@@ -33,12 +34,17 @@ TASK = (
 SPECIFIC = re.compile(r"[A-Z]:\\[\w\\./-]+|~?/[\w./-]{5,}|\d+\.\d+(?:\.\d+)+")
 
 
+class NoAnswer(ValueError):
+    """A model gave no record that can be used."""
+
+
 def prompts(members: DataFrame) -> DataFrame:
     """(cluster, prompt, texts, kinds, tags) of clusters' members (cluster, id, content, content_type, tags), in order of id."""
-    told = sanitise_for_prompt(F.coalesce("content", F.lit("")))
+    # Lines of a text that look like the head of an episode are moved in, so that none poses as another episode.
+    told = F.replace(F.concat(F.lit("\n"), sanitise_for_prompt(F.coalesce("content", F.lit("")))), F.lit(EPISODE), F.lit(EPISODE.replace("\n", "\n ")))
     each = F.struct("id", told.alias("told"), F.coalesce("content", F.lit("")).alias("content"), F.coalesce("content_type", F.lit("")).alias("kind"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
     per = members.groupBy("cluster").agg(F.array_sort(F.collect_list(each)).alias("e"))  # a cluster has 20 episodes at most
-    body = F.array_join(F.transform("e", lambda x, i: F.concat(F.lit(EPISODE), (i + 1).cast("string"), F.lit(" ("), x["kind"], F.lit("):\n"), x["told"])), "\n")
+    body = F.array_join(F.transform("e", lambda x, i: F.concat(F.lit(EPISODE), (i + 1).cast("string"), F.lit(" ("), x["kind"], F.lit("):"), x["told"])), "\n")
     pick = lambda f: F.transform("e", lambda x: x[f])
     return per.select("cluster", F.concat(F.lit(TASK + "\n"), body, F.lit("\n\nJSON:")).alias("prompt"), pick("content").alias("texts"), pick("kind").alias("kinds"), pick("tags").alias("tags"))
 
@@ -93,7 +99,12 @@ def ask(model: Model, prompt: str, texts: Sequence[str], attempts: int = ATTEMPT
 
     Later attempts are told what was wrong. Should faults remain, records that are sound in themselves are kept.
     """
-    best: tuple[int, dict, list[dict[str, str]]] | None = None
+    return _best(model, prompt, texts, attempts)[:3]
+
+
+def _best(model: Model, prompt: str, texts: Sequence[str], attempts: int) -> tuple[dict, list[dict[str, str]], int, list[str]]:
+    """What `ask` gives, and the faults that remain."""
+    best: tuple[list[str], dict, list[dict[str, str]]] | None = None
     wrong, error = [], None
     for n in range(attempts):
         more = "" if not wrong else "\n\nYour last answer could not be used:\n" + "\n".join(f"- {w}" for w in wrong) + ("\nTake the episodes' own words." if n > 1 else "") + "\n\nJSON:"
@@ -104,13 +115,13 @@ def ask(model: Model, prompt: str, texts: Sequence[str], attempts: int = ATTEMPT
             continue
         wrong = faults(data, texts)
         sound = [r for r in map(record_of, (data or {}).get("records") or []) if r] if isinstance((data or {}).get("records"), list) else []
-        if sound and (best is None or len(wrong) < best[0]):
-            best = (len(wrong), data, sound)
+        if sound and (best is None or len(wrong) < len(best[0])):
+            best = (wrong, data, sound)
         if not wrong:
             break
     if best is None:
-        raise ValueError(f"no usable answer after {attempts} attempts: {error or '; '.join(wrong)}")
-    return best[1], best[2], n + 1
+        raise NoAnswer(f"no usable answer after {attempts} attempts: {error or '; '.join(wrong)}")
+    return best[1], best[2], n + 1, best[0]
 
 
 def by_rule(texts: Sequence[str], kinds: Sequence[str], tags: Sequence[Sequence[str]], records: list[dict[str, str]]) -> list[dict[str, str]]:
@@ -122,12 +133,13 @@ def by_rule(texts: Sequence[str], kinds: Sequence[str], tags: Sequence[Sequence[
 
 
 def extract(members: DataFrame, model: Model, attempts: int = ATTEMPTS, failures: int = FAILURES, seconds: float = SECONDS) -> DataFrame:
-    """(cluster, title, summary, records, claim_ids, calls, error, tried), a row for each cluster of members.
+    """(cluster, title, summary, records, claim_ids, calls, error, tried, faults), a row for each cluster of members.
 
     records are null where the model gave none that holds; error says why. tried is false for clusters that a task no longer asked for.
+    faults are what remains wrong with an answer of which sound records were kept. Errors of this library's own code end the job.
     """
     kind = dict(members.dtypes)["cluster"]
-    schema = f"cluster {kind}, title string, summary string, records array<map<string,string>>, claim_ids array<string>, calls int, error string, tried boolean"
+    schema = f"cluster {kind}, title string, summary string, records array<map<string,string>>, claim_ids array<string>, calls int, error string, tried boolean, faults array<string>"
 
     shape = to_arrow_schema(members.sparkSession.createDataFrame([], schema).schema)
 
@@ -138,25 +150,33 @@ def extract(members: DataFrame, model: Model, attempts: int = ATTEMPTS, failures
                 cluster, prompt, texts, kinds, tags = batch.slice(i, 1).to_pylist()[0].values()
                 late = time.monotonic() - began > seconds
                 if late or failed >= failures:
-                    row = (cluster, None, None, None, None, 0, "the time is over" if late else f"stopped after {failures} failures in a row", False)
+                    row = (cluster, None, None, None, None, 0, "the time is over" if late else f"stopped after {failures} failures in a row", False, None)
                 else:
                     try:
-                        data, records, calls = ask(model, prompt, texts, attempts)
+                        data, records, calls, wrong = _best(model, prompt, [prompt], attempts)  # only what it was told can be kept
                         records = by_rule(texts, kinds, tags, records)
                         known: dict[str, dict[str, str]] = {}
                         for r in records:  # of those that say one thing the first
                             known.setdefault(claim_id(r["type"], r), r)
                         text = lambda f, data=data: " ".join(str(data.get(f) or "").split()) or None
-                        row = (cluster, text("title"), text("summary"), [list(r.items()) for r in known.values()], list(known), calls, None, True)
+                        row = (cluster, text("title"), text("summary"), [list(r.items()) for r in known.values()], list(known), calls, None, True, wrong)
                         failed = 0
-                    except ValueError as x:
+                    except NoAnswer as x:
                         failed += 1
-                        row = (cluster, None, None, None, None, attempts, str(x), True)
+                        row = (cluster, None, None, None, None, attempts, str(x), True, None)
                 yield pa.record_batch([pa.array([v], f.type) for v, f in zip(row, shape, strict=True)], schema=shape)
 
     return prompts(members).mapInArrow(run, schema)
 
 
+def answered(told: DataFrame) -> DataFrame:
+    """What `extract` gave, if every cluster has an answer without faults; else the job ends with what went wrong."""
+    why = F.concat_ws("; ", F.coalesce("error", F.lit("faults remain")), "faults")
+    lost = F.concat(F.lit("cluster "), F.coalesce(F.col("cluster").cast("string"), F.lit("null")), F.lit(": "), why)
+    held = F.col("records").isNotNull() & (F.size("faults") == 0)
+    return told.filter(F.when(held, F.lit(True)).otherwise(F.raise_error(lost).cast("boolean")))
+
+
 def revision(model: Model, body: str, instruction: str, records: int) -> str:
     """A topic's markdown as the model edits it; refused if it keeps less than half of four records or more."""
     from mnemolake.sources.markdown import parse
